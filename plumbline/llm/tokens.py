@@ -20,6 +20,7 @@ doc_id are all written, ordered by text; an empty table gives an empty manifest;
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -44,18 +45,21 @@ def _encoder(path: str, width: int) -> Remembered:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        tokenizer.model._resize_cache(0)  # no chunk comes twice
         kind = f"<u{width}"
         (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        plain = re.compile(r" ?\S+").fullmatch
 
         def many(new: list[str]) -> list[bytes]:
-            out: dict[str, bytes] = {}
-            joined = [c for c in new if c[0] == " " and len(c) > 1 and not any(map(str.isspace, c[1:]))]
-            for at in range(0, len(joined), 20_000):
-                some = joined[at : at + 20_000]
-                ids = np.array(tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype=kind)
-                ends = np.flatnonzero(ids == line_feed)
-                raw, starts, ends = ids.tobytes(), [0, *((ends + 1) * width).tolist()], [*(ends * width).tolist(), len(ids) * width]
-                out.update((c, raw[i:j]) for c, i, j in zip(some, starts, ends, strict=True))
+            out = {"": b""}
+            joined = [c for c in new if plain(c)]
+            groups = [joined[at : at + 50] for at in range(0, len(joined), 50)]
+            for some, coded in zip(groups, tokenizer.encode_batch_fast(["\n".join(x) for x in groups], add_special_tokens=False), strict=True):
+                ids = np.array([*coded.ids, line_feed], dtype=kind)
+                raw, at = ids.tobytes(), 0
+                for c, end in zip(some, (np.flatnonzero(ids == line_feed) * width).tolist(), strict=True):
+                    out[c] = raw[at:end]
+                    at = end + width
             rest = [c for c in new if c not in out]
             for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
                 out[c] = np.array(e.ids, dtype=kind).tobytes()
