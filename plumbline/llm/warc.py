@@ -48,7 +48,10 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def train_dictionary(pages: DataFrame, size: int = 65_536, sample: int = 2_000) -> bytes:
     """At most `size` bytes, from at most `sample` records of at most 16 KB each."""
-    some = pages.select(F.encode(F.substring(F.coalesce("html", F.lit("")), 1, 16_000), "UTF-8").alias("body"), F.sha1(F.coalesce("html", F.lit(""))).alias("k")).orderBy("k").limit(sample).select("body")
+    body = F.substring(F.coalesce("html", F.lit("")), 1, 16_000)
+    keyed = pages.select(body.alias("_body"), F.sha1(F.coalesce("html", F.lit(""))).alias("_k"))
+    keys = keyed.select("_k").orderBy("_k").limit(sample).distinct()  # `sample` digests at most
+    some = keyed.join(F.broadcast(keys), "_k").groupBy("_k").agg(F.first("_body").alias("_body")).select(F.encode("_body", "UTF-8").alias("body"))
 
     def train(batches):
         import zstandard
