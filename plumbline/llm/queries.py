@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, mixing, quality, tokens, warc
+from . import bpe, fingerprint, licenses, mixing, neardup, quality, tokens, warc
 from .common import scratch, table
 
 
@@ -55,9 +55,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, dest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op5_licenses": licenses.sql()}
+    return {"op3_mixing": mixing.SQL, "op5_licenses": licenses.sql(), "op10_near_duplicates": neardup.SQL}
