@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, mixing, neardup, quality, tokens, warc
+from . import bpe, fingerprint, licenses, mixing, neardup, quality, tokens, toxicity, warc
 from .common import scratch, table
 
 
@@ -44,6 +44,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(toxicity.learnable(F.col("doc_id"))))
+    done = toxicity.scored(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.judged(table(spark, sf_dir, "documents"), ["doc_id"])
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
