@@ -1,8 +1,62 @@
-"""A training corpus from documents: toxicity, quality rules, near-dedup, source mixture, byte-level BPE."""
+"""A training corpus from documents: toxicity, quality rules, near-duplicates, source mixture, byte-level BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; between stages the rows are written as
+Parquet and read again. All but the last return the columns of documents. Nulls, empty texts, repeated rows and empty
+tables are handled as the operators say; rows that a stage keeps are unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, mixing, neardup, quality, toxicity
+from plumbline.llm.common import stored, table
+from plumbline.llm.queries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic. Learns from the labels of these documents, but for those held out."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(toxicity.learnable(F.col("doc_id"))))
+    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the perplexity bands keep."""
+    return quality.judged(docs).filter("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: that of its smallest doc_id (any one row of it). Rows without doc_id stay if their
+    shingles equal no other row's, one row to a text."""
+    found = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    bare = docs.filter("doc_id IS NULL").join(found.filter("_id IS NULL"), how="left_semi").dropDuplicates(["text"])
+    return named.unionByName(bare).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document's text, and the digest of the text that they decode to."""
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("byte_bpe", encode_bytes)]
+
+#: The first stage, nearest neighbours with learned terms, has no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
