@@ -297,7 +297,7 @@ def queue_depth(spark, sf_dir):
     return stats.queue_depth(_queue(spark, sf_dir))
 
 
-@query(prelude("changes") + f""", {_QUEUE}, t AS (SELECT source, cell_x, cell_y FROM q WHERE enqueued_at <= (SELECT median(enqueued_at) FROM q) GROUP BY ALL ORDER BY min(enqueued_at), cell_x >> 3, cell_y >> 3, cell_x, cell_y, source LIMIT 200)
+@query(prelude("changes") + f""", {_QUEUE}, t AS (SELECT source, cell_x, cell_y FROM q WHERE enqueued_at <= (SELECT median(enqueued_at) FROM q) GROUP BY source, cell_x, cell_y ORDER BY min(enqueued_at), cell_x >> 3, cell_y >> 3, cell_x, cell_y, source LIMIT 200)
 SELECT q.cell_x, q.cell_y, count(*) AS n FROM q WHERE NOT ((source, cell_x, cell_y) IN (SELECT (source, cell_x, cell_y) FROM t) AND enqueued_at <= (SELECT median(enqueued_at) FROM q)) GROUP BY ALL""")
 def drained_queue(spark, sf_dir):
     rows = _queue(spark, sf_dir)

@@ -43,7 +43,7 @@ def class_code(c: Column) -> Column:
 
 def parse_tags(c: Column) -> Column:
     """k=v;k=v as a map, null if a part is malformed (no key, no value, or no "=")."""
-    parts = F.transform(F.split(c, ";"), F.trim)
+    parts = F.transform(F.split(c, ";"), lambda p: F.trim(p))
     good = F.forall(parts, lambda p: p.rlike(r"^[^=\s][^=]*=.*\S"))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
     whole = good & (F.size(F.array_distinct(F.transform(pairs, lambda p: p.key))) == F.size(pairs))

@@ -102,7 +102,7 @@ def totals_for_cells(totals: DataFrame, df: DataFrame, source: str, cells: DataF
     """totals with the rows of the given cells counted anew; a cell without rows loses its own."""
     keys = ["cell_x", "cell_y"]
     kept = totals.join(cells.select(*keys).distinct().withColumn("source", F.lit(source)), [*keys, "source"], "left_anti")
-    return kept.unionByName(cell_totals(df.join(cells.select(*keys).distinct(), keys, "left_semi"), source).select(*totals.columns))
+    return kept.select(*totals.columns).unionByName(cell_totals(df.join(cells.select(*keys).distinct(), keys, "left_semi"), source).select(*totals.columns))
 
 
 def recompute_cells(unmatched: DataFrame, fresh: DataFrame, cells: DataFrame) -> DataFrame:

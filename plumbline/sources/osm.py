@@ -109,8 +109,8 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
 
 def sequence_manifest(spark: SparkSession, path: str) -> DataFrame:
     """sequence, timestamp of state files."""
-    raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.regexp_extract("value", r"sequenceNumber=(\d+)", 1).cast("long").alias("sequence"), F.to_timestamp(F.replace(F.regexp_extract("value", r"timestamp=(\S+)", 1), F.lit("\\:"), F.lit(":"))).alias("timestamp"))
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.regexp_extract("value", r"sequenceNumber=(\d+)", 1).try_cast("long").alias("sequence"), F.to_timestamp(F.replace(F.regexp_extract("value", r"timestamp=(\S+)", 1), F.lit("\\:"), F.lit(":"))).alias("timestamp"))
 
 
 def sequence_gaps(manifest: DataFrame) -> DataFrame:
