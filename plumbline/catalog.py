@@ -52,8 +52,8 @@ def _prg(spark, sf_dir):
     return registers.build_prg(views(spark, sf_dir, "gov_addresses")[0])
 
 
-def _boxes(df):
-    return matching.with_shape(df.withColumn("rings", polygon.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
+def _boxes(df, *parts):
+    return matching.with_shape(df.withColumn("rings", polygon.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))), parts=parts or ("box", "centroid", "area"))
 
 
 def _unmatched(spark, sf_dir):
@@ -63,7 +63,7 @@ def _unmatched(spark, sf_dir):
 
 def _classes(spark, sf_dir):
     gov, osm_rows, former, vetoes = views(spark, sf_dir, "gov_buildings", "osm_buildings", "former_buildings", "reports")
-    return matching.building_classes(_boxes(quality.only_standing(gov)), _boxes(osm_rows), _boxes(former), vetoes, "egib", "id_budynku")
+    return matching.building_classes(_boxes(quality.only_standing(gov), "box", "area"), _boxes(osm_rows, "box"), _boxes(former, "box"), vetoes, "egib", "id_budynku")
 
 
 def _staged(spark, sf_dir):
@@ -145,7 +145,7 @@ def building_balance(spark, sf_dir):
 
 @query(_CLASSES + f", c AS (SELECT {_CELLS} FROM (SELECT (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM classes WHERE class = 'unmatched')) SELECT cell_x, cell_y, count(*) AS total, 'egib' AS source FROM c GROUP BY cell_x, cell_y")
 def unmatched_buildings_by_cell(spark, sf_dir):
-    return matching.cell_totals(matching.with_cell(_classes(spark, sf_dir).filter("class = 'unmatched'"), "cx", "cy"), "egib")
+    return matching.cell_totals(matching.with_cell(matching.with_shape(_classes(spark, sf_dir).filter("class = 'unmatched'"), parts=("centroid",)), "cx", "cy"), "egib")
 
 
 @query(prelude("gov_buildings", "osm_buildings") + """, f AS (SELECT id_budynku, max((least(o.x1, b.x1) - greatest(o.x0, b.x0)) * (least(o.y1, b.y1) - greatest(o.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0))) AS f
@@ -153,7 +153,7 @@ def unmatched_buildings_by_cell(spark, sf_dir):
 SELECT t::DOUBLE AS threshold, (SELECT count(*) FROM f WHERE f >= t) AS n FROM (VALUES (0.02), (0.1), (0.3), (0.5)) v(t)""")
 def overlap_sweep(spark, sf_dir):
     gov, osm_rows = views(spark, sf_dir, "gov_buildings", "osm_buildings")
-    return enrich.threshold_sweep(matching.coverage(_boxes(gov), _boxes(osm_rows), "id_budynku", "osm_id"), "id_budynku", [0.02, 0.1, 0.3, 0.5])
+    return enrich.threshold_sweep(matching.coverage(_boxes(gov, "box", "area"), _boxes(osm_rows, "box"), "id_budynku", "osm_id"), "id_budynku", [0.02, 0.1, 0.3, 0.5])
 
 
 @query(prelude("gov_buildings") + " SELECT id_budynku, CASE rodzaj WHEN 'm' THEN 'm' WHEN 'Budynki mieszkalne jednorodzinne' THEN 'm' WHEN 'biurowy' THEN 'b' WHEN 'g - produkcyjne (12)' THEN 'g' WHEN 'k1.' THEN 'k' END AS code FROM gov_buildings")
@@ -169,7 +169,7 @@ n AS (SELECT a.id_budynku, count(*) AS neighbours FROM g a JOIN g b ON b.code =
 SELECT id_budynku, coalesce(neighbours, 0) AS neighbours, CASE code WHEN 'm' THEN CASE WHEN storeys BETWEEN 1 AND 2 THEN CASE WHEN neighbours IS NULL THEN 'building=detached' ELSE 'building=house' END WHEN storeys >= 4 THEN 'building=apartments' ELSE 'building=residential' END
     WHEN 'b' THEN 'building=office' WHEN 'g' THEN 'building=outbuilding' END AS type_tags, CASE WHEN storeys >= 1 THEN storeys::VARCHAR END AS levels FROM g LEFT JOIN n USING (id_budynku)""")
 def building_tags(spark, sf_dir):
-    gov = _boxes(views(spark, sf_dir, "gov_buildings")[0]).withColumn("code", text.class_code(F.col("rodzaj")))
+    gov = _boxes(views(spark, sf_dir, "gov_buildings")[0], "box", "centroid").withColumn("code", text.class_code(F.col("rodzaj")))
     types = spark.createDataFrame(_TYPES, "tier int, key string, min_levels int, max_levels int, max_neighbours int, tags string")
     out = enrich.tag_buildings(gov, gov, types, "id_budynku", [F.col("code")], "storeys", F.col("code") == "m", "register")
     return out.select("id_budynku", "neighbours", "type_tags", F.element_at("tags", "building:levels").alias("levels"))
@@ -181,7 +181,7 @@ d AS (SELECT c_custkey, id_budynku, sqrt(pow((lon - (x0 + x1) / 2) * 111319.4907
 SELECT c_custkey, id_budynku FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m, id_budynku) AS r FROM d WHERE m <= 30) WHERE r = 1""")
 def nearest_buildings(spark, sf_dir):
     points = spark.sql("SELECT c_custkey, 16e0 + (c_custkey * 37) % 8192 / 4096e0 AS lon, 50e0 + (c_custkey * 101 + CAST(floor(c_custkey / 8192e0) AS BIGINT)) % 8192 / 4096e0 AS lat FROM {customer}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return enrich.nearest_building(points, _boxes(views(spark, sf_dir, "gov_buildings")[0]), "c_custkey", "id_budynku", 30.0).select("c_custkey", "id_budynku")
+    return enrich.nearest_building(points, _boxes(views(spark, sf_dir, "gov_buildings")[0], "centroid"), "c_custkey", "id_budynku", 30.0).select("c_custkey", "id_budynku")
 
 
 _AREAS = "areas AS (SELECT CAST(n_nationkey AS STRING) AS area, 16e0 + (n_nationkey % 5) * 0.375e0 AS x0, 50e0 + CAST(floor(n_nationkey / 5e0) AS BIGINT) * 0.375e0 AS y0 FROM nation)"
@@ -374,14 +374,14 @@ def projected_points(spark, sf_dir):
 @query()
 def building_tiles(spark, sf_dir):
     """Clipped features of zoom 14 by tile; clipping has no plain SQL and is tested against areas."""
-    rows = _boxes(views(spark, sf_dir, "gov_buildings")[0]).select(F.col("id_budynku").alias("key"), F.array(F.struct(F.lit("class").alias("k"), F.col("rodzaj").alias("v"))).alias("tags"), "rings", "x0", "y0", "x1", "y1")
+    rows = _boxes(views(spark, sf_dir, "gov_buildings")[0], "box").select(F.col("id_budynku").alias("key"), F.array(F.struct(F.lit("class").alias("k"), F.col("rodzaj").alias("v"))).alias("tags"), "rings", "x0", "y0", "x1", "y1")
     return stats.tile_features(rows, tilemath.CELL_ZOOM, "buildings")
 
 
 @query()
 def shift_bands(spark, sf_dir):
     """Register rows by how far their largest vertex moved between two snapshots."""
-    gov = _boxes(views(spark, sf_dir, "gov_buildings")[0]).select("id_budynku", "rings", "storeys")
+    gov = _boxes(views(spark, sf_dir, "gov_buildings")[0], "box").select("id_budynku", "rings", "storeys")
     step = F.col("storeys") * F.lit(2.0**-23)
     moved = gov.withColumn("rings", F.transform("rings", lambda r: F.struct(r.hole.alias("hole"), F.transform(r.pts, lambda p: F.struct((p.x + step).alias("x"), p.y.alias("y"))).alias("pts"))))
     return change.shift_histogram(gov, moved, ["id_budynku"], [0.001, 0.02, 0.05])

@@ -122,8 +122,8 @@ def _sloped(df: DataFrame, tag: str) -> DataFrame:
     )
 
 
-def overlap_areas(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """a_key, b_key, overlap: area of the intersection of each pair of oriented polygons.
+def overlap_areas(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """a_key, b_key, carry (other columns of pairs), overlap: area of the intersection of each pair of oriented polygons.
 
     The area is the sum over pairs of sides with common x range of sign * sign * integral of the lower of the two lines
     above a base below both polygons; a polygon's sides sum to its own area in the same way. pairs: a_key, b_key, base.
@@ -137,7 +137,7 @@ def overlap_areas(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
     trapeze = lambda u, v, hu, hv: (v - u) * (hu + hv) / F.lit(2.0)
     low = lambda x: F.least(f(x), g(x))
     piece = F.when((g(l) - f(l)) * (g(r) - f(r)) < 0, trapeze(l, cut, low(l), f(cut)) + trapeze(cut, r, f(cut), low(r))).otherwise(trapeze(l, r, low(l), low(r)))
-    return both.groupBy(a_key, b_key).agg(F.sum(F.col("sa") * F.col("sb") * piece).alias("overlap"))
+    return both.groupBy(a_key, b_key, *carry).agg(F.sum(F.col("sa") * F.col("sb") * piece).alias("overlap"))
 
 
 def touching(a: Column, b: Column) -> Column:

@@ -20,11 +20,14 @@ def with_cell(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     return df.withColumn("cell_x", tilemath.cell_x(F.col(lon))).withColumn("cell_y", tilemath.cell_y(F.col(lat)))
 
 
-def with_shape(df: DataFrame, rings: str = "rings") -> DataFrame:
-    """df with x0, y0, x1, y1, cx, cy, area of a polygon column, computed once."""
-    b, c = polygon.bbox(F.col(rings)), polygon.centroid(F.col(rings))
-    out = df.drop("x0", "y0", "x1", "y1", "cx", "cy", "area").withColumn("_b", b).withColumn("_c", c)
-    return out.select("*", "_b.x0", "_b.y0", "_b.x1", "_b.y1", F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"), polygon.area(F.col(rings)).alias("area")).drop("_b", "_c")
+def with_shape(df: DataFrame, rings: str = "rings", parts: tuple[str, ...] = ("box", "centroid", "area")) -> DataFrame:
+    """df with x0, y0, x1, y1 (box), cx, cy (centroid) and area of a polygon column, as far as asked for, computed once."""
+    made = {"box": polygon.bbox(F.col(rings)), "centroid": polygon.centroid(F.col(rings)), "area": polygon.area(F.col(rings))}
+    names = {"box": ["_box.x0", "_box.y0", "_box.x1", "_box.y1"], "centroid": [F.col("_centroid.x").alias("cx"), F.col("_centroid.y").alias("cy")], "area": [F.col("_area").alias("area")]}
+    own = df.drop(*(c for p in parts for c in {"box": ("x0", "y0", "x1", "y1"), "centroid": ("cx", "cy"), "area": ("area",)}[p]))
+    # a generated row is computed once, where a projected expression would be repeated in every use of its column
+    rows = F.inline(F.array(F.struct(*(made[p].alias(f"_{p}") for p in parts))))
+    return own.select("*", rows).select(*own.columns, *(c for p in parts for c in names[p]))
 
 
 def _by_cell(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,20 +35,20 @@ def _by_cell(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns, F.explode(tilemath.cells_for_bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("_cell"))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """a_key, b_key, base (below both) of rows whose boxes meet."""
+def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """a_key, b_key, carry (columns of a), base (below both) of rows whose boxes meet."""
     box = ["x0", "y0", "x1", "y1"]
-    left = _by_cell(a, [a_key, *box])
+    left = _by_cell(a, [a_key, *carry, *box])
     right = _by_cell(b, [b_key, *box]).select(b_key, *(F.col(c).alias(f"_{c}") for c in box), "_cell")
     both = left.join(right, "_cell").filter("x0 <= _x1 AND _x0 <= x1 AND y0 <= _y1 AND _y0 <= y1")
-    return both.select(a_key, b_key, F.least("y0", "_y0").alias("base")).distinct()
+    return both.select(a_key, b_key, *carry, F.least("y0", "_y0").alias("base")).distinct()
 
 
 def coverage(gov: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """key, other_key, overlap, fraction of the gov footprint; both sides with rings and shape columns."""
-    pairs = candidate_pairs(gov, other, key, other_key)
-    over = polygon.overlap_areas(pairs, gov, other, key, other_key)
-    return over.join(gov.select(key, "area"), key).select(key, other_key, "overlap", (F.col("overlap") / F.col("area")).alias("fraction"))
+    pairs = candidate_pairs(gov, other, key, other_key, ("area",))
+    over = polygon.overlap_areas(pairs, gov, other, key, other_key, ("area",))
+    return over.select(key, other_key, "overlap", (F.col("overlap") / F.col("area")).alias("fraction"))
 
 
 def covered(gov: DataFrame, other: DataFrame, key: str, other_key: str, least: float = MIN_OVERLAP) -> DataFrame:
@@ -55,9 +58,10 @@ def covered(gov: DataFrame, other: DataFrame, key: str, other_key: str, least: f
 def building_classes(gov: DataFrame, osm: DataFrame, former: DataFrame, reports: DataFrame, source: str, key: str, other_key: str = "osm_id") -> DataFrame:
     """gov with class: matched, suppressed, reported or unmatched, in this precedence."""
     active = reports.filter((F.col("status") == "active") & (F.col("source") == source)).select(F.col("record_key").alias(key)).distinct().withColumn("_r", F.lit(1))
-    hit = covered(gov, osm, key, other_key).withColumn("_m", F.lit(1))
-    gone = covered(gov, former, key, other_key).withColumn("_s", F.lit(1))
-    out = gov.join(hit, key, "left").join(gone, key, "left").join(active, key, "left")
+    tagged = lambda df, tag: df.select(F.concat(F.lit(tag), F.col(other_key).cast("string")).alias("_o"), "rings", "x0", "y0", "x1", "y1")
+    over = coverage(gov, tagged(osm, "m").unionByName(tagged(former, "s")), key, "_o").filter(F.col("fraction") >= MIN_OVERLAP)
+    hits = over.groupBy(key).agg(F.max(F.startswith("_o", F.lit("m")).cast("int")).alias("_m"), F.max(F.startswith("_o", F.lit("s")).cast("int")).alias("_s"))
+    out = gov.join(hits, key, "left").join(active, key, "left")
     kind = F.when(F.col("_m") == 1, "matched").when(F.col("_s") == 1, "suppressed").when(F.col("_r") == 1, "reported").otherwise("unmatched")
     return out.withColumn("class", kind).drop("_m", "_s", "_r")
 
