@@ -15,15 +15,21 @@ from plumbline.llm.common import stored, table
 from plumbline.llm.queries import vocabulary
 
 
+def _apart(docs: DataFrame, names: list[str], step) -> DataFrame:
+    """step(docs) with columns of docs that have one of the names kept under other names meanwhile; the columns of docs."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return step(docs.withColumnsRenamed(own)).withColumnsRenamed({c: f"__step_{c}" for c in own}).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. Learns from the labels of these documents, but for those held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(toxicity.learnable(F.col("doc_id"))))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    return _apart(docs, ["score", "predicted", "evidence"], lambda df: toxicity.scored(df, model).filter("predicted = 0"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
-    return quality.judged(docs).filter("kept").select(*docs.columns)
+    return _apart(docs, [*quality.COUNTS, "band", "log_perplexity", "base_failed", "kept"], lambda df: quality.judged(df).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

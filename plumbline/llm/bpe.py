@@ -162,6 +162,15 @@ def model(path: str, pattern: str) -> tuple[Ranks, Remembered]:
     return _models[path, pattern]
 
 
+def _tokens(path: str) -> list[bytes]:
+    """The bytes of each id; one list per Python worker."""
+    if path not in _models:
+        with open(path, "rb") as f:
+            of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, filter(bytes.strip, f))}
+        _models[path] = [of.get(i, b"") for i in range(max(of) + 1)]
+    return _models[path]
+
+
 def _plus(df: DataFrame, fields: list[tuple[str, pa.DataType, str]], make) -> DataFrame:
     """df with columns that make(batch) returns, in Arrow batches of bounded size; columns of those names are replaced."""
     kept = df.drop(*(f[0] for f in fields))
@@ -169,8 +178,8 @@ def _plus(df: DataFrame, fields: list[tuple[str, pa.DataType, str]], make) -> Da
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 300):
+                part = batch.slice(at, 300)
                 own = [part.column(i) for i, n in enumerate(part.schema.names) if n not in {f[0] for f in fields}]
                 names = [n for n in part.schema.names if n not in {f[0] for f in fields}]
                 yield pa.RecordBatch.from_arrays([*own, *make(part)], names=[*names, *(f[0] for f in fields)])
@@ -178,22 +187,29 @@ def _plus(df: DataFrame, fields: list[tuple[str, pa.DataType, str]], make) -> Da
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with ids, an array of ints: each match of the pattern encoded by the ranks in the file of that path."""
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with ids, an array of ints: each match of the pattern encoded by the ranks in the file of that path; and with
+    decoded, the bytes of those ids, if asked for (in the same task, as a second Python worker would need the ranks too)."""
 
     def make(batch):
         coded = model(ranks, pattern)[1].encode([x or "" for x in batch.column(text).to_pylist()])
         ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))]
+        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+        out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+        if decoded:
+            tokens = model(ranks, pattern)[0].tokens
+            own = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in coded]
+            out.append(pa.array(own, pa.binary()))
+        return out
 
-    return _plus(docs, [("ids", pa.list_(pa.int32()), "array<int>")], make)
+    return _plus(docs, [("ids", pa.list_(pa.int32()), "array<int>")] + [("decoded", pa.binary(), "binary")] * decoded, make)
 
 
-def decode(coded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(coded: DataFrame, ranks: str) -> DataFrame:
     """A frame with ids, with decoded: the ids' bytes, one after another. Null ids give null; an id that the file lacks fails."""
 
     def make(batch):
-        tokens = model(ranks, pattern)[0].tokens
+        tokens = _tokens(ranks)
         return [pa.array([None if x is None else b"".join([tokens[i] for i in x]) for x in batch.column("ids").to_pylist()], pa.binary())]
 
     return _plus(coded, [("decoded", pa.binary(), "binary")], make)
@@ -201,5 +217,5 @@ def decode(coded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks, pattern)
+    both = encode(docs.select("doc_id", "text"), ranks, pattern, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -27,7 +27,7 @@ def chunks(text: str) -> list[str]:
 class Remembered(dict):
     """Chunk -> encoded bytes, for one Python worker; keeps at most about `limit` entries of at most 64 characters."""
 
-    def __init__(self, encode_many, limit: int = 800_000):
+    def __init__(self, encode_many, limit: int = 250_000):
         self.encode_many, self.limit = encode_many, limit
 
     def encode(self, texts: list[str]) -> list[bytes]:

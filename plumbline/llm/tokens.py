@@ -65,7 +65,7 @@ def _encoder(path: str, width: int) -> Remembered:
                 out[c] = np.array(e.ids, dtype=kind).tobytes()
             return [out[c] for c in new]
 
-        _encoders[path, width] = Remembered(many)
+        _encoders[path, width] = Remembered(many, 800_000)
     return _encoders[path, width]
 
 

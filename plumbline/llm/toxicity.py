@@ -118,7 +118,7 @@ class Classifier:
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         counts: dict[int, int] = {}
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for word, n in words(text).items():
             at = known.get(word)
@@ -142,7 +142,7 @@ class Classifier:
         terms, weights = self.vector(text)
         key = terms.tobytes() + weights.tobytes()
         if key not in self.memo:
-            if len(self.memo) > 20_000:
+            if len(self.memo) > 4_000:
                 self.memo.clear()
             raw, names, cosine = self.votes(terms, weights)
             if self.points is not None:
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
                 got[int(toxic == 1)].update({p for w in words(text) for p in parts(w)})
-                if len(got[0]) + len(got[1]) > 300_000:
+                if len(got[0]) + len(got[1]) > 100_000:
                     yield made()
         if got[0] or got[1]:
             yield made()
@@ -229,8 +229,8 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 scores, evidence = [], []
                 for text in part.column("text").to_pylist():
                     score, near, cosine, terms = own.score(text or "")

@@ -25,6 +25,10 @@ def test_stages(spark, tmp_path):
     assert clean.columns == docs.columns
     ids = {r.doc_id for r in clean.collect()}
     assert ids == {r[0] for r in rows if "horrid" not in (r[1] or "")}
+    clash = docs.selectExpr("*", "doc_id * 2 AS score", "doc_id * 3 AS kept").limit(50)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_quality):
+        same = stage(spark, clash, str(tmp_path))
+        assert same.columns == clash.columns and all(r.score == 2 * r.doc_id and r.kept == 3 * r.doc_id for r in same.collect())
     good = corpus_pipeline.keep_quality(spark, clean, str(tmp_path))
     kept = {r.doc_id for r in good.collect()}
     assert good.columns == docs.columns and kept <= ids - {2000, 2001, 2002} and len(kept) >= 0.98 * (len(ids) - 3)

@@ -55,7 +55,7 @@ def test_bpe_equals_tiktoken(spark, texts):
     own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own, special_tokens={})
     docs = spark.createDataFrame([(i, x, 7) for i, x in enumerate(texts)] + [(None, None, 7)], "doc_id long, text string, ids int")
-    got = bpe.decode(bpe.encode(docs, path, P.PATTERN), path, P.PATTERN).collect()
+    got = bpe.decode(bpe.encode(docs, path, P.PATTERN), path).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         assert r.ids == ref.encode_ordinary(r.text or "")
