@@ -10,9 +10,9 @@ without words, nothing). Two documents are linked if 100 * |A and B| >= 85 * |A
    does not fall with depth. Small nodes are compared exhaustively by their tokens: pairs above 0.70 are candidates (at
    likeness 0.85 the estimate falls below that once in a million). `trees` independent trees raise recall: 0.15 ** 12 is
    missed where a pair parts at the root only.
-   Of a node's candidates only those are sent on that belong to four successive maximum spanning forests of its graph, ties
-   falling anew in every tree: a pair left out is joined by four paths without a common pair, each of pairs that
-   look more alike, in each tree; so whole groups of copies cost a few pairs for each of them.
+   Of a node's candidates first those are sent on that belong to four successive maximum spanning forests of its graph, so
+   that whole groups of copies cost a few pairs for each of them. When these are confirmed, all candidates left out follow
+   that are between different components; those inside one change nothing. Sizes that refute a pair do so at once.
    Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What no token can part is cut into runs of
    neighbours that overlap (inside a task) or into parts that share the node's smallest id.
 3. Candidates are confirmed on full sets. Components of the candidate graph are put together with their texts, so that
@@ -150,58 +150,73 @@ def _forests(same: np.ndarray, least: int, seed: int, count: int) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests: int = 4) -> DataFrame:
-    """a < b from nodes (key, id, sig), which hold no more rows to a key than a task can; keys come sorted within partitions."""
+def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests: int | None = 4, percent: int = 85) -> DataFrame:
+    """kind, a, b from nodes (key, id, sig, n, comp), which hold no more rows to a key than a task can; keys come sorted within
+    partitions. Kind 0: a pair a < b. Kind 1: a is a key of which pairs were left out. Without forests, all pairs between
+    different comps. Pairs whose sizes alone refute them are none."""
+    bound = int(np.ceil(least * TOKENS))
 
-    def flush(key, ids, sigs):
-        ids, sig = np.array(ids), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, TOKENS)
+    def flush(key, ids, sigs, sizes, comps):
+        ids, sig, sizes, comps = np.array(ids), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, TOKENS), np.array(sizes), np.array(comps)
+        more = False
         for rows in _leaves(ids, sig, key & (2**62 - 1), leaf):
-            own = sig[rows]
-            if len(rows) <= 2 * forests:  # all pairs are no more than the forests could hold
-                near = (own[:, None, :] == own[None, :, :]).sum(axis=2) >= least * TOKENS
-                i, j = np.nonzero(np.triu(near, 1))
+            own, n, comp = sig[rows], sizes[rows], comps[rows]
+            if forests is None and (comp == comp[0]).all():
+                continue
+            if len(rows) <= 8:
+                same = (own[:, None, :] == own[None, :, :]).sum(axis=2)
             else:
                 same = np.zeros((len(rows), len(rows)), np.uint8)
                 for k in range(TOKENS):
                     same += own[:, None, k] == own[None, :, k]
-                i, j = _forests(same, int(np.ceil(least * TOKENS)), key & (2**62 - 1), forests)
-            if len(i):
-                x, y = ids[rows[i]], ids[rows[j]]
-                yield np.minimum(x, y), np.maximum(x, y)
+            same[100 * np.minimum.outer(n, n) < percent * np.maximum.outer(n, n)] = 0
+            if forests is None:
+                same[comp[:, None] == comp[None, :]] = 0
+            if forests is None or len(rows) <= 2 * forests:  # all pairs are no more than the forests could hold
+                i, j = np.nonzero(np.triu(same >= bound, 1))
+            else:
+                i, j = _forests(same, bound, key & (2**62 - 1), forests)
+                more = more or len(i) < np.count_nonzero(np.triu(same >= bound, 1))
+            for at in range(0, len(i), 100_000):
+                x, y = ids[rows[i[at : at + 100_000]]], ids[rows[j[at : at + 100_000]]]
+                yield np.zeros(len(x), np.int64), np.minimum(x, y), np.maximum(x, y)
+        if more:
+            yield np.array([1]), np.array([key]), np.array([0])
 
     def run(batches):
-        key, ids, sigs, out, n = None, [], [], [], 0
+        key, held, out, n = None, [], [], 0
 
         def made():
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            for k, i, s in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), batch.column("sig").to_pylist(), strict=True):
-                if k != key:
-                    if len(ids) > 1:
-                        got = list(flush(key, ids, sigs))
-                        out += got
-                        n += sum(len(x) for x, _ in got)
-                    key, ids, sigs = k, [], []
-                    if n > 100_000:
-                        yield made()
-                        out, n = [], 0
-                ids.append(i)
-                sigs.append(s)
-        if len(ids) > 1:
-            out += flush(key, ids, sigs)
+            found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], axis=1), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], names=["kind", "a", "b"])
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sig", "n", "comp")), strict=True)
+            yield None, None, None, None, None
+
+        for k, *row in rows():
+            if k != key:
+                if len(held) > 1:
+                    for got in flush(key, *zip(*held, strict=True)):
+                        out.append(got)
+                        n += len(got[0])
+                        if n > 100_000:
+                            yield made()
+                            n = 0
+                key, held = k, []
+            held.append(row)
         if out:
             yield made()
 
-    placed = nodes.select("key", "id", "sig").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    placed = nodes.select("key", "id", "sig", "n", "comp").repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(run, "kind long, a long, b long").filter("kind = 1 OR a <> b").distinct()
 
 
 def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: int = 24) -> DataFrame:
-    """key, id, sig: a row for each set and branch of each tree; no key has more than about `node` rows."""
-    nodes = sets.select(F.posexplode(F.slice("roots", 1, trees)).alias("_tree", "_root"), "id", "sig").select(F.xxhash64("_tree", "_root").alias("key"), "id", "sig")
+    """key, id, sig, n: a row for each set and branch of each tree; no key has more than about `node` rows."""
+    nodes = sets.select(F.posexplode(F.slice("roots", 1, trees)).alias("_tree", "_root"), "id", "sig", "n").select(F.xxhash64("_tree", "_root").alias("key"), "id", "sig", "n")
     done = None
     for level in range(depth + 1):
         counts = nodes.groupBy("key").agg(F.count("*").alias("_n"), F.min("id").alias("_least")).filter(F.col("_n") > node)
@@ -214,13 +229,13 @@ def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: i
         if level == depth:  # parts that share the smallest id's row
             parts = F.ceil(F.col("_n") / node)
             spread = F.when(F.col("id") == F.col("_least"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "key"), parts)))
-            nodes = big.withColumn("_part", F.explode(spread)).select(F.xxhash64("key", "_part").alias("key"), "id", "sig")
+            nodes = big.withColumn("_part", F.explode(spread)).select(F.xxhash64("key", "_part").alias("key"), "id", "sig", "n")
             break
         token = lambda salt: F.pmod(F.xxhash64("key", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")  # noqa: E731, B023
         child = lambda k: F.xxhash64("key", k, F.col("sig").substr(k + 1, F.lit(1)))
         second = F.pmod(F.xxhash64("key", F.lit(level), F.lit("second")), F.lit(100)) < 18
         paths = F.when(second, F.array(child(token("a")), child(token("b")))).otherwise(F.array(child(token("a"))))
-        nodes = stored(big.withColumn("_key", F.explode(paths)).select(F.col("_key").alias("key"), "id", "sig"), "deeper")
+        nodes = stored(big.withColumn("_key", F.explode(paths)).select(F.col("_key").alias("key"), "id", "sig", "n"), "deeper")
     return nodes if done is None else done.unionByName(nodes)
 
 
@@ -313,8 +328,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node
     base = stored(signatures(docs), "signatures")
     same = base.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     same = stored(same, "sets")
-    pairs = candidates(tree_nodes(same.filter("id IS NOT NULL").select("id", "sig", "roots"), trees, node), leaf)
-    whole = confirmed(docs, pairs, same.select("id", "n_shingles"), percent, block)
+    nodes = tree_nodes(same.filter("id IS NOT NULL").select("id", "sig", "roots", F.col("n_shingles").alias("n")), trees, node)
+    found = stored(candidates(nodes.withColumn("comp", F.col("id")), leaf, percent=percent), "candidates")
+    pairs, sizes = found.filter("kind = 0").select("a", "b"), same.select("id", "n_shingles")
+    whole = confirmed(docs, pairs, sizes, percent, block)
+    dense = found.filter("kind = 1").select(F.col("a").alias("key")).distinct()
+    if not dense.isEmpty():  # the pairs left out, between what is not connected so far
+        open_nodes = nodes.join(dense, "key", "left_semi").join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        rest = candidates(open_nodes, leaf, forests=None, percent=percent).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        rest = stored(rest, "left-out")
+        if not rest.isEmpty():
+            links = confirmed(docs, rest, sizes, percent, block).unionByName(whole)
+            whole = stored(components(links.select(F.col("id").alias("a"), F.col("component").alias("b"))).filter("id <> component"), "both-rounds")
     named = same.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_shingles").alias("_n"), "id")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") == F.col("_n")), "left")
     several = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))).alias("_several")).filter("_several")

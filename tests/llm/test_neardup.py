@@ -61,6 +61,23 @@ def test_equals_brute_force(spark, rows, options):
     assert got == brute(rows)
 
 
+def test_links_inside_a_group_just_below_the_threshold(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, out = [word() for _ in range(280)], []
+    for _ in range(120):  # two of a likeness of 0.86, about 0.80 to all others
+        at, new = rng.sample(range(10, 270, 8), 5), [word() for _ in range(5)]
+        for own in ((0, 1, 2), (0, 3, 4)):
+            text = list(base)
+            for k in own:
+                text[at[k]] = new[k]
+            out.append(" ".join(text))
+    rows = list(enumerate(out))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"block": 100}):
+        assert sorted((tuple(r) for r in neardup.near_duplicates(docs, **options).collect()), key=str) == brute(rows)
+
+
 def test_sql_equals_brute_force(rows):
     some = [r for r in rows if r[0] is not None][:-1]
     con = duckdb.connect()
