@@ -7,14 +7,15 @@ without words, nothing). Two documents are linked if 100 * |A and B| >= 85 * |A
 2. A set gets 128 minwise tokens. A tree's root sends each set down the branch of one token (its full 32 bits); so sets
    of likeness s part with chance 1 - s. A node of more than `leaf` sets branches again, by a token chosen by the node's
    path, and with chance 0.18 by a second one, so that the expected number of paths that two sets at the threshold share
-   does not fall with depth. Small nodes are compared exhaustively by their tokens: pairs above 0.70 are candidates (at
-   likeness 0.85 the estimate falls below that once in a million). `trees` independent trees raise recall: 0.15 ** 12 is
-   missed where a pair parts at the root only.
+   does not fall with depth (0.25 for a threshold of 80 percent). Small nodes are compared exhaustively by their tokens: pairs above 0.70 are candidates (at
+   likeness 0.85 the estimate falls below that once in a million). With depth the chance falls that a pair shares some path, so
+   each set that went deep gets as many more independent trees as `recall` (of pairs at the threshold) needs at its deepest
+   level (trees_needed); TREES are enough for the others. More trees compare different components only.
    Of a node's candidates first those are sent on that belong to four successive maximum spanning forests of its graph, so
    that whole groups of copies cost a few pairs for each of them. When these are confirmed, all candidates left out follow
    that are between different components; those inside one change nothing. Sizes that refute a pair do so at once.
-   Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What no token can part is cut into runs of
-   neighbours that overlap (inside a task) or into parts that share the node's smallest id.
+   Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What no token can part is cut into blocks that
+   are compared each with each (inside a task in the second round, after overlapping runs in the first).
 3. Candidates are confirmed on full sets. Components of the candidate graph are put together with their texts, so that
    each text moves once; in a component a candidate pair is compared unless confirmed pairs connect it already, which
    changes no component. Components above `block` documents are cut into blocks; candidates between blocks follow in
@@ -61,6 +62,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = 85) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def second_chance(percent: int) -> float:
+    """Of a second branch, so that two sets at the threshold share at least one path a level, as expected."""
+    return float(np.ceil(10_000 / percent - 100)) / 100
+
+
+def least_alike(percent: int) -> float:
+    """Estimated likeness that a pair at the threshold falls below once in a million."""
+    return percent / 100 - 4.75 * float(np.sqrt(percent / 100 * (1 - percent / 100) / TOKENS))
+
+
+def trees_needed(percent: int, depth: int, recall: float) -> int:
+    """Trees in which a pair at the threshold shares a node so many levels below a root at least once, with chance `recall`."""
+    s, p, q = percent / 100, second_chance(percent), 1.0
+    for _ in range(depth):
+        q = 1 - (1 - p) * (1 - s * q) - p * (1 - s * q) ** 2
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - s * q))) if s < 1 else 1
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (a 128-bit name of the set), sig (the tokens' low bytes), roots (full tokens that begin the trees)."""
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))]
@@ -86,21 +105,27 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, roots array<long>")
 
 
-def _leaves(ids: np.ndarray, sig: np.ndarray, seed: int, leaf: int, depth: int = 48):
-    """Index arrays of the small nodes below one node."""
+def _leaves(ids: np.ndarray, sig: np.ndarray, seed: int, leaf: int, comps: np.ndarray, second: float, whole: bool, depth: int = 48):
+    """Index arrays of the small nodes below one node, their levels, and whether they stand for all pairs of a node. Nodes of one
+    component are passed over. What no token parts is cut into blocks: each with each (whole), or overlapping runs."""
     stack = [(np.arange(len(ids)), seed, 0)]
     while stack:
         rows, path, level = stack.pop()
+        if (comps[rows] == comps[rows[0]]).all():
+            continue
         if len(rows) <= leaf:
-            yield rows
+            yield rows, level, True
             continue
-        if level >= depth:  # nothing parts them: neighbours by signature, in overlapping runs
+        if level >= depth:  # nothing parts them: neighbours by signature
             order = rows[np.lexsort(sig[rows].T[::-1])]
-            for at in range(0, len(order) - 1, leaf - 1):
-                yield order[at : at + leaf]
+            if whole:
+                blocks = np.split(order, range(leaf // 2, len(order), leaf // 2))
+                yield from ((np.concatenate([x, y]), level, True) for i, x in enumerate(blocks) for y in blocks[i + 1 :])
+            else:
+                yield from ((order[at : at + leaf], level, False) for at in range(0, len(order) - 1, leaf - 1))
             continue
         rng = np.random.default_rng(path)
-        for k in rng.integers(0, TOKENS, 1 + (rng.random() < 0.18)).tolist():
+        for k in rng.integers(0, TOKENS, 1 + (rng.random() < second)).tolist():
             values = sig[rows, k]
             order = np.argsort(values, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
@@ -150,19 +175,20 @@ def _forests(same: np.ndarray, least: int, seed: int, count: int) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests: int | None = 4, percent: int = 85) -> DataFrame:
-    """kind, a, b from nodes (key, id, sig, n, comp), which hold no more rows to a key than a task can; keys come sorted within
-    partitions. Kind 0: a pair a < b. Kind 1: a is a key of which pairs were left out. Without forests, all pairs between
+def candidates(nodes: DataFrame, leaf: int = 1024, forests: int | None = 4, percent: int = 85, recall: float = 0.999) -> DataFrame:
+    """kind, a, b from nodes (key, id, sig, n, level, comp), which hold no more rows to a key than a task can; keys come sorted within
+    partitions. Kind 0: a pair a < b. Kind 1: a is a key of which pairs were left out. Kind 2: the set a went b levels down, too deep for TREES trees. Without forests, all pairs between
     different comps. Pairs whose sizes alone refute them are none."""
-    bound = int(np.ceil(least * TOKENS))
+    bound, second = int(np.ceil(least_alike(percent) * TOKENS)), second_chance(percent)
+    shallow = max((d for d in range(100) if trees_needed(percent, d, recall) <= TREES), default=-1)
 
-    def flush(key, ids, sigs, sizes, comps):
+    def flush(key, ids, sigs, sizes, levels, comps):
         ids, sig, sizes, comps = np.array(ids), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, TOKENS), np.array(sizes), np.array(comps)
-        more = False
-        for rows in _leaves(ids, sig, key & (2**62 - 1), leaf):
+        more, deepest = False, np.zeros(len(ids), np.int64)
+        for rows, level, all_of_it in _leaves(ids, sig, key & (2**62 - 1), leaf, comps, second, forests is None):
             own, n, comp = sig[rows], sizes[rows], comps[rows]
-            if forests is None and (comp == comp[0]).all():
-                continue
+            deepest[rows] = np.maximum(deepest[rows], levels[0] + level)
+            more = more or not all_of_it
             if len(rows) <= 8:
                 same = (own[:, None, :] == own[None, :, :]).sum(axis=2)
             else:
@@ -182,6 +208,8 @@ def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests:
                 yield np.zeros(len(x), np.int64), np.minimum(x, y), np.maximum(x, y)
         if more:
             yield np.array([1]), np.array([key]), np.array([0])
+        deep = np.flatnonzero(deepest > shallow)
+        yield np.full(len(deep), 2), ids[deep], deepest[deep]
 
     def run(batches):
         key, held, out, n = None, [], [], 0
@@ -193,7 +221,7 @@ def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests:
 
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sig", "n", "comp")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sig", "n", "level", "comp")), strict=True)
             yield None, None, None, None, None
 
         for k, *row in rows():
@@ -210,32 +238,41 @@ def candidates(nodes: DataFrame, leaf: int = 1024, least: float = 0.70, forests:
         if out:
             yield made()
 
-    placed = nodes.select("key", "id", "sig", "n", "comp").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "kind long, a long, b long").filter("kind = 1 OR a <> b").distinct()
+    placed = nodes.select("key", "id", "sig", "n", "level", "comp").repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(run, "kind long, a long, b long").filter("kind > 0 OR a <> b").distinct()
 
 
-def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: int = 24) -> DataFrame:
-    """key, id, sig, n: a row for each set and branch of each tree; no key has more than about `node` rows."""
-    nodes = sets.select(F.posexplode(F.slice("roots", 1, trees)).alias("_tree", "_root"), "id", "sig", "n").select(F.xxhash64("_tree", "_root").alias("key"), "id", "sig", "n")
+def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: int = 24, percent: int = 85) -> DataFrame:
+    """key, id, sig, n, level, comp: a row for each set (id, sig, n, comp) and branch of each tree; no key has more than about
+    `node` rows. Trees begin with full tokens (roots), or where sets have `first` and `last`, by low bytes for that range of trees."""
+    own = ["id", "sig", "n", "comp"]
+    if "first" in sets.columns:
+        nodes = sets.select(F.explode(F.sequence("first", "last")).alias("_tree"), *own)
+        token = F.pmod(F.xxhash64("_tree", F.lit("root")), F.lit(TOKENS)).cast("int")
+        nodes = nodes.select(F.xxhash64("_tree", token, F.col("sig").substr(token + 1, F.lit(1))).alias("key"), *own)
+    else:
+        nodes = sets.select(F.posexplode(F.slice("roots", 1, trees)).alias("_tree", "_root"), *own).select(F.xxhash64("_tree", "_root").alias("key"), *own)
     done = None
     for level in range(depth + 1):
-        counts = nodes.groupBy("key").agg(F.count("*").alias("_n"), F.min("id").alias("_least")).filter(F.col("_n") > node)
+        counts = nodes.groupBy("key").agg(F.count("*").alias("_n"), (F.min("comp") != F.max("comp")).alias("_open")).filter(F.col("_n") > node)
         counts = stored(counts, "big-nodes")
         if counts.isEmpty():
             break
-        small = nodes.join(counts, "key", "left_anti")
+        small = nodes.join(counts, "key", "left_anti").withColumn("level", F.lit(level))
         done = small if done is None else done.unionByName(small)
-        big = nodes.join(counts, "key")
-        if level == depth:  # parts that share the smallest id's row
-            parts = F.ceil(F.col("_n") / node)
-            spread = F.when(F.col("id") == F.col("_least"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "key"), parts)))
-            nodes = big.withColumn("_part", F.explode(spread)).select(F.xxhash64("key", "_part").alias("key"), "id", "sig", "n")
+        big = nodes.join(counts.filter("_open"), "key")
+        if level == depth:  # parts, each with each
+            parts = F.ceil(F.col("_n") * 2 / node)
+            mine = F.pmod(F.xxhash64("id", "key"), parts)
+            pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: F.struct(F.least(x, mine).alias("x"), F.greatest(x, mine).alias("y")))
+            nodes = big.withColumn("_part", F.explode(pairs)).select(F.xxhash64("key", "_part.x", "_part.y").alias("key"), *own)
             break
         token = lambda salt: F.pmod(F.xxhash64("key", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")  # noqa: E731, B023
         child = lambda k: F.xxhash64("key", k, F.col("sig").substr(k + 1, F.lit(1)))
-        second = F.pmod(F.xxhash64("key", F.lit(level), F.lit("second")), F.lit(100)) < 18
+        second = F.pmod(F.xxhash64("key", F.lit(level), F.lit("second")), F.lit(100)) < round(100 * second_chance(percent))
         paths = F.when(second, F.array(child(token("a")), child(token("b")))).otherwise(F.array(child(token("a"))))
-        nodes = stored(big.withColumn("_key", F.explode(paths)).select(F.col("_key").alias("key"), "id", "sig", "n"), "deeper")
+        nodes = stored(big.withColumn("_key", F.explode(paths)).select(F.col("_key").alias("key"), *own), "deeper")
+    nodes = nodes.withColumn("level", F.lit(level))
     return nodes if done is None else done.unionByName(nodes)
 
 
@@ -323,23 +360,43 @@ def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int
     return now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node: int = 20_000, leaf: int = 1024, block: int = 5000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node: int = 20_000, leaf: int = 1024, block: int = 5000, recall: float = 0.999) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     base = stored(signatures(docs), "signatures")
     same = base.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     same = stored(same, "sets")
-    nodes = tree_nodes(same.filter("id IS NOT NULL").select("id", "sig", "roots", F.col("n_shingles").alias("n")), trees, node)
-    found = stored(candidates(nodes.withColumn("comp", F.col("id")), leaf, percent=percent), "candidates")
-    pairs, sizes = found.filter("kind = 0").select("a", "b"), same.select("id", "n_shingles")
-    whole = confirmed(docs, pairs, sizes, percent, block)
+    sets = same.filter("id IS NOT NULL").select("id", "sig", "roots", F.col("n_shingles").alias("n"))
+    nodes = tree_nodes(sets.withColumn("comp", F.col("id")), trees, node, percent=percent)
+    found = stored(candidates(nodes, leaf, percent=percent, recall=recall), "candidates")
+    tried, sizes = found.filter("kind = 0").select("a", "b"), same.select("id", "n_shingles")
+    whole = confirmed(docs, tried, sizes, percent, block)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.drop("comp").join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def grown(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """whole and tried after the pairs found."""
+        rest = stored(found.filter("kind = 0").select("a", "b").join(tried, ["a", "b"], "left_anti"), "left-out")
+        if rest.isEmpty():
+            return whole, tried
+        links = confirmed(docs, rest, sizes, percent, block).unionByName(whole)
+        return stored(components(links.select(F.col("id").alias("a"), F.col("component").alias("b"))).filter("id <> component"), "rounds"), tried.unionByName(rest)
+
     dense = found.filter("kind = 1").select(F.col("a").alias("key")).distinct()
     if not dense.isEmpty():  # the pairs left out, between what is not connected so far
-        open_nodes = nodes.join(dense, "key", "left_semi").join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        rest = candidates(open_nodes, leaf, forests=None, percent=percent).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-        rest = stored(rest, "left-out")
-        if not rest.isEmpty():
-            links = confirmed(docs, rest, sizes, percent, block).unionByName(whole)
-            whole = stored(components(links.select(F.col("id").alias("a"), F.col("component").alias("b"))).filter("id <> component"), "both-rounds")
+        whole, tried = grown(stored(candidates(labelled(nodes.join(dense, "key", "left_semi")), leaf, None, percent, recall), "second-round"))
+    made, deep = trees, found.filter("kind = 2").select("a", "b")
+    need = [trees_needed(percent, d, recall) for d in range(100)]
+    while True:  # more trees for the sets that went deep, until their number meets the recall
+        asked = deep.groupBy("a").agg(F.max("b").alias("b")).select(F.col("a").alias("id"), F.array(*map(F.lit, need))[F.col("b").cast("int")].alias("_need"))
+        asked = stored(asked.filter(F.col("_need") > made), "deep")
+        most = asked.agg(F.max("_need")).first()[0]
+        if most is None:
+            break
+        more = labelled(sets.join(asked, "id")).withColumn("first", F.lit(made)).withColumn("last", F.col("_need") - 1)
+        found = stored(candidates(tree_nodes(more, node=node, percent=percent), leaf, None, percent, recall), "more-trees")
+        whole, tried = grown(found)
+        made, deep = most, deep.unionByName(found.filter("kind = 2").select("a", "b"))
     named = same.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_shingles").alias("_n"), "id")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") == F.col("_n")), "left")
     several = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))).alias("_several")).filter("_several")

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from plumbline.llm import neardup
@@ -78,6 +79,17 @@ def test_links_inside_a_group_just_below_the_threshold(spark):
         assert sorted((tuple(r) for r in neardup.near_duplicates(docs, **options).collect()), key=str) == brute(rows)
 
 
+def test_trees_meet_the_recall_at_any_depth():
+    assert neardup.second_chance(85) == 0.18 and neardup.second_chance(80) == 0.25 and 0.63 <= neardup.least_alike(80) <= 0.65
+    assert neardup.trees_needed(85, 0, 0.999) <= neardup.TREES < neardup.trees_needed(85, 15, 0.999) < neardup.trees_needed(85, 52, 0.999)
+
+
+def test_what_nothing_parts_is_compared_whole():
+    ids, sig = np.arange(40), np.zeros((40, neardup.TOKENS), np.uint8)
+    pairs = {(i, j) for rows, *_ in neardup._leaves(ids, sig, 1, 8, ids, 0.18, True, depth=2) for i in rows.tolist() for j in rows.tolist() if i < j}
+    assert len(pairs) == 40 * 39 // 2
+
+
 def test_sql_equals_brute_force(rows):
     some = [r for r in rows if r[0] is not None][:-1]
     con = duckdb.connect()
