@@ -12,7 +12,7 @@ stands inside, without furniture (menus, page headers, footers, asides, forms, a
 main text of each of its pages: the page's elements are matched with the wrapper's, and the texts of slots in the article
 are taken.
 
-Bounds: symbols come from a fixed list of names and marks, elements deeper than 60 count to the one above, and equal
+Bounds: symbols come from a fixed list of names and marks, what stands in elements deeper than 60 counts to the one above unless they are furniture, and equal
 neighbours fold, so a wrapper's size depends on the host's layouts, not on its pages.
 
 Nulls and odd rows: null html is empty and has empty text; null or odd urls share a wrapper under the empty host; repeated
@@ -78,10 +78,13 @@ def _mark(name: str, attributes: str) -> str:
 
 
 class Element:
-    __slots__ = ("kids", "link", "name", "symbol")
+    __slots__ = ("depth", "kids", "link", "name", "owner", "symbol")
 
-    def __init__(self, name: str, symbol: str):
-        self.name, self.symbol, self.kids, self.link = name, symbol, [], 0
+    def __init__(self, name: str, symbol: str, parent: Element | None = None, owner: Element | None = None):
+        """An element with an owner is too deep to be one of its own: what stands in it is the owner's."""
+        self.name, self.symbol, self.link, self.owner = name, symbol, 0, owner or self
+        self.kids = owner.kids if owner else []
+        self.depth = self.owner.depth if owner else parent.owner.depth + 1 if parent else 1
 
 
 BREAK = Element("br", "")
@@ -96,7 +99,7 @@ def parse(source: str) -> Element:
         if raw:
             stack[-1].kids.append(raw)
             if links:
-                stack[-1].link += len(raw)
+                stack[-1].owner.link += len(raw)
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -141,11 +144,16 @@ def parse(source: str) -> Element:
             close("head")
         if name in BLOCK:
             links = 0 if name in ("article", "section", "div", "p", "li", "nav") else links
-        if len(stack) < DEPTH:
-            new = Element(name, name + mark)
-            stack[-1].kids.append(new)
-            if not attributes.endswith("/"):
-                stack.append(new)
+        over = stack[-1].owner
+        if over.depth < DEPTH or over.depth < DEPTH + 3 and _furniture(name + mark) and not _furniture(over.symbol, True):
+            new = Element(name, name + mark, parent=over)
+            over.kids.append(new)
+        else:
+            new = Element(name, name + mark, owner=over)
+            if name in BLOCK:
+                over.kids.append(BREAK)
+        if not attributes.endswith("/"):
+            stack.append(new)
     text(source[at:])
     return root
 

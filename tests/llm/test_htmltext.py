@@ -52,3 +52,10 @@ def test_given_pages_equal_plain_reading(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = re.split(r"</?(?:p|h1|br)>", inner)
         assert got[r.page_id] == " ".join(" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in blocks if b.strip())
+
+
+def test_text_after_a_deep_nest():
+    deep = "<div>" * 100 + "innermost words <nav>menu words</nav> more" + "</div>" * 100
+    source = f"<html><body><div class='page'><article><p>before it</p>{deep}<p>after the nest</p></article><p>outside of it</p></div></body></html>"
+    flags = h.decided(h.wrapper_of(h.parse(source)))
+    assert h.main_text(source, flags) == "before it innermost words more after the nest"
