@@ -6,8 +6,9 @@ wrapper of a host is built by aligning its pages one after another: equal symbol
 several side by side, become repeated groups; symbols that one side lacks become optional; texts become text slots.
 Wrappers align with wrappers in the same way, so tasks infer partial ones, which are merged by host in two rounds.
 
-In the finished wrapper the article is found once for the host: topmost article elements; else main ones; else elements
-marked as content; else, from the body down, the element that holds at least four fifths of the text outside links. What
+In the finished wrapper the articles are found for the host: topmost article elements, main ones, and elements marked as
+content; if it has none of them, from the body down, the element that holds at least four fifths of the text outside links.
+A page takes the first of these kinds that has text in it; a page that has none is judged by its own wrapper alone. What
 stands inside, without furniture (menus, page headers, footers, asides, forms, adverts, notices, reader comments), is the
 main text of each of its pages: the page's elements are matched with the wrapper's, and the texts of slots in the article
 are taken.
@@ -263,10 +264,11 @@ def _topmost(w: dict, wanted) -> list[dict]:
     return [y for x in _each(w) if not _furniture(x["l"]) for y in ([x] if wanted(x["l"]) and _weight(x, True) else _topmost(x, wanted))]
 
 
-def decided(w: dict) -> dict:
-    """The wrapper as nested [article?, {symbol: the same}] for matching."""
-    found = _topmost(w, lambda s: s.startswith("article")) or _topmost(w, lambda s: s.startswith("main")) or _topmost(w, lambda s: s.endswith(":m"))
-    if not found:
+def decided(w: dict) -> list[list]:
+    """The wrapper as nested [article?, {symbol: the same}] for matching, for each kind of article that it has."""
+    kinds = [_topmost(w, lambda s: s.startswith("article")), _topmost(w, lambda s: s.startswith("main")), _topmost(w, lambda s: s.endswith(":m"))]
+    kinds = [x for x in kinds if x]
+    if not kinds:
         here = w
         while True:
             whole = _weight(here)
@@ -274,26 +276,37 @@ def decided(w: dict) -> dict:
             if not inner:
                 break
             here = inner[0]
-        found = [here]
-    chosen = {id(x) for x in found}
+        kinds = [[here]]
 
-    def flags(x: dict, inside: bool) -> list:
+    def flags(x: dict, inside: bool, chosen: set) -> list:
         inside = inside or id(x) in chosen
         kids: dict = {}
         for y in _each(x):
-            made = [False, {}] if _furniture(y["l"], inside) else flags(y, inside)
+            made = [False, {}] if _furniture(y["l"], inside) else flags(y, inside, chosen)
             kids[y["l"]] = _either(kids[y["l"]], made) if y["l"] in kids else made
         return [inside, kids]
 
-    return flags(w, False)
+    return [flags(w, False, {id(x) for x in found}) for found in kinds]
 
 
 def _either(a: list, b: list) -> list:
     return [a[0] or b[0], {k: _either(a[1][k], b[1][k]) if k in a[1] and k in b[1] else a[1].get(k, b[1].get(k)) for k in {**a[1], **b[1]}}]
 
 
-def main_text(source: str, flags: list) -> str:
-    """The article of a page by its host's wrapper."""
+def main_text(source: str, kinds: list[list]) -> str:
+    """The article of a page by its host's wrapper: of the first kind that the page has; else by the page's own wrapper."""
+    page = parse(source)
+    for flags in kinds:
+        if text := _text(page, flags):
+            return text
+    for flags in decided(wrapper_of(page)):
+        if text := _text(page, flags):
+            return text
+    return ""
+
+
+def _text(page: Element, flags: list) -> str:
+    """The texts of the page's elements that the flags take."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -318,7 +331,7 @@ def main_text(source: str, flags: list) -> str:
                 if block:
                     end()
 
-    walk(parse(source), flags)
+    walk(page, flags)
     end()
     return " ".join(blocks)
 

@@ -59,3 +59,11 @@ def test_text_after_a_deep_nest():
     source = f"<html><body><div class='page'><article><p>before it</p>{deep}<p>after the nest</p></article><p>outside of it</p></div></body></html>"
     flags = h.decided(h.wrapper_of(h.parse(source)))
     assert h.main_text(source, flags) == "before it innermost words more after the nest"
+
+
+def test_layouts_of_one_host(spark):
+    opens = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div class="x7">', "</div>")]
+    for host in ("https://mixed.example.org/", "no url "):
+        rows = [(k * 100 + i, f"{host}{i}", PAGE.format(open=a, close=b, i=i, more="")) for k, (a, b) in enumerate(opens) for i in range(3)]
+        got = texts(spark, rows)
+        assert [got[r[0]][1] for r in rows] == [want(i) for _ in opens for i in range(3)]
