@@ -33,9 +33,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of its smallest doc_id (any one row of it). Rows without doc_id stay if their
+    """One document of each component of likeness 0.8 or more: that of its smallest doc_id (any one row of it). Rows without doc_id stay if their
     shingles equal no other row's, one row to a text."""
-    found = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    found = neardup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     bare = docs.filter("doc_id IS NULL").join(found.filter("_id IS NULL"), how="left_semi").dropDuplicates(["text"])
     return named.unionByName(bare).select(*docs.columns)

@@ -38,3 +38,18 @@ def test_stages(spark, tmp_path):
     by = {r[0]: r for r in rows}
     assert {r.doc_id for r in out} <= {i for i in kept if i < 1000} and len(out) > 100
     assert all(r.decoded_sha256 == hashlib.sha256(by[r.doc_id][1].encode()).hexdigest() and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_near_copies_from_0_80(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = []
+    for i in range(40):  # pairs of a likeness of 266 / 326 = 0.816, and of 261 / 331 = 0.789
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        for at in rng.sample(range(10, 290, 8), 6 + i % 2):
+            copy[at] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {d for d, _ in rows if d % 4 != 1}
