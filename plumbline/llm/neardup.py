@@ -5,22 +5,20 @@ without words, nothing). Two documents are linked if 100 * |A and B| >= 85 * |A
 
 1. Documents with equal sets are one node of what follows, under their smallest doc_id.
 2. A set gets 128 minwise tokens. A tree's root sends each set down the branch of one token (its full 32 bits); so sets
-   of likeness s part with chance 1 - s. A node of more than `leaf` sets branches again, by a token chosen by the node's
-   path, and with chance 0.18 by a second one, so that the expected number of paths that two sets at the threshold share
-   does not fall with depth (0.25 for a threshold of 80 percent). Small nodes are compared exhaustively by their tokens: pairs above 0.70 are candidates (at
-   likeness 0.85 the estimate falls below that once in a million). With depth the chance falls that a pair shares some path, so
-   each set that went deep gets as many more independent trees as `recall` (of pairs at the threshold) needs at its deepest
-   level (trees_needed); TREES are enough for the others. More trees compare different components only.
-   Of a node's candidates first those are sent on that belong to four successive maximum spanning forests of its graph, so
-   that whole groups of copies cost a few pairs for each of them. When these are confirmed, all candidates left out follow
-   that are between different components; those inside one change nothing. Sizes that refute a pair do so at once.
-   Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What no token can part is cut into blocks that
-   are compared each with each (inside a task in the second round, after overlapping runs in the first).
-3. Candidates are confirmed on full sets. Components of the candidate graph are put together with their texts, so that
-   each text moves once; in a component a candidate pair is compared unless confirmed pairs connect it already, which
-   changes no component. Components above `block` documents are cut into blocks; candidates between blocks follow in
-   rounds, a few for each two components at a time, until none is left.
-4. Components of the confirmed links give the result.
+   of likeness s part with chance 1 - s. A node with more than `open_pairs` pairs of sets that are not known to hang
+   together branches again, by a token chosen by the node's path, and with a chance (0.18 for a threshold of 85 percent) by
+   a second one, so that the expected number of paths that two sets at the threshold share does not fall with depth.
+   Small nodes are compared exhaustively by their tokens, tile by tile: pairs whose estimate is not below `least_alike` (a
+   pair at the threshold falls below it once in a million) and whose sizes allow the threshold are candidates.
+   Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What 48 tokens can't part is compared whole.
+3. The candidates of two tiles that hang together are a group of at most 2 * TILE documents. A group's texts meet in one
+   task, which counts the intersections of all its full sets exactly, as a product of incidence matrices, and sends on
+   only enough confirmed links to connect what is linked. Groups that several trees find are confirmed once.
+4. A first round links the bulk of every dense group cheaply: two trees, whose large root nodes are dealt at random into
+   parts of at most TILE sets on average. It decides nothing; later rounds only pass over pairs that it has connected. The second
+   round has `trees_needed(percent, 0, recall)` trees. With depth the chance falls that a pair shares some path, so each set
+   that went deep gets as many more independent trees as `recall` (of pairs at the threshold) needs at its deepest level.
+5. Components of the confirmed links give the result.
 
 Nulls and odd rows: null and empty texts are linked with nothing; rows that share a doc_id are one document, linked with
 whatever either is; a null doc_id never names a component: its row takes the component of an equal set that has an id,
@@ -31,17 +29,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
 from .graph import components
 from .words import mixed, run_hashes, word_hashes
 
-WIDTH, TOKENS, TREES = 5, 128, 12
+WIDTH, TOKENS, ROOTS, TILE = 5, 128, 12, 128
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROOTS = np.arange(TREES) * (TOKENS // TREES)
+_ROOTS = np.arange(ROOTS) * (TOKENS // ROOTS)
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -80,12 +78,16 @@ def trees_needed(percent: int, depth: int, recall: float) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - s * q))) if s < 1 else 1
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (a 128-bit name of the set), sig (the tokens' low bytes), roots (full tokens that begin the trees)."""
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))]
+    """doc_id, text_key, n_shingles, k1, k2 (a 128-bit name of the set), sig (the tokens' low bytes), roots (full tokens that begin the trees)."""
+    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))]
 
     def run(batches):
-        for rows in text_slices(batches, ["doc_id"], chars=1_000_000):
+        for rows in text_slices(batches, ["doc_id", "text_key"], chars=1_000_000):
             sets = shingle_sets(rows["text"])
             sizes = np.array([len(s) for s in sets])
             some = np.flatnonzero(sizes)
@@ -99,30 +101,23 @@ def signatures(docs: DataFrame) -> DataFrame:
                 k1[some] = np.add.reduceat(mixed(flat), starts)
                 k2[some] = np.bitwise_xor.reduceat(mixed(flat + np.uint64(1)), starts)
             low = tokens.astype(np.uint8)
-            cols = [rows["doc_id"], sizes, k1.view(np.int64), k2.view(np.int64), [x.tobytes() if n else None for x, n in zip(low, sizes, strict=True)], [x.tolist() if n else None for x, n in zip(tokens[:, _ROOTS].astype(np.int64), sizes, strict=True)]]
+            cols = [rows["doc_id"], rows["text_key"], sizes, k1.view(np.int64), k2.view(np.int64), [x.tobytes() if n else None for x, n in zip(low, sizes, strict=True)], [x.tolist() if n else None for x, n in zip(tokens[:, _ROOTS].astype(np.int64), sizes, strict=True)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, roots array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary, roots array<long>")
 
 
-def _leaves(ids: np.ndarray, sig: np.ndarray, seed: int, leaf: int, comps: np.ndarray, second: float, whole: bool, depth: int = 48):
-    """Index arrays of the small nodes below one node, their levels, and whether they stand for all pairs of a node. Nodes of one
-    component are passed over. What no token parts is cut into blocks: each with each (whole), or overlapping runs."""
+def _leaves(ids: np.ndarray, sig: np.ndarray, seed: int, comps: np.ndarray, second: float, open_pairs: int, depth: int = 48):
+    """Index arrays of the nodes below one node that are to be compared whole, and their levels: those with at most so many pairs
+    between different components, and those that so many tokens didn't part. Nodes of one component are passed over."""
     stack = [(np.arange(len(ids)), seed, 0)]
     while stack:
         rows, path, level = stack.pop()
-        if (comps[rows] == comps[rows[0]]).all():
+        counts = np.unique(comps[rows], return_counts=True)[1].astype(np.int64)
+        if len(counts) == 1:
             continue
-        if len(rows) <= leaf:
-            yield rows, level, True
-            continue
-        if level >= depth:  # nothing parts them: neighbours by signature
-            order = rows[np.lexsort(sig[rows].T[::-1])]
-            if whole:
-                blocks = np.split(order, range(leaf // 2, len(order), leaf // 2))
-                yield from ((np.concatenate([x, y]), level, True) for i, x in enumerate(blocks) for y in blocks[i + 1 :])
-            else:
-                yield from ((order[at : at + leaf], level, False) for at in range(0, len(order) - 1, leaf - 1))
+        if level >= depth or len(rows) ** 2 - (counts**2).sum() <= 2 * open_pairs:
+            yield rows, level
             continue
         rng = np.random.default_rng(path)
         for k in rng.integers(0, TOKENS, 1 + (rng.random() < second)).tolist():
@@ -133,116 +128,130 @@ def _leaves(ids: np.ndarray, sig: np.ndarray, seed: int, leaf: int, comps: np.nd
                     stack.append((rows[part], hash((path, k, int(values[part[0]]))) & (2**62 - 1), level + 1))
 
 
-def _forests(same: np.ndarray, least: int, seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of `count` maximum spanning forests, each without the pairs of those before, of the graph of pairs that share at
-    least so many tokens; ties fall by the seed. Rounds of Boruvka's method on the matrix."""
-    m = len(same)
-    noise = np.random.default_rng(seed).random(m).astype(np.float32) * 0.4
-    weight = np.where(same >= least, same + noise[:, None] + noise[None, :], np.float32(-1)).astype(np.float32)
-    np.fill_diagonal(weight, -1)
-    out: list[tuple[int, int]] = []
-    for _ in range(count):
-        part, made = np.arange(m), []
-        while True:
-            across = np.where(part[:, None] == part[None, :], np.float32(-1), weight)
-            best = across.argmax(axis=1)
-            value = across[np.arange(m), best]
-            order = np.lexsort((-value, part))
-            chosen = order[np.append(True, part[order][1:] != part[order][:-1])]
-            chosen = chosen[value[chosen] > 0]
-            if not len(chosen):
-                break
-            parent = dict(zip(part.tolist(), part.tolist(), strict=True))
-
-            def root(x, parent=parent):
-                while parent[x] != x:
-                    x = parent[x]
-                return x
-
-            for i in chosen.tolist():
-                j = int(best[i])
-                a, b = root(int(part[i])), root(int(part[j]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    made.append((i, j))
-            part = np.array([root(x) for x in part.tolist()])
-        if not made:
-            break
-        out += made
-        i, j = np.array(made).T
-        weight[i, j] = weight[j, i] = -1
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many tokens each of x shares with each of y."""
+    if len(x) * len(y) <= 64:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(TOKENS):
+        same += x[:, None, k] == y[None, :, k]
+    return same
+
+
+def _labels(linked_: np.ndarray) -> np.ndarray:
+    """The components of a symmetric matrix of booleans: each row's smallest index."""
+    n = len(linked_)
+    out = np.full(n, -1)
+    for i in range(n):
+        if out[i] < 0:
+            new = np.zeros(n, bool)
+            new[i] = True
+            while new.any():
+                out[new] = i
+                new = linked_[new].any(axis=0) & (out < 0)
+    return out
+
 
+def _tiles(ids: np.ndarray, sig: np.ndarray, sizes: np.ndarray, comps: np.ndarray, tile: int = TILE, shingles: int = 800) -> list[np.ndarray]:
+    """Rows in runs of at most `tile` rows and `tile` * `shingles` shingles (or a single row); alike rows stand together."""
+    n = len(ids)
+    if n <= 2 * tile and sizes.sum() <= 2 * tile * shingles:
+        return [np.arange(n)]
+    _, where, counts = np.unique(comps, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, sig[:, 1], sig[:, 0], np.where(counts[where] > 1, where, -1)))
+    out, at, held = [], 0, 0
+    for i, x in enumerate(sizes[order].tolist()):
+        if i > at and (i - at >= tile or held + x > tile * shingles):
+            out.append(order[at:i])
+            at, held = i, 0
+        held += x
+    return [*out, order[at:]]
+
+
+def _candidate_groups(ids: np.ndarray, sig: np.ndarray, sizes: np.ndarray, comps: np.ndarray, bound: int, percent: int):
+    """Arrays of ids: for each two tiles, what hangs together by candidates between different components."""
+    tiles = _tiles(ids, sig, sizes, comps)
+    single = [bool((comps[x] == comps[x[0]]).all()) for x in tiles]
+    for i, x in enumerate(tiles):
+        for j in range(i, len(tiles)):
+            y = tiles[j]
+            if single[i] and single[j] and comps[x[0]] == comps[y[0]]:
+                continue
+            open_ = (_shared(sig[x], sig[y]) >= bound) & (comps[x][:, None] != comps[y][None, :])
+            open_ &= 100 * np.minimum.outer(sizes[x], sizes[y]) >= percent * np.maximum.outer(sizes[x], sizes[y])
+            if not open_.any():
+                continue
+            if i != j:
+                rows, whole = np.concatenate([x, y]), np.zeros((len(x) + len(y),) * 2, bool)
+                whole[: len(x), len(x) :] = open_
+                whole[len(x) :, : len(x)] = open_.T
+            else:
+                rows, whole = x, open_
+            some = whole.any(axis=0)
+            rows, labels = rows[some], _labels(whole[some][:, some])
+            for label in np.unique(labels).tolist():
+                yield np.sort(ids[rows[labels == label]])
 
-def candidates(nodes: DataFrame, leaf: int = 1024, forests: int | None = 4, percent: int = 85, recall: float = 0.999) -> DataFrame:
-    """kind, a, b from nodes (key, id, sig, n, level, comp), which hold no more rows to a key than a task can; keys come sorted within
-    partitions. Kind 0: a pair a < b. Kind 1: a is a key of which pairs were left out. Kind 2: the set a went b levels down, too deep for TREES trees. Without forests, all pairs between
-    different comps. Pairs whose sizes alone refute them are none."""
+
+def groups(nodes: DataFrame, percent: int = 85, open_pairs: int = 8_000_000, shallow: int = 0) -> DataFrame:
+    """kind, a, b from nodes (key, id, sig, n, level, comp), which hold no more rows to a key than a task can. Kind 0: the group a has
+    the member b; a group's name is a hash of its members. Kind 2: the set a went b levels down, more than `shallow`."""
     bound, second = int(np.ceil(least_alike(percent) * TOKENS)), second_chance(percent)
-    shallow = max((d for d in range(100) if trees_needed(percent, d, recall) <= TREES), default=-1)
+    fields = ("key", "id", "n", "level", "comp")
 
-    def flush(key, ids, sigs, sizes, levels, comps):
-        ids, sig, sizes, comps = np.array(ids), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, TOKENS), np.array(sizes), np.array(comps)
-        more, deepest = False, np.zeros(len(ids), np.int64)
-        for rows, level, all_of_it in _leaves(ids, sig, key & (2**62 - 1), leaf, comps, second, forests is None):
-            own, n, comp = sig[rows], sizes[rows], comps[rows]
+    def flush(cols, sig):
+        key, ids, sizes, levels, comps = cols
+        deepest = np.zeros(len(ids), np.int64)
+        for rows, level in _leaves(ids, sig, int(key[0]) & (2**62 - 1), comps, second, open_pairs):
             deepest[rows] = np.maximum(deepest[rows], levels[0] + level)
-            more = more or not all_of_it
-            if len(rows) <= 8:
-                same = (own[:, None, :] == own[None, :, :]).sum(axis=2)
-            else:
-                same = np.zeros((len(rows), len(rows)), np.uint8)
-                for k in range(TOKENS):
-                    same += own[:, None, k] == own[None, :, k]
-            same[100 * np.minimum.outer(n, n) < percent * np.maximum.outer(n, n)] = 0
-            if forests is None:
-                same[comp[:, None] == comp[None, :]] = 0
-            if forests is None or len(rows) <= 2 * forests:  # all pairs are no more than the forests could hold
-                i, j = np.nonzero(np.triu(same >= bound, 1))
-            else:
-                i, j = _forests(same, bound, key & (2**62 - 1), forests)
-                more = more or len(i) < np.count_nonzero(np.triu(same >= bound, 1))
-            for at in range(0, len(i), 100_000):
-                x, y = ids[rows[i[at : at + 100_000]]], ids[rows[j[at : at + 100_000]]]
-                yield np.zeros(len(x), np.int64), np.minimum(x, y), np.maximum(x, y)
-        if more:
-            yield np.array([1]), np.array([key]), np.array([0])
+            for got in _candidate_groups(ids[rows], sig[rows], sizes[rows], comps[rows], bound, percent):
+                name = mixed(mixed(got.view(np.uint64) + np.uint64(1)).sum(keepdims=True)).view(np.int64)
+                yield np.zeros(len(got), np.int64), np.repeat(name, len(got)), got
         deep = np.flatnonzero(deepest > shallow)
         yield np.full(len(deep), 2), ids[deep], deepest[deep]
 
     def run(batches):
-        key, held, out, n = None, [], [], 0
+        held, out, n = None, [], 0
 
         def made():
             found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], axis=1), axis=0)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], names=["kind", "a", "b"])
 
-        def rows():
+        def each():
+            """Runs of rows of one key with more than one row."""
+            nonlocal held
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sig", "n", "level", "comp")), strict=True)
-            yield None, None, None, None, None
-
-        for k, *row in rows():
-            if k != key:
-                if len(held) > 1:
-                    for got in flush(key, *zip(*held, strict=True)):
-                        out.append(got)
-                        n += len(got[0])
-                        if n > 100_000:
-                            yield made()
-                            n = 0
-                key, held = k, []
-            held.append(row)
+                if not batch.num_rows:
+                    continue
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in fields]
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, TOKENS)
+                if held is not None:
+                    cols, sig = [np.concatenate(x) for x in zip(held[0], cols, strict=True)], np.concatenate([held[1], sig])
+                cut = np.flatnonzero(np.diff(cols[0])) + 1
+                starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(sig)]])
+                for lo, hi in zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True):
+                    if hi - lo > 1:
+                        yield [c[lo:hi] for c in cols], sig[lo:hi]
+                held = [c[starts[-1] :].copy() for c in cols], sig[starts[-1] :].copy()
+            if held is not None and len(held[1]) > 1:
+                yield held
+
+        for cols, sig in each():
+            for got in flush(cols, sig):
+                out.append(got)
+                n += len(got[0])
+            if n > 100_000:
+                yield made()
+                n = 0
         if out:
             yield made()
 
     placed = nodes.select("key", "id", "sig", "n", "level", "comp").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "kind long, a long, b long").filter("kind > 0 OR a <> b").distinct()
+    return placed.mapInArrow(run, "kind long, a long, b long").distinct()
 
 
-def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: int = 24, percent: int = 85) -> DataFrame:
+def tree_nodes(sets: DataFrame, trees: int = ROOTS, node: int = 20_000, depth: int = 24, percent: int = 85, open_pairs: int = 8_000_000) -> DataFrame:
     """key, id, sig, n, level, comp: a row for each set (id, sig, n, comp) and branch of each tree; no key has more than about
     `node` rows. Trees begin with full tokens (roots), or where sets have `first` and `last`, by low bytes for that range of trees."""
     own = ["id", "sig", "n", "comp"]
@@ -254,13 +263,19 @@ def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: i
         nodes = sets.select(F.posexplode(F.slice("roots", 1, trees)).alias("_tree", "_root"), *own).select(F.xxhash64("_tree", "_root").alias("key"), *own)
     done = None
     for level in range(depth + 1):
-        counts = nodes.groupBy("key").agg(F.count("*").alias("_n"), (F.min("comp") != F.max("comp")).alias("_open")).filter(F.col("_n") > node)
-        counts = stored(counts, "big-nodes")
+        counts = stored(nodes.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > node), "big-nodes")
         if counts.isEmpty():
             break
         small = nodes.join(counts, "key", "left_anti").withColumn("level", F.lit(level))
         done = small if done is None else done.unionByName(small)
-        big = nodes.join(counts.filter("_open"), "key")
+        big = nodes.join(counts, "key")
+        by_comp = big.groupBy("key", "comp").agg(F.count("*").alias("_c")).groupBy("key").agg((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))).alias("_open"), F.max(F.struct("_c", "comp")).alias("_top"))
+        big = big.join(by_comp.select("key", "_open", F.col("_top.comp").alias("_most")), "key").filter("_open > 0")
+        few = big.filter(F.col("_open") <= 2 * open_pairs)  # the rows outside the largest component meet each part of it
+        parts, spread = F.ceil(F.col("_n") * 2 / node), F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("_n") * 2 / node))
+        few = few.withColumn("_part", F.explode(F.when(F.col("comp") == F.col("_most"), F.array(spread)).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
+        done = done.unionByName(few.select(F.xxhash64("key", F.lit("part"), "_part").alias("key"), *own, F.lit(level).alias("level")))
+        big = big.filter(F.col("_open") > 2 * open_pairs)
         if level == depth:  # parts, each with each
             parts = F.ceil(F.col("_n") * 2 / node)
             mine = F.pmod(F.xxhash64("id", "key"), parts)
@@ -276,116 +291,102 @@ def tree_nodes(sets: DataFrame, trees: int = TREES, node: int = 20_000, depth: i
     return nodes if done is None else done.unionByName(nodes)
 
 
-def _confirm_blocks(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """id, component (smallest id, of those in the block) for ids that confirmed pairs of their block connect to a smaller one.
-    texts: comp, block, id, text; pairs: comp, block, a, b."""
-    rows = texts.select("comp", "block", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(pairs.select("comp", "block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+def first_nodes(sets: DataFrame, part: int = TILE) -> DataFrame:
+    """The first round's nodes: the roots of two trees, those of more than `part` sets dealt at random into parts of so many."""
+    own = ["id", "sig", "n", "comp"]
+    nodes = sets.select(F.posexplode(F.slice("roots", 1, 2)).alias("_tree", "_root"), *own).select("_tree", F.xxhash64("_tree", "_root").alias("key"), *own)
+    counts = stored(nodes.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * part), "big-roots")
+    parts = F.pmod(F.xxhash64("id", "_tree"), F.ceil(F.col("_n") / part))
+    dealt = nodes.join(counts, "key", "left").withColumn("key", F.when(F.col("_n").isNull(), F.col("key")).otherwise(F.xxhash64("key", parts)))
+    return dealt.select("key", *own, F.lit(0).alias("level"))
+
+
+def _links_of_group(ids: list[int], texts: list[str], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that connect all that is linked in one group; a row for each id's each text."""
+    sets = shingle_sets(texts)
+    if len(sets) == 2:
+        return [(ids[0], ids[1])] if linked(sets[0], sets[1], percent) else []
+    sizes = np.array([len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts >= 2
+    place = np.cumsum(shared) - 1
+    row, some = np.repeat(np.arange(len(sets)), sizes), shared[column]
+    row, column, both = row[some], place[column[some]], np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(shared.sum()), 8192):  # so many shingles at a time
+        i, j = np.searchsorted(column, [lo, lo + 8192])
+        x = np.zeros((len(sets), 8192), np.float32)
+        x[row[i:j], column[i:j] - lo] = 1
+        both += x @ x.T
+    labels = _labels((100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (sizes[:, None] > 0))
+    return [(ids[k], ids[i]) for i, k in enumerate(labels.tolist()) if k >= 0 and ids[k] != ids[i]]
+
+
+def confirmed(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between the full sets of members (g, id) of each group, enough to connect what is linked. texts: id, text."""
 
     def run(batches):
-        group, text, sets, parent, out = None, {}, {}, {}, []
-
-        def root(x):
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        def found(i):
-            if i not in sets:
-                sets[i] = shingle_sets(text[i])
-            return sets[i]
+        group, held, out = None, [], []
 
         def made():
-            out.extend((x, root(x)) for x in parent)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 2, names=["id", "component"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 2, names=["a", "b"])
             out.clear()
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("comp", "block", "kind", "a", "b", "text")]
-            for comp, block, kind, a, b, t in zip(*columns, strict=True):
-                if group != (comp, block):
-                    out.extend((x, root(x)) for x in parent)
-                    group, text, sets, parent = (comp, block), {}, {}, {}
-                if kind == 0:
-                    text.setdefault(a, []).append(t or "")
-                elif a in text and b in text and root(a) != root(b) and any(linked(x, y, percent) for x in found(a) for y in found(b)):
-                    low, high = sorted((root(a), root(b)))
-                    parent[high] = low
+            for g, i, t in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "text")), strict=True):
+                if g != group:
+                    if len(held) > 1:
+                        out += _links_of_group(*zip(*held, strict=True), percent)
+                    group, held = g, []
+                held.append((i, t or ""))
             if len(out) > 10_000:
-                kept, parent = parent, {}
                 yield made()
-                parent = kept
+        if len(held) > 1:
+            out += _links_of_group(*zip(*held, strict=True), percent)
         yield made()
 
-    return rows.repartition("comp", "block").sortWithinPartitions("comp", "block", "kind", "a", "b").mapInArrow(run, "id long, component long")
-
+    return members.join(texts, "id").select("g", "id", "text").repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "a long, b long")
 
-def _confirm_pairs(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed ones of pairs (a, b), each by its own two texts."""
-    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, b = (shingle_sets([t or "" for t in part.column(c).to_pylist()]) for c in ("text_a", "text_b"))
-                yield part.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int = 85, block: int = 5000) -> DataFrame:
-    """id, component (its smallest id) by confirmed links among the candidate pairs, for ids that have a smaller one.
-    docs: doc_id, text; sizes: id, n_shingles. A block has about `block` documents and 800 shingles for each at most."""
-    pairs = stored(pairs, "pairs")
-    label = components(pairs).withColumnRenamed("component", "comp").join(sizes.groupBy("id").agg(F.max("n_shingles").alias("_n")), "id", "left")
-    whole = label.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("_n") / (800 * block))).alias("_blocks"))
-    label = label.join(whole, "comp").select("id", "comp", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("block"))
-    label = stored(label, "blocks")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(label, "id"), "candidate-texts")
-    ends = pairs.join(label.select(F.col("id").alias("a"), "comp", "block"), "a").join(label.select(F.col("id").alias("b"), F.col("block").alias("_other")), "b")
-    ends = stored(ends, "ends")
-    now = stored(_confirm_blocks(texts, ends.filter("block = _other").select("comp", "block", "a", "b"), percent), "block-components")
-    open_pairs, most = ends.filter("block <> _other").select("a", "b"), 8
-    while not open_pairs.isEmpty():
-        name = lambda k: now.select(F.col("id").alias(k), F.col("component").alias(f"_{k}"))  # noqa: E731, B023
-        apart = open_pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").withColumn("_a", F.coalesce("_a", "a")).withColumn("_b", F.coalesce("_b", "b")).filter("_a <> _b")
-        turn = F.row_number().over(Window.partitionBy(F.least("_a", "_b"), F.greatest("_a", "_b")).orderBy("a", "b"))
-        apart = stored(apart.withColumn("_turn", turn), "open-pairs")
-        links = _confirm_pairs(texts, apart.filter(F.col("_turn") <= most).select("a", "b"), percent)
-        now = stored(components(links.unionByName(now.select(F.col("id").alias("a"), F.col("component").alias("b")))).filter("id <> component"), "block-components")
-        open_pairs = apart.filter(F.col("_turn") > most).select("a", "b")
-        most *= 8
-    return now
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node: int = 20_000, leaf: int = 1024, block: int = 5000, recall: float = 0.999) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, recall: float = 0.9999, node: int = 20_000, open_pairs: int = 8_000_000, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); with keys, also hashes of the text and of the set."""
     base = stored(signatures(docs), "signatures")
-    same = base.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
-    same = stored(same, "sets")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    same = base.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(named).alias("_least"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
+    same = stored(same.select("k1", "k2", "n_shingles", F.col("_least.doc_id").alias("id"), F.col("_least.text_key").alias("text_key"), "sig", "roots"), "sets")
     sets = same.filter("id IS NOT NULL").select("id", "sig", "roots", F.col("n_shingles").alias("n"))
-    nodes = tree_nodes(sets.withColumn("comp", F.col("id")), trees, node, percent=percent)
-    found = stored(candidates(nodes, leaf, percent=percent, recall=recall), "candidates")
-    tried, sizes = found.filter("kind = 0").select("a", "b"), same.select("id", "n_shingles")
-    whole = confirmed(docs, tried, sizes, percent, block)
+    whole = None  # id, component of ids that have a smaller one
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.drop("comp").join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-
-    def grown(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """whole and tried after the pairs found."""
-        rest = stored(found.filter("kind = 0").select("a", "b").join(tried, ["a", "b"], "left_anti"), "left-out")
-        if rest.isEmpty():
-            return whole, tried
-        links = confirmed(docs, rest, sizes, percent, block).unionByName(whole)
-        return stored(components(links.select(F.col("id").alias("a"), F.col("component").alias("b"))).filter("id <> component"), "rounds"), tried.unionByName(rest)
-
-    dense = found.filter("kind = 1").select(F.col("a").alias("key")).distinct()
-    if not dense.isEmpty():  # the pairs left out, between what is not connected so far
-        whole, tried = grown(stored(candidates(labelled(nodes.join(dense, "key", "left_semi")), leaf, None, percent, recall), "second-round"))
-    made, deep = trees, found.filter("kind = 2").select("a", "b")
+        if whole is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def grown(members: DataFrame) -> DataFrame:
+        """whole after the groups' links."""
+        members = stored(members, "members")
+        if members.isEmpty():
+            return whole
+        asked = members.select("id").distinct().join(same.select("id", "text_key"), "id")
+        texts = _texts(docs).join(asked.select(F.col("id").alias("doc_id"), "text_key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text")
+        links = stored(confirmed(texts, members, percent), "links")
+        if links.isEmpty():
+            return whole
+        if whole is not None:
+            links = links.unionByName(whole.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        return stored(components(links).filter("id <> component"), "rounds")
+
+    def found(nodes: DataFrame, trees: int, name: str) -> tuple[DataFrame, DataFrame]:
+        shallow = max((d for d in range(100) if trees_needed(percent, d, recall) <= trees), default=-1)
+        got = stored(groups(nodes, percent, open_pairs, shallow), name)
+        return got.filter("kind = 0").select(F.col("a").alias("g"), F.col("b").alias("id")), got.filter("kind = 2").select("a", "b")
+
+    whole = grown(found(first_nodes(labelled(sets)), ROOTS, "first-groups")[0])
+    made = min(ROOTS, trees_needed(percent, 0, recall))
+    members, deep = found(tree_nodes(labelled(sets), made, node, percent=percent, open_pairs=open_pairs), made, "groups")
+    whole = grown(members)
     need = [trees_needed(percent, d, recall) for d in range(100)]
     while True:  # more trees for the sets that went deep, until their number meets the recall
         asked = deep.groupBy("a").agg(F.max("b").alias("b")).select(F.col("a").alias("id"), F.array(*map(F.lit, need))[F.col("b").cast("int")].alias("_need"))
@@ -394,11 +395,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node
         if most is None:
             break
         more = labelled(sets.join(asked, "id")).withColumn("first", F.lit(made)).withColumn("last", F.col("_need") - 1)
-        found = stored(candidates(tree_nodes(more, node=node, percent=percent), leaf, None, percent, recall), "more-trees")
-        whole, tried = grown(found)
-        made, deep = most, deep.unionByName(found.filter("kind = 2").select("a", "b"))
-    named = same.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_shingles").alias("_n"), "id")
-    out = base.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") == F.col("_n")), "left")
+        members, deeper = found(tree_nodes(more, node=node, percent=percent, open_pairs=open_pairs), most, "more-groups")
+        whole, made, deep = grown(members), most, deep.unionByName(deeper)
+    if whole is None:
+        whole = docs.sparkSession.createDataFrame([], "id long, component long")
+    names = same.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_shingles").alias("_n"), "id")
+    out = base.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(names, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") == F.col("_n")), "left")
     several = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))).alias("_several")).filter("_several")
     if several.isEmpty():
         key = F.col("id")
@@ -408,7 +410,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, node
         key = F.coalesce("doc_id", "id")
     out = out.withColumn("_own", key).join(whole.select(F.col("id").alias("_own"), "component"), "_own", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "_own", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    more = ["text_key", F.when(F.col("n_shingles") > 0, F.xxhash64("k1", "k2", "n_shingles")).alias("set_key")] if keys else []
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)
 
 
 SQL = r"""

@@ -55,7 +55,7 @@ def rows():
     return [(i * 3 + 7, t) for i, t in enumerate(out)] + [(None, out[0]), (None, "alone here with no number at all"), (7, "another text under an id that occurs twice")]
 
 
-@pytest.mark.parametrize("options", [{}, {"node": 20, "leaf": 4, "block": 25}])
+@pytest.mark.parametrize("options", [{}, {"node": 60, "open_pairs": 50}])
 def test_equals_brute_force(spark, rows, options):
     docs = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, component_id int, sig string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(docs, **options).collect()), key=str)
@@ -75,19 +75,45 @@ def test_links_inside_a_group_just_below_the_threshold(spark):
             out.append(" ".join(text))
     rows = list(enumerate(out))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"block": 100}):
+    for options in ({}, {"open_pairs": 500}):
         assert sorted((tuple(r) for r in neardup.near_duplicates(docs, **options).collect()), key=str) == brute(rows)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """3,000 near copies of one text in several tiles and parts, with rare links to what is outside; against an exact join."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, out = [word() for _ in range(130)], []
+    for _ in range(3000):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(130)] = word()
+        out.append(" ".join(text))
+    sets = neardup.shingle_sets(out)
+    whole, column = np.unique(np.concatenate(sets), return_inverse=True)
+    table = np.zeros((len(out), len(whole)), np.float32)
+    table[np.repeat(np.arange(len(out)), [len(x) for x in sets]), column] = 1
+    both, sizes = table @ table.T, np.array([len(x) for x in sets])
+    labels = neardup._labels(100 * both >= 85 * (sizes[:, None] + sizes[None, :] - both))
+    assert 50 < len(set(labels.tolist())) < 2500
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(8)
+    for options in ({}, {"node": 500, "open_pairs": 20_000}):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, **options).collect()}
+        assert [got[i] for i in range(len(out))] == labels.tolist()
+
+
 def test_trees_meet_the_recall_at_any_depth():
     assert neardup.second_chance(85) == 0.18 and neardup.second_chance(80) == 0.25 and 0.63 <= neardup.least_alike(80) <= 0.65
-    assert neardup.trees_needed(85, 0, 0.999) <= neardup.TREES < neardup.trees_needed(85, 15, 0.999) < neardup.trees_needed(85, 52, 0.999)
+    assert 4 <= neardup.trees_needed(85, 0, 0.9999) <= neardup.ROOTS < neardup.trees_needed(85, 15, 0.9999) < neardup.trees_needed(85, 52, 0.9999)
 
 
 def test_what_nothing_parts_is_compared_whole():
-    ids, sig = np.arange(40), np.zeros((40, neardup.TOKENS), np.uint8)
-    pairs = {(i, j) for rows, *_ in neardup._leaves(ids, sig, 1, 8, ids, 0.18, True, depth=2) for i in rows.tolist() for j in rows.tolist() if i < j}
-    assert len(pairs) == 40 * 39 // 2
+    ids, sig, sizes = np.arange(600), np.zeros((600, neardup.TOKENS), np.uint8), np.full(600, 900)
+    ((rows, _),) = neardup._leaves(ids, sig, 1, ids, 0.0, 8, depth=2)
+    assert len(rows) == 600
+    found = list(neardup._candidate_groups(ids, sig, sizes, ids, 90, 85))
+    assert {(i, j) for g in found for i in g.tolist() for j in g.tolist() if i < j} == {(i, j) for i in range(600) for j in range(i + 1, 600)}
+    assert max(map(len, found)) <= 2 * neardup.TILE
 
 
 def test_sql_equals_brute_force(rows):
