@@ -1,20 +1,29 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
 A page is read as a stream of tags and texts, balanced into elements. Elements that matter to structure become symbols: the
-tag's name, with a mark if its class, id, role or hidden state says that it is furniture (":b") or content (":m"). The
-wrapper of a host is built by aligning its pages one after another: equal symbols match; runs of the same symbols, once or
-several side by side, become repeated groups; symbols that one side lacks become optional; texts become text slots.
-Wrappers align with wrappers in the same way, so tasks infer partial ones, which are merged by host in two rounds.
-
-In the finished wrapper the articles are found for the host: topmost article elements, main ones, and elements marked as
-content; if it has none of them, from the body down, the element that holds at least four fifths of the text outside links.
-A page takes the first of these kinds that has text in it; a page that has none is judged by its own wrapper alone. What
-stands inside, without furniture (menus, page headers, footers, asides, forms, adverts, notices, reader comments), is the
-main text of each of its pages: the page's elements are matched with the wrapper's, and the texts of slots in the article
-are taken.
-
-Bounds: symbols come from a fixed list of names and marks, what stands in elements deeper than 60 counts to the one above unless they are furniture, and equal
-neighbours fold, so a wrapper's size depends on the host's layouts, not on its pages.
+tag's name, with a mark if its class, id, role or hidden state says that it is furniture (":b"), may be furniture (":w") or is
+content (":m").
+
+1. Texts are compared over each host's pages: a text that stands on at least nine tenths of a host's different pages, and on
+   five at least, is a constant of the template; all other texts mismatch somewhere and become slots. The counts are exact, one
+   for each page and text, in a Spark aggregation that copies of a page enter once.
+2. The wrapper of a host is built by aligning its pages one after another: equal symbols match (an element that holds a constant
+   alone is a symbol of its own); runs of the same symbols, once or several side by side, become repeated groups; symbols that
+   one side lacks become optional. Wrappers align with wrappers in the same way, so tasks infer partial ones, which are merged
+   by host in two rounds.
+3. In the finished wrapper the articles are found for the host: topmost article elements, main ones, and elements marked as
+   content; if it has none of them, from the body down, the element that holds at least four fifths of the slots' text outside
+   links. Furniture is what is marked so (menus, page headers, footers, asides, forms, adverts, notices, reader comments), and
+   what may be furniture by its mark if constants or links are half of its text, and elements that hold a
+   constant alone, wherever they stand; a constant beside other text in one element stays with it.
+4. A page is aligned with the wrapper in the same way, level by level, so that each of its elements gets the place in the regular
+   expression that it stands for; what has no place goes by its symbol, else by what it stands in. The texts in the article's
+   elements are the main text. A page takes the first kind of article that has text in it; a page that has none is judged by its
+   own wrapper alone.
+
+Bounds: symbols come from a fixed list of names and marks and the host's constants (of which a page has nine tenths), what
+stands in elements deeper than 60 counts to the one above unless they are furniture, and equal neighbours fold, so a
+wrapper's size depends on the host's layouts, not on its pages.
 
 Nulls and odd rows: null html is empty and has empty text; null or odd urls share a wrapper under the empty host; repeated
 rows each have a row; markup that ends inside a tag, comment or script ends there; an empty table gives an empty result; other
@@ -23,6 +32,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -32,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import stored, text_slices
 
 # Element names and the words of class and id tokens.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "object", "xmp"}
@@ -47,6 +57,11 @@ FURNITURE_WORDS = {
     "navigation", "nav", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "replies", "reply", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription",
     "signup", "login", "widget", "toolbar", "pagination", "pager", "notice", "notices", "alert", "footer", "paywall", "masthead", "topbar", "aside",
 }
+#: Words that say nothing beside one of those.
+NEUTRAL_WORDS = {
+    "slot", "box", "list", "item", "items", "wrap", "wrapper", "container", "section", "area", "bar", "block", "blocks", "link", "links", "button", "buttons", "icon", "icons", "post", "posts", "form", "site", "page", "left", "right", "top", "bottom",
+    "inner", "outer", "header", "head", "body", "unit", "zone", "text", "title", "panel", "module", "main", "primary", "secondary", "global", "mobile", "desktop", "inline", "sticky", "fixed", "thread", "row", "col", "column", "group", "holder", "media", "article", "articles", "content", "user", "reader",
+}
 FURNITURE_TOKENS = {"header", "site-header", "page-header", "top-bar", "skip-link"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 CONTENT_TOKENS = {"content", "main", "main-content", "article", "article-body", "article-content", "post", "post-content", "post-body", "entry", "entry-content", "story", "story-body"}
@@ -59,31 +74,45 @@ _attribute = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s
 
 
 def _mark(name: str, attributes: str) -> str:
-    """":b", ":m" or nothing."""
+    """":b", ":w", ":m" or nothing."""
     if not attributes or name in ("html", "body"):
         return ""
-    mark = ""
+    mark, weak = "", False
     for key, a, b, c in _attribute.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
+        key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             for token in value.split():
-                if token in FURNITURE_TOKENS and name not in PLAIN or not FURNITURE_WORDS.isdisjoint(re.split(r"[-_]+", token)) and (name not in PLAIN and name != "article" or token.startswith("comment")):
+                words = [w for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if w]
+                token, words = token.lower(), [w.lower() for w in words]
+                if token in FURNITURE_TOKENS and name not in PLAIN:
                     return ":b"
+                if not FURNITURE_WORDS.isdisjoint(words) and (name not in PLAIN and name != "article" or words[0].startswith("comment")):
+                    if token != "alert" and all(w in FURNITURE_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+                        return ":b"
+                    weak = True
                 if token in CONTENT_TOKENS:
                     mark = ":m"
-        elif key == "role" and value in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            continue
+        value = value.lower()
+        if key == "role" and value in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return ":b"
-        elif key == "role" and value == "main" or key == "itemprop" and value == "articlebody":
+        if key == "role" and value == "main" or key == "itemprop" and value == "articlebody":
             mark = ":m"
-    return mark
+    return mark or ":w" * weak
+
+
+class Link(str):
+    """A text inside a link."""
+
+    __slots__ = ()
 
 
 class Element:
-    __slots__ = ("depth", "kids", "link", "name", "owner", "symbol")
+    __slots__ = ("depth", "kids", "name", "owner", "symbol", "taken")
 
     def __init__(self, name: str, symbol: str, parent: Element | None = None, owner: Element | None = None):
         """An element with an owner is too deep to be one of its own: what stands in it is the owner's."""
-        self.name, self.symbol, self.link, self.owner = name, symbol, 0, owner or self
+        self.name, self.symbol, self.taken, self.owner = name, symbol, False, owner or self
         self.kids = owner.kids if owner else []
         self.depth = self.owner.depth if owner else parent.owner.depth + 1 if parent else 1
 
@@ -98,9 +127,7 @@ def parse(source: str) -> Element:
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].kids.append(raw)
-            if links:
-                stack[-1].owner.link += len(raw)
+            stack[-1].kids.append(Link(raw) if links else raw)
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -159,12 +186,63 @@ def parse(source: str) -> Element:
     return root
 
 
-# A wrapper node is a dict: l symbol, q quantifier ("1", "?", "+" or "*"), k kids, t characters of text directly in it, a those in links, n pages.
-def wrapper_of(e: Element) -> dict:
-    """A page's own wrapper."""
-    chars = sum(len(x.strip()) for x in e.kids if isinstance(x, str))
-    kids = [wrapper_of(x) if isinstance(x, Element) else {"l": "#", "q": "1", "k": []} for x in e.kids if x is not BREAK and (isinstance(x, Element) or x.strip())]
-    return {"l": e.symbol, "q": "1", "k": fold(kids), "t": chars, "a": e.link}
+def pieces(e: Element):
+    """The kids of an element, with texts that stand side by side as one list."""
+    run: list[str] = []
+    for x in e.kids:
+        if isinstance(x, str):
+            run.append(x)
+            continue
+        if run:
+            yield run
+            run = []
+        yield x
+    if run:
+        yield run
+
+
+def clean(run: list[str]) -> str:
+    return " ".join(entities.unescape("".join(run)).split())
+
+
+def name_of(text: str) -> int:
+    """A text's 64-bit name."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def texts_of(e: Element):
+    """Names of the texts of a page, in order."""
+    for x in pieces(e):
+        if isinstance(x, list):
+            if text := clean(x):
+                yield name_of(text)
+        elif x is not BREAK:
+            yield from texts_of(x)
+
+
+# A wrapper node is a dict: l symbol ("#" a slot, "=name" a constant), q quantifier ("1", "?", "+" or "*"), k kids, t characters of slots directly in it, a those in links, c those of constants.
+def wrapper_of(e: Element, constants=frozenset(), own: bool = False) -> dict:
+    """A page's own wrapper; with `own`, nodes keep their elements (e)."""
+    t = a = c = 0
+    kids, symbol, only = [], e.symbol, True
+    for x in pieces(e):
+        if isinstance(x, list):
+            if not (text := clean(x)):
+                continue
+            if constants and (name := name_of(text)) in constants:
+                c += len(text)
+                kids.append({"l": f"={name}", "q": "1", "k": []})
+                continue
+            t += len(text)
+            a += sum(len(y.strip()) for y in x if isinstance(y, Link))
+            kids.append({"l": "#", "q": "1", "k": []})
+            only = False
+        elif x is not BREAK:
+            kids.append(wrapper_of(x, constants, own))
+            only = False
+    if only and len(kids) == 1:
+        symbol += kids[0]["l"]
+    return {"l": symbol, "q": "1", "k": fold(kids), "t": t, "a": min(a, t), "c": c} | ({"e": [e]} if own else {})
 
 
 def _plus(q: str, more: str) -> str:
@@ -175,7 +253,9 @@ def _plus(q: str, more: str) -> str:
 def merged(a: dict, b: dict, more: str = "1") -> dict:
     out = {"l": a["l"], "q": _plus(_plus(a["q"], b["q"]), more), "k": aligned(a["k"], b["k"]) if a["k"] or b["k"] else []}
     if "t" in a or "t" in b:
-        out |= {"t": a.get("t", 0) + b.get("t", 0), "a": a.get("a", 0) + b.get("a", 0)}
+        out |= {x: a.get(x, 0) + b.get(x, 0) for x in "tac"}
+    if "e" in a:
+        out["e"] = a["e"] + b["e"]
     return out
 
 
@@ -238,100 +318,153 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
 def pattern(w: dict) -> str:
     """A wrapper as a regular expression, for people."""
     inner = " ".join(pattern(x) for x in w["k"])
-    body = "#text" if w["l"] == "#" else f"({inner})" if w["l"][0] == "(" else f"<{w['l']}>{inner}</{w['l']}>"
+    body = "#text" if w["l"] == "#" else "constant" if w["l"][0] == "=" else f"({inner})" if w["l"][0] == "(" else f"<{_tag(w['l'])}>{inner}</{_tag(w['l'])}>"
     return body + w["q"].replace("1", "")
 
 
+def _tag(symbol: str) -> str:
+    return symbol.partition("=")[0]
+
+
 def _furniture(symbol: str, inside: bool = False) -> bool:
-    name, _, mark = symbol.partition(":")
+    name, _, mark = _tag(symbol).partition(":")
     return mark == "b" or name in FURNITURE and not (inside and name == "header")
 
 
+def _sums(w: dict) -> tuple[int, int, int]:
+    """Characters of slots, of links and of constants in all of it."""
+    t, a, c = w.get("t", 0), w.get("a", 0), w.get("c", 0)
+    for x in w["k"]:
+        more = _sums(x)
+        t, a, c = t + more[0], a + more[1], c + more[2]
+    return t, a, c
+
+
+def _out(w: dict, inside: bool = False) -> bool:
+    """Whether a node is furniture, by its mark or, where that leaves it open, by its text."""
+    if "=" in w["l"]:
+        return True
+    if not _tag(w["l"]).endswith(":w"):
+        return _furniture(w["l"], inside)
+    t, a, c = _sums(w)
+    return 2 * max(a, c) >= t + c
+
+
 def _each(w: dict):
     """Kids, with groups opened."""
     for x in w["k"]:
         if x["l"][0] == "(":
             yield from _each(x)
-        elif x["l"] != "#":
+        elif x["l"][0] not in "#=":
             yield x
 
 
 def _weight(w: dict, inside: bool = False) -> int:
-    return max(0, w.get("t", 0) - w.get("a", 0)) + sum(_weight(x, inside) for x in _each(w) if not _furniture(x["l"], inside))
+    return w.get("t", 0) - w.get("a", 0) + sum(_weight(x, inside) for x in _each(w) if not _out(x, inside))
 
 
 def _topmost(w: dict, wanted) -> list[dict]:
-    return [y for x in _each(w) if not _furniture(x["l"]) for y in ([x] if wanted(x["l"]) and _weight(x, True) else _topmost(x, wanted))]
+    return [y for x in _each(w) if not _out(x) for y in ([x] if wanted(_tag(x["l"])) and _weight(x, True) else _topmost(x, wanted))]
 
 
-def decided(w: dict) -> list[list]:
-    """The wrapper as nested [article?, {symbol: the same}] for matching, for each kind of article that it has."""
+def decided(w: dict) -> list[dict]:
+    """The wrapper with a mark on what is taken (i), for each kind of article that it has."""
     kinds = [_topmost(w, lambda s: s.startswith("article")), _topmost(w, lambda s: s.startswith("main")), _topmost(w, lambda s: s.endswith(":m"))]
     kinds = [x for x in kinds if x]
     if not kinds:
         here = w
         while True:
             whole = _weight(here)
-            inner = [x for x in _each(here) if not _furniture(x["l"]) and x["l"].partition(":")[0] not in ("p", "li", "td") and "+" not in x["q"] and "*" not in x["q"] and _weight(x) >= 0.8 * whole > 0]
+            inner = [x for x in _each(here) if not _out(x) and _tag(x["l"]).partition(":")[0] not in ("p", "li", "td") and "+" not in x["q"] and "*" not in x["q"] and _weight(x) >= 0.8 * whole > 0]
             if not inner:
                 break
             here = inner[0]
         kinds = [[here]]
 
-    def flags(x: dict, inside: bool, chosen: set) -> list:
+    def flags(x: dict, inside: bool, chosen: set) -> dict:
         inside = inside or id(x) in chosen
-        kids: dict = {}
-        for y in _each(x):
-            made = [False, {}] if _furniture(y["l"], inside) else flags(y, inside, chosen)
-            kids[y["l"]] = _either(kids[y["l"]], made) if y["l"] in kids else made
-        return [inside, kids]
+        kids = [y if y["l"][0] in "#=" else flags(y, inside, chosen) if y["l"][0] == "(" or not _out(y, inside) else dict(y, k=[], i=False, f=True) for y in x["k"]]
+        return {"l": x["l"], "q": x["q"], "k": kids, "i": inside}
 
     return [flags(w, False, {id(x) for x in found}) for found in kinds]
 
 
-def _either(a: list, b: list) -> list:
-    return [a[0] or b[0], {k: _either(a[1][k], b[1][k]) if k in a[1] and k in b[1] else a[1].get(k, b[1].get(k)) for k in {**a[1], **b[1]}}]
-
-
-def main_text(source: str, kinds: list[list]) -> str:
+def assign(own: dict, host: dict) -> None:
+    """Marks the elements of a page's wrapper that the host's takes, along the aligned kids."""
+    for e in own.get("e", ()):
+        e.taken = host["i"]
+    mine, other = _grouped(own["k"], host["k"]), _grouped(host["k"], own["k"])
+    names = [x["l"] for x in mine], [x["l"] for x in other]
+    place: dict = {}
+    if names[0] == names[1]:
+        place = dict(enumerate(other))
+    else:
+        for i, k, n in SequenceMatcher(None, *names, autojunk=False).get_matching_blocks():
+            place |= {i + d: other[k + d] for d in range(n)}
+    by_symbol = None
+    for at, x in enumerate(mine):
+        if x["l"][0] in "#=":
+            continue
+        found = place.get(at)
+        if found is None or "i" not in found and found["l"][0] != "(":
+            if by_symbol is None:
+                by_symbol = {y["l"]: y for y in _each(host)}
+            found = by_symbol.get(x["l"])
+        if found is None:
+            furniture = x["l"][0] != "(" and _out(x, host.get("i", False))
+            found = {"l": x["l"], "q": "1", "k": [], "i": host.get("i", False) and not furniture, "f": furniture}
+        if not found.get("f"):
+            assign(x, found if "i" in found else {**found, "i": host.get("i", False)})
+
+
+def main_text(source: str, kinds: list[dict], constants=frozenset()) -> str:
     """The article of a page by its host's wrapper: of the first kind that the page has; else by the page's own wrapper."""
     page = parse(source)
+    own = wrapper_of(page, constants, True)
     for flags in kinds:
-        if text := _text(page, flags):
+        if text := _text(page, own, flags):
             return text
-    for flags in decided(wrapper_of(page)):
-        if text := _text(page, flags):
+    for flags in decided(own):
+        if text := _text(page, own, flags):
             return text
     return ""
 
 
-def _text(page: Element, flags: list) -> str:
+def _text(page: Element, own: dict, flags: dict) -> str:
     """The texts of the page's elements that the flags take."""
     blocks: list[str] = []
     run: list[str] = []
 
+    def clear(e: Element) -> None:
+        e.taken = False
+        for x in e.kids:
+            if isinstance(x, Element) and x is not BREAK:
+                clear(x)
+
     def end() -> None:
         if run:
-            if text := " ".join(entities.unescape("".join(run)).split()):
+            if text := clean(run):
                 blocks.append(text)
             run.clear()
 
-    def walk(e: Element, own: list) -> None:
-        for x in e.kids:
-            if isinstance(x, str):
-                if own[0]:
-                    run.append(x)
+    def walk(e: Element) -> None:
+        for x in pieces(e):
+            if isinstance(x, list):
+                if e.taken:
+                    run.extend(x)
             elif x is BREAK:
                 end()
             else:
                 block = x.name in BLOCK
                 if block:
                     end()
-                walk(x, own[1].get(x.symbol, [False, {}]))
+                walk(x)
                 if block:
                     end()
 
-    walk(page, flags)
+    clear(page)
+    assign(own, flags)
+    walk(page)
     end()
     return " ".join(blocks)
 
@@ -373,8 +506,30 @@ def _joined(parts: DataFrame, *keys: str) -> DataFrame:
     return parts.select(*keys, "wrapper").repartition(*keys).sortWithinPartitions(*keys, "wrapper").mapInArrow(run, schema)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) over all pages (page_id, url, html)."""
+def template_texts(pages: DataFrame, share: float = 0.9, least: int = 5) -> DataFrame:
+    """host, constants: names of the texts on at least `share` of a host's different pages, and on `least`, sorted."""
+
+    def read(batches):
+        for rows in text_slices(batches, ["host"], "html"):
+            names = [list(texts_of(parse(x))) for x in rows["html"]]
+            whole = [int.from_bytes(hashlib.blake2b(b"".join(n.to_bytes(8, "big", signed=True) for n in x), digest_size=8).digest(), "big", signed=True) for x in names]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["host"]), pa.array(whole), pa.array([list(set(x)) for x in names], pa.list_(pa.int64()))], names=["host", "page", "texts"])
+
+    each = _with_host(pages).select("host", "html").mapInArrow(read, "host string, page long, texts array<long>")
+    each = stored(each.groupBy("host", "page").agg(F.first("texts").alias("texts")), "page-texts")
+    sizes = each.groupBy("host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= least)
+    counts = each.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return stored(counts.join(sizes, "host").filter(F.col("_n") >= share * F.col("_pages")).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("constants")), "template-texts")
+
+
+def _dealt(pages: DataFrame, known: DataFrame, deals: int) -> DataFrame:
+    """pages with the columns of known (a row for each host), dealt to `deals` copies of its rows."""
+    own = _with_host(pages).withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.lit(deals)).cast("int"))
+    return own.join(known.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))), ["host", "deal"], "left")
+
+
+def wrappers(pages: DataFrame, constants: DataFrame, deals: int = 16) -> DataFrame:
+    """host, wrapper (JSON) over all pages (page_id, url, html); constants: host, constants."""
 
     def infer(batches):
         held: dict[str, dict] = {}
@@ -384,38 +539,37 @@ def wrappers(pages: DataFrame) -> DataFrame:
             held.clear()
             return batch
 
-        for rows in text_slices(batches, ["host"], "html"):
-            for host, source in zip(rows["host"], rows["html"], strict=True):
-                own = wrapper_of(parse(source))
+        for rows in text_slices(batches, ["host", "constants"], "html"):
+            for host, known, source in zip(rows["host"], rows["constants"], rows["html"], strict=True):
+                own = wrapper_of(parse(source), frozenset(known or ()))
                 held[host] = merged(held[host], own) if host in held else own
             if len(held) > 2000:
                 yield made()
         if held:
             yield made()
 
-    parts = _with_host(pages).select("host", "html").mapInArrow(infer, "host string, wrapper string")
+    parts = _dealt(pages, constants, deals).select("host", "html", "constants").mapInArrow(infer, "host string, wrapper string")
     some = _joined(parts.withColumn("deal", F.pmod(F.xxhash64("wrapper"), F.lit(32))), "host", "deal")
     return _joined(some, "host")
 
 
 def extracted(pages: DataFrame, deals: int = 16) -> DataFrame:
     """page_id, url, text, n_chars for every page. Pages of a host are dealt to `deals` copies of its wrapper."""
-    from .common import stored
-
-    made = stored(wrappers(pages), "wrappers").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    own = _with_host(pages).withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.lit(deals)).cast("int"))
+    constants = template_texts(pages)
+    made = stored(wrappers(pages, constants, deals).join(constants, "host", "left"), "wrappers")
+    own = _dealt(pages, made, deals)
     kind = dict(own.dtypes)["page_id"]
 
     def run(batches):
-        known: dict[str, list] = {}
-        for rows in text_slices(batches, ["page_id", "url", "wrapper"], "html"):
+        known: dict[tuple, tuple] = {}
+        for rows in text_slices(batches, ["page_id", "url", "wrapper", "constants"], "html"):
             texts = []
-            for source, w in zip(rows["html"], rows["wrapper"], strict=True):
+            for source, w, c in zip(rows["html"], rows["wrapper"], rows["constants"], strict=True):
                 if w not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[w] = decided(json.loads(w))
-                texts.append(main_text(source, known[w]))
+                    known[w] = decided(json.loads(w)), frozenset(c or ())
+                texts.append(main_text(source, *known[w]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["page_id"], pa.int64() if kind == "bigint" else None), pa.array(rows["url"], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.join(made, ["host", "deal"]).select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return own.select("page_id", "url", "html", "wrapper", "constants").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from plumbline.llm import htmltext as h
@@ -67,3 +68,41 @@ def test_layouts_of_one_host(spark):
         rows = [(k * 100 + i, f"{host}{i}", PAGE.format(open=a, close=b, i=i, more="")) for k, (a, b) in enumerate(opens) for i in range(3)]
         got = texts(spark, rows)
         assert [got[r[0]][1] for r in rows] == [want(i) for _ in opens for i in range(3)]
+
+
+def test_template_text_that_no_class_marks(spark):
+    """Texts on all pages of a host are its template's, wherever they stand; texts on some are not. Copies of a page count once."""
+    rows = [(i, f"https://plain.example.org/{i}", f"<body><p>Welcome to our site</p><p>Varying text number {i}.</p>{'<p>on some</p>' * (i % 2)}<p>Call us at once</p></body>") for i in range(6)]
+    rows += [(10 + i, f"https://copies.example.org/{i}", "<body><p>The same page each time</p></body>") for i in range(9)]
+    rows += [(20 + i, f"https://long.example.org/{i}", f"<body><div>{'a constant that is far longer than what varies ' * 9}</div><div><p>Short {i}</p></div></body>") for i in range(7)]
+    got = texts(spark, rows)
+    assert [got[i][1] for i in range(6)] == [f"Varying text number {i}." + " on some" * (i % 2) for i in range(6)]
+    assert {got[10 + i][1] for i in range(9)} == {"The same page each time"} and [got[20 + i][1] for i in range(7)] == [f"Short {i}" for i in range(7)]
+
+
+def test_marks_that_leave_it_open(spark):
+    inner = '<div class="social-history">The social history of Rome {i}</div><div class="alert">Take care {i}</div><div class="notice-board-history">Boards {i}</div><div class="share-buttons">Share it {i}</div><div class="related-reading"><a href="/x">Another piece {i}</a></div>'
+    rows = [(i, f"https://open.example.org/{i}", f"<body><article><p>Head {i}</p>{inner.format(i=i)}<p>End {i}</p></article></body>") for i in range(6)]
+    got = texts(spark, rows)
+    assert [got[i][1] for i in range(6)] == [f"Head {i} The social history of Rome {i} Take care {i} Boards {i} End {i}" for i in range(6)]
+
+
+def test_place_in_the_wrapper_decides():
+    """Two elements of one symbol, apart: the wrapper's order tells which is the article."""
+    pages = [f"<body><div>Menu {'x' * (i % 3)}</div><h2>Title {i}</h2><div>{f'Long text of page {i}. ' * 20}</div></body>" for i in range(6)]
+    w = None
+    for x in pages:
+        own = h.wrapper_of(h.parse(x))
+        w = h.merged(w, own) if w else own
+    assert h.pattern(w["k"][0]) == "<body><div>#text</div> <h2>#text</h2> <div>#text</div></body>"
+    assert h.main_text(pages[4], h.decided(w)) == ("Long text of page 4. " * 20).strip()
+    assert h.main_text(pages[4].replace("<h2>", "<h3>new</h3><h2>"), h.decided(w)) == ("Long text of page 4. " * 20).strip()
+
+
+def test_constants_equal_plain_counting(spark):
+    rng = random.Random(2)
+    rows = [(i, f"https://h{i % 3}.example.org/", "".join(f"<p>t{k}</p>" for k in range(12) if rng.random() < (1.0, 0.95, 0.88, 0.5)[k % 4])) for i in range(120)]
+    got = {r.host: set(r.constants) for r in h.template_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        pages = {tuple(re.findall(r"t\d+", x)) for i, _, x in rows if i % 3 == k}
+        assert got.get(f"h{k}.example.org", set()) == {h.name_of(t) for t in {t for x in pages for t in x} if sum(t in x for x in pages) >= max(5, 0.9 * len(pages))}
