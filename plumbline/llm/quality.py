@@ -1,19 +1,24 @@
 """Quality rules: counts of words, symbols, repeated lines and words, and language-specific perplexity bands.
 
-The language model is modified Kneser-Ney of order 4 over characters, for each language. A character is hashed to one
-of 32 classes (letters by case-folded ASCII, other letters by a hash onto the same 26, digits, white space, marks,
-symbols, the rest), so an n-gram's hash has 5 bits a character and a language has at most 2**20 n-grams of order 4, whatever
-the corpus. Spark counts the n-grams of all documents and, from those, continuation counts of lower orders. The model is
-sorted arrays of n-gram hashes with log probabilities, and of contexts with back-off weights, searched by bisection.
-
-A document's figure is its mean negative log probability a character (log perplexity). Bands are fences around
-the quartiles of all documents' figures in the language: a document is rejected below q1 - gap or above q3 + gap, where gap
-is `spread` * (q3 - q1) + `slack` / sqrt(characters in words), as the mean over a short text strays further. The 16 most frequent languages have models of their own; all others, null among them, share one.
+The language model is modified Kneser-Ney of order 4 over code points, one for each value of lang that the documents have.
+A code point takes 16 bits of an n-gram's name (those above 65,535 fall onto the 6,400 private ones), so names are exact 64-bit
+integers, and an n-gram's context and its end are shifts and masks of them. Spark counts the n-grams of all documents: a
+task sends each one once for each few million that it holds, and the counts are written by language, sorted within each file.
+Nothing is capped: the counts grow with what the corpus holds. A Python worker that meets a language reads its counts and
+makes the model: for every order, sorted arrays of names with log probabilities, and of contexts with back-off weights,
+searched by bisection; continuation counts of the lower orders come from the same array. It keeps the models of the languages
+used last, up to `HELD` n-grams.
+
+A document has two figures: its negative log probability (the log of its perplexity) by character and by word, at four
+significant digits; signs hung onto words raise the second, which a character that repeats cannot lower. Bands are fences
+around the quartiles of all documents' figures in the language, exact ones from a histogram: a document is rejected if either
+figure is below q1 - gap or above q3 + gap, where gap is a spread times (q3 - q1) plus a slack / sqrt(the document's characters
+in words, or its words), as the mean over a short text strays further.
 
 The model is of characters: nearly every pair of words of a large corpus is a new one, and counting those would shuffle more
 than the corpus itself; see the README.
 
-Nulls and odd rows: null text is empty (all counts 0, base_failed, figure null); null lang belongs to the shared model;
+Nulls and odd rows: null text is empty (all counts 0, base_failed, figure null); null lang is a language of its own;
 repeated rows each have a row; an empty table gives an empty result; columns that clash with computed ones are replaced.
 """
 
@@ -21,47 +26,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import file_system, scratch, stored
 from .words import mixed, run_hashes, word_hashes
 
-ORDER, BITS = 4, 5
-CLASSES = 1 << BITS
-LANGUAGES, SPREAD, SLACK, MIN_IQR = 16, 3.0, 1.0, 0.02
-OTHER = "\x00other"
+ORDER, BITS = 4, 16
+#: By figure: the column of its size, and spread, slack and least (q3 - q1).
+BANDS = {"log_perplexity": ("word_chars", 3.0, 1.0, 0.02), "word_log_perplexity": ("n_words", 4.0, 4.0, 0.02)}
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+HELD = 24_000_000
+_models: dict[tuple[str, str], Model] = {}
 
 
-def _table() -> np.ndarray:
-    out = np.full(128, 30, np.uint8)
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = i
-    for c in "0123456789":
-        out[ord(c)] = 26
-    for c in " \t\n\x0b\x0c\r":
-        out[ord(c)] = 27
-    for c in ".,;:!?'\"()-":
-        out[ord(c)] = 28
-    for c in SYMBOLS:
-        out[ord(c)] = 29
-    return out
-
-
-CLASS_OF = _table()
+def _low(n: int) -> np.uint64:
+    """A mask of the last n characters of a name."""
+    return np.uint64((1 << (BITS * n)) - 1)
 
 
 def char_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram hash that ends at each character of all texts (white space before the first), and each text's first index, with the end."""
+    """The name of the n-gram that ends at each character of all texts (white space before the first), and each text's first index, with the end."""
     pad = " " * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32)
-    far = (points * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(26)
-    classes = np.where(points < 128, CLASS_OF[np.minimum(points, 127)], far).astype(np.uint32)
-    keys = np.zeros(max(0, len(classes) - ORDER + 1), np.uint32)
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(points < 1 << BITS, points, 0xE000 + points % 6400).astype(np.uint64)
+    keys = np.zeros(max(0, len(points) - ORDER + 1), np.uint64)
     for j in range(ORDER):
-        keys |= classes[j : j + len(keys)] << np.uint32(BITS * (ORDER - 1 - j))
+        keys |= points[j : j + len(keys)] << np.uint64(BITS * (ORDER - 1 - j))
     sizes = np.array([len(t) for t in texts])
     firsts = np.cumsum([0, *sizes + ORDER - 1])[:-1]
     real = np.ones(len(keys), bool)
@@ -71,47 +63,74 @@ def char_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], np.cumsum([0, *sizes])
 
 
-def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """lang, key, n over all documents: n-grams of the highest order. A task sends each n-gram once for each language."""
-    known = set(languages)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def count_ngrams(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
+    """band, key, n over all documents: n-grams of the highest order. A task sums them up to `most` distinct ones at a time."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[list, list, int]] = {}
+
+        def made():
+            for band, (keys, counts, _) in held.items():
+                keys, counts = _summed(keys, counts)
+                for lo in range(0, len(keys), 100_000):
+                    some = keys[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([band] * len(some)), pa.array(some.view(np.int64)), pa.array(counts[lo : lo + 100_000])], names=["band", "key", "n"])
+            held.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)
-                langs = [x if x in known else OTHER for x in part.column("lang").to_pylist()]
-                texts = part.column("text").to_pylist()
-                for lang in set(langs):
-                    keys, _ = char_keys([t or "" for t, own in zip(texts, langs, strict=True) if own == lang])
-                    got = np.bincount(keys, minlength=CLASSES**ORDER)
-                    sums[lang] = sums[lang] + got if lang in sums else got
-        for lang, got in sums.items():
-            keys = np.flatnonzero(got)
-            for lo in range(0, len(keys), 50_000):
-                some = keys[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(got[some])], names=["lang", "key", "n"])
-
-    each = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(count, "lang string, key long, n long")
-    return each.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+                bands, texts = part.column("band").to_pylist(), part.column("text").to_pylist()
+                for band in set(bands):
+                    keys, _ = char_keys([t or "" for t, own in zip(texts, bands, strict=True) if own == band])
+                    keys, counts = np.unique(keys, return_counts=True)
+                    old = held.get(band, ([], [], 0))
+                    held[band] = [*old[0], keys], [*old[1], counts], old[2] + len(keys)
+                    if held[band][2] > most // 2:  # sum what has come twice
+                        keys, counts = _summed(*held[band][:2])
+                        held[band] = [keys], [counts], len(keys)
+                if sum(n for *_, n in held.values()) > most:
+                    yield from made()
+        yield from made()
 
+    each = docs.select("text", band_of(docs).alias("band")).mapInArrow(count, "band string, key long, n long")
+    return each.groupBy("band", "key").agg(F.sum("n").alias("n"))
 
-class Model:
-    """One language's n-grams: by order, sorted hashes with log probabilities, and sorted contexts with log weights."""
 
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """grams: by order, sorted keys and counts (continuation counts below the highest order)."""
+def band_of(docs: DataFrame):
+    """A language's name in folders: its SHA-1, or "none"."""
+    return F.coalesce(F.sha1(F.col("lang").cast("string").cast("binary")), F.lit("none")) if "lang" in docs.columns else F.lit("none")
+
+
+class Model:
+    """One language's n-grams: by order, sorted names with log probabilities, and sorted contexts with log weights."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """Sorted names of the highest order, and their counts."""
+        grams = {ORDER: (keys, counts)}
+        for n in range(ORDER - 1, 0, -1):  # continuation counts
+            grams[n] = np.unique(grams[n + 1][0] & _low(n), return_counts=True)
+        self.chars = len(grams[1][0]) + 1
         self.keys, self.logp, self.contexts, self.logw = {}, {}, {}, {}
         for n in range(1, ORDER + 1):
-            keys, counts = grams.get(n, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            keys, counts = grams[n]
             of = [int((counts == k).sum()) for k in range(1, 5)]
             y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.0
             cut = [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.0), float(k)) if of[k - 1] and of[k] else 0.5 for k in (1, 2, 3)]
             taken = np.array([0.0, *cut])[np.minimum(counts, 3)]
-            contexts, where = np.unique(keys >> BITS, return_inverse=True)
+            contexts, where = np.unique(keys >> np.uint64(BITS), return_inverse=True)
             total = np.bincount(where, counts, len(contexts))
             weight = np.bincount(where, taken, len(contexts)) / np.maximum(total, 1)
-            lower = np.exp(self.find(n - 1, keys & (CLASSES ** (n - 1) - 1))) if n > 1 else np.full(len(keys), 1 / CLASSES)
+            lower = np.exp(self.find(n - 1, keys & _low(n - 1)))
             self.keys[n], self.contexts[n] = keys, contexts
             with np.errstate(divide="ignore"):
                 self.logp[n] = np.log((counts - taken) / np.maximum(total[where], 1) + weight[where] * lower)
@@ -120,7 +139,7 @@ class Model:
     def find(self, n: int, keys: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams of order n; an n-gram never seen has its context's weight times that of order n - 1."""
         if n == 0:
-            return np.full(len(keys), -np.log(CLASSES))
+            return np.full(len(keys), -np.log(self.chars))
         at = np.searchsorted(self.keys[n], keys)
         seen = at < len(self.keys[n])
         seen[seen] = self.keys[n][at[seen]] == keys[seen]
@@ -128,31 +147,42 @@ class Model:
         out[seen] = self.logp[n][at[seen]]
         rest = keys[~seen]
         if len(rest):
-            at = np.searchsorted(self.contexts[n], rest >> BITS)
+            context = rest >> np.uint64(BITS)
+            at = np.searchsorted(self.contexts[n], context)
             has = at < len(self.contexts[n])
-            has[has] = self.contexts[n][at[has]] == rest[has] >> BITS
+            has[has] = self.contexts[n][at[has]] == context[has]
             weight = np.zeros(len(rest))
             weight[has] = self.logw[n][at[has]]
-            out[~seen] = weight + self.find(n - 1, rest & (CLASSES ** (n - 1) - 1))
+            out[~seen] = weight + self.find(n - 1, rest & _low(n - 1))
         return out
 
 
-def train(docs: DataFrame) -> tuple[list[str], dict[str, Model]]:
-    """Languages with models of their own, and all models. What comes to the driver is the model: at most 17 times 2**20 n-grams."""
-    rows = docs.filter("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = [r.lang for r in rows]
-    grams = {ORDER: stored(count_ngrams(docs, languages), "ngrams")}
-    for n in range(ORDER - 1, 0, -1):
-        grams[n] = grams[n + 1].groupBy("lang", F.col("key").bitwiseAND(CLASSES**n - 1).alias("key")).agg(F.count("*").alias("n"))
-    held: dict[str, dict] = {}
-    for n, counted in grams.items():
-        got = counted.toArrow()
-        langs, keys, counts = np.array(got.column("lang").to_pylist(), object), got.column("key").to_numpy(), got.column("n").to_numpy()
-        for lang in set(langs.tolist()):
-            own = langs == lang
-            order = np.argsort(keys[own])
-            held.setdefault(lang, {})[n] = keys[own][order], counts[own][order]
-    return languages, {lang: Model(g) for lang, g in held.items()}
+def train(docs: DataFrame) -> str:
+    """Counts the n-grams of all documents; returns the folder of the counts, with one of its own for each band."""
+    dest = scratch(docs.sparkSession, "ngrams")
+    counted = count_ngrams(docs)
+    counted.sortWithinPartitions("band", "key").write.partitionBy("band").parquet(dest)
+    return dest
+
+
+def model_of(dest: str, band: str) -> Model | None:
+    """A band's model, made once in a Python worker; those used last stay, up to HELD n-grams."""
+    if (dest, band) in _models:
+        _models[dest, band] = _models.pop((dest, band))
+        return _models[dest, band]
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    files, folder = file_system(dest)
+    found = [x.path for x in files.get_file_info(fs.FileSelector(f"{folder}/band={band}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    parts = [pq.read_table(x, columns=["key", "n"], filesystem=files, partitioning=None) for x in found]
+    if not parts:
+        return None
+    made = Model(*_summed([x.column("key").to_numpy().view(np.uint64) for x in parts], [x.column("n").to_numpy() for x in parts]))
+    while _models and sum(len(m.keys[ORDER]) for m in _models.values()) + len(made.keys[ORDER]) > HELD:
+        del _models[next(iter(_models))]
+    _models[dest, band] = made
+    return made
 
 
 def rules(texts: list[str]) -> dict[str, list[int]]:
@@ -183,49 +213,58 @@ def rules(texts: list[str]) -> dict[str, list[int]]:
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MADE = [*COUNTS, "band", *BANDS, "base_failed", "kept"]
 
 
-def measured(docs: DataFrame, languages: list[str], models: dict[str, Model]) -> DataFrame:
-    """docs with the rules' counts, band (the model's language) and log_perplexity."""
-    spark = docs.sparkSession
-    shared, known = spark.sparkContext.broadcast(models), set(languages)
-    kept = docs.drop(*COUNTS, "band", "log_perplexity", "base_failed", "kept")
-    schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [f"{c} long" for c in COUNTS] + ["band string", "log_perplexity double"])
+def with_figures(docs: DataFrame, dest: str) -> DataFrame:
+    """docs with the rules' counts, band (a name of the language) and the figures; dest: the folder of the n-gram counts."""
+    kept = docs.drop(*MADE)
     names = kept.columns
+    schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + ["band string"] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in BANDS])
 
     def run(batches):
-        memo: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                langs = [x if x in known else OTHER for x in part.column("lang").to_pylist()]
+                texts, bands = [t or "" for t in part.column("text").to_pylist()], part.column("band").to_pylist()
                 figures: list = [None] * len(texts)
-                for lang in set(langs):
-                    own = [i for i, x in enumerate(langs) if x == lang and texts[i]]
-                    if not own or lang not in shared.value:
+                for band in sorted(set(bands)):
+                    own = [i for i, x in enumerate(bands) if x == band and texts[i]]
+                    if not own or (model := model_of(dest, band)) is None:
                         continue
                     keys, firsts = char_keys([texts[i] for i in own])
-                    table = memo.setdefault(lang, np.full(CLASSES**ORDER, np.nan, np.float32))
-                    new = np.unique(keys[np.isnan(table[keys])])
-                    table[new] = shared.value[lang].find(ORDER, new.astype(np.int64))
-                    means = np.add.reduceat(table[keys].astype(np.float64), firsts[:-1]) / np.diff(firsts)
+                    new, where = np.unique(keys, return_inverse=True)
+                    means = np.add.reduceat(model.find(ORDER, new)[where], firsts[:-1]) / np.diff(firsts)
                     for i, x in zip(own, means.tolist(), strict=True):
                         figures[i] = -x
                 counts = rules(texts)
-                cols = [part.column(n) for n in names] + [pa.array(counts[c], pa.int64()) for c in COUNTS] + [pa.array(langs, pa.string()), pa.array(figures, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, *COUNTS, "band", "log_perplexity"])
-
-    return kept.mapInArrow(run, schema)
-
-
-def judged(docs: DataFrame, columns: list[str] | None = None, spread: float = SPREAD, slack: float = SLACK) -> DataFrame:
-    """The given columns of docs (all unless given) with the counts, log_perplexity, base_failed and kept."""
-    languages, models = train(docs)
-    columns = [c for c in (columns or docs.columns) if c not in (*COUNTS, "band", "log_perplexity", "base_failed", "kept")]
-    done = stored(measured(docs.select(*dict.fromkeys([*columns, "text", "lang"])), languages, models).select(*columns, *COUNTS, "band", "log_perplexity"), "quality")
-    fences = done.groupBy("band").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("_q"))  # a row per band, 17 at most
-    gap = F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(MIN_IQR)) * spread + slack / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    done = done.join(F.broadcast(fences), "band", "left").withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("_q")[0] - gap, F.col("_q")[1] + gap), F.lit(False))
-    return done.withColumn("kept", ~F.col("base_failed") & inside).select(*columns, *COUNTS, "band", "log_perplexity", "base_failed", "kept")
+                by_word = [None if x is None or not n else x * len(t) / n for x, n, t in zip(figures, counts["n_words"], texts, strict=True)]
+                cols = [part.column(n) for n in names] + [part.column("band")] + [pa.array(counts[c], pa.int64()) for c in COUNTS] + [pa.array([None if x is None else float(f"{x:.4g}") for x in own], pa.float64()) for own in (figures, by_word)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "band", *COUNTS, *BANDS])
+
+    return kept.withColumn("band", band_of(kept)).mapInArrow(run, schema)
+
+
+def fences(done: DataFrame, figure: str = "log_perplexity") -> DataFrame:
+    """_band, _q1, _q3: exact quartiles of the rounded figures (the smallest figure that a quarter, or three, do not exceed)."""
+    counts = done.filter(F.col(figure).isNotNull()).groupBy("band", figure).agg(F.count("*").alias("_n"))  # a row for each figure of four digits
+    by_figure = Window.partitionBy("band").orderBy(figure)
+    sums = counts.select("band", figure, F.sum("_n").over(by_figure).alias("_upto"), F.sum("_n").over(Window.partitionBy("band")).alias("_all"))
+    at = lambda share: F.min(F.when(F.col("_upto") >= share * F.col("_all"), F.col(figure)))
+    return sums.groupBy(F.col("band").alias("_band")).agg(at(0.25).alias("_q1"), at(0.75).alias("_q3"))
+
+
+def judged(docs: DataFrame, columns: list[str] | None = None, bands: dict = BANDS) -> DataFrame:
+    """The given columns of docs (all unless given) with the counts, band, the figures, base_failed and kept."""
+    dest = train(docs)
+    columns = [c for c in (columns or docs.columns) if c not in MADE]
+    asked = dict.fromkeys([*columns, "text", *(["lang"] if "lang" in docs.columns else [])])
+    done = measured = stored(with_figures(docs.select(*asked), dest).select(*columns, *COUNTS, "band", *BANDS), "quality")
+    inside = F.lit(True)
+    for k, (figure, (size, spread, slack, least)) in enumerate(bands.items()):
+        low, high = f"_low{k}", f"_high{k}"
+        done = done.join(fences(measured, figure).select(F.col("_band").alias(f"_b{k}"), F.col("_q1").alias(low), F.col("_q3").alias(high)), F.col("band") == F.col(f"_b{k}"), "left")
+        gap = F.greatest(F.col(high) - F.col(low), F.lit(least)) * spread + slack / F.sqrt(F.greatest(size, F.lit(1)))
+        inside = inside & F.coalesce(F.col(figure).between(F.col(low) - gap, F.col(high) + gap), F.lit(False))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return done.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).select(*columns, *MADE)
