@@ -29,16 +29,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
-    return _apart(docs, [*quality.COUNTS, "band", "log_perplexity", "base_failed", "kept"], lambda df: quality.judged(df).filter("kept"))
+    return _apart(docs, quality.MADE, lambda df: quality.judged(df).filter("kept"))
+
+
+def _least(docs: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each key the one of smallest hashed columns, so that reruns agree; columns as in docs, without the key."""
+    own = [c for c in docs.columns if not c.startswith("__")]
+    return docs.groupBy(key).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("__row")).select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of likeness 0.8 or more: that of its smallest doc_id (any one row of it). Rows without doc_id stay if their
-    shingles equal no other row's, one row to a text."""
-    found = neardup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.filter("doc_id IS NULL").join(found.filter("_id IS NULL"), how="left_semi").dropDuplicates(["text"])
-    return named.unionByName(bare).select(*docs.columns)
+    """One document of each component of likeness 0.8 or more: that of its smallest doc_id; of rows that share a doc_id, one. Rows without
+    doc_id go if their shingles equal those of a row that has one; of those that equal each other, one stays."""
+    found = neardup.near_duplicates(docs, percent=80, keys=True)
+    found = stored(found.groupBy("doc_id", "text_key").agg(F.max("kept").alias("__kept"), F.max("component_id").alias("__component"), F.max("set_key").alias("__set")).withColumnsRenamed({"doc_id": "__id", "text_key": "__text"}), "near-duplicates")
+    named = docs.withColumn("__doc", F.col("doc_id").cast("long"))
+    kept = named.join(found.filter("__kept AND __id IS NOT NULL").select("__id").distinct(), F.col("__doc") == F.col("__id"), "left_semi")
+    repeated = docs.groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n")).filter("__n > 1 AND __doc IS NOT NULL").select("__doc")
+    several = _least(kept.join(repeated, "__doc", "left_semi"), "__doc")
+    single = kept.join(repeated, "__doc", "left_anti").select(*docs.columns)
+    bare = docs.filter("doc_id IS NULL").withColumn("__text", F.xxhash64("text"))
+    bare = bare.join(found.filter("__id IS NULL AND __component IS NULL").select("__text", "__set"), "__text")
+    empty, full = bare.filter("__set IS NULL"), bare.filter("__set IS NOT NULL")  # without words: linked with nothing
+    return single.unionByName(several.select(*docs.columns)).unionByName(empty.select(*docs.columns)).unionByName(_least(full.drop("__text"), "__set").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
