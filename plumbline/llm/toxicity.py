@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Terms are words (runs of letters, lower-cased) and their first 4, 5 and 6 letters, as far as they mark the label: among
-labelled documents their log odds ratio is `z` standard errors above 0 and their rate in toxic ones `ratio` times that in
-others. A document is its terms' (1 + log tf) * idf, at unit length. The index keeps each term's postings in blocks of 64
-documents with the largest weight of each; a query sums these to a bound for every block, visits blocks from the highest
-bound down, and stops where no block can reach the k-th best cosine, so the k nearest are exact. Votes are weighted by
+Terms are all words (runs of letters, lower-cased) of the labelled examples. A document is its terms'
+(1 + log tf) * idf * (1 + max(0, z - 2)), at unit length; z is by how many standard errors a term's log odds ratio between toxic
+and other examples is above 0, so terms without evidence keep their plain TF-IDF weight and those that mark the label count for
+more (plain TF-IDF lets a long document's other words drown them; see the README). The index keeps each term's postings in
+blocks of 64 examples with the largest weight of each; a query sums these to a bound for every block, visits blocks from the
+highest bound down, and stops where no block can reach the k-th best cosine, so the k nearest are exact. Votes are weighted by
 1 / (0.05 + distance); documents that share no term with any example get the rate among examples without terms. Scores are
 calibrated by isotonic regression on the examples' own scores, each found without itself.
 
-Fitting takes at most `max_rows` labelled documents, those of smallest hashed doc_id, and at most `max_terms` terms; so
-the index that every task gets is bounded. Whether a row may be learned from is up to the caller (`learnable`).
+Fitting takes at most `max_rows` labelled documents, those of smallest hashed doc_id, so the index that every task gets is
+bounded by that sample; no term of it is left out. Whether a row may be learned from is up to the caller (`learnable`).
 
 Nulls and odd rows: null text is empty, without terms; labels with null doc_id or null toxic are not used; a doc_id that is
 labelled twice counts as toxic if either is; with no usable labels every score is 0; repeated rows each have a row; an
@@ -18,7 +19,6 @@ empty table gives an empty result; columns that clash with computed ones are rep
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -29,14 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_ROWS, MAX_TERMS, NEAREST, BLOCK = 20_000, 8_192, 15, 64
+MAX_ROWS, NEAREST, BLOCK = 4_000, 15, 64
 _word = re.compile(r"[^\W\d_]+")
 
 
-def parts(word: str) -> list[str]:
-    return [f"={word}", *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k)]
-
-
 def words(text: str) -> Counter:
     return Counter(_word.findall(text.lower()))
 
@@ -44,23 +40,24 @@ def words(text: str) -> Counter:
 class Index:
     """Postings of unit vectors by term and block, with the largest weight of each."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
-        """vectors: (terms, weights) of each example; its place in the list is its name."""
-        strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        self.names = np.array(sorted(range(len(vectors)), key=lambda i: (strongest[i], i)), np.int64)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        """vectors: (terms below n_terms, weights) of each example; its place in the list is its name."""
+        held = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=n_terms)
+        likeness = [(int(t[np.argmax(held[t])]), int(t[np.argmax(w)])) if len(t) else (-1, -1) for t, w in vectors]
+        self.names = np.array(sorted(range(len(vectors)), key=lambda i: (likeness[i], i)), np.int64)  # by commonest term (the language, mostly), then by strongest
         self.blocks = len(vectors) // block + 1
         lists = [vectors[i] for i in self.names]
         term = np.concatenate([t for t, _ in lists] or [np.zeros(0, np.int64)]).astype(np.int64)
         doc = np.repeat(np.arange(len(lists)), [len(t) for t, _ in lists])
         weight = np.concatenate([w for _, w in lists] or [np.zeros(0)]).astype(np.float64)
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
         keys = term[order] * self.blocks + self.doc // block
         groups, self.start = np.unique(keys, return_index=True)
         self.end = np.append(self.start[1:], len(keys))
         self.high = np.maximum.reduceat(self.weight, self.start) if len(keys) else np.zeros(0)
         self.block_of, terms = groups % self.blocks, groups // self.blocks
-        self.first = np.searchsorted(terms, np.arange(MAX_TERMS + 1))
+        self.first = np.searchsorted(terms, np.arange(n_terms + 1))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Names and cosines of the k nearest (ties by name's order in the index), without `skip`."""
@@ -79,10 +76,10 @@ class Index:
             g, s = groups[own], share[own]
             n = self.end[g] - self.start[g]
             spots = np.repeat(self.start[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            docs, where = np.unique(self.doc[spots], return_inverse=True)
-            sums = np.bincount(where, np.repeat(s, n) * self.weight[spots])
-            real = self.names[docs] != skip
-            best, cosine = np.append(best, docs[real]), np.append(cosine, sums[real])
+            sums = np.bincount(self.doc[spots], np.repeat(s, n) * self.weight[spots], len(self.names))
+            docs = np.flatnonzero(sums > (cosine[-1] - 1e-12 if len(best) == k else 0.0))
+            docs = docs[self.names[docs] != skip]
+            best, cosine = np.append(best, docs), np.append(cosine, sums[docs])
             keep = np.lexsort((best, -cosine))[:k]
             best, cosine = best[keep], cosine[keep]
             at, step = at + step, step * 2
@@ -104,31 +101,26 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     """What tasks get: terms, idf, the index, labels and calibration."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, toxic: np.ndarray, vectors: list, nearest: int = NEAREST):
+    def __init__(self, terms: list[str], factor: np.ndarray, strong: np.ndarray, ids: list, toxic: np.ndarray, vectors: list, nearest: int = NEAREST):
+        """factor: what a term's (1 + log tf) is multiplied with; strong: by how much the label alone raises that."""
         self.place = {t: i for i, t in enumerate(terms)}
-        self.terms, self.idf, self.ids, self.toxic, self.nearest = terms, idf, ids, toxic, nearest
-        self.index = Index(vectors)
+        self.terms, self.factor, self.strong, self.ids, self.toxic, self.nearest = terms, factor, strong, ids, toxic, nearest
+        self.index = Index(vectors, len(terms))
         self.rate = float(toxic.mean()) if len(toxic) else 0.0
         bare = np.array([len(t) == 0 for t, _ in vectors], bool)
         self.bare = (float(toxic[bare].sum()) + self.rate) / (float(bare.sum()) + 1) if len(toxic) else 0.0
         self.points = None
-        self.known: dict[str, tuple[int, ...]] = {}
         self.memo: dict[bytes, tuple] = {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts: dict[int, int] = {}
-        known = self.known
-        if len(known) > 100_000:
-            known.clear()
-        for word, n in words(text).items():
-            at = known.get(word)
-            if at is None:
-                at = known[word] = tuple(self.place[p] for p in parts(word) if p in self.place)
-            for t in at:
-                counts[t] = counts.get(t, 0) + n
-        terms = np.array(sorted(counts), np.int64)
-        weights = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms.tolist()])
-        return terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
+        found = {at: n for w, n in words(text).items() if (at := self.place.get(w)) is not None}
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(terms)
+        terms, counts = terms[order], counts[order]
+        weights = (1 + np.log(counts)) * self.factor[terms]
+        return terms, weights / np.sqrt((weights**2).sum())
 
     def votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         names, cosine = self.index.top(terms, weights, self.nearest, skip)
@@ -145,7 +137,7 @@ class Classifier:
             if len(self.memo) > 4_000:
                 self.memo.clear()
             raw, names, cosine = self.votes(terms, weights)
-            if self.points is not None:
+            if self.points is not None and len(names):
                 raw = 0.98 * float(np.interp(raw, *self.points)) + 0.02 * raw
             self.memo[key] = raw, names, cosine
         return *self.memo[key], terms
@@ -156,7 +148,7 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, least: int = 3, z: float = 4.0, ratio: float = 3.0, nearest: int = NEAREST) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: int = NEAREST) -> Classifier:
     """labels: doc_id, toxic (0 or 1), already reduced to rows that may be learned from."""
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -177,20 +169,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
-                got[int(toxic == 1)].update({p for w in words(text) for p in parts(w)})
+                got[int(toxic == 1)].update(words(text).keys())
                 if len(got[0]) + len(got[1]) > 100_000:
                     yield made()
         if got[0] or got[1]:
             yield made()
 
-    counted = train.select("text", "_toxic").mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= least)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (n1 - F.col("a") + 0.5)) - F.log(b / (n0 - F.col("b") + 0.5))
-    counted = counted.withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter((F.col("z") >= z) & ((a / (n1 + 1)) >= ratio * b / (n0 + 1)))
-    rows = counted.orderBy(F.desc("z"), "term").limit(max_terms).collect() if n1 and n0 else []
-    terms = [r.term for r in rows]
-    idf = np.array([math.log((1 + n1 + n0) / (1 + r.a + r.b)) + 1 for r in rows])
-    maker = Classifier(terms, idf, [], np.zeros(0), [], nearest)
+    counted = train.select("text", "_toxic").mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = counted.toArrow().sort_by("term")  # the terms of max_rows documents
+    terms, a, b = rows.column("term").to_pylist(), rows.column("a").to_numpy() + 0.5, rows.column("b").to_numpy() + 0.5
+    odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
+    strong = np.maximum(0, odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 1) + 1 / (n0 - b + 1)) - 2) if n1 and n0 else np.zeros(len(terms))
+    factor = (np.log((1 + n1 + n0) / (a + b)) + 1) * (1 + strong)
+    maker = Classifier(terms, factor, strong, [], np.zeros(0), [], nearest)
     shared = docs.sparkSession.sparkContext.broadcast(maker)
 
     def vectors(batches):
@@ -200,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
 
     got = train.select("_id", "_toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id")  # max_rows rows
     ids, toxic = got.column("id").to_pylist(), (got.column("toxic").to_numpy() == 1).astype(float)
-    model = Classifier(terms, idf, ids, toxic, [(np.array(t, np.int64), np.array(w)) for t, w in zip(got.column("terms").to_pylist(), got.column("weights").to_pylist(), strict=True)], nearest)
+    model = Classifier(terms, factor, strong, ids, toxic, [(np.array(t, np.int64), np.array(w)) for t, w in zip(got.column("terms").to_pylist(), got.column("weights").to_pylist(), strict=True)], nearest)
     if len(ids) >= 50:
         place = {d: i for i, d in enumerate(ids)}
         shared_model, shared_place = (docs.sparkSession.sparkContext.broadcast(x) for x in (model, place))
@@ -218,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with score, predicted (1 if score >= 0.5) and evidence: terms found and nearest examples (doc_id, cosine, toxic)."""
+    """docs with score, predicted (1 if score >= 0.5) and evidence: terms found that mark the label and nearest examples (doc_id, cosine, toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted", "evidence")
     names = kept.columns
@@ -235,7 +226,8 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     score, near, cosine, terms = own.score(text or "")
                     scores.append(score)
-                    evidence.append({"terms": [own.terms[t] for t in terms[:8].tolist()], "nearest": [{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.toxic[i])} for i, c in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True)]})
+                    marks = terms[np.argsort(-own.strong[terms], kind="stable")][:8]
+                    evidence.append({"terms": [own.terms[t] for t in marks.tolist() if own.strong[t] > 0], "nearest": [{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.toxic[i])} for i, c in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True)]})
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
 
     return kept.mapInArrow(run, schema)
