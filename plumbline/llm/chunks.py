@@ -27,11 +27,12 @@ def chunks(text: str) -> list[str]:
 class Remembered(dict):
     """Chunk -> encoded bytes, for one Python worker; keeps at most about `limit` entries of at most 64 characters."""
 
-    def __init__(self, encode_many, limit: int = 250_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many, limit: int = 250_000, whole=None):
+        """whole: a pattern; texts in which it is found are not cut."""
+        self.encode_many, self.limit, self.whole = encode_many, limit, whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(x) for x in texts]
+        cut = [[x] if self.whole and self.whole.search(x) else chunks(x) for x in texts]
         new = [c for c in set().union(*cut) if c not in self]
         self.update(zip(new, self.encode_many(new), strict=True))
         out = [b"".join(map(self.__getitem__, x)) for x in cut]

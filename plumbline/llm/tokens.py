@@ -38,13 +38,15 @@ _encoders: dict = {}
 
 def _encoder(path: str, width: int) -> Remembered:
     """One per Python worker. Chunks without a line feed are encoded in one call, joined by line feeds, which the
-    pre-tokenizer cuts off from the space that begins a chunk."""
+    pre-tokenizer cuts off from the space that begins a chunk. A text that has one of the tokenizer's added tokens in it,
+    such as its end mark, is one chunk: the library finds these before it cuts."""
     if (path, width) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = sorted((x.content for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        special = re.compile("|".join(map(re.escape, special))) if special else None
         tokenizer.model._resize_cache(0)  # no chunk comes twice
         kind = f"<u{width}"
         (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
@@ -52,7 +54,7 @@ def _encoder(path: str, width: int) -> Remembered:
 
         def many(new: list[str]) -> list[bytes]:
             out = {"": b""}
-            joined = [c for c in new if plain(c)]
+            joined = [c for c in new if plain(c) and not (special and special.search(c))]
             groups = [joined[at : at + 50] for at in range(0, len(joined), 50)]
             for some, coded in zip(groups, tokenizer.encode_batch_fast(["\n".join(x) for x in groups], add_special_tokens=False), strict=True):
                 ids = np.array([*coded.ids, line_feed], dtype=kind)
@@ -65,7 +67,7 @@ def _encoder(path: str, width: int) -> Remembered:
                 out[c] = np.array(e.ids, dtype=kind).tobytes()
             return [out[c] for c in new]
 
-        _encoders[path, width] = Remembered(many, 800_000)
+        _encoders[path, width] = Remembered(many, 800_000, special)
     return _encoders[path, width]
 
 
