@@ -6,9 +6,9 @@ import pytest
 
 from plumbline.llm import bpe, tokens, warc
 from plumbline.llm.chunks import chunks
-from plumbline.llm.common import scratch
+from plumbline.llm.common import file_system, scratch
 
-ODD = ["", "a", " ", "  ", "a  b", "a   b \n c", "tab\t x", " lead", "trail ", "trail  ", "x\n\n  y", "don't  it's", "naïve Ünïcödé 漢字 🙂🙂", "\x1c \x85 y", "1234 5678", "!! ## <|endoftext|>", "ab" * 300, "　 x", "\n a", "a \nb"]
+ODD = ["", "a", " ", "  ", "a  b", "a   b \n c", "tab\t x", " lead", "trail ", "trail  ", "x\n\n  y", "don't  it's", "naïve Ünïcödé 漢字 🙂🙂", "\x1c \x85 y", "1234 5678", "!! ## <|endoftext|>", "<|endoftext|>", "a <|endoftext|> b\n<|endoftext|>.", "<|endoftext|> <|endoftext|>x", "ab" * 300, "　 x", "\n a", "a \nb"]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,6 @@ def test_token_files_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)] + [(None, None, "z")], "doc_id long, text string, part string")
     for width, end in ((2, 0), (4, 50256)):
         dest = scratch(spark, "t")
@@ -77,6 +76,30 @@ def test_archives_round_trip(spark):
     assert (by[9].refers_to, by[4].record_type, by[4].payload_bytes) == (4, "response", 0)
     assert bytes(by[7].payload).decode() == rows[5][2] and by[7].payload_digest == warc.base32_sha1(rows[5][2].encode())
     assert by[5].payload_bytes == 8 and by[5].payload_digest == by[3].payload_digest
+    assert by[9].url == "u\r\nX: y" and by[5].url == "http://a"
+    heads, (files, folder) = [], file_system(dest)
+    for x in spark.read.parquet(f"{dest}/manifest").collect():
+        with files.open_input_stream(f"{folder}/{x.path}") as f:
+            own = [warc.parse(raw)[0] for raw in warc.frames(f)]
+        assert own[0]["WARC-Type"] == "warcinfo" and own[0]["WARC-Filename"] == x.path and all(h["WARC-Type"] != "warcinfo" for h in own[1:])
+        heads += own
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) and all(h["WARC-Date"] == warc.DATE for h in heads)
+    assert all(h["WARC-Refers-To"] in ids for h in heads if h["WARC-Type"] == "revisit") and all("\r" not in h.get("WARC-Target-URI", "") for h in heads)
     dest = scratch(spark, "w")
     warc.write_archives(pages.limit(0), dest)
     assert warc.read_archives(spark, dest).count() == 0
+
+
+def test_pages_that_share_an_id(spark):
+    """Unequal payloads under one page_id, and equal ones, against plain grouping."""
+    rows = [(i % 7, f"http://h/{i}", f"<p>{i % 5}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    dest = scratch(spark, "w")
+    warc.write_archives(pages, dest)
+    got = {r.url: r for r in warc.read_archives(spark, dest, with_payload=True).collect()}
+    assert len(got) == len(rows)
+    for i, url, text in rows:
+        first = min(j for j, _, x in rows if x == text)
+        assert (got[url].page_id, got[url].record_type, got[url].refers_to) == (i, "response" if i == first else "revisit", None if i == first else first)
+        assert got[url].payload_digest == warc.base32_sha1(text.encode())
