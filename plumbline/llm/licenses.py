@@ -1,9 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of digits, a-z and non-ASCII characters after lower-casing (no other character lower-cases into or out
-of that class). A block is a window of 2 * L words that begins at a multiple of L, so that any passage of up to L words
-stands whole in some block; L is 16 for templates of up to 16 words and 64 for longer ones. A block matches a template
-if it holds at least `threshold` of the template's distinct words.
+Words are runs of digits, a-z and non-ASCII characters after lower-casing A-Z. A block is a window of 2 * L words that begins
+at a multiple of L, so that any passage of up to L words stands whole in some block; L is 16 or, for longer templates, the next
+power of 4 from a template's words on (64, 256, 1024 ...), so whole license texts match as well. A block matches a template if it holds at
+least `threshold` of the template's distinct words.
 
 The join, exact: template tokens are ordered by how many documents hold them, rarest first. A block that holds
 `needed` of a template's n tokens holds one of its first n - needed + 1 (prefix filter); it has at least `needed`
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.9
 
@@ -44,6 +45,13 @@ TEMPLATES = [
 ]
 
 
+def step_of(words: int) -> int:
+    step = 16
+    while step < words:
+        step *= 4
+    return step
+
+
 def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -54,7 +62,7 @@ def _joined(labels: Column) -> Column:
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (label, first word, share of the template) of every row of docs (doc_id, text)."""
-    lower = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    lower = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     parsed = [(label, len(text.split()), sorted(set(text.split()))) for label, text in templates]
     vocabulary = sorted({w for _, _, words in parsed for w in words})
 
@@ -79,7 +87,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     for t, (label, length, words) in enumerate(parsed):
         ranked = sorted(words, key=place.get)
         needed = math.ceil(threshold * len(ranked) - 1e-9)
-        step = 16 if length <= 16 else 64
+        step = step_of(length)
         rows.append(F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(step).alias("step"), F.lit(needed).alias("needed"), _strings(ranked).alias("tokens")))
         firsts += [F.struct(F.lit(t).alias("t"), F.lit(w).alias("token"), F.lit(i).alias("i"), F.lit(step).alias("step"), F.lit(needed).alias("needed"), F.lit(len(ranked)).alias("n")) for i, w in enumerate(ranked[: len(ranked) - needed + 1])]
     if not rows:
@@ -89,7 +97,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     prefixes = spark.range(1).select(F.inline(F.array(*firsts)))
 
     # blocks around words of some template's prefix, in documents that contain such a word
-    by_step = {s: sorted({x for t, (_, n, words) in enumerate(parsed) if (16 if n <= 16 else 64) == s for x in sorted(words, key=place.get)[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1]}) for s in (16, 64)}
+    by_step = {s: sorted({x for t, (_, n, words) in enumerate(parsed) if step_of(n) == s for x in sorted(words, key=place.get)[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1]}) for s in sorted({step_of(n) for _, n, _ in parsed})}
     rare = sorted({w for x in by_step.values() for w in x})
     some = lower.filter(F.coalesce(_any(F.contains("_text", F.lit(w)) for w in rare), F.lit(False)))
     some = some.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
@@ -143,14 +151,15 @@ def sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> s
     hits = ", ".join(f"[i FOR i IN range(0, greatest(0, n_words - {len(p.split())} + 1)) IF " + " AND ".join(f"words[i + {j + 1}] = '{w}'" for j, w in enumerate(p.split())) + f"] AS a{k}" for k, (p, _) in enumerate(phrases))
     base = "list_filter([" + ", ".join(f"CASE WHEN len(a{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases)) + "], lambda x: x IS NOT NULL)"
     each = "list_concat(" * (len(phrases) - 1) + "a0" + "".join(f", a{k})" for k in range(1, len(phrases)))
-    values = ", ".join(f"('{label}', {16 if len(t.split()) <= 16 else 64}, {math.ceil(threshold * len(set(t.split())) - 1e-9)}, {quoted(sorted(set(t.split())))})" for label, t in templates)
+    values = ", ".join(f"('{label}', {step_of(len(t.split()))}, {math.ceil(threshold * len(set(t.split())) - 1e-9)}, {quoted(sorted(set(t.split())))})" for label, t in templates)
+    steps = ", ".join(f"({s})" for s in sorted({step_of(len(t.split())) for _, t in templates}))
     return rf"""
-WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 n AS (SELECT *, len(words)::BIGINT AS n_words FROM w),
 h AS (SELECT *, {hits} FROM n),
 b AS (SELECT rid, doc_id, n_words, {each} AS every, {base} AS base FROM h),
 templates(label, step, needed, tokens) AS (VALUES {values}),
-blocks AS (SELECT rid, step, list_distinct(words[k * step + 1 : k * step + 2 * step]) AS block FROM (SELECT rid, words, step, unnest(range(0, (n_words + step - 1) // step)) AS k FROM n, (VALUES (16), (64)) s(step))),
+blocks AS (SELECT rid, step, list_distinct(words[k * step + 1 : k * step + 2 * step]) AS block FROM (SELECT rid, words, step, unnest(range(0, (n_words + step - 1) // step)) AS k FROM n, (VALUES {steps}) s(step))),
 found AS (SELECT rid, label, len(list_intersect(block, tokens)) / len(tokens) AS share FROM blocks JOIN templates USING (step) WHERE len(list_intersect(block, tokens)) >= needed),
 f AS (SELECT rid, max(share) AS share, list(label) AS labels FROM found GROUP BY rid)
 SELECT doc_id, n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
