@@ -68,6 +68,16 @@ def unpacked(text: Column) -> Column:
     return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(value)
 
 
+def _below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below a value: first among every n-th of n * n, then in the n of that place."""
+    if not cuts:
+        return F.lit(0)
+    n = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + n] for i in range(0, len(cuts), n)]
+    upto = F.size(F.filter(F.lit([x[-1] for x in parts]), lambda c: c < value))
+    return upto * n + F.size(F.filter(F.coalesce(F.get(F.lit(parts), upto), F.array().cast("array<bigint>")), lambda c: c < value))
+
+
 def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, parts: int | None = None) -> DataFrame:
     """derive(docs) (doc_id, columns) with next_<column>: the next row's, by ascending doc_id; after the last, the first's.
 
@@ -77,7 +87,7 @@ def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, parts:
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)))
-    run = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit([int(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col("doc_id"))))
+    run = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_below(F.col("doc_id"), [int(c) for c in cuts]))
     own = derive(docs).withColumn("_run", run).withColumn("_end", F.lit(False))
     runs = docs.withColumn("_run", run).groupBy("_run").agg(F.min("doc_id").alias("_first"))
     back = Window.orderBy("_run")  # a row per run

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -62,6 +63,30 @@ def test_licenses_equal_every_block(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_license_texts_and_other_letters(spark):
+    words = [f"w{i}" for i in range(170)]  # a template of more words than a small window holds
+    rows = [(1, "pre " * 77 + " ".join(words) + " post " * 50, "a"), (2, " ".join(words[:140]), "a"), (3, "mit LİCENSE and MİT license, MIT LICENSE", "a"), (4, "\u212a mit license", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    templates = [*licenses.TEMPLATES, ("whole", " ".join(words))]
+    got = {r.doc_id: r for r in licenses.scan(df, templates=templates).collect()}
+    assert (got[1].labels, got[2].labels, got[3].n_base, got[4].n_words) == ("whole", "", 1, 3)
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert ordered(licenses.scan(df, templates=templates).select(*cols).collect()) == duck(rows, licenses.sql(templates=templates))
+
+
+def test_apportionment_equals_a_queue_of_quotients(spark):
+    """Seats of sources against Sainte-Lague by plain highest quotients, one at a time."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 400), rng.choice("aaaaaabbbcdefgh")) for i in range(900)]
+    sized = spark.createDataFrame([(i, len(t.split()), s) for i, t, s in rows], "doc_id long, size long, source string")
+    got = mixing.sources(sized).orderBy("rank").collect()
+    total, seats = int(1.5 * sum(r.source_size for r in got) / got[0].block + 0.5), [0] * len(got)
+    for _ in range(total):
+        best = max(range(len(got)), key=lambda i: (got[i].target / (2 * seats[i] + 1), -i))
+        seats[best] += 1
+    assert [r.seats for r in got] == seats
+
+
 def sketch(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -91,3 +116,10 @@ def test_fingerprints(spark):
     whole = fp.merged(fp.with_sketch(df.drop("sketch")).withColumn("g", fp.F.lit(1)), ["g"]).first().sketch
     assert whole == sorted({h for t in [*texts, "null id"] for h in sketch(t)})[:128]
     assert fp.edited_fingerprints(df.limit(0)).count() == 0
+
+
+def test_cuts(spark):
+    for n in (0, 1, 2, 7, 16, 50):
+        cuts = [3 * i for i in range(n)]
+        got = spark.range(-2, 3 * n + 3).select("id", fp._below(fp.F.col("id"), cuts).alias("k")).collect()
+        assert all(r.k == sum(c < r.id for c in cuts) for r in got)
