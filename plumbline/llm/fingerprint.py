@@ -75,7 +75,8 @@ def _below(value: Column, cuts: list[int]) -> Column:
     n = max(1, int(len(cuts) ** 0.5))
     parts = [cuts[i : i + n] for i in range(0, len(cuts), n)]
     upto = F.size(F.filter(F.lit([x[-1] for x in parts]), lambda c: c < value))
-    return upto * n + F.size(F.filter(F.coalesce(F.get(F.lit(parts), upto), F.array().cast("array<bigint>")), lambda c: c < value))
+    within = F.size(F.filter(F.coalesce(F.get(F.lit(parts), upto), F.array().cast("array<bigint>")), lambda c: c < value))
+    return F.least(upto * n + within, F.lit(len(cuts)))
 
 
 def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, parts: int | None = None) -> DataFrame:
