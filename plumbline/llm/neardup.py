@@ -314,9 +314,9 @@ def _links_of_group(ids: list[int], texts: list[str], percent: int) -> list[tupl
     row, column, both = row[some], place[column[some]], np.zeros((len(sets), len(sets)))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for lo in range(0, int(shared.sum()), 8192):  # so many shingles at a time
-        i, j = np.searchsorted(column, [lo, lo + 8192])
-        x = np.zeros((len(sets), 8192), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):  # so many shingles at a time
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        x = np.zeros((len(sets), 4096), np.float32)
         x[row[i:j], column[i:j] - lo] = 1
         both += x @ x.T
     labels = _labels((100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (sizes[:, None] > 0))
@@ -334,7 +334,7 @@ def confirmed(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             for g, i, t in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "text")), strict=True):
                 if g != group:
                     if len(held) > 1:
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, recall: float = 0.9999,
         members = stored(members, "members")
         if members.isEmpty():
             return whole
-        asked = members.select("id").distinct().join(same.select("id", "text_key"), "id")
+        asked = stored(same.select("id", "text_key").join(members.select("id").distinct(), "id"), "asked")
         texts = _texts(docs).join(asked.select(F.col("id").alias("doc_id"), "text_key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text")
         links = stored(confirmed(texts, members, percent), "links")
         if links.isEmpty():

@@ -37,8 +37,8 @@ ORDER, BITS = 4, 16
 BANDS = {"log_perplexity": ("word_chars", 3.0, 1.0, 0.02), "word_log_perplexity": ("n_words", 4.0, 4.0, 0.02)}
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-HELD = 24_000_000
-_models: dict[tuple[str, str], Model] = {}
+HELD = 12_000_000
+_models: dict[tuple[str, int], Model] = {}
 
 
 def _low(n: int) -> np.uint64:
@@ -76,14 +76,14 @@ def count_ngrams(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     """band, key, n over all documents: n-grams of the highest order. A task sums them up to `most` distinct ones at a time."""
 
     def count(batches):
-        held: dict[str, tuple[list, list, int]] = {}
+        held: dict[int, tuple[list, list, int]] = {}
 
         def made():
             for band, (keys, counts, _) in held.items():
                 keys, counts = _summed(keys, counts)
                 for lo in range(0, len(keys), 100_000):
                     some = keys[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([band] * len(some)), pa.array(some.view(np.int64)), pa.array(counts[lo : lo + 100_000])], names=["band", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), band)), pa.array(some.view(np.int64)), pa.array(counts[lo : lo + 100_000])], names=["band", "key", "n"])
             held.clear()
 
         for batch in batches:
@@ -102,13 +102,13 @@ def count_ngrams(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
                     yield from made()
         yield from made()
 
-    each = docs.select("text", band_of(docs).alias("band")).mapInArrow(count, "band string, key long, n long")
+    each = docs.select("text", band_of(docs).alias("band")).mapInArrow(count, "band long, key long, n long")
     return each.groupBy("band", "key").agg(F.sum("n").alias("n"))
 
 
 def band_of(docs: DataFrame):
-    """A language's name in folders: its SHA-1, or "none"."""
-    return F.coalesce(F.sha1(F.col("lang").cast("string").cast("binary")), F.lit("none")) if "lang" in docs.columns else F.lit("none")
+    """A language's number: a hash of lang; null has one of its own."""
+    return F.xxhash64(F.col("lang").cast("string")) if "lang" in docs.columns else F.xxhash64(F.lit(None).cast("string"))
 
 
 class Model:
@@ -133,8 +133,8 @@ class Model:
             lower = np.exp(self.find(n - 1, keys & _low(n - 1)))
             self.keys[n], self.contexts[n] = keys, contexts
             with np.errstate(divide="ignore"):
-                self.logp[n] = np.log((counts - taken) / np.maximum(total[where], 1) + weight[where] * lower)
-                self.logw[n] = np.log(weight)
+                self.logp[n] = np.log((counts - taken) / np.maximum(total[where], 1) + weight[where] * lower).astype(np.float32)
+                self.logw[n] = np.log(weight).astype(np.float32)
 
     def find(self, n: int, keys: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams of order n; an n-gram never seen has its context's weight times that of order n - 1."""
@@ -165,7 +165,7 @@ def train(docs: DataFrame) -> str:
     return dest
 
 
-def model_of(dest: str, band: str) -> Model | None:
+def model_of(dest: str, band: int) -> Model | None:
     """A band's model, made once in a Python worker; those used last stay, up to HELD n-grams."""
     if (dest, band) in _models:
         _models[dest, band] = _models.pop((dest, band))
@@ -217,10 +217,10 @@ MADE = [*COUNTS, "band", *BANDS, "base_failed", "kept"]
 
 
 def with_figures(docs: DataFrame, dest: str) -> DataFrame:
-    """docs with the rules' counts, band (a name of the language) and the figures; dest: the folder of the n-gram counts."""
+    """docs with the rules' counts, band (a number of the language) and the figures; dest: the folder of the n-gram counts."""
     kept = docs.drop(*MADE)
     names = kept.columns
-    schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + ["band string"] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in BANDS])
+    schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + ["band long"] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in BANDS])
 
     def run(batches):
         for batch in batches:

@@ -68,7 +68,7 @@ class Index:
         bound = np.bincount(self.block_of[groups], share * self.high[groups], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, self.blocks // 4)
         while at < len(order) and (len(best) < k or bound[order[at]] >= cosine[-1] - 1e-12):
             chosen = np.zeros(self.blocks, bool)
             chosen[order[at : at + step]] = True
@@ -208,26 +208,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
     return model
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with score, predicted (1 if score >= 0.5) and evidence: terms found that mark the label and nearest examples (doc_id, cosine, toxic)."""
+def scored(docs: DataFrame, model: Classifier, evidence: bool = True) -> DataFrame:
+    """docs with score, predicted (1 if score >= 0.5) and, if asked for, evidence: terms found that mark the label and nearest examples (doc_id, cosine, toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted", "evidence")
     names = kept.columns
     example = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
     kind = pa.struct([("terms", pa.list_(pa.string())), ("nearest", pa.list_(example))])
-    schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + ["score double", "predicted int", "evidence struct<terms:array<string>,nearest:array<struct<doc_id:bigint,cosine:double,toxic:int>>>"])
+    schema = [f"`{n}` {t}" for n, t in kept.dtypes] + ["score double", "predicted int"] + ["evidence struct<terms:array<string>,nearest:array<struct<doc_id:bigint,cosine:double,toxic:int>>>"] * evidence
+
+    def told(own: Classifier, near: np.ndarray, cosine: np.ndarray, terms: np.ndarray) -> dict:
+        marks = terms[np.argsort(-own.strong[terms], kind="stable")][:8]
+        return {"terms": [own.terms[t] for t in marks.tolist() if own.strong[t] > 0], "nearest": [{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.toxic[i])} for i, c in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True)]}
 
     def run(batches):
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                scores, evidence = [], []
-                for text in part.column("text").to_pylist():
-                    score, near, cosine, terms = own.score(text or "")
-                    scores.append(score)
-                    marks = terms[np.argsort(-own.strong[terms], kind="stable")][:8]
-                    evidence.append({"terms": [own.terms[t] for t in marks.tolist() if own.strong[t] > 0], "nearest": [{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.toxic[i])} for i, c in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True)]})
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)], names=[*names, "score", "predicted", "evidence"])
-
-    return kept.mapInArrow(run, schema)
+                found = [own.score(text or "") for text in part.column("text").to_pylist()]
+                scores = [x[0] for x in found]
+                more = [pa.array([told(own, *x[1:]) for x in found], kind)] if evidence else []
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *more], names=[*names, "score", "predicted", *["evidence"] * evidence])
+
+    return kept.mapInArrow(run, ", ".join(schema))

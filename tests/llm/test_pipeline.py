@@ -53,3 +53,17 @@ def test_near_copies_from_0_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {d for d, _ in rows if d % 4 != 1}
+
+
+def test_rows_without_an_id_and_with_one_id(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a, "x"), (None, a, "y"), (None, b, "z"), (None, b.upper(), "z"), (7, c, "p"), (7, d, "q"), (7, c, "r"), (8, d, "s"), (None, None, "n"), (None, "", "m"), (9, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), "").collect()), key=str) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    ids = [r[0] for r in runs[0]]
+    assert ids.count(5) == 1 and ids.count(7) == 1 and 8 not in ids and 9 in ids
+    bare = [r[1] for r in runs[0] if r[0] is None]
+    assert a not in bare and sum((x or "").lower() == b for x in bare) == 1 and None in bare and "" in bare and len(bare) == 3

@@ -1,5 +1,4 @@
 import collections
-import hashlib
 import math
 import random
 import re
@@ -46,8 +45,9 @@ def test_model_sums_to_one_and_equals_plain_python(spark):
     texts = ["".join(rng.choice("aаb c漢") for _ in range(80)) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "xx" if i % 4 else None, "clash") for i, t in enumerate(texts)], "doc_id long, text string, lang string, band string")
     dest = q.train(docs)
-    band = hashlib.sha1(b"xx").hexdigest()
-    assert q.model_of(dest, "none") and q.model_of(dest, "unseen") is None
+    bands = {r.lang: r.band for r in docs.select("lang", q.band_of(docs).alias("band")).distinct().collect()}
+    band = bands["xx"]
+    assert q.model_of(dest, bands[None]) and q.model_of(dest, 77) is None
     model = q.model_of(dest, band)
     counts = collections.Counter(k for i, t in enumerate(texts) if i % 4 for k in q.char_keys([t])[0].tolist())
     grams, low = {4: dict(counts)}, lambda n: (1 << 16 * n) - 1
@@ -74,9 +74,9 @@ def test_model_sums_to_one_and_equals_plain_python(spark):
 
     letters = sorted(grams[1])
     some = rng.sample(sorted(counts), 20) + [sum(rng.choice(letters) << 16 * j for j in range(4)) for _ in range(20)]
-    assert np.allclose(model.find(4, np.array(some, np.uint64)), [math.log(p(4, k)) for k in some])
+    assert np.allclose(model.find(4, np.array(some, np.uint64)), [math.log(p(4, k)) for k in some], atol=1e-5)
     for context in (some[0] >> 16, some[30] >> 16):  # and one character that was never seen
-        assert abs(np.exp(model.find(4, np.array([context << 16 | w for w in [*letters, 9999]], np.uint64))).sum() - 1) < 1e-9
+        assert abs(np.exp(model.find(4, np.array([context << 16 | w for w in [*letters, 9999]], np.uint64))).sum() - 1) < 1e-5
 
 
 def test_partitions_do_not_matter(spark):
@@ -96,7 +96,7 @@ def test_partitions_do_not_matter(spark):
 def test_each_language_has_a_model(spark):
     rng = random.Random(12)
     rows = [(k * 40 + i, " ".join(rng.choice([f"w{k}{c}" for c in "abcdefghijkl"]) for _ in range(40)), f"l{k}") for k in range(25) for i in range(40)]
-    rows += [(9000 + k, " ".join("#%qx"[rng.randrange(4)] * 4 for _ in range(40)), f"l{k}") for k in range(25)]
+    rows += [(9000 + k, " ".join("".join(rng.choice("#%qxzjv&") for _ in range(6)) for _ in range(40)), f"l{k}") for k in range(25)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in q.judged(docs).filter("kept").collect()}
     assert sum(i >= 9000 for i in kept) <= 2 and len(kept) >= 0.98 * 1000
