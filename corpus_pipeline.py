@@ -24,7 +24,7 @@ def _apart(docs: DataFrame, names: list[str], step) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. Learns from the labels of these documents, but for those held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(toxicity.learnable(F.col("doc_id"))))
-    return _apart(docs, ["score", "predicted", "evidence"], lambda df: toxicity.scored(df, model).filter("predicted = 0"))
+    return _apart(docs, ["score", "predicted", "evidence"], lambda df: toxicity.scored(df, model, evidence=False).filter("predicted = 0"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
