@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 # SQL texts shared by several queries
 _CELLS = "CAST(floor((lon + 180) / 360 * 16384) AS INT) AS cell_x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS INT) AS cell_y"
 _HN = r"regexp_replace(upper(trim(replace(replace({c}, '\', '/'), '-', '/'))), '^(\d{{1,2}}) ([A-Za-z])$', '\1\2')"
-_PRG = r"""prg AS (SELECT * REPLACE (regexp_replace(ulica, '^ul\. ', '') AS ulica) FROM gov_addresses WHERE lon IS NOT NULL)"""
+_PRG = r"""prg AS (SELECT * REPLACE (regexp_replace(ulica, '^(ulica|ul\.)\s+(\S)', '\2', 'i') AS ulica) FROM gov_addresses WHERE lon IS NOT NULL)"""
 _STREET = "coalesce((SELECT min(osm_street_name) FROM street_mappings m WHERE lower(m.prg_street_name) = lower(a.ulica) AND m.teryt_simc_code = a.teryt_miejscowosc), (SELECT min(osm_street_name) FROM street_mappings m WHERE lower(m.prg_street_name) = lower(a.ulica) AND m.teryt_simc_code IS NULL), a.ulica)"
 _SPHERE = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(o.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - s.lon) / 2), 2)))"
 _UNMATCHED = rf"""{prelude("gov_addresses", "osm_addresses", "street_mappings", "reports")}, {_PRG},
@@ -103,7 +103,7 @@ def area_ranking(spark, sf_dir):
     return stats.rank_areas(_prg(spark, sf_dir), _unmatched(spark, sf_dir), ["teryt_gmina"], per_page=10)
 
 
-@query(prelude("gov_addresses") + rf" SELECT lokalny_id, {_HN.format(c='numer_porzadkowy')} AS hn, regexp_replace(ulica, '^ul\. ', '') AS street, nullif(lower(trim(miejscowosc)), '') AS place FROM gov_addresses")
+@query(prelude("gov_addresses") + rf" SELECT lokalny_id, {_HN.format(c='numer_porzadkowy')} AS hn, regexp_replace(ulica, '^(ulica|ul\.)\s+(\S)', '\2', 'i') AS street, nullif(lower(trim(miejscowosc)), '') AS place FROM gov_addresses")
 def normalized_names(spark, sf_dir):
     (gov,) = views(spark, sf_dir, "gov_addresses")
     return gov.select("lokalny_id", text.norm_housenumber(F.col("numer_porzadkowy")).alias("hn"), text.strip_street_prefix(F.col("ulica")).alias("street"), text.norm_name(F.col("miejscowosc")).alias("place"))
@@ -176,12 +176,13 @@ def building_tags(spark, sf_dir):
 
 
 @query(prelude("gov_buildings") + """, p AS (SELECT c_custkey, 16e0 + (c_custkey * 37) % 8192 / 4096e0 AS lon, 50e0 + (c_custkey * 101 + CAST(floor(c_custkey / 8192e0) AS BIGINT)) % 8192 / 4096e0 AS lat FROM customer),
-d AS (SELECT c_custkey, id_budynku, sqrt(pow((lon - (x0 + x1) / 2) * 111319.49079327358 * cos(radians((lat + (y0 + y1) / 2) / 2)) / sqrt(1 - 0.00669437999014 * pow(sin(radians((lat + (y0 + y1) / 2) / 2)), 2)), 2)
-    + pow((lat - (y0 + y1) / 2) * 110574.27582159475 / pow(1 - 0.00669437999014 * pow(sin(radians((lat + (y0 + y1) / 2) / 2)), 2), 1.5), 2)) AS m FROM p JOIN gov_buildings ON abs(lon - (x0 + x1) / 2) < 0.001 AND abs(lat - (y0 + y1) / 2) < 0.001)
-SELECT c_custkey, id_budynku FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m, id_budynku) AS r FROM d WHERE m <= 30) WHERE r = 1""")
+k AS (SELECT *, radians(lat) AS r FROM p),
+d AS (SELECT c_custkey, id_budynku, round(sqrt(pow(greatest(x0 - lon, lon - x1, 0) * (111412.84 * cos(r) - 93.5 * cos(3 * r) + 0.118 * cos(5 * r)), 2) + pow(greatest(y0 - lat, lat - y1, 0) * (111132.92 - 559.82 * cos(2 * r) + 1.175 * cos(4 * r)), 2)), 6) AS m
+    FROM k JOIN gov_buildings ON lon BETWEEN x0 - 0.001 AND x1 + 0.001 AND lat BETWEEN y0 - 0.001 AND y1 + 0.001)
+SELECT c_custkey, id_budynku, round(m, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m, id_budynku) AS r FROM d WHERE m < 30) WHERE r = 1""")
 def nearest_buildings(spark, sf_dir):
     points = spark.sql("SELECT c_custkey, 16e0 + (c_custkey * 37) % 8192 / 4096e0 AS lon, 50e0 + (c_custkey * 101 + CAST(floor(c_custkey / 8192e0) AS BIGINT)) % 8192 / 4096e0 AS lat FROM {customer}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return enrich.nearest_building(points, _boxes(views(spark, sf_dir, "gov_buildings")[0], "centroid"), "c_custkey", "id_budynku", 30.0).select("c_custkey", "id_budynku")
+    return enrich.nearest_building(points, _boxes(views(spark, sf_dir, "gov_buildings")[0], "box"), "c_custkey", "id_budynku", 30.0).select("c_custkey", "id_budynku", F.round("metres", 3).alias("metres"))
 
 
 _AREAS = "areas AS (SELECT CAST(n_nationkey AS STRING) AS area, 16e0 + (n_nationkey % 5) * 0.375e0 AS x0, 50e0 + CAST(floor(n_nationkey / 5e0) AS BIGINT) * 0.375e0 AS y0 FROM nation)"
@@ -315,11 +316,11 @@ def way_geometry(spark, sf_dir):
     return osm.way_points(*views(spark, sf_dir, "ways", "nodes")).select("way", "n", "complete")
 
 
-@query(prelude("ways") + """, w AS (SELECT DISTINCT way FROM ways WHERE node % 50 = 7) SELECT 'way' AS kind, way AS id FROM w UNION ALL SELECT DISTINCT 'relation', o_custkey FROM orders WHERE o_orderkey IN (SELECT way FROM w)""")
+@query(prelude("ways", "changes") + """, w AS (SELECT DISTINCT way FROM ways WHERE node IN (SELECT id FROM changes WHERE kind = 'node')) SELECT 'way' AS kind, way AS id FROM w UNION ALL SELECT DISTINCT 'relation', o_custkey FROM orders WHERE o_orderkey IN (SELECT way FROM w)""")
 def propagated_changes(spark, sf_dir):
-    ways, nodes = views(spark, sf_dir, "ways", "nodes")
+    ways, changes = views(spark, sf_dir, "ways", "changes")
     members = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("rel"), F.col("o_orderkey").alias("way"))
-    return feed.propagate(nodes.filter("node % 50 = 7"), ways.select("way", "node"), members)
+    return feed.propagate(changes.filter("kind = 'node'").select(F.col("id").alias("node")), ways.select("way", "node"), members)
 
 
 @query(prelude("ways", "nodes") + """, p AS (SELECT way, count(lon) = count(*) AND count(*) >= 2 AS complete FROM ways LEFT JOIN nodes USING (node) GROUP BY way)
@@ -393,3 +394,57 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+@query(prelude("gov_addresses", "reports") + f""", {_PRG}, t AS (SELECT lokalny_id, EXISTS (SELECT 1 FROM reports r WHERE r.record_key = lokalny_id AND r.source = 'prg' AND r.status = 'active') AS reported FROM prg) SELECT * FROM t""")
+def flagged_addresses(spark, sf_dir):
+    return matching.flag_reported(_prg(spark, sf_dir).select("lokalny_id"), views(spark, sf_dir, "reports")[0], "prg", "lokalny_id")
+
+
+@query(prelude("gov_buildings", "osm_buildings") + " SELECT id_budynku, osm_id FROM gov_buildings b JOIN osm_buildings o ON (b.x0 + b.x1) / 2 > o.x0 AND (b.x0 + b.x1) / 2 < o.x1 AND (b.y0 + b.y1) / 2 > o.y0 AND (b.y0 + b.y1) / 2 < o.y1")
+def paired_buildings(spark, sf_dir):
+    """Register buildings whose centroid lies in a mapped one; centroids on a side count for neither engine."""
+    gov, osm_rows = views(spark, sf_dir, "gov_buildings", "osm_buildings")
+    pairs = enrich.register_pairs(_boxes(gov, "centroid"), _boxes(osm_rows, "box"), "id_budynku", "osm_id")
+    inner = osm_rows.select("osm_id", "x0", "y0", "x1", "y1")
+    points = gov.selectExpr("id_budynku", "(x0 + x1) / 2 AS cx", "(y0 + y1) / 2 AS cy")
+    return pairs.join(inner, "osm_id").join(points, "id_budynku").filter("cx > x0 AND cx < x1 AND cy > y0 AND cy < y1").select("id_budynku", "osm_id")
+
+
+@query(prelude("gov_buildings") + """, t AS (SELECT storeys, CASE o_custkey % 6 WHEN 0 THEN 'm' WHEN 1 THEN 'm' WHEN 2 THEN 'b' WHEN 3 THEN 'g' WHEN 4 THEN 'k' END AS a, o_custkey FROM orders JOIN gov_buildings ON id_budynku = 'b' || o_orderkey)
+SELECT storeys, count(*) AS n, count(*) FILTER (WHERE a IS NOT DISTINCT FROM CASE WHEN o_custkey % 2 = 0 THEN 'm' ELSE 'g' END) AS agreeing, count(*) FILTER (WHERE a IS NOT DISTINCT FROM CASE WHEN o_custkey % 2 = 0 THEN 'm' ELSE 'g' END)::DOUBLE / count(*) AS share FROM t GROUP BY storeys""")
+def class_agreement(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("'b' || CAST(o_orderkey AS STRING) AS id_budynku", "CASE WHEN o_custkey % 2 = 0 THEN 'm' ELSE 'g' END AS other")
+    rows = views(spark, sf_dir, "gov_buildings")[0].join(orders, "id_budynku").withColumn("code", text.class_code(F.col("rodzaj")))
+    return enrich.mapping_agreement(rows, "code", "other", ["storeys"])
+
+
+@query(prelude("gov_addresses") + f", {_PRG} SELECT min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1, bool_and(lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) AS ok FROM prg")
+def address_extent(spark, sf_dir):
+    return quality.grid_extent(_prg(spark, sf_dir))
+
+
+@query(prelude("gov_addresses", "changes") + f""", {_PRG}, t AS (SELECT cell_x >> 4 AS bin_x, cell_y >> 4 AS bin_y, count(*)::BIGINT AS total FROM (SELECT {_CELLS} FROM prg) GROUP BY ALL),
+c AS (SELECT cell_x >> 4 AS bin_x, cell_y >> 4 AS bin_y, floor(epoch(max(ts)))::BIGINT AS changed_at FROM (SELECT ts, {_CELLS} FROM changes) WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY ALL) SELECT bin_x, bin_y, total, coalesce(changed_at, 0) AS changed_at FROM t LEFT JOIN c USING (bin_x, bin_y)""")
+def bins_with_change_times(spark, sf_dir):
+    totals = matching.cell_totals(matching.with_cell(_prg(spark, sf_dir)), "prg")
+    binned = stats.bins(totals.limit(0), totals, 10).select("bin_x", "bin_y", "total")
+    changes = matching.with_cell(views(spark, sf_dir, "changes")[0]).select("cell_x", "cell_y", F.col("ts").cast("timestamp").alias("detected_at"))
+    return stats.with_change_times(binned, changes, 10, F.lit("2024-01-02").cast("timestamp"))
+
+
+@query(prelude("gov_addresses") + f", {_PRG} SELECT DISTINCT 'prg' AS source, cell_x, cell_y, 7::BIGINT AS enqueued_at FROM (SELECT {_CELLS} FROM prg)")
+def enqueued_cells(spark, sf_dir):
+    return feed.enqueue_all(matching.with_cell(_prg(spark, sf_dir)), "prg", F.lit(7).cast("long"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def retained_events(spark, sf_dir):
+    return change.expire(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", F.lit("2024-01-10").cast("timestamp")).select("event_id")
+
+
+@query(_STAGED + " SELECT count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'modified') AS modified, count(*) FILTER (WHERE kind = 'removed') AS removed, count(kind) > 0.5 * (SELECT count(*) FROM live) AS warned FROM diff")
+def refresh_history(spark, sf_dir):
+    live, staging = _staged(spark, sf_dir)
+    done = change.refresh(live, staging, ["k"], ["a", "b"], etag="e", at=F.current_timestamp())
+    return done["history"].select("added", "modified", "removed", "warned")

@@ -26,8 +26,8 @@ def norm_housenumber(c: Column) -> Column:
 
 
 def strip_street_prefix(c: Column) -> Column:
-    """Without a leading "ulica" or "ul.", if something follows."""
-    return F.regexp_replace(c, r"(?i)^\s*(?:ulica\s+|ul\.\s*)(?=\S)", "")
+    """Without "ulica" or "ul." at the very start, if white space and something else follow."""
+    return F.regexp_replace(c, r"(?i)^(?:ulica|ul\.)\s+(?=\S)", "")
 
 
 def class_code(c: Column) -> Column:

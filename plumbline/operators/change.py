@@ -79,8 +79,9 @@ def history_row(changes: DataFrame, live_rows: int, etag: str | None, at: Column
     return one.withColumn("warned", (F.col("added") + F.col("modified") + F.col("removed")) > F.lit(live_rows) * 0.5).withColumn("etag", F.lit(etag)).withColumn("applied_at", at)
 
 
-def refresh(live: DataFrame, staging: DataFrame, keys: list[str], compared: list[str], reports: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Guards, then everything that a refresh writes: changes, cells, table. Raises `Refused` and leaves live as it is."""
+def refresh(live: DataFrame, staging: DataFrame, keys: list[str], compared: list[str], reports: DataFrame | None = None, source: str = "", signed: DataFrame | None = None, etag: str | None = None, at: Column | None = None) -> dict[str, DataFrame]:
+    """Guards, then everything that a refresh writes: changes, cells, table, the history row (with `at`) and, with the new table's
+    `signed` keys (record_key, signature), the reports of the source, expired where their record changed. Raises `Refused` and leaves live as it is."""
     from .quality import check_schema, refuse_empty
 
     refuse_empty(staging)
@@ -89,6 +90,12 @@ def refresh(live: DataFrame, staging: DataFrame, keys: list[str], compared: list
     out = {"changes": found, "table": apply_delta(live, staging, found, keys)}
     if "cell_x" in live.columns:
         out["cells"] = changed_cells(live, staging, found, keys)
+    if at is not None:
+        out["history"] = history_row(found, live.count(), etag, at)
+    if reports is not None and signed is not None:
+        from .reports import reconcile
+
+        out["reports"] = reconcile(reports, signed, source)
     return out
 
 

@@ -75,13 +75,31 @@ def rows_in_areas(areas: DataFrame, df: DataFrame, area_key: str, lon: str = "lo
     return both.filter(polygon.contains(F.col("_rings"), F.col(lon), F.col(lat))).drop("_t", "_rings", "_x0", "_y0", "_x1", "_y1")
 
 
+def _metres_to_sides(rings, lon, lat, k):
+    """Metres from a point to the nearest side, on a plane scaled at the point."""
+    at = lambda p: F.struct(((p.x - lon) * k.lon).alias("x"), ((p.y - lat) * k.lat).alias("y"))
+    sides = F.flatten(F.transform(rings, lambda r: polygon._sides(F.transform(r.pts, at))))
+
+    def squared(s):
+        dx, dy = s.q.x - s.p.x, s.q.y - s.p.y
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(s.p.x * dx + s.p.y * dy), dx * dx + dy * dy))), F.lit(0.0))
+        return F.pow(s.p.x + t * dx, 2.0) + F.pow(s.p.y + t * dy, 2.0)
+
+    return F.sqrt(F.array_min(F.transform(sides, squared)))
+
+
 def nearest_building(points: DataFrame, buildings: DataFrame, point_key: str, key: str, radius: float = 50.0) -> DataFrame:
-    """point_key, key, metres: the building whose centroid is nearest within the radius, ties by key."""
-    degrees = radius / 60_000.0
-    cells = tilemath.cells_for_bbox(F.col("lon"), F.col("lat"), F.col("lon"), F.col("lat"), degrees)
-    left = points.select(point_key, "lon", "lat", F.explode(cells).alias("_cell"))
-    right = buildings.select(key, "cx", "cy", F.struct(tilemath.cell_x(F.col("cx")).alias("cell_x"), tilemath.cell_y(F.col("cy")).alias("cell_y")).alias("_cell"))
-    both = left.join(right, "_cell").withColumn("metres", metric.vertex_shift(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"))).filter(F.col("metres") <= radius)
+    """point_key, key, metres: the building whose footprint is nearest, closer than the radius, ties by key; 0 inside. Metres are those of
+    a plane scaled at the point, to the thousandth of a millimetre. buildings: key, rings, x0, y0, x1, y1. A building goes to the cells
+    that its box touches when widened by the radius, a point to its own; boxes decide before sides do."""
+    cells = tilemath.cells_for_bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), radius / 30_000.0)
+    right = buildings.select(key, "rings", "x0", "y0", "x1", "y1", F.explode(cells).alias("_cell"))
+    left = points.select(point_key, "lon", "lat", F.struct(tilemath.cell_x(F.col("lon")).alias("cell_x"), tilemath.cell_y(F.col("lat")).alias("cell_y")).alias("_cell"))
+    both = left.join(right, "_cell").withColumn("_k", metric.metres_per_degree(F.col("lat")))
+    beyond = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
+    both = both.filter(F.pow(beyond("lon", "x0", "x1") * F.col("_k.lon"), 2.0) + F.pow(beyond("lat", "y0", "y1") * F.col("_k.lat"), 2.0) < radius**2)
+    away = _metres_to_sides(F.col("rings"), F.col("lon"), F.col("lat"), F.col("_k"))
+    both = both.withColumn("metres", F.when(polygon.contains(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)).otherwise(F.round(away, 6))).filter(F.col("metres") < radius)
     return both.groupBy(point_key).agg(F.min_by(F.struct(key, "metres"), F.struct("metres", key)).alias("_r")).select(point_key, f"_r.{key}", "_r.metres")
 
 

@@ -15,7 +15,7 @@ _number = "CASE WHEN o_orderkey % 7 = 0 THEN CAST(1 + o_orderkey % 40 AS STRING)
 
 VIEWS = {
     "gov_addresses": f"""SELECT 'a' || CAST(o_orderkey AS STRING) AS lokalny_id, {_number} AS numer_porzadkowy,
-        CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 9 = 0 THEN '' ELSE 'ul. Street ' || CAST(o_custkey % 50 AS STRING) END AS ulica,
+        CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 9 = 0 THEN '' WHEN o_custkey % 17 = 3 THEN 'ul.Street ' || CAST(o_custkey % 50 AS STRING) WHEN o_custkey % 19 = 2 THEN ' ul. Street ' || CAST(o_custkey % 50 AS STRING) WHEN o_custkey % 23 = 1 THEN 'ULICA  Street ' || CAST(o_custkey % 50 AS STRING) WHEN o_custkey % 29 = 0 THEN 'ulica' ELSE 'ul. Street ' || CAST(o_custkey % 50 AS STRING) END AS ulica,
         CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE 'Town ' || CAST(o_custkey % 20 AS STRING) END AS miejscowosc,
         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE '00-' || substr(CAST(1000 + o_custkey % 1000 AS STRING), 2, 3) END AS kod_pocztowy,
         CAST(100000 + o_custkey % 20 AS STRING) AS teryt_miejscowosc, CAST(1000001 + o_custkey % 25 AS STRING) AS teryt_gmina,

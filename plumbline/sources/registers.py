@@ -104,7 +104,7 @@ def prg_drop_reasons(raw: DataFrame) -> DataFrame:
     from ..operators import quality
 
     later = F.row_number().over(Window.partitionBy("lokalny_id").orderBy(F.col("wersja_id").desc_nulls_last())) > 1
-    rows = raw.withColumn("_later", later)
+    rows = raw.filter("lokalny_id IS NOT NULL").withColumn("_later", later).unionByName(raw.filter("lokalny_id IS NULL").withColumn("_later", F.lit(False)))
     return quality.drop_reasons(rows, [("no key", F.col("lokalny_id").isNull()), ("no coordinates", F.col("lon").isNull() | F.col("lat").isNull()), ("older version", F.col("_later"))], F.col("lokalny_id"))
 
 

@@ -106,3 +106,9 @@ def test_ratio_and_clip(spark):
     box = [F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)]
     got = {r.k: r.a for r in shapes(spark, "l", "diamond", "next", "big", "hole").select("k", F.aggregate(F.transform(stats.clipped(F.col("rings"), *box), lambda r: polygon.ring_area(r.pts)), F.lit(0.0), lambda x, y: x + y).alias("a")).collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {"l": 3.0, "diamond": 4.0, "next": 1.0, "big": 4.0, "hole": 3.0}
+
+
+def test_street_prefix_needs_white_space_and_the_start(spark):
+    names = {"ul. Nowa": "Nowa", "ul.Nowa": "ul.Nowa", " ul. Nowa": " ul. Nowa", "ULICA   Nowa": "Nowa", "ulica": "ulica", "ul. ": "ul. ", "ulicaNowa": "ulicaNowa", "Nowa ul. x": "Nowa ul. x"}
+    df = spark.createDataFrame([(k,) for k in names], "n string")
+    assert {r.n: r.s for r in df.select("n", text.strip_street_prefix(df.n).alias("s")).collect()} == names

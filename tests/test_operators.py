@@ -196,3 +196,42 @@ def test_queue(spark):
     taken, left = feed.drain(q, ["egib"], F.lit(5), 2)
     assert {r.cell_x for r in taken.collect()} == {1, 2} and {(r.cell_x, r.enqueued_at) for r in left.collect()} == {(1, 9), (3, 3)}
     assert feed.chunks([1, 2, 3], 2) == [[1, 2], [3]]
+
+
+def test_nearest_building_by_footprint(spark):
+    """A point in a large L, beside its inner corner, near a hole, and beyond the radius; against plain geometry."""
+    import math
+
+    from plumbline.operators import enrich
+
+    d = 1 / 4096
+    shape = lambda pts, hole=False: (hole, [*[(16 + x * d, 50 + y * d) for x, y in pts], (16 + pts[0][0] * d, 50 + pts[0][1] * d)])
+    bends = [shape([(0, 0), (8, 0), (8, 1), (1, 1), (1, 8), (0, 8)])]
+    ring = [shape([(20, 0), (24, 0), (24, 4), (20, 4)]), shape([(21, 1), (21, 3), (23, 3), (23, 1)], True)]
+    rows = [("L", bends), ("ring", ring), ("also", ring)]
+    df = spark.createDataFrame(rows, "key string, rings array<struct<hole:boolean,pts:array<struct<x:double,y:double>>>>")
+    buildings = matching.with_shape(df, parts=("box",))
+    spots = {1: (0.5, 7.5), 2: (1.2, 1.3), 3: (22, 2.9), 4: (40, 40), 5: (7.9, 1.1), 6: (22, 0.5)}
+    points = spark.createDataFrame([(k, 16 + x * d, 50 + y * d) for k, (x, y) in spots.items()], "p int, lon double, lat double")
+    got = {r.p: (r.key, r.metres) for r in enrich.nearest_building(points, buildings, "p", "key", 30.0).collect()}
+    lat = math.radians(50 + d)
+    ky, kx = 111132.92 - 559.82 * math.cos(2 * lat) + 1.175 * math.cos(4 * lat), 111412.84 * math.cos(lat) - 93.5 * math.cos(3 * lat) + 0.118 * math.cos(5 * lat)
+    assert got[1] == ("L", 0.0) and 4 not in got and got[6] == ("also", 0.0)
+    assert got[2][0] == "L" and abs(got[2][1] - min(0.2 * d * kx, 0.3 * d * ky)) < 0.05
+    assert got[3][0] == "also" and abs(got[3][1] - 0.1 * d * ky) < 0.05 and abs(got[5][1] - 0.1 * d * ky) < 0.05
+    assert not enrich.nearest_building(points.filter("p = 5"), buildings, "p", "key", 2.0).collect()
+
+
+def test_refresh_with_reports_and_history(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import change
+
+    live = spark.createDataFrame([(i, "a") for i in range(10)], "k long, a string")
+    staging = spark.createDataFrame([(i, "b" if i == 3 else "a") for i in range(2, 12)], "k long, a string")
+    reports = spark.createDataFrame([(1, "egib", "3", "active", "s3"), (2, "egib", "5", "active", "s5"), (3, "prg", "3", "active", "x"), (4, "egib", "1", "active", "s1")], "report_id long, source string, record_key string, status string, signature string")
+    signed = staging.select(F.col("k").cast("string").alias("record_key"), F.concat(F.when(F.col("a") == "b", "new").otherwise("s"), "k").alias("signature"))
+    done = change.refresh(live, staging, ["k"], ["a"], reports, "egib", signed, "etag", F.lit("now"))
+    assert {r.report_id: r.status for r in done["reports"].collect()} == {1: "expired", 2: "active", 3: "active", 4: "expired"}
+    (h,) = done["history"].collect()
+    assert (h.added, h.modified, h.removed, h.warned, h.etag, h.applied_at) == (2, 1, 2, False, "etag", "now")
