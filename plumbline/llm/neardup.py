@@ -12,7 +12,7 @@ without words, nothing). Two documents are linked if 100 * |A and B| >= 85 * |A
    pair at the threshold falls below it once in a million) and whose sizes allow the threshold are candidates.
    Nodes above `node` rows branch as Spark rows; smaller ones inside a task. What 48 tokens can't part is compared whole.
 3. The candidates of two tiles that hang together are a group of at most 2 * TILE documents. A group's texts meet in one
-   task, which counts the intersections of all its full sets exactly, as a product of incidence matrices, and sends on
+   task, which counts the intersections of all its full sets exactly, as bits that two rows share, and sends on
    only enough confirmed links to connect what is linked. Groups that several trees find are confirmed once.
 4. A first round links the bulk of every dense group cheaply: two trees, whose large root nodes are dealt at random into
    parts of at most TILE sets on average. It decides nothing; later rounds only pass over pairs that it has connected. The second
@@ -311,14 +311,16 @@ def _links_of_group(ids: list[int], texts: list[str], percent: int) -> list[tupl
     shared = counts >= 2
     place = np.cumsum(shared) - 1
     row, some = np.repeat(np.arange(len(sets)), sizes), shared[column]
-    row, column, both = row[some], place[column[some]], np.zeros((len(sets), len(sets)))
+    row, column, both = row[some], place[column[some]], np.zeros((len(sets), len(sets)), np.int64)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for lo in range(0, int(shared.sum()), 4096):  # so many shingles at a time
+    for lo in range(0, int(shared.sum()), 4096):  # so many shingles at a time, a bit for each
         i, j = np.searchsorted(column, [lo, lo + 4096])
-        x = np.zeros((len(sets), 4096), np.float32)
-        x[row[i:j], column[i:j] - lo] = 1
-        both += x @ x.T
+        x = np.zeros((len(sets), 4096), bool)
+        x[row[i:j], column[i:j] - lo] = True
+        bits = np.packbits(x, axis=1).view(np.uint64)
+        for k in range(len(sets)):
+            both[k] += np.bitwise_count(bits & bits[k]).sum(axis=1, dtype=np.int64)
     labels = _labels((100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (sizes[:, None] > 0))
     return [(ids[k], ids[i]) for i, k in enumerate(labels.tolist()) if k >= 0 and ids[k] != ids[i]]
 

@@ -38,7 +38,7 @@ BANDS = {"log_perplexity": ("word_chars", 3.0, 1.0, 0.02), "word_log_perplexity"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 HELD = 12_000_000
-_models: dict[tuple[str, int], Model] = {}
+_models: dict[tuple[str, int, bool], Model] = {}
 
 
 def _low(n: int) -> np.uint64:
@@ -136,6 +136,11 @@ class Model:
                 self.logp[n] = np.log((counts - taken) / np.maximum(total[where], 1) + weight[where] * lower).astype(np.float32)
                 self.logw[n] = np.log(weight).astype(np.float32)
 
+    def closed(self) -> Model:
+        """This model for the texts that it counted alone, in which every n-gram is known: without what unseen ones need."""
+        self.keys, self.logp, self.contexts, self.logw = {ORDER: self.keys[ORDER]}, {ORDER: self.logp[ORDER]}, {}, {}
+        return self
+
     def find(self, n: int, keys: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams of order n; an n-gram never seen has its context's weight times that of order n - 1."""
         if n == 0:
@@ -165,11 +170,11 @@ def train(docs: DataFrame) -> str:
     return dest
 
 
-def model_of(dest: str, band: int) -> Model | None:
-    """A band's model, made once in a Python worker; those used last stay, up to HELD n-grams."""
-    if (dest, band) in _models:
-        _models[dest, band] = _models.pop((dest, band))
-        return _models[dest, band]
+def model_of(dest: str, band: int, closed: bool = False) -> Model | None:
+    """A band's model, made once in a Python worker (and closed, if only counted texts will be asked); those used last stay, up to HELD n-grams."""
+    if (dest, band, closed) in _models:
+        _models[dest, band, closed] = _models.pop((dest, band, closed))
+        return _models[dest, band, closed]
     from pyarrow import fs
     from pyarrow import parquet as pq
 
@@ -179,9 +184,12 @@ def model_of(dest: str, band: int) -> Model | None:
     if not parts:
         return None
     made = Model(*_summed([x.column("key").to_numpy().view(np.uint64) for x in parts], [x.column("n").to_numpy() for x in parts]))
+    del parts
+    if closed:
+        made.closed()
     while _models and sum(len(m.keys[ORDER]) for m in _models.values()) + len(made.keys[ORDER]) > HELD:
         del _models[next(iter(_models))]
-    _models[dest, band] = made
+    _models[dest, band, closed] = made
     return made
 
 
@@ -230,7 +238,7 @@ def with_figures(docs: DataFrame, dest: str) -> DataFrame:
                 figures: list = [None] * len(texts)
                 for band in sorted(set(bands)):
                     own = [i for i, x in enumerate(bands) if x == band and texts[i]]
-                    if not own or (model := model_of(dest, band)) is None:
+                    if not own or (model := model_of(dest, band, closed=True)) is None:
                         continue
                     keys, firsts = char_keys([texts[i] for i in own])
                     new, where = np.unique(keys, return_inverse=True)
