@@ -271,7 +271,8 @@ def judged(docs: DataFrame, columns: list[str] | None = None, bands: dict = BAND
     inside = F.lit(True)
     for k, (figure, (size, spread, slack, least)) in enumerate(bands.items()):
         low, high = f"_low{k}", f"_high{k}"
-        done = done.join(fences(measured, figure).select(F.col("_band").alias(f"_b{k}"), F.col("_q1").alias(low), F.col("_q3").alias(high)), F.col("band") == F.col(f"_b{k}"), "left")
+        own = stored(fences(measured, figure), "fences").select(F.col("_band").alias(f"_b{k}"), F.col("_q1").alias(low), F.col("_q3").alias(high))  # a row a language, of known size
+        done = done.join(own, F.col("band") == F.col(f"_b{k}"), "left")
         gap = F.greatest(F.col(high) - F.col(low), F.lit(least)) * spread + slack / F.sqrt(F.greatest(size, F.lit(1)))
         inside = inside & F.coalesce(F.col(figure).between(F.col(low) - gap, F.col(high) + gap), F.lit(False))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -68,7 +68,7 @@ class Index:
         bound = np.bincount(self.block_of[groups], share * self.high[groups], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, self.blocks // 4)
+        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, self.blocks // 2)
         while at < len(order) and (len(best) < k or bound[order[at]] >= cosine[-1] - 1e-12):
             chosen = np.zeros(self.blocks, bool)
             chosen[order[at : at + step]] = True
