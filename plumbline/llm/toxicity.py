@@ -4,7 +4,8 @@ Terms are all words (runs of letters, lower-cased) of the labelled examples. A d
 (1 + log tf) * idf * (1 + max(0, z - 2)), at unit length; z is by how many standard errors a term's log odds ratio between toxic
 and other examples is above 0, so terms without evidence keep their plain TF-IDF weight and those that mark the label count for
 more (plain TF-IDF lets a long document's other words drown them; see the README). The index keeps each term's postings in
-blocks of 64 examples with the largest weight of each; a query sums these to a bound for every block, visits blocks from the
+blocks of 64 examples with the largest weight of each; a query sums these to a bound for every block (for terms of more than one
+example in 16 it takes the sums themselves, found for 64 queries in one product), visits blocks from the
 highest bound down, and stops where no block can reach the k-th best cosine, so the k nearest are exact. Votes are weighted by
 1 / (0.05 + distance); documents that share no term with any example get the rate among examples without terms. Scores are
 calibrated by isotonic regression on the examples' own scores, each found without itself.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_ROWS, NEAREST, BLOCK = 4_000, 15, 64
+MAX_ROWS, NEAREST, BLOCK, OFTEN, SLICE = 4_000, 15, 64, 16, 64
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -58,18 +60,47 @@ class Index:
         self.high = np.maximum.reduceat(self.weight, self.start) if len(keys) else np.zeros(0)
         self.block_of, terms = groups % self.blocks, groups // self.blocks
         self.first = np.searchsorted(terms, np.arange(n_terms + 1))
+        self.block, self.often, self.dense = block, np.full(n_terms, -1, np.int64), None
+        common = np.flatnonzero(held * OFTEN > max(len(vectors), OFTEN))
+        self.often[common] = np.arange(len(common))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
+
+    def _shared_terms(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each query's sums over terms of more than one example in OFTEN, whose postings each worker lays out as a table (at most
+        OFTEN numbers for each posting): one product for all queries."""
+        common = np.flatnonzero(self.often >= 0)
+        if self.dense is None:
+            self.dense = np.zeros((len(common), self.blocks * self.block))
+            for at, term in enumerate(common.tolist()):
+                spots = slice(self.start[self.first[term]], self.end[self.first[term + 1] - 1])
+                self.dense[at, self.doc[spots]] = self.weight[spots]
+        asked = np.zeros((len(queries), len(common)))
+        for at, (terms, weights) in enumerate(queries):
+            rows = self.often[terms]
+            asked[at, rows[rows >= 0]] = weights[rows >= 0]
+        return asked @ self.dense
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Names and cosines of the k nearest (ties by name's order in the index), without `skip`."""
+        return self.tops([(terms, weights)], k, [skip])[0]
+
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`top` of each query; a few dozen at a time are best."""
+        return [self._top(known, *(x[self.often[q[0]] < 0] for x in q), k, skip) for q, skip, known in zip(queries, skips, self._shared_terms(queries), strict=True)]
+
+    def _top(self, known: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """known: each example's sum over the query's other terms; a block's bound is the largest of it and of its postings."""
         lo, hi = self.first[terms], self.first[terms + 1]
         sizes = hi - lo
         groups = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        share = np.repeat(weights, sizes)
-        bound = np.bincount(self.block_of[groups], share * self.high[groups], self.blocks)
+        share, known = np.repeat(weights, sizes), known.reshape(self.blocks, self.block)
+        bound = np.bincount(self.block_of[groups], share * self.high[groups], self.blocks) + known.max(axis=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, self.blocks // 2)
-        while at < len(order) and (len(best) < k or bound[order[at]] >= cosine[-1] - 1e-12):
+        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, self.blocks // 8)
+        while at < len(order) and (len(best) < k or bound[order[at]] >= cosine[-1] - 1e-11):
             chosen = np.zeros(self.blocks, bool)
             chosen[order[at : at + step]] = True
             own = chosen[self.block_of[groups]]
@@ -77,7 +108,8 @@ class Index:
             n = self.end[g] - self.start[g]
             spots = np.repeat(self.start[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
             sums = np.bincount(self.doc[spots], np.repeat(s, n) * self.weight[spots], len(self.names))
-            docs = np.flatnonzero(sums > (cosine[-1] - 1e-12 if len(best) == k else 0.0))
+            sums = np.round(sums + np.where(chosen[:, None], known, 0.0).reshape(-1)[: len(sums)], 12)  # the same in whatever order it is added up
+            docs = np.flatnonzero(sums >= (cosine[-1] if len(best) == k else 1e-12))
             docs = docs[self.names[docs] != skip]
             best, cosine = np.append(best, docs), np.append(cosine, sums[docs])
             keep = np.lexsort((best, -cosine))[:k]
@@ -113,34 +145,36 @@ class Classifier:
         self.memo: dict[bytes, tuple] = {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = {at: n for w, n in words(text).items() if (at := self.place.get(w)) is not None}
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        found = words(text)
+        terms, counts = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(terms)
+        order = order[np.searchsorted(terms[order], 0) :]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
         terms, counts = terms[order], counts[order]
         weights = (1 + np.log(counts)) * self.factor[terms]
         return terms, weights / np.sqrt((weights**2).sum())
 
-    def votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        names, cosine = self.index.top(terms, weights, self.nearest, skip)
-        if not len(names):
-            return self.bare, names, cosine
-        w = 1 / (0.05 + 1 - cosine)
-        return float((w @ self.toxic[names] + self.rate) / (w.sum() + 1)), names, cosine
-
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Score, names and cosines of the nearest examples, and the text's terms."""
-        terms, weights = self.vector(text)
-        key = terms.tobytes() + weights.tobytes()
-        if key not in self.memo:
-            if len(self.memo) > 4_000:
-                self.memo.clear()
-            raw, names, cosine = self.votes(terms, weights)
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], skips: list[int]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Vote, names and cosines of the nearest examples of each vector."""
+        out = []
+        for names, cosine in self.index.tops(vectors, self.nearest, skips):
+            w = 1 / (0.05 + 1 - cosine)
+            out.append((float((w @ self.toxic[names] + self.rate) / (w.sum() + 1)) if len(names) else self.bare, names, cosine))
+        return out
+
+    def scores(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """Score, names and cosines of the nearest examples, and the text's terms, of each text."""
+        vectors = [self.vector(t) for t in texts]
+        keys = [t.tobytes() + w.tobytes() for t, w in vectors]
+        if len(self.memo) > 4_000:
+            self.memo.clear()
+        new = {k: v for k, v in zip(keys, vectors, strict=True) if k not in self.memo}
+        for key, (raw, names, cosine) in zip(new, self.votes(list(new.values()), [-1] * len(new)), strict=True):
             if self.points is not None and len(names):
                 raw = 0.98 * float(np.interp(raw, *self.points)) + 0.02 * raw
             self.memo[key] = raw, names, cosine
-        return *self.memo[key], terms
+        return [(*self.memo[k], t) for k, (t, _) in zip(keys, vectors, strict=True)]
 
 
 def learnable(doc_id: Column) -> Column:
@@ -198,8 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
 
         def without(batches):
             for batch in batches:
-                raw = [shared_model.value.votes(*shared_model.value.vector(t), skip=shared_place.value[i])[0] for t, i in zip(batch.column("text").to_pylist(), batch.column("_id").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("_toxic")], names=["raw", "toxic"])
+                for at in range(0, batch.num_rows, SLICE):
+                    part, own = batch.slice(at, SLICE), shared_model.value
+                    raw = own.votes([own.vector(t) for t in part.column("text").to_pylist()], [shared_place.value[i] for i in part.column("_id").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in raw], pa.float64()), part.column("_toxic")], names=["raw", "toxic"])
 
         held = train.select("_id", "_toxic", "text").mapInArrow(without, "raw double, toxic int").toArrow()
         x, y = held.column("raw").to_numpy(), (held.column("toxic").to_numpy() == 1).astype(float)
@@ -224,9 +260,9 @@ def scored(docs: DataFrame, model: Classifier, evidence: bool = True) -> DataFra
     def run(batches):
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [own.score(text or "") for text in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = own.scores([text or "" for text in part.column("text").to_pylist()])
                 scores = [x[0] for x in found]
                 more = [pa.array([told(own, *x[1:]) for x in found], kind)] if evidence else []
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *more], names=[*names, "score", "predicted", *["evidence"] * evidence])
