@@ -448,3 +448,59 @@ def refresh_history(spark, sf_dir):
     live, staging = _staged(spark, sf_dir)
     done = change.refresh(live, staging, ["k"], ["a", "b"], etag="e", at=F.current_timestamp())
     return done["history"].select("added", "modified", "removed", "warned")
+
+
+@query(_UNMATCHED + """, t AS (SELECT teryt_gmina, count(*) AS total FROM prg GROUP BY 1), u AS (SELECT teryt_gmina, count(*) AS unmatched FROM unmatched GROUP BY 1)
+SELECT teryt_gmina, total, coalesce(unmatched, 0) AS unmatched, least(coalesce(unmatched, 0)::DOUBLE / total, 1.0::DOUBLE) AS ratio, count(*) OVER () AS total_items FROM t LEFT JOIN u USING (teryt_gmina) ORDER BY total DESC, teryt_gmina LIMIT 10 OFFSET 10""")
+def area_ranking_page(spark, sf_dir):
+    return stats.rank_areas(_prg(spark, sf_dir), _unmatched(spark, sf_dir), ["teryt_gmina"], sort="total", page=2, per_page=10, total_items=True)
+
+
+_W = f"(1 - {metric.E2!r}::DOUBLE * pow(sin(radians((y0 + y1) / 2)), 2))"
+_M2 = f"CAST(round((x1 - x0) * (y1 - y0) * {metric.LON_METRES * metric.LAT_METRES!r}::DOUBLE * cos(radians((y0 + y1) / 2)) / ({_W} * {_W})) AS INT)"
+
+
+@query(prelude("gov_buildings", "reports") + f""" SELECT 'bdot10k' AS source, id_budynku AS key, false AS reported, state, NULL AS rodzaj, NULL::INT AS storeys, {_M2} AS approx_area_m2 FROM gov_buildings WHERE state = 'eksploatowany'
+UNION ALL SELECT 'egib', id_budynku, id_budynku IN (SELECT record_key FROM reports WHERE source = 'egib' AND status = 'active'), NULL, rodzaj, storeys, {_M2} FROM gov_buildings""")
+def building_layer(spark, sf_dir):
+    gov, vetoes = views(spark, sf_dir, "gov_buildings", "reports")
+    gov = _boxes(gov, "box", "area")
+    registers_ = {"bdot10k": (quality.only_standing(gov).drop("rodzaj", "storeys"), "id_budynku"), "egib": (gov.drop("state"), "id_budynku")}
+    layer = matching.building_layer(registers_, vetoes)
+    return layer.select("source", "key", "reported", "state", "rodzaj", "storeys", metric.approx_area_m2(polygon.area(F.col("rings")), (F.col("y0") + F.col("y1")) / 2).alias("approx_area_m2"))
+
+
+_FINISHED = "CASE WHEN user_id % 2 = 0 THEN 'egib' ELSE 'prg' END AS source"
+_OWN = prelude("gov_addresses", "osm_addresses", "street_mappings", "reports")
+
+
+@query(prelude("gov_addresses", "osm_addresses", "street_mappings", "reports", "gov_buildings", "osm_buildings", "former_buildings") + _UNMATCHED.removeprefix(_OWN) + _CLASSES.removeprefix(prelude("gov_buildings", "osm_buildings", "former_buildings", "reports")) + f""",
+f AS (SELECT source, max(ts) AS refreshed_at FROM (SELECT {_FINISHED}, ts FROM events) GROUP BY source),
+n AS (SELECT 'egib' AS source, count(*) AS comparable, count(*) FILTER (WHERE class = 'unmatched') AS unmatched FROM classes UNION ALL SELECT 'bdot10k', count(*), count(*) FILTER (WHERE class IN ('unmatched', 'reported')) FROM classes
+UNION ALL SELECT 'prg', (SELECT count(*) FROM prg), (SELECT count(*) FROM unmatched)) SELECT source, comparable, unmatched, refreshed_at FROM n LEFT JOIN f USING (source)""")
+def source_summary(spark, sf_dir):
+    gov, osm_boxes, former, osm_rows, mappings, vetoes = views(spark, sf_dir, "gov_buildings", "osm_buildings", "former_buildings", "osm_addresses", "street_mappings", "reports")
+    standing, prg = _boxes(quality.only_standing(gov), "box", "area"), _prg(spark, sf_dir)
+    missing = matching.compare_all({"bdot10k": (standing, "id_budynku"), "egib": (standing, "id_budynku")}, _boxes(osm_boxes, "box"), _boxes(former, "box"), prg, osm_rows, mappings, vetoes)
+    refreshes = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(_FINISHED, "ts AS finished_at")
+    return stats.summary({"bdot10k": (standing, missing["bdot10k"]), "egib": (standing, missing["egib"]), "prg": (prg, missing["prg"])}, refreshes)
+
+
+@query(prelude("changes") + f""", {_QUEUE}, d AS (SELECT source, count(DISTINCT (cell_x, cell_y)) AS cells, min(enqueued_at) AS oldest FROM q GROUP BY source),
+r AS (SELECT {_FINISHED}, arg_max(event_type, event_id) AS outcome, CAST(epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts))) AS BIGINT) AS lag_seconds FROM events GROUP BY ALL)
+SELECT source, coalesce(cells, 0) AS cells, oldest, outcome, lag_seconds FROM d FULL JOIN r USING (source)""")
+def freshness(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(_FINISHED, "event_id AS run_id", "event_type AS outcome", "ts AS stamped_at")
+    return stats.freshness(_queue(spark, sf_dir), rows, rows, F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+@query(prelude("gov_addresses", "gov_buildings") + f""", {_PRG}, {_AREAS}, b AS (SELECT (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM gov_buildings)
+SELECT area, (SELECT count(*) FROM prg p WHERE p.lon > a.x0 + 0.00001 AND p.lon < a.x0 + 0.25 AND p.lat > a.y0 + 0.00001 AND p.lat < a.y0 + 0.25)::INT AS address_count,
+(SELECT count(*) FROM b WHERE b.lon > a.x0 + 0.00001 AND b.lon < a.x0 + 0.25 AND b.lat > a.y0 + 0.00001 AND b.lat < a.y0 + 0.25)::INT AS building_count FROM areas a""")
+def export_counts(spark, sf_dir):
+    """The log rows of an export of every area; areas start beside the grid of the derived points, so that none lies on a side."""
+    areas = spark.sql(f"WITH {_AREAS.replace('FROM nation', 'FROM {nation}')} SELECT area, x0 + 0.00001e0 AS x0, y0 + 0.00001e0 AS y0, x0 + 0.249999e0 AS x1, y0 + 0.249999e0 AS y1 FROM areas", nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    areas = areas.withColumn("rings", polygon.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    homes = views(spark, sf_dir, "gov_buildings")[0].selectExpr("id_budynku", "(x0 + x1) / 2 AS lon", "(y0 + y1) / 2 AS lat")
+    log = enrich.export_log(areas, enrich.rows_in_areas(areas, _prg(spark, sf_dir), "area"), enrich.rows_in_areas(areas, homes, "area"), "area", ["prg", "egib"], F.lit("2024-01-10").cast("timestamp"))
+    return enrich.recent_exports(log, F.lit("2024-01-10 00:05:00").cast("timestamp"), 30).select("area", "address_count", "building_count")

@@ -39,6 +39,10 @@ def area_m2(square_degrees: Column, mid_lat: Column) -> Column:
     return square_degrees * F.lit(LON_METRES * LAT_METRES) * F.cos(F.radians(mid_lat)) / (w * w)
 
 
+def approx_area_m2(square_degrees: Column, mid_lat: Column) -> Column:
+    return F.round(area_m2(square_degrees, mid_lat)).cast("int")
+
+
 def metres_per_degree(lat: Column) -> Column:
     """lat, lon: metres of one degree of each at a latitude, by their cosine series."""
     r = F.radians(lat)

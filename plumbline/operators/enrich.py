@@ -137,3 +137,19 @@ def geojson(df: DataFrame, lon: str = "lon", lat: str = "lat", tags: str = "tags
     """feature: one GeoJSON feature a row, tags sorted."""
     sorted_tags = F.map_from_entries(F.array_sort(F.map_entries(F.col(tags))))
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates")).alias("geometry"), sorted_tags.alias("properties"))).alias("feature"))
+
+
+def export_log(areas: DataFrame, addresses: DataFrame, buildings: DataFrame, area_key: str, datasets: list[str], at: Column) -> DataFrame:
+    """Rows to append to the log of exports: exported_at, area, rings, datasets, address_count, building_count of each area. addresses
+    and buildings: exported rows with their area; rings are logged as `polygon.repaired` leaves them, as they were queried."""
+    counted = lambda df, name: df.groupBy(area_key).agg(F.count("*").cast("int").alias(name))
+    both = areas.join(counted(addresses, "address_count"), area_key, "left").join(counted(buildings, "building_count"), area_key, "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("address_count", "building_count")]
+    return both.select(at.alias("exported_at"), F.col(area_key).alias("area"), polygon.repaired(F.col("rings")).alias("rings"), F.array(*(F.lit(d) for d in datasets)).alias("datasets"), *counts)
+
+
+def recent_exports(log: DataFrame, now: Column, minutes: int, most: int = 1440) -> DataFrame:
+    """Rows of the log of the last minutes (at least 1, at most `most`), newest first."""
+    if not 1 <= minutes <= most:
+        raise ValueError(f"minutes from 1 to {most}")
+    return log.filter(F.col("exported_at") >= now - F.make_interval(mins=F.lit(minutes))).orderBy(F.desc("exported_at"), "area")

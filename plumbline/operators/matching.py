@@ -125,3 +125,19 @@ def around_cells(df: DataFrame, cells: DataFrame, buffer: float = 0.003, lon: st
 def flag_reported(df: DataFrame, reports: DataFrame, source: str, key: str) -> DataFrame:
     active = reports.filter((F.col("status") == "active") & (F.col("source") == source)).select(F.col("record_key").alias(key), F.lit(True).alias("reported")).distinct()
     return df.join(active, key, "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
+
+
+def building_layer(registers: dict[str, tuple[DataFrame, str]], reports: DataFrame) -> DataFrame:
+    """source, key, reported and the columns of all building registers as one layer; a column that a register lacks is null in its rows.
+    registers: rows and key column by source."""
+    out = None
+    for source, (df, key) in registers.items():
+        one = flag_reported(df, reports, source, key).withColumnRenamed(key, "key").withColumn("source", F.lit(source))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def compare_all(registers: dict[str, tuple[DataFrame, str]], osm: DataFrame, former: DataFrame, addresses: DataFrame, osm_addresses: DataFrame, mappings: DataFrame, reports: DataFrame) -> dict[str, DataFrame]:
+    """Unmatched rows of every building register (rows and key column by source) and of the addresses ("prg")."""
+    out = {source: building_classes(df, osm, former, reports, source, key).filter("class = 'unmatched'").drop("class") for source, (df, key) in registers.items()}
+    return out | {"prg": unmatched_addresses(addresses, osm_addresses, mappings, reports)}

@@ -125,6 +125,14 @@ def type_violations(types: DataFrame, adjacency: str, tiers: int = 2) -> DataFra
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in rules)))).unionByName(ties)
 
 
+def check_area_geometry(areas: DataFrame, rings: str = "rings") -> DataFrame:
+    """areas with geometry_problem: null if valid, or if invalid but of positive area once repaired; else "unreadable" (no geometry) or
+    "degenerate". Repair is `polygon.repaired`, so a crossing ring counts with its net area."""
+    mended = polygon.area(polygon.repaired(F.col(rings))) > 0
+    problem = F.when(F.col(rings).isNull(), "unreadable").when(~polygon.is_valid(F.col(rings)) & ~F.coalesce(mended, F.lit(False)), "degenerate")
+    return areas.withColumn("geometry_problem", problem)
+
+
 def parse_areas(areas: DataFrame, text: str = "text", most: float = 0.04) -> DataFrame:
     """areas with rings, x0, y0, x1, y1 and problem (null if usable) of a box "x0,y0,x1,y1" or a GeoJSON Polygon or Feature."""
     parts = F.split(text, ",")

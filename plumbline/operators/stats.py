@@ -13,8 +13,9 @@ def ratio(n: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(n / total, F.lit(1.0))).otherwise(F.lit(-1.0))
 
 
-def rank_areas(rows: DataFrame, unmatched: DataFrame, by: list[str], sort: str = "ratio", descending: bool = True, within: str | None = None, page: int = 1, per_page: int = 50) -> DataFrame:
-    """by, total, unmatched, ratio: areas of rows, one page. Areas that only unmatched rows have are left out."""
+def rank_areas(rows: DataFrame, unmatched: DataFrame, by: list[str], sort: str = "ratio", descending: bool = True, within: str | None = None, page: int = 1, per_page: int = 50, total_items: bool = False) -> DataFrame:
+    """by, total, unmatched, ratio: areas of rows, one page. Areas that only unmatched rows have are left out. With total_items: the
+    number of all areas beside each row; a page beyond the last has one row, with that number alone."""
     if not 1 <= per_page <= 200 or page < 1:
         raise ValueError("page from 1, per_page from 1 to 200")
     if within is not None:
@@ -23,7 +24,11 @@ def rank_areas(rows: DataFrame, unmatched: DataFrame, by: list[str], sort: str =
         rows, unmatched = (df.filter(F.startswith(F.col(by[0]), F.lit(within))) for df in (rows, unmatched))
     out = rows.groupBy(*by).agg(F.count("*").alias("total")).join(unmatched.groupBy(*by).agg(F.count("*").alias("unmatched")), by, "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
     out = out.withColumn("ratio", ratio(F.col("unmatched"), F.col("total")))
-    return out.orderBy(F.desc(sort) if descending else F.asc(sort), *by).offset((page - 1) * per_page).limit(per_page)
+    one = out.orderBy(F.desc(sort) if descending else F.asc(sort), *by).offset((page - 1) * per_page).limit(per_page)
+    if not total_items:
+        return one
+    everything = rows.select(*by).distinct().agg(F.count("*").alias("total_items"))
+    return everything.join(F.broadcast(one), F.lit(True), "left").select(*one.columns, "total_items")  # one row, and at most 200
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -116,5 +121,26 @@ def oldest_cells(queue: DataFrame, n: int) -> DataFrame:
     return each.orderBy("oldest", F.shiftright("cell_x", 3), F.shiftright("cell_y", 3), "cell_x", "cell_y", "source").limit(n)
 
 
+def summary(sources: dict[str, tuple[DataFrame, DataFrame]], refreshes: DataFrame) -> DataFrame:
+    """source, comparable, unmatched, refreshed_at (null if never). sources: comparable rows and unmatched rows of each; refreshes: source, finished_at."""
+    tagged = lambda df, name, kind: df.select(F.lit(name).alias("source"), F.lit(kind).alias("_kind"))
+    rows = None
+    for name, frames in sources.items():
+        for kind, df in zip(("comparable", "unmatched"), frames, strict=True):
+            each = tagged(df, name, kind)
+            rows = each if rows is None else rows.unionByName(each)
+    counted = rows.groupBy("source").agg(*(F.count_if(F.col("_kind") == k).alias(k) for k in ("comparable", "unmatched")))
+    return counted.join(refreshes.groupBy("source").agg(F.max("finished_at").alias("refreshed_at")), "source", "left")
+
+
+def freshness(queue: DataFrame, runs: DataFrame, stamps: DataFrame, now: Column) -> DataFrame:
+    """source, cells, oldest, outcome, lag_seconds: queue depth, outcome of the last run (source, run_id, outcome) and age of the last
+    stamp (source, stamped_at), for every source that any of them names."""
+    last = runs.groupBy("source").agg(F.max_by("outcome", "run_id").alias("outcome"))
+    age = stamps.groupBy("source").agg((F.unix_timestamp(now) - F.unix_timestamp(F.max("stamped_at"))).alias("lag_seconds"))
+    both = queue_depth(queue).join(last, "source", "full_outer").join(age, "source", "full_outer")
+    return both.withColumn("cells", F.coalesce("cells", F.lit(0).cast("long")))
+
+
 def lag_seconds(now: Column, stamp: Column) -> Column:
     return F.unix_timestamp(now) - F.unix_timestamp(stamp.try_cast("timestamp"))

@@ -235,3 +235,50 @@ def test_refresh_with_reports_and_history(spark):
     assert {r.report_id: r.status for r in done["reports"].collect()} == {1: "expired", 2: "active", 3: "active", 4: "expired"}
     (h,) = done["history"].collect()
     assert (h.added, h.modified, h.removed, h.warned, h.etag, h.applied_at) == (2, 1, 2, False, "etag", "now")
+
+
+def ring(*pts, hole=False):
+    return (hole, [(float(x), float(y)) for x, y in pts])
+
+
+SHAPE = "id string, rings array<struct<hole:boolean,pts:array<struct<x:double,y:double>>>>"
+
+
+def test_area_geometry(spark):
+    rows = [("ok", [ring((0, 0), (1, 0), (1, 1), (0, 0))]), ("null", None), ("line", [ring((0, 0), (1, 1), (2, 2), (0, 0))]), ("mended", [ring((0, 0), (1, 0), (1, 1), (0, 0)), ring((5, 5), (6, 6), (7, 7), (5, 5))])]
+    got = {r.id: r.geometry_problem for r in quality.check_area_geometry(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == {"ok": None, "null": "unreadable", "line": "degenerate", "mended": None}
+    assert quality.check_area_geometry(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_page_beyond_the_last(spark):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "code string")
+    page = lambda n: [tuple(r) for r in stats.rank_areas(rows, rows.limit(1), ["code"], sort="total", page=n, per_page=1, total_items=True).collect()]
+    assert page(1) == [("a", 2, 1, 0.5, 2)] and page(3) == [(None, None, None, None, 2)]
+
+
+def test_recent_exports(spark):
+    areas = spark.createDataFrame([("p", [ring((0, 0), (1, 0), (1, 1), (0, 0))]), ("q", None)], SHAPE).withColumnRenamed("id", "area")
+    found = spark.createDataFrame([("p",), ("p",)], "area string")
+    log = enrich.export_log(areas, found, found.limit(0), "area", ["prg"], F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    assert sorted((r.area, r.address_count, r.building_count) for r in log.collect()) == [("p", 2, 0), ("q", 0, 0)]
+    at = lambda minutes: enrich.recent_exports(log, F.lit("2024-01-01 10:10:00").cast("timestamp"), minutes).count()
+    assert at(10) == 2 and at(9) == 0
+    for wrong in (0, 1441):
+        with pytest.raises(ValueError):
+            at(wrong)
+
+
+def test_layer_pads_and_flags(spark):
+    a, b = spark.createDataFrame([("1", "m"), ("2", None)], "id string, kind string"), spark.createDataFrame([("1", 3)], "code string, storeys int")
+    reports_ = spark.createDataFrame([("x", "1", "active"), ("y", "1", "revoked")], "source string, record_key string, status string")
+    got = {(r.source, r.key): (r.reported, r.kind, r.storeys) for r in matching.building_layer({"x": (a, "id"), "y": (b, "code")}, reports_).collect()}
+    assert got == {("x", "1"): (True, "m", None), ("x", "2"): (False, None, None), ("y", "1"): (False, None, 3)}
+
+
+def test_freshness_names_every_source(spark):
+    queue = spark.createDataFrame([("a", 1, 2, 5)], "source string, cell_x int, cell_y int, enqueued_at long")
+    runs = spark.createDataFrame([("b", 1, "failed"), ("b", 2, "done")], "source string, run_id int, outcome string")
+    stamps = spark.sql("SELECT 'c' AS source, TIMESTAMP '2024-01-01 00:00:00' AS stamped_at")
+    got = {r.source: (r.cells, r.oldest, r.outcome, r.lag_seconds) for r in stats.freshness(queue, runs, stamps, F.lit("2024-01-01 00:01:00").cast("timestamp")).collect()}
+    assert got == {"a": (1, 5, None, None), "b": (0, None, "done", None), "c": (0, None, None, 60)}
