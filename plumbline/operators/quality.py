@@ -55,10 +55,11 @@ def only_standing(df: DataFrame, state: str = "state") -> DataFrame:
 
 
 def dedupe_by_key(df: DataFrame, keys: list[str], version: str, tiebreak: Column) -> DataFrame:
-    """One row a key: the latest version, nulls last, ties by tiebreak. Only rows of keys that occur twice are ranked."""
-    twice = df.groupBy(*keys).count().filter("count > 1").select(*keys)
-    ranked = df.join(twice, keys, "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), tiebreak))).filter("_r = 1").drop("_r")
-    return df.join(twice, keys, "left_anti").unionByName(ranked)
+    """One row a key: the latest version, nulls last, ties by tiebreak. One exchange, before which each task keeps only its own
+    candidates of a key; rows with a null in the key all stay, each as a group of its own."""
+    alone = F.when(_any_null(keys), F.monotonically_increasing_id())
+    first = F.row_number().over(Window.partitionBy(*keys, "_alone").orderBy(F.col(version).desc_nulls_last(), tiebreak))
+    return df.withColumn("_alone", alone).withColumn("_r", first).filter("_r = 1").drop("_alone", "_r")
 
 
 def drop_reasons(df: DataFrame, reasons: list[tuple[str, Column]], key: Column, examples: int = 20) -> DataFrame:

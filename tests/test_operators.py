@@ -282,3 +282,9 @@ def test_freshness_names_every_source(spark):
     stamps = spark.sql("SELECT 'c' AS source, TIMESTAMP '2024-01-01 00:00:00' AS stamped_at")
     got = {r.source: (r.cells, r.oldest, r.outcome, r.lag_seconds) for r in stats.freshness(queue, runs, stamps, F.lit("2024-01-01 00:01:00").cast("timestamp")).collect()}
     assert got == {"a": (1, 5, None, None), "b": (0, None, "done", None), "c": (0, None, None, 60)}
+
+
+def test_rows_without_key_stay(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 1, "a"), ("k", None, "b"), ("k", 2, "c"), ("k", 2, "d")], "k string, v int, t string")
+    got = [tuple(r) for r in quality.dedupe_by_key(rows, ["k"], "v", F.col("t")).collect()]
+    assert sorted(got, key=str) == [("k", 2, "c"), (None, 1, "a"), (None, 1, "a")]
