@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, htmltext, licenses, mixing, neardup, quality, tokens, toxicity, warc
+from . import bpe, fingerprint, htmltext, licenses, mixing, neardup, phrases, quality, runs, tokens, toxicity, warc
 from .common import scratch, table
 
 
@@ -70,9 +70,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = runs.with_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), planted=True)
+    return done.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op5_licenses": licenses.sql(), "op10_near_duplicates": neardup.SQL}
+    return {"op3_mixing": mixing.SQL, "op5_licenses": licenses.sql(), "op10_near_duplicates": neardup.SQL, "op12_phrases": phrases.SQL}
