@@ -9,8 +9,8 @@ pieces as numbers in a row, with a break between pieces. What follows reads thes
    phrase in it, so phrases in buckets below the least count, and triples with a pair in such a bucket, cannot be frequent.
 3. The phrases that are left are listed: a superset of the frequent ones. They are cut into blocks of about `BLOCK` by a hash; for
    every block a double-array trie over its words is made and written.
-4. A task loads one block's trie at a time and advances all word positions of its slices at once: a step of all states by their
-   first word, of those still in the trie by the second, then the third; accepting states are counted by bincount, and the counts
+4. A task loads one block's trie at a time and advances all word positions of its slices at once: a step of all states by the two
+   digits of their first word, of those still in the trie by the second, then the third; accepting states are counted by bincount, and the counts
    of all tasks are summed. These counts are exact.
 
 Tries, frequent words and buckets are read block by block from the shared folder, so that a task holds one block of bounded size; how
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import file_system, scratch, stored
 from .words import mixed, word_hashes
 
-SLICE, BLOCK, WORDS_A_FILE, BUCKETS = 1_000_000, 1_000_000, 2_000_000, 1 << 16
+SLICE, BLOCK, WORDS_A_FILE, BUCKETS = 1_000_000, 500_000, 2_000_000, 1 << 16
+ARRAYS = ["base", "check", "accepts"]
 _marks = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _NONE = np.uint64(0)
 
@@ -288,101 +289,90 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
 
 
 class Trie:
-    """A double-array trie of phrases over numbered words: the child of state s by word w is base[s] + w, if that state's parent is s."""
+    """A double-array trie of phrases over numbered words, two digits a word: the child of state s by digit d is base[s] + d, if check of that
+    is s. Digits are below the root of the number of words, so that the children of a state lie close together."""
 
     def __init__(self, phrases: list[bytes]):
         """phrases: of two or three words, each once; accepts[s] is a phrase's place, -1 elsewhere."""
         split = [p.split(b" ") for p in phrases]
-        self.words = {w: k for k, w in enumerate(sorted(set().union(*split)), 1)} if split else {}
-        # nodes by level: those of level n are the distinct first n words
+        self.words = sorted(set().union(*split))
+        number = {w: k for k, w in enumerate(self.words, 1)}
         codes = np.zeros((len(split), 3), np.int64)
         for k, p in enumerate(split):
-            codes[k, : len(p)] = [self.words[w] for w in p]
-        node, level, parents, symbols, self_node = np.zeros(len(split), np.int64), 0, [np.array([-1])], [np.array([0])], np.zeros(len(split), np.int64)
-        total = 1
-        for level in range(3):
-            live = codes[:, level] > 0
-            keys, where = np.unique(node[live] << 32 | codes[live, level], return_inverse=True)
+            codes[k, : len(p)] = [number[w] for w in p]
+        self.radix = int(np.ceil(np.sqrt(len(self.words) + 1)))
+        digits = np.stack(self.digits(codes), axis=2).reshape(len(split), 6)
+        node, parents, symbols, total = np.zeros(len(split), np.int64), [np.array([-1])], [np.array([0])], 1
+        for level in range(6):  # a node of level n is a distinct row of n digits
+            live = np.flatnonzero(digits[:, level])
+            keys, where = np.unique(node[live] << 32 | digits[live, level], return_inverse=True)
             parents.append(keys >> 32)
             symbols.append(keys & 0xFFFFFFFF)
             node[live] = total + where
             total += len(keys)
-        parent, symbol, self_node = np.concatenate(parents), np.concatenate(symbols), node
-        slot = self._placed(parent, symbol)
-        self.check = np.full(len(self.base), -1, np.int64)
+        parent, symbol = np.concatenate(parents), np.concatenate(symbols)
+        slot, base = self._placed(parent, symbol)
+        self.base, self.check, self.accepts = (np.full(int(slot.max()) + 1, x, np.int32) for x in (0, -1, -1))
+        self.base[slot] = base
         self.check[slot[1:]] = slot[parent[1:]]
-        self.accepts = np.full(len(self.base), -1, np.int64)
-        self.accepts[slot[self_node]] = np.arange(len(split))
+        self.accepts[slot[node]] = np.arange(len(split))
 
-    def _placed(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Each node's state; sets base. Nodes with several children are placed first fit among the first free states, those with one child
-        fill what is left free."""
+    def digits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both digits of word numbers, from 1; 0 and 0 of no word."""
+        return np.where(codes > 0, codes // self.radix + 1, 0), np.where(codes > 0, codes % self.radix + 1, 0)
+
+    @staticmethod
+    def _placed(parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each node's state and base. Nodes with several children are placed first, those with most before others, where they fit first; a
+        stretch with no place for one of them is left to the nodes with a single child."""
         order = np.argsort(parent[1:], kind="stable") + 1
         owners, starts, sizes = np.unique(parent[order], return_index=True, return_counts=True)
-        taken = np.zeros(2 * len(parent) + len(self.words) + 8, bool)
-        taken[0] = True
-        slot, base = np.zeros(len(parent), np.int64), {}
-        end, low = 1, 1
+        slot, base = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        taken = np.zeros(2 * len(parent) + 4096, bool)
+        taken[0], low = True, 1
         for g in np.argsort(-sizes, kind="stable").tolist():
             if sizes[g] == 1:
                 break
-            own = order[starts[g] : starts[g] + sizes[g]]
-            codes = symbol[own]
-            if end + codes[-1] - codes[0] + 64 >= len(taken):
-                taken = np.append(taken, np.zeros(len(taken) + codes[-1], bool))
-            free = low + np.flatnonzero(~taken[low : end + 64])[:64]
-            fits = ~taken[np.minimum(free[:, None] + (codes - codes[0])[None, :], len(taken) - 1)].any(axis=1) & (free + codes[-1] - codes[0] < len(taken))
-            at = int(free[np.argmax(fits)]) if fits.any() else end
-            if not fits.any():
-                low = int(free[-1])  # so crowded a stretch is left to single children
-            slot[own] = at + codes - codes[0]
-            taken[slot[own]] = True
+            codes = symbol[order[starts[g] : starts[g] + sizes[g]]]
+            span = codes - codes[0]
+            while True:
+                if low + 2048 + span[-1] > len(taken):
+                    taken = np.append(taken, np.zeros(len(taken), bool))
+                free = low + np.flatnonzero(~taken[low : low + 1024])[:128]
+                fits = ~taken[free[:, None] + span].any(axis=1)
+                if fits.any():
+                    break
+                low += 512
+            at = free[np.argmax(fits)]
+            taken[at + span] = True
+            slot[order[starts[g] : starts[g] + sizes[g]]] = at + span
             base[owners[g]] = at - codes[0]
-            end = max(end, int(slot[own[-1]]) + 1)
         single = np.flatnonzero(sizes == 1)
-        alone = order[starts[single]]
-        free = np.flatnonzero(~taken[1:])[: len(alone)] + 1
-        if len(free) < len(alone):
-            free = np.append(free, len(taken) + np.arange(len(alone) - len(free)))
-        slot[alone] = free
-        self.base = np.zeros(int(slot.max()) + 1, np.int64)
-        for owner, at in base.items():
-            self.base[slot[owner]] = at
-        self.base[slot[owners[single]]] = free - symbol[alone]
-        return slot
-
-    def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The states after one more word, -1 where there is none. Code 0 is no word."""
-        to = self.base[states] + codes
-        inside = (to >= 0) & (to < len(self.check)) & (codes > 0)
-        to = np.where(inside, to, 0)
-        return np.where(inside & (self.check[to] == states), to, -1)
-
-    def count(self, codes: np.ndarray, own: int) -> np.ndarray:
-        """How often each phrase starts at the first `own` positions of a row of codes."""
-        first = self.step(np.zeros(own, np.int64), codes[:own])
-        at = np.flatnonzero(first >= 0)
-        states, out = first[at], np.zeros(len(self.base), np.int64)
-        for k in (1, 2):
-            live = at + k < len(codes)
+        free = np.flatnonzero(~taken)[: len(single)]
+        free = np.append(free, len(taken) + np.arange(len(single) - len(free)))
+        slot[order[starts[single]]] = free
+        base[owners[single]] = free - symbol[order[starts[single]]]
+        return slot, base
+
+    def step(self, states: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        """The states after one more digit, -1 where there is none."""
+        to = self.base[states] + digits
+        to = np.where((digits > 0) & (to >= 0) & (to < len(self.check)), to, 0)
+        return np.where(self.check[to] == states, to, -1)
+
+    def count(self, high: np.ndarray, low: np.ndarray, own: int) -> np.ndarray:
+        """By state: how often its phrase starts at the first `own` positions of a row of words, given as two rows of digits."""
+        at, states, out = np.arange(own), np.zeros(own, np.int64), np.zeros(len(self.base), np.int64)
+        for k in range(3):
+            live = at + k < len(high)
             at, states = at[live], states[live]
-            states = self.step(states, codes[at + k])
-            at, states = at[states >= 0], states[states >= 0]
-            out += np.bincount(states, minlength=len(out))
+            for row in (high, low):
+                states = self.step(states, row[at + k])
+                at, states = at[states >= 0], states[states >= 0]
+            if k:
+                out += np.bincount(states, minlength=len(out))
         return out
 
-    def phrases_of(self, names: list[bytes], states: np.ndarray) -> list[bytes]:
-        """The words on the way from the root to each state."""
-        parent = self.check[states]
-        out = [names[k] for k in (states - self.base[parent] - 1).tolist()]
-        while True:
-            up = self.check[parent]
-            if not (parent > 0).any():
-                return out
-            before = np.where(parent > 0, parent - self.base[np.maximum(up, 0)] - 1, -1).tolist()
-            out = [names[k] + b" " + x if k >= 0 else x for k, x in zip(before, out, strict=True)]
-            parent = np.where(parent > 0, up, 0)
-
 
 def tries(listed: DataFrame, counts: dict[str, int]) -> str:
     """Writes a trie for every block of each language's phrases; returns the folder. counts: of phrases by language."""
@@ -391,12 +381,12 @@ def tries(listed: DataFrame, counts: dict[str, int]) -> str:
     dealt = listed.join(F.broadcast(blocks), "lang").withColumn("block", F.pmod(F.xxhash64("phrase"), F.col("_blocks")))  # a row a language
 
     def made(key, table):
-        trie = Trie(sorted(table.column("phrase").to_pylist()))
-        words = sorted(trie.words, key=trie.words.get)
-        arrays = [pa.array([getattr(trie, n).astype("<i8").tobytes()], pa.binary()) for n in ("base", "check", "accepts")]
-        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([words], pa.list_(pa.binary())), *arrays], names=["lang", "block", "words", "base", "check", "accepts"])
+        found = pa.array(sorted(table.column("phrase").to_pylist()), pa.binary())
+        trie = Trie(found.to_pylist())
+        arrays = [pa.array([getattr(trie, n).astype("<i4").tobytes()], pa.binary()) for n in ARRAYS]
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([trie.words], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(found)], found), *arrays], names=["lang", "block", "words", "phrases", *ARRAYS])
 
-    built = dealt.groupBy("lang", "block").applyInArrow(made, "lang string, block long, words array<binary>, base binary, check binary, accepts binary")
+    built = dealt.groupBy("lang", "block").applyInArrow(made, "lang string, block long, words array<binary>, phrases array<binary>, base binary, check binary, accepts binary")
     return _written(built, "phrase-tries")
 
 
@@ -404,30 +394,30 @@ def counted(slices: DataFrame, tries_dest: str) -> DataFrame:
     """lang, phrase, f: how often each phrase of the tries stands in the slices."""
 
     def read(lang: str):
-        for batch in _batches(tries_dest, lang, ["words", "base", "check", "accepts"], 1):
+        for batch in _batches(tries_dest, lang, ["words", "phrases", *ARRAYS], 1):
             trie = Trie.__new__(Trie)
-            names = batch.column("words")[0].values.to_pylist()
-            trie.words = {w: k for k, w in enumerate(names, 1)}
-            for n in ("base", "check", "accepts"):
-                setattr(trie, n, np.frombuffer(batch.column(n)[0].as_py(), "<i8"))
-            yield trie, names
+            for n in ARRAYS:
+                setattr(trie, n, np.frombuffer(batch.column(n)[0].as_py(), "<i4"))
+            number = {w: k for k, w in enumerate(batch.column("words")[0].values.to_pylist(), 1)}
+            trie.radix = int(np.ceil(np.sqrt(len(number) + 1)))
+            yield trie, number, batch.column("phrases")[0].values
 
     def run(batches):
-        loaded = _Read(read, lambda x: 3 * x[0].base.nbytes + 100 * len(x[1]))
+        loaded = _Read(read, lambda x: 3 * x[0].base.nbytes + 100 * len(x[1]) + x[2].nbytes)
         for batch in batches:
             by_lang = defaultdict(list)
             for lang, words, _, ids, own in _slices(batch):
                 by_lang[lang].append((words, ids, own))
             for lang, some in by_lang.items():
-                for trie, names in loaded(lang):
+                for trie, number, found in loaded(lang):
                     sums = np.zeros(len(trie.base), np.int64)
                     for words, ids, own in some:
-                        codes = np.fromiter((trie.words.get(w, 0) for w in words), np.int64, len(words))
-                        sums += trie.count(np.append(0, codes)[ids], own)
-                    found = np.flatnonzero((sums > 0) & (trie.accepts >= 0))
-                    for lo in range(0, len(found), 50_000):
-                        part = found[lo : lo + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(trie.phrases_of(names, part), pa.binary()), pa.array(sums[part])], names=["lang", "phrase", "f"])
+                        codes = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+                        sums += trie.count(*(np.append(0, x)[ids] for x in trie.digits(codes)), own)
+                    ends = np.flatnonzero(sums * (trie.accepts >= 0))
+                    for lo in range(0, len(ends), 50_000):
+                        part = ends[lo : lo + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), found.take(pa.array(trie.accepts[part])), pa.array(sums[part])], names=["lang", "phrase", "f"])
 
     each = slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, phrase binary, f long")
     return each.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
