@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, htmltext, licenses, mixing, neardup, phrases, quality, runs, tokens, toxicity, warc
+from . import bpe, fingerprint, htmltext, licenses, mixing, neardup, phrases, quality, runs, subwords, tokens, toxicity, warc
 from .common import scratch, table
 
 
@@ -70,6 +70,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = subwords.fit(docs, labels.filter(subwords.learnable(F.col("doc_id"))))
+    done = subwords.scored(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", F.coalesce(~subwords.learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
