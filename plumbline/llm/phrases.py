@@ -437,6 +437,13 @@ def frequent_phrases(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataF
     return words.select("lang", "word", "f"), sizes, phrases
 
 
+def with_score(df: DataFrame) -> DataFrame:
+    """df with score, floor(1000000 * a * a / (l * r)), in decimals of 38 digits."""
+    product = lambda x, y: F.expr(f"CAST(CAST({x} AS DECIMAL(19,0)) * CAST({y} AS DECIMAL(19,0)) AS DECIMAL(38,0))")
+    both = df.withColumn("_up", product("a", "a")).withColumn("_down", product("l", "r"))
+    return both.withColumn("score", F.expr("CAST(_up * CAST(1000000 AS DECIMAL(7,0)) AS DECIMAL(38,0)) div _down")).drop("_up", "_down")
+
+
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score (of the cut that scores least, ties to the earlier
     one), then count, then phrase. A phrase inside a longer one that stands at least share percent as often is left out."""
@@ -448,9 +455,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int =
     cuts = both.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("_k"), "_w").select("lang", "phrase", "a", "_k", join(F.lit(1), F.col("_k")).alias("_left"), join(F.col("_k") + 1, size - F.col("_k")).alias("_right"))
     side = lambda name, f: parts.select("lang", F.col("_p").alias(name), F.col("f").alias(f))
     scored = cuts.join(side("_left", "l"), ["lang", "_left"]).join(side("_right", "r"), ["lang", "_right"])
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    scored = scored.withColumn("_up", (wide("a") * wide("a")).cast("decimal(38,0)")).withColumn("_down", (wide("l") * wide("r")).cast("decimal(38,0)"))
-    scored = scored.withColumn("score", F.expr("CAST(_up * CAST(1000000 AS DECIMAL(7,0)) AS DECIMAL(38,0)) div _down"))
+    scored = with_score(scored)
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "_k", "l", "r")).alias("_b"))
     longer = both.filter(size == 3).select("lang", "a", F.explode(F.array(join(F.lit(1), F.lit(2)), join(F.lit(2), F.lit(2)))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     left = best.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("_longer") < share * F.col("a"), F.lit(True)))
