@@ -7,16 +7,17 @@ pieces as numbers in a row, with a break between pieces. What follows reads thes
 2. For every pair and triple of frequent words next to each other, a task counts hash buckets (as many buckets as the language has
    words, at least 65,536), and the counts are summed by block of 65,536 buckets. A bucket's sum is at least the count of each
    phrase in it, so phrases in buckets below the least count, and triples with a pair in such a bucket, cannot be frequent.
-3. The phrases that are left are listed: a superset of the frequent ones. They are cut into blocks of about `BLOCK` by a hash; for
-   every block a double-array trie over its words is made and written.
-4. A task loads one block's trie at a time and advances all word positions of its slices at once: a step of all states by the two
-   digits of their first word, of those still in the trie by the second, then the third; accepting states are counted by bincount, and the counts
-   of all tasks are summed. These counts are exact.
-
-Tries, frequent words and buckets are read block by block from the shared folder, so that a task holds one block of bounded size; how
-many blocks there are grows with the corpus, and each task reads all those of the languages that it has slices of. A phrase whose
-hash block is hot cannot be: blocks are dealt by the whole phrase. Scores are products and integral quotients of decimals of 38 digits
-(exact for counts below 10**16).
+3. The phrases that are left are listed: a superset of the frequent ones. They are dealt into blocks by a hash of their first
+   two words, a block for every `WORDS_A_BLOCK` words of the language; for each block a double-array trie over its words is made
+   and written.
+4. A task loads one block's trie at a time and advances all positions of its slices that the hash sends there at once: a step of all
+   states by the two digits of their first word, of those still in the trie by the second, then the third; accepting states
+   are counted by bincount, and the counts of all tasks are summed. These counts are exact.
+
+Tries, frequent words and buckets are read part by part from the shared folder, so that a task holds parts of bounded size; how many
+there are grows with the corpus, and each task reads all those of the languages that it has slices of. Rows between tasks are
+packed: one holds a task's buckets, phrases or counts of one block. Scores are products and integral quotients of decimals of 38
+digits (exact for counts below 10**16).
 
 Nulls and odd rows: null text is empty; null lang is `und`; repeated rows count as often as they stand; an empty table gives an
 empty result; other columns are not looked at. A text of any length is whole: slices of one text share two words, of which only
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import file_system, scratch, stored
 from .words import mixed, word_hashes
 
-SLICE, BLOCK, WORDS_A_FILE, BUCKETS = 1_000_000, 500_000, 2_000_000, 1 << 16
+SLICE, WORDS_A_BLOCK, WORDS_A_FILE, BUCKETS = 1_300_000, 4_000_000, 2_000_000, 1 << 16
 ARRAYS = ["base", "check", "accepts"]
 _marks = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _NONE = np.uint64(0)
@@ -77,7 +78,7 @@ def coded(docs: DataFrame) -> DataFrame:
                 own = held[lang]
                 got = text.encode().lower().translate(_marks).replace(b"\n", b" \n ").split(b" ")
                 ids = np.fromiter(map(own[0].__getitem__, got), np.int64, len(got))
-                ids = np.append(ids[ids != 1], 0)
+                ids = np.append(ids[ids != 1], 0).astype(np.int32)
                 own[1].append(ids)
                 own[2] += len(ids)
                 if sum(x[2] for x in held.values()) > SLICE:
@@ -102,27 +103,23 @@ def word_counts(slices: DataFrame) -> DataFrame:
     return stored(counted.mapInArrow(run, "lang string, word binary, f long, h long"), "phrase-words")
 
 
-def _written(df: DataFrame, name: str, lang_files: str = "lang") -> str:
-    """Writes rows in folders by language; a folder's name is the language's UTF-8 in hex."""
+def _written(df: DataFrame, name: str, block: bool = False) -> str:
+    """Writes rows in folders by language (its UTF-8 in hex), and by block if asked; returns the folder of all."""
     dest = scratch(df.sparkSession, name)
-    df.withColumn("_lang", F.concat(F.lit("x"), F.hex(F.encode(lang_files, "utf-8")))).drop(lang_files).write.partitionBy("_lang").parquet(dest)
+    named = df.withColumn("_lang", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8")))).drop("lang")
+    (named.withColumn("_block", F.col("block")) if block else named).write.partitionBy("_lang", *["_block"] * block).parquet(dest)
     return dest
 
 
-def _files(dest: str, lang: str) -> tuple:
+def _batches(dest: str, lang: str, columns: list[str], rows: int = WORDS_A_FILE, block: int | None = None):
+    """A language's rows (or those of one block), file by file and at most so many at a time."""
     from pyarrow import fs
-
-    files, folder = file_system(dest)
-    found = files.get_file_info(fs.FileSelector(f"{folder}/_lang=x{lang.encode().hex().upper()}", allow_not_found=True))
-    return files, sorted(x.path for x in found if x.path.endswith(".parquet"))
-
-
-def _batches(dest: str, lang: str, columns: list[str], rows: int = WORDS_A_FILE):
-    """A language's rows, file by file and at most so many at a time."""
     from pyarrow import parquet as pq
 
-    files, paths = _files(dest, lang)
-    for path in paths:
+    files, folder = file_system(dest)
+    where = f"{folder}/_lang=x{lang.encode().hex().upper()}" + ("" if block is None else f"/_block={block}")
+    found = files.get_file_info(fs.FileSelector(where, allow_not_found=True, recursive=True))
+    for path in sorted(x.path for x in found if x.path.endswith(".parquet")):
         with files.open_input_file(path) as f:
             yield from pq.ParquetFile(f).iter_batches(batch_size=rows, columns=columns)
 
@@ -222,7 +219,7 @@ def bucket_sums(slices: DataFrame, words_dest: str, sizes: dict[str, int], least
                 pair = _pairs(h, len(h))
                 old = held.get(lang, ([], [], 0))
                 held[lang] = [*old[0], pair[:own]], [*old[1], _triples(pair, np.append(pair[1:], _NONE))[:own]], old[2] + own
-                if held[lang][2] > 4 * SLICE:
+                if held[lang][2] > SLICE:
                     yield from made(lang)
         for lang in list(held):
             yield from made(lang)
@@ -239,8 +236,35 @@ def bucket_sums(slices: DataFrame, words_dest: str, sizes: dict[str, int], least
     return each.groupBy("lang", "size", "block").applyInArrow(total, "lang string, size int, block long, buckets binary")
 
 
+def _block(pair: np.ndarray, n: int) -> np.ndarray:
+    """The trie block of a pair's hash in a language of n words."""
+    return (pair >> np.uint64(8)) % np.uint64(max(1, -(-n // WORDS_A_BLOCK)))
+
+
+class _Seen:
+    """Phrases that a task has listed of a language, by numbers of its own for the words."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.two, self.three = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def mapped(self, words: list[bytes]) -> np.ndarray:
+        known = self.numbers
+        return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+
+    def full(self, more: int) -> bool:
+        """Whether so many more words may pass 21 bits, or the phrases their bound."""
+        return len(self.numbers) + more > 1 << 21 or len(self.two) + len(self.three) > 3_000_000
+
+
+def _new(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys (distinct, sorted) are not among the seen ones, and all of both."""
+    fresh = ~_inside([seen], keys)
+    return fresh, np.union1d(seen, keys[fresh])
+
+
 def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dict[str, int]) -> DataFrame:
-    """lang, size, phrase (words joined by a space), each once: all phrases in full buckets."""
+    """lang, block, phrases (words joined by a space): all phrases in full buckets; a task lists each once (or a few times)."""
 
     def numbers(batch) -> tuple[np.ndarray, np.ndarray]:
         out = {2: [np.zeros(0, np.uint64)], 3: [np.zeros(0, np.uint64)]}
@@ -251,41 +275,42 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
     def run(batches):
         frequent = _frequent(words_dest)
         full = _Read(lambda lang: map(numbers, _batches(buckets_dest, lang, ["size", "block", "buckets"], 256)), lambda x: x[0].nbytes + x[1].nbytes)
-        seen: dict[str, set] = {}
+        seen: dict[str, _Seen] = {}
         for batch in batches:
             for lang, words, hashes, ids, own in _slices(batch):
                 h = _frequent_hashes(frequent, lang, hashes, ids)
                 shift = np.uint64(64 - _bits(sizes[lang]))
                 pair = _pairs(h, len(h))
-                keys = pair >> shift
-                good = np.zeros(len(pair), bool)
+                keys, some = pair >> shift, np.flatnonzero(pair)
+                good = np.zeros(len(some), bool)
                 for two, _ in full(lang):
-                    good |= _inside([two], keys)
-                pair = np.where(good & (pair != _NONE), pair, _NONE)
+                    good |= _inside([two], keys[some])
+                pair[some[~good]] = _NONE
                 triple = _triples(pair, np.append(pair[1:], _NONE))
-                keys, some = triple >> shift, np.flatnonzero(triple != _NONE)
+                keys, some = triple >> shift, np.flatnonzero(triple[:own])
                 good = np.zeros(len(some), bool)
                 for _, three in full(lang):
                     good |= _inside([three], keys[some])
-                some = some[good]
-                wide = np.int64(len(words) + 1)
-                at2, at3 = np.flatnonzero(pair[:own] != _NONE), some[some < own]
-                twos = np.unique(ids[at2] * wide + ids[at2 + 1])
-                phrases = [words[a - 1] + b" " + words[b - 1] for a, b in zip((twos // wide).tolist(), (twos % wide).tolist(), strict=True)]
-                # three numbers may pass 64 bits, so pairs are numbered anew
-                first = np.searchsorted(twos, ids[at3] * wide + ids[at3 + 1])
-                threes = np.unique(first * wide + ids[at3 + 2])
-                more = [phrases[a] + b" " + words[b - 1] for a, b in zip((threes // wide).tolist(), (threes % wide).tolist(), strict=True)]
-                old = seen.setdefault(lang, set())
-                for size, found in ((2, phrases), (3, more)):
-                    new = [p for p in found if p not in old]
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array([size] * len(new), pa.int32()), pa.array(new, pa.binary())], names=["lang", "size", "phrase"])
-                        old.update(new)
-                if sum(map(len, seen.values())) > 500_000:
-                    seen.clear()
-
-    return slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, size int, phrase binary").distinct()
+                at3, at2 = some[good], np.flatnonzero(pair[:own])
+                if lang not in seen or seen[lang].full(len(words)):
+                    seen[lang] = _Seen()
+                known = seen[lang]
+                task = np.append(-1, known.mapped(words))  # below 2**21: a slice has fewer words
+                twos, first2 = np.unique(task[ids[at2]] << 21 | task[ids[at2 + 1]], return_index=True)
+                threes, first3 = np.unique(task[ids[at3]] << 42 | task[ids[at3 + 1]] << 21 | task[ids[at3 + 2]], return_index=True)
+                new2, known.two = _new(twos, known.two)
+                new3, known.three = _new(threes, known.three)
+                at2, at3 = at2[first2[new2]], at3[first3[new3]]
+                phrases = [words[a] + b" " + words[b] for a, b in zip((ids[at2] - 1).tolist(), (ids[at2 + 1] - 1).tolist(), strict=True)]
+                phrases += [words[a] + b" " + words[b] + b" " + words[c] for a, b, c in zip(*((ids[at3 + k] - 1).tolist() for k in range(3)), strict=True)]
+                blocks = _block(pair[np.append(at2, at3)], sizes[lang])
+                order = np.argsort(blocks, kind="stable")
+                values = pa.array(phrases, pa.binary()).take(pa.array(order))
+                named, starts = np.unique(blocks[order], return_index=True)
+                if len(named):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(phrases)), pa.int32()), values)], names=["lang", "block", "phrases"])
+
+    return slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, block long, phrases array<binary>")
 
 
 class Trie:
@@ -360,67 +385,85 @@ class Trie:
         to = np.where((digits > 0) & (to >= 0) & (to < len(self.check)), to, 0)
         return np.where(self.check[to] == states, to, -1)
 
-    def count(self, high: np.ndarray, low: np.ndarray, own: int) -> np.ndarray:
-        """By state: how often its phrase starts at the first `own` positions of a row of words, given as two rows of digits."""
-        at, states, out = np.arange(own), np.zeros(own, np.int64), np.zeros(len(self.base), np.int64)
-        for k in range(3):
-            live = at + k < len(high)
-            at, states = at[live], states[live]
-            for row in (high, low):
-                states = self.step(states, row[at + k])
-                at, states = at[states >= 0], states[states >= 0]
+    def count(self, codes: list[np.ndarray]) -> np.ndarray:
+        """By state: how often its phrase stands among rows of three word numbers (0: no word)."""
+        at, states, out = np.arange(len(codes[0])), np.zeros(len(codes[0]), np.int64), np.zeros(len(self.base), np.int64)
+        for k, row in enumerate(codes):
+            for digits in self.digits(row):
+                states = self.step(states, digits[at])
+                live = states >= 0
+                states, at = states[live], at[live]
             if k:
                 out += np.bincount(states, minlength=len(out))
         return out
 
 
-def tries(listed: DataFrame, counts: dict[str, int]) -> str:
-    """Writes a trie for every block of each language's phrases; returns the folder. counts: of phrases by language."""
-    spark = listed.sparkSession
-    blocks = spark.createDataFrame([(k, max(1, -(-n // BLOCK))) for k, n in counts.items()] or [("", 1)], "lang string, _blocks long")
-    dealt = listed.join(F.broadcast(blocks), "lang").withColumn("block", F.pmod(F.xxhash64("phrase"), F.col("_blocks")))  # a row a language
+def tries(listed: DataFrame) -> str:
+    """Writes a trie for every block of each language's phrases, in a folder of its own; returns the folder of them all."""
 
     def made(key, table):
-        found = pa.array(sorted(table.column("phrase").to_pylist()), pa.binary())
-        trie = Trie(found.to_pylist())
+        found = sorted(set(table.column("phrases").combine_chunks().flatten().to_pylist()))
+        trie = Trie(found)
         arrays = [pa.array([getattr(trie, n).astype("<i4").tobytes()], pa.binary()) for n in ARRAYS]
-        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([trie.words], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(found)], found), *arrays], names=["lang", "block", "words", "phrases", *ARRAYS])
+        lists = [pa.array([x], pa.list_(pa.binary())) for x in (trie.words, found)]
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), *lists, *arrays], names=["lang", "block", "words", "phrases", *ARRAYS])
 
-    built = dealt.groupBy("lang", "block").applyInArrow(made, "lang string, block long, words array<binary>, phrases array<binary>, base binary, check binary, accepts binary")
-    return _written(built, "phrase-tries")
+    built = listed.groupBy("lang", "block").applyInArrow(made, "lang string, block long, words array<binary>, phrases array<binary>, base binary, check binary, accepts binary")
+    return _written(built, "phrase-tries", block=True)
 
 
-def counted(slices: DataFrame, tries_dest: str) -> DataFrame:
-    """lang, phrase, f: how often each phrase of the tries stands in the slices."""
+def _trie(batch, k: int) -> tuple[Trie, dict[bytes, int]]:
+    trie = Trie.__new__(Trie)
+    for n in ARRAYS:
+        setattr(trie, n, np.frombuffer(batch.column(n)[k].as_py(), "<i4"))
+    number = {w: k for k, w in enumerate(batch.column("words")[k].values.to_pylist(), 1)}
+    trie.radix = int(np.ceil(np.sqrt(len(number) + 1)))
+    return trie, number
 
-    def read(lang: str):
-        for batch in _batches(tries_dest, lang, ["words", "phrases", *ARRAYS], 1):
-            trie = Trie.__new__(Trie)
-            for n in ARRAYS:
-                setattr(trie, n, np.frombuffer(batch.column(n)[0].as_py(), "<i4"))
-            number = {w: k for k, w in enumerate(batch.column("words")[0].values.to_pylist(), 1)}
-            trie.radix = int(np.ceil(np.sqrt(len(number) + 1)))
-            yield trie, number, batch.column("phrases")[0].values
+
+def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str, int]) -> DataFrame:
+    """lang, phrase, f: how often each phrase of the tries stands in the slices."""
 
     def run(batches):
-        loaded = _Read(read, lambda x: 3 * x[0].base.nbytes + 100 * len(x[1]) + x[2].nbytes)
+        frequent = _frequent(words_dest)
+
+        def told(lang, some):
+            """Counts of one language's slices, block after block."""
+            for batch in _batches(tries_dest, lang, ["block", "words", *ARRAYS], 1):
+                block, (trie, number), sums = batch.column("block")[0].as_py(), _trie(batch, 0), 0
+                for words, ids, order, blocks in some:
+                    at = order[np.searchsorted(blocks, block) : np.searchsorted(blocks, block, "right")]
+                    used, where = np.unique(np.stack([ids[at], ids[at + 1], ids[at + 2]]), return_inverse=True)
+                    codes = np.fromiter((number.get(words[k - 1], 0) if k else 0 for k in used.tolist()), np.int64, len(used))
+                    sums = sums + trie.count(list(codes[where.reshape(3, -1)]))
+                ends = np.flatnonzero(sums * (trie.accepts >= 0))
+                if len(ends):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block]), pa.array([trie.accepts[ends].astype("<u4").tobytes()], pa.binary()), pa.array([sums[ends].astype("<u4").tobytes()], pa.binary())], names=["lang", "block", "places", "n"])
+
+        held: dict[str, list] = defaultdict(list)
         for batch in batches:
-            by_lang = defaultdict(list)
-            for lang, words, _, ids, own in _slices(batch):
-                by_lang[lang].append((words, ids, own))
-            for lang, some in by_lang.items():
-                for trie, number, found in loaded(lang):
-                    sums = np.zeros(len(trie.base), np.int64)
-                    for words, ids, own in some:
-                        codes = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
-                        sums += trie.count(*(np.append(0, x)[ids] for x in trie.digits(codes)), own)
-                    ends = np.flatnonzero(sums * (trie.accepts >= 0))
-                    for lo in range(0, len(ends), 50_000):
-                        part = ends[lo : lo + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), found.take(pa.array(trie.accepts[part])), pa.array(sums[part])], names=["lang", "phrase", "f"])
-
-    each = slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, phrase binary, f long")
-    return each.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+            for lang, words, hashes, ids, own in _slices(batch):
+                pair = _pairs(_frequent_hashes(frequent, lang, hashes, ids), len(ids))[:own]
+                order = np.flatnonzero(pair)
+                blocks = _block(pair[order], sizes[lang])
+                by_block = np.argsort(blocks, kind="stable")
+                held[lang].append((words, np.append(ids, [0, 0]), order[by_block], blocks[by_block].astype(np.int64)))
+                if sum(len(x[1]) for x in held[lang]) > 3 * SLICE:
+                    yield from told(lang, held.pop(lang))
+        for lang in list(held):
+            yield from told(lang, held.pop(lang))
+
+    def total(key, table):
+        lang, block = (k.as_py() for k in key)
+        phrases = next(_batches(tries_dest, lang, ["phrases"], 1, block)).column("phrases")[0].values
+        sums = np.zeros(len(phrases), np.int64)
+        for places, n in zip(table.column("places").to_pylist(), table.column("n").to_pylist(), strict=True):
+            sums[np.frombuffer(places, "<u4")] += np.frombuffer(n, "<u4")
+        found = np.flatnonzero(sums)
+        return pa.table([pa.array([lang] * len(found), pa.string()), phrases.take(pa.array(found)), pa.array(sums[found])], names=["lang", "phrase", "f"])
+
+    each = slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, block long, places binary, n binary")
+    return each.groupBy("lang", "block").applyInArrow(total, "lang string, phrase binary, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -431,9 +474,8 @@ def frequent_phrases(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataF
     n = {r.lang: r.n for r in sizes.collect()}  # a row a language
     words_dest = _written(words.filter(F.col("f") >= least).select("lang", "h"), "phrase-frequent")
     buckets_dest = _written(bucket_sums(slices, words_dest, n, least), "phrase-buckets")
-    listed = stored(candidates(slices, words_dest, buckets_dest, n), "phrase-candidates")
-    each = {r.lang: r.n for r in listed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    phrases = stored(counted(slices, tries(listed, each)).filter(F.col("f") >= least), "phrase-counts")
+    tries_dest = tries(candidates(slices, words_dest, buckets_dest, n))
+    phrases = stored(counted(slices, words_dest, tries_dest, n).filter(F.col("f") >= least), "phrase-counts")
     return words.select("lang", "word", "f"), sizes, phrases
 
 

@@ -18,7 +18,7 @@ def test_trie_counts_like_a_dictionary():
         words = [b"w%d" % x for x in np.minimum((v * rng.random(5000) ** 3).astype(int), v).tolist()]
         codes = np.array([number.get(w, 0) for w in words])
         codes[::17] = 0
-        got = trie.count(*trie.digits(codes), len(codes) - 2)
+        got = trie.count([codes[k : len(codes) - 2 + k] for k in range(3)])
         want = Counter(p for i in range(len(codes) - 2) for k in (2, 3) if codes[i : i + k].all() and (p := b" ".join(words[i : i + k])) in some)
         assert {listed[trie.accepts[s]]: int(got[s]) for s in np.flatnonzero(got) if trie.accepts[s] >= 0} == dict(want)
 
@@ -63,7 +63,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
         rows.append((rng.choice(["en", "en", "de", None]), "".join(w + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\n", ":"]) for w in words)))
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, rank int, words string")
     monkeypatch.setattr(phrases, "SLICE", 700)
-    monkeypatch.setattr(phrases, "BLOCK", 60)
+    monkeypatch.setattr(phrases, "WORDS_A_BLOCK", 4000)
     slices = phrases.coded(docs)
     assert slices.count() > 5
     got = phrases.collocations(docs.repartition(3), top=40)
