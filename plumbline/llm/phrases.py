@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import file_system, scratch, stored
 from .words import mixed, word_hashes
 
-SLICE, WORDS_A_BLOCK, WORDS_A_FILE, BUCKETS = 1_300_000, 4_000_000, 2_000_000, 1 << 16
+SLICE, WORDS_A_BLOCK, WORDS_A_FILE, BUCKETS = 1_000_000, 4_000_000, 50_000_000, 1 << 16
 ARRAYS = ["base", "check", "accepts"]
 _marks = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _NONE = np.uint64(0)
@@ -103,15 +103,22 @@ def word_counts(slices: DataFrame) -> DataFrame:
     return stored(counted.mapInArrow(run, "lang string, word binary, f long, h long"), "phrase-words")
 
 
-def _written(df: DataFrame, name: str, block: bool = False) -> str:
-    """Writes rows in folders by language (its UTF-8 in hex), and by block if asked; returns the folder of all."""
+def _written(df: DataFrame, name: str, sizes: dict[str, int] | None = None) -> str:
+    """Writes rows in folders by language (its UTF-8 in hex), and by block, or with sizes in a file for each WORDS_A_FILE words of the language;
+    returns the folder of all."""
     dest = scratch(df.sparkSession, name)
-    named = df.withColumn("_lang", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8")))).drop("lang")
-    (named.withColumn("_block", F.col("block")) if block else named).write.partitionBy("_lang", *["_block"] * block).parquet(dest)
+    named = df.withColumn("_lang", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8"))))
+    if sizes is None:
+        named.withColumn("_block", F.col("block")).drop("lang").write.partitionBy("_lang", "_block").parquet(dest)
+    else:
+        many = F.lit(1)
+        for lang, n in sizes.items():
+            many = F.when(F.col("lang") == lang, -(-n // WORDS_A_FILE)).otherwise(many)
+        named.repartition("_lang", F.pmod(F.xxhash64(*df.columns), many)).drop("lang").write.partitionBy("_lang").parquet(dest)
     return dest
 
 
-def _batches(dest: str, lang: str, columns: list[str], rows: int = WORDS_A_FILE, block: int | None = None):
+def _batches(dest: str, lang: str, columns: list[str], rows: int = 2_000_000, block: int | None = None):
     """A language's rows (or those of one block), file by file and at most so many at a time."""
     from pyarrow import fs
     from pyarrow import parquet as pq
@@ -159,11 +166,12 @@ def _inside(sorted_parts, keys: np.ndarray) -> np.ndarray:
 
 
 def _slices(batch):
-    """lang, words, their hashes, ids, own of each row of a batch."""
-    for k in range(batch.num_rows):
+    """lang, words, their hashes, ids, own of each row of a batch, a language after the other."""
+    langs = batch.column("lang").to_pylist()
+    for k in sorted(range(len(langs)), key=lambda k: (langs[k], k)):
         words = batch.column("words")[k].values.to_pylist()
-        ids = np.frombuffer(batch.column("ids")[k].as_py(), "<u4").astype(np.int64)
-        yield batch.column("lang")[k].as_py(), words, word_hashes([b" ".join(words)])[0], ids, batch.column("own")[k].as_py()
+        ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u4")
+        yield langs[k], words, word_hashes([b" ".join(words)])[0], ids, batch.column("own")[k].as_py()
 
 
 def _frequent_hashes(frequent, lang: str, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -172,15 +180,24 @@ def _frequent_hashes(frequent, lang: str, hashes: np.ndarray, ids: np.ndarray) -
     return np.append(_NONE, own)[ids]
 
 
-def _pairs(h: np.ndarray, n: int) -> np.ndarray:
-    """At each of n starts the pair's hash, 0 without a pair of frequent words."""
-    a, b = h[:n], np.append(h[1:], _NONE)[:n]
-    return np.where((a != _NONE) & (b != _NONE), mixed(a * np.uint64(3) + b) | np.uint64(1), _NONE)
+def _mixed_pairs(a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
+    """A hash of each a with its b, 0 where either is 0; part by part, so that little is held beside the result."""
+    out = np.zeros(len(a), np.uint64)
+    for lo in range(0, len(a), BUCKETS):
+        x, y = a[lo : lo + BUCKETS], b[lo : lo + BUCKETS]
+        at = np.flatnonzero((x != _NONE) & (y != _NONE))
+        out[lo + at] = mixed(x[at] * np.uint64(factor) + y[at]) | np.uint64(1)
+    return out
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """At each position the hash of its word and the next, 0 without a pair of frequent words."""
+    return _mixed_pairs(h, np.append(h[1:], _NONE), 3)
 
 
-def _triples(pair: np.ndarray, following: np.ndarray) -> np.ndarray:
+def _triples(pair: np.ndarray) -> np.ndarray:
     """The triple's hash from those of its two pairs, 0 without both."""
-    return np.where((pair != _NONE) & (following != _NONE), mixed(pair * np.uint64(5) + following) | np.uint64(1), _NONE)
+    return _mixed_pairs(pair, np.append(pair[1:], _NONE), 5)
 
 
 def _bits(n: int) -> int:
@@ -216,9 +233,9 @@ def bucket_sums(slices: DataFrame, words_dest: str, sizes: dict[str, int], least
         for batch in batches:
             for lang, _, hashes, ids, own in _slices(batch):
                 h = _frequent_hashes(frequent, lang, hashes, ids)
-                pair = _pairs(h, len(h))
+                pair = _pairs(h)
                 old = held.get(lang, ([], [], 0))
-                held[lang] = [*old[0], pair[:own]], [*old[1], _triples(pair, np.append(pair[1:], _NONE))[:own]], old[2] + own
+                held[lang] = [*old[0], pair[:own]], [*old[1], _triples(pair)[:own]], old[2] + own
                 if held[lang][2] > SLICE:
                     yield from made(lang)
         for lang in list(held):
@@ -280,13 +297,13 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
             for lang, words, hashes, ids, own in _slices(batch):
                 h = _frequent_hashes(frequent, lang, hashes, ids)
                 shift = np.uint64(64 - _bits(sizes[lang]))
-                pair = _pairs(h, len(h))
+                pair = _pairs(h)
                 keys, some = pair >> shift, np.flatnonzero(pair)
                 good = np.zeros(len(some), bool)
                 for two, _ in full(lang):
                     good |= _inside([two], keys[some])
                 pair[some[~good]] = _NONE
-                triple = _triples(pair, np.append(pair[1:], _NONE))
+                triple = _triples(pair)
                 keys, some = triple >> shift, np.flatnonzero(triple[:own])
                 good = np.zeros(len(some), bool)
                 for _, three in full(lang):
@@ -409,7 +426,7 @@ def tries(listed: DataFrame) -> str:
         return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), *lists, *arrays], names=["lang", "block", "words", "phrases", *ARRAYS])
 
     built = listed.groupBy("lang", "block").applyInArrow(made, "lang string, block long, words array<binary>, phrases array<binary>, base binary, check binary, accepts binary")
-    return _written(built, "phrase-tries", block=True)
+    return _written(built, "phrase-tries")
 
 
 def _trie(batch, k: int) -> tuple[Trie, dict[bytes, int]]:
@@ -443,12 +460,12 @@ def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str
         held: dict[str, list] = defaultdict(list)
         for batch in batches:
             for lang, words, hashes, ids, own in _slices(batch):
-                pair = _pairs(_frequent_hashes(frequent, lang, hashes, ids), len(ids))[:own]
+                pair = _pairs(_frequent_hashes(frequent, lang, hashes, ids))[:own]
                 order = np.flatnonzero(pair)
                 blocks = _block(pair[order], sizes[lang])
                 by_block = np.argsort(blocks, kind="stable")
                 held[lang].append((words, np.append(ids, [0, 0]), order[by_block], blocks[by_block].astype(np.int64)))
-                if sum(len(x[1]) for x in held[lang]) > 3 * SLICE:
+                if sum(len(x[1]) for x in held[lang]) > SLICE:
                     yield from told(lang, held.pop(lang))
         for lang in list(held):
             yield from told(lang, held.pop(lang))
@@ -472,8 +489,8 @@ def frequent_phrases(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataF
     words = word_counts(slices)
     sizes = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-sizes")
     n = {r.lang: r.n for r in sizes.collect()}  # a row a language
-    words_dest = _written(words.filter(F.col("f") >= least).select("lang", "h"), "phrase-frequent")
-    buckets_dest = _written(bucket_sums(slices, words_dest, n, least), "phrase-buckets")
+    words_dest = _written(words.filter(F.col("f") >= least).select("lang", "h"), "phrase-frequent", n)
+    buckets_dest = _written(bucket_sums(slices, words_dest, n, least), "phrase-buckets", n)
     tries_dest = tries(candidates(slices, words_dest, buckets_dest, n))
     phrases = stored(counted(slices, words_dest, tries_dest, n).filter(F.col("f") >= least), "phrase-counts")
     return words.select("lang", "word", "f"), sizes, phrases
