@@ -72,10 +72,10 @@ def levels_text(levels: Column) -> Column:
 
 
 def building_tags(tags: Column, levels: Column, source: str) -> Column:
-    """Resolved tags or building=yes, the storeys if there are any, and the source."""
+    """Resolved tags or building=yes, with the storeys (if there are any) and the source in place of the same tags of the mapping."""
     base = F.coalesce(tags, F.create_map(F.lit("building"), F.lit("yes")))
     more = F.map_filter(F.map_from_arrays(F.array(F.lit("building:levels"), F.lit("source:building")), F.array(levels_text(levels), F.lit(source))), lambda k, v: v.isNotNull())
-    return F.map_concat(F.map_filter(base, lambda k, v: ~k.isin("building:levels", "source:building")), more)
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(more, k)), more)
 
 
 def signature(*columns: Column) -> Column:

@@ -67,10 +67,24 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
+def last_id(existing: DataFrame | None, column: str) -> int:
+    return (existing.agg(F.max(column)).first()[0] or 0) if existing is not None else 0
+
+
+def numbered(new: DataFrame, column: str, order: list[str], after: int) -> DataFrame:
+    """new with ids that follow `after`, in an order: rows are numbered within range partitions, whose bases are the sizes of those before."""
+    from ..sources.scratch import written
+
+    ranged = written(new.drop(column).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    bases = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row a partition
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(F.broadcast(bases), "_p").withColumn(column, (F.col("_base") + within + after).cast("long")).drop("_p", "_base")
+
+
 def next_ids(existing: DataFrame, new: DataFrame, column: str, order: list[str]) -> DataFrame:
     """new with ids that follow the largest of existing."""
-    last = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_last"))
-    return new.drop(column).crossJoin(F.broadcast(last)).withColumn(column, F.col("_last") + F.row_number().over(Window.orderBy(*order))).drop("_last")  # one row on the right
+    return numbered(new, column, order, last_id(existing, column))
 
 
 def history_row(changes: DataFrame, live_rows: int, etag: str | None, at: Column) -> DataFrame:
