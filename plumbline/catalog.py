@@ -389,10 +389,14 @@ def shift_bands(spark, sf_dir):
 
 
 def queries() -> dict:
+    from . import catalog_map  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_map  # noqa: F401
+
     return dict(SQL)
 
 

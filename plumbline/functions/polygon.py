@@ -140,16 +140,27 @@ def overlap_areas(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
     return both.groupBy(a_key, b_key, *carry).agg(F.sum(F.col("sa") * F.col("sb") * piece).alias("overlap"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once: a name in a lambda stands for it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def touching(a: Column, b: Column) -> Column:
-    """Whether two polygons meet, touching included: sides that cross or touch, or one inside the other."""
+    """Whether two polygons meet, touching included: sides that cross or touch, or one inside the other. Only sides that reach into the other's
+    box are compared with each other."""
     side = lambda p, q, c: F.signum((q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x))
     within = lambda p, q, c: c.x.between(F.least(p.x, q.x), F.greatest(p.x, q.x)) & c.y.between(F.least(p.y, q.y), F.greatest(p.y, q.y))
 
     def meets(s, t):
-        d1, d2, d3, d4 = side(s.p, s.q, t.p), side(s.p, s.q, t.q), side(t.p, t.q, s.p), side(t.p, t.q, s.q)
-        on = ((d1 == 0) & within(s.p, s.q, t.p)) | ((d2 == 0) & within(s.p, s.q, t.q)) | ((d3 == 0) & within(t.p, t.q, s.p)) | ((d4 == 0) & within(t.p, t.q, s.q))
-        return ((d1 * d2 < 0) & (d3 * d4 < 0)) | on
+        turns = F.struct(side(s.p, s.q, t.p).alias("a"), side(s.p, s.q, t.q).alias("b"), side(t.p, t.q, s.p).alias("c"), side(t.p, t.q, s.q).alias("d"))
+        on = lambda d: ((d.a == 0) & within(s.p, s.q, t.p)) | ((d.b == 0) & within(s.p, s.q, t.q)) | ((d.c == 0) & within(t.p, t.q, s.p)) | ((d.d == 0) & within(t.p, t.q, s.q))
+        apart = (F.greatest(s.p.x, s.q.x) < F.least(t.p.x, t.q.x)) | (F.greatest(t.p.x, t.q.x) < F.least(s.p.x, s.q.x)) | (F.greatest(s.p.y, s.q.y) < F.least(t.p.y, t.q.y)) | (F.greatest(t.p.y, t.q.y) < F.least(s.p.y, s.q.y))
+        return ~apart & F.exists(F.array(turns), lambda d: ((d.a * d.b < 0) & (d.c * d.d < 0)) | on(d))
+
+    def near(rings: Column, o: Column) -> Column:
+        reach = lambda s: (F.greatest(s.p.x, s.q.x) >= o.x0) & (F.least(s.p.x, s.q.x) <= o.x1) & (F.greatest(s.p.y, s.q.y) >= o.y0) & (F.least(s.p.y, s.q.y) <= o.y1)
+        return F.flatten(F.transform(rings, lambda r: F.filter(_sides(r.pts), reach)))
 
-    sides = lambda r: F.flatten(F.transform(r, lambda x: _sides(x.pts)))
     first = lambda r: F.element_at(F.element_at(r, 1).pts, 1)
-    return F.exists(sides(a), lambda s: F.exists(sides(b), lambda t: meets(s, t))) | contains(a, first(b).x, first(b).y) | contains(b, first(a).x, first(a).y)
+    meet = _once(F.struct(bbox(a).alias("a"), bbox(b).alias("b")), lambda o: _once(F.struct(near(a, o.b).alias("s"), near(b, o.a).alias("t")), lambda n: F.exists(n.s, lambda s: F.exists(n.t, lambda t: meets(s, t)))))
+    return meet | contains(a, first(b).x, first(b).y) | contains(b, first(a).x, first(a).y)

@@ -47,14 +47,20 @@ def _turn(a: str, b: str, c: str) -> Column:
     return (x(b) - x(a)) * (y(c) - y(a)) - (y(b) - y(a)) * (x(c) - x(a))
 
 
-def meetings(edges: DataFrame, frame: DataFrame) -> DataFrame:
-    """key, id, x, y: points inside a side (not its ends) at which another side of the key crosses it or ends on it. edges: with id."""
+def _pairs(edges: DataFrame, frame: DataFrame) -> DataFrame:
+    """key, id, p, q, _id, s, t, a, b, c, d: pairs of a key's sides whose boxes meet, and on which side of the one the other's ends lie."""
     p, q = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     own = in_slabs(edges.select("key", "id", *XY), frame, F.least("x1", "x2"), F.greatest("x1", "x2")).select("key", "slab", "first", "id", p.alias("p"), q.alias("q"))
     other = own.select("key", "slab", F.col("first").alias("_first"), F.col("id").alias("_id"), F.col("p").alias("s"), F.col("q").alias("t"))
     pair = own.join(other, ["key", "slab"]).filter("id < _id AND slab = greatest(first, _first)")
     pair = pair.filter(F.greatest("p.y", "q.y") >= F.least("s.y", "t.y")).filter(F.greatest("s.y", "t.y") >= F.least("p.y", "q.y"))
     pair = pair.select("*", _turn("p", "q", "s").alias("a"), _turn("p", "q", "t").alias("b"), _turn("s", "t", "p").alias("c"), _turn("s", "t", "q").alias("d"))
+    return pair
+
+
+def meetings(edges: DataFrame, frame: DataFrame) -> DataFrame:
+    """key, id, x, y: points inside a side (not its ends) at which another side of the key crosses it or ends on it. edges: with id."""
+    pair = _pairs(edges, frame)
     share = F.col("c") / (F.col("c") - F.col("d"))
     x, y = F.col("p.x") + (F.col("q.x") - F.col("p.x")) * share, F.col("p.y") + (F.col("q.y") - F.col("p.y")) * share
     at = F.struct(x.alias("x"), y.alias("y"))
@@ -149,10 +155,24 @@ def shaped(edges: DataFrame, rule: str = "union") -> DataFrame:
     return stitched(boundary(pieces(edges), rule))
 
 
+def invalid(df: DataFrame, key: str, rings: str = "rings", small: int = 64) -> DataFrame:
+    """key, rings of the polygons (one a key) that are not valid, as `polygon.is_valid` has it. Polygons of up to `small` points are judged row by
+    row, larger ones by joining their sides on slabs of x."""
+    points = F.aggregate(F.transform(rings, lambda r: F.size(r.pts)), F.lit(0), lambda a, n: a + n)
+    own = df.filter(F.col(rings).isNotNull()).select(key, rings)
+    few = own.filter(points <= small).filter(~polygon.is_valid(F.col(rings)))
+    many = written(own.filter(points > small), "large")
+    sound = F.forall(rings, lambda r: (F.size(r.pts) >= 4) & (F.element_at(r.pts, 1) == F.element_at(r.pts, -1)) & (polygon.ring_area(r.pts) != 0))
+    broken = many.filter(~F.coalesce(sound, F.lit(False))).select(key)
+    each = written(sides(many.join(broken, key, "left_anti"), key, rings).select(F.struct("key", "ring").alias("key"), F.monotonically_increasing_id().alias("id"), *XY), "sides")
+    crossed = _pairs(each, slab_frame(each)).filter("a * b < 0 AND c * d < 0").select(F.col("key.key").alias(key))
+    return few.unionByName(many.join(broken.union(crossed).distinct(), key, "left_semi"))
+
+
 def repaired(df: DataFrame, key: str, rings: str = "rings") -> tuple[DataFrame, DataFrame]:
     """df (one row a key) with invalid polygons made valid by the even-odd rule, those without area left out, and counts: checked, repaired,
     dropped. Rows without a polygon stay."""
-    broken = written(df.filter(F.col(rings).isNotNull() & ~polygon.is_valid(F.col(rings))).select(key, rings), "broken")
+    broken = written(invalid(df, key, rings), "broken")
     if broken.isEmpty():
         return df, df.agg(F.count("*").alias("checked"), F.lit(0).cast("long").alias("repaired"), F.lit(0).cast("long").alias("dropped"))
     fixed = written(shaped(sides(broken, key, rings), "even_odd").select(F.col("key").alias(key), F.col("rings").alias("_fixed"), F.lit(True).alias("_new")), "fixed")

@@ -43,6 +43,8 @@ VIEWS = {
         16e0 + (event_id * 37) % 8192 / 4096e0 AS lon, 50e0 + (user_id * 101) % 8192 / 4096e0 AS lat, ts FROM events""",
     "ways": """SELECT l_orderkey AS way, l_linenumber AS ord, CASE WHEN l_orderkey % 37 = 0 AND l_linenumber = 2 THEN -1 ELSE l_partkey END AS node FROM lineitem""",
     "nodes": """SELECT p_partkey AS node, 16e0 + (p_partkey * 37) % 8192 / 4096e0 AS lon, 50e0 + (p_partkey * 101) % 8192 / 4096e0 AS lat FROM part""",
+    "topo_buildings": """SELECT 'PL' || CAST(c_nationkey AS STRING) AS PRZESTRZENNAZW, 't' || CAST(c_custkey AS STRING) AS LOKALNYID, 16e0 + (c_custkey * 37) % 8192 / 4096e0 AS x0, 50e0 + (c_custkey * 101) % 8192 / 4096e0 AS y0, 16e0 + (c_custkey * 37) % 8192 / 4096e0 + 1 / 8192e0 AS x1, 50e0 + (c_custkey * 101) % 8192 / 4096e0 + (1 + c_custkey % 3 * 4) / 16384e0 AS y1,
+        16e0 + (c_custkey * 37) % 8192 / 4096e0 + 1 / 16384e0 AS xm, 50e0 + (c_custkey * 101) % 8192 / 4096e0 + 1 / 32768e0 AS ym, CASE WHEN c_custkey % 9 = 0 THEN 'zniszczony' ELSE 'eksploatowany' END AS KATEGORIAISTNIENIA, ' ' || c_mktsegment AS detail, CASE WHEN c_custkey % 2 = 0 THEN 'Business' ELSE c_mktsegment END AS general, CAST(c_custkey % 5 AS INT) AS storeys FROM customer""",
     "units": """SELECT CAST(10 + n_nationkey AS STRING) AS code, 'county' AS level, n_name AS name FROM nation UNION ALL SELECT CAST(r_regionkey AS STRING), 'region', r_name FROM region""",
 }
 
