@@ -44,8 +44,8 @@ _NONE = np.uint64(0)
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """lang, words, counts, ids, own: slices of one language's pieces. ids: little-endian 32-bit numbers, 0 for a break, else one more
-    than the place in words; phrases start at the first `own` of them. counts: of each word in these."""
+    """lang, words, counts, ids, n, own: slices of one language's pieces. ids: n little-endian 32-bit numbers, compressed, 0 for a break, else
+    one more than the place in words; phrases start at the first `own` of them. counts: of each word in these."""
 
     def run(batches):
         held: dict[str, list] = {}
@@ -61,8 +61,8 @@ def coded(docs: DataFrame) -> DataFrame:
                 used = used[used != 0]
                 tally = np.bincount(small[: hi - lo], minlength=len(used) + 1)[1:]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([[words[k - 2] for k in used.tolist()]], pa.list_(pa.binary())), pa.array([tally], pa.list_(pa.int64())), pa.array([small.astype("<u4").tobytes()], pa.binary()), pa.array([hi - lo], pa.int64())],
-                    names=["lang", "words", "counts", "ids", "own"],
+                    [pa.array([lang]), pa.array([[words[k - 2] for k in used.tolist()]], pa.list_(pa.binary())), pa.array([tally], pa.list_(pa.int64())), pa.array([pa.compress(small.astype("<u4").tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([len(small)], pa.int64()), pa.array([hi - lo], pa.int64())],
+                    names=["lang", "words", "counts", "ids", "n", "own"],
                 )
 
         for batch in batches:
@@ -87,7 +87,7 @@ def coded(docs: DataFrame) -> DataFrame:
             yield from made(lang)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
-    out = docs.select(lang.alias("lang"), "text").mapInArrow(run, "lang string, words array<binary>, counts array<bigint>, ids binary, own long")
+    out = docs.select(lang.alias("lang"), "text").mapInArrow(run, "lang string, words array<binary>, counts array<bigint>, ids binary, n long, own long")
     return stored(out, "phrase-slices")
 
 
@@ -170,7 +170,7 @@ def _slices(batch):
     langs = batch.column("lang").to_pylist()
     for k in sorted(range(len(langs)), key=lambda k: (langs[k], k)):
         words = batch.column("words")[k].values.to_pylist()
-        ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u4")
+        ids = np.frombuffer(pa.decompress(batch.column("ids")[k].as_buffer(), 4 * batch.column("n")[k].as_py(), "zstd"), "<u4")
         yield langs[k], words, word_hashes([b" ".join(words)])[0], ids, batch.column("own")[k].as_py()
 
 
@@ -249,7 +249,7 @@ def bucket_sums(slices: DataFrame, words_dest: str, sizes: dict[str, int], least
         own = pa.table([*(pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int64()), strict=True)), pa.array([full.tobytes()], pa.binary())], names=["lang", "size", "block", "buckets"])
         return own if len(full) else own.slice(0, 0)
 
-    each = slices.select("lang", "words", "ids", "own").mapInArrow(count_, "lang string, size int, block long, buckets binary, n binary")
+    each = slices.select("lang", "words", "ids", "n", "own").mapInArrow(count_, "lang string, size int, block long, buckets binary, n binary")
     return each.groupBy("lang", "size", "block").applyInArrow(total, "lang string, size int, block long, buckets binary")
 
 
@@ -327,7 +327,7 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
                 if len(named):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(phrases)), pa.int32()), values)], names=["lang", "block", "phrases"])
 
-    return slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, block long, phrases array<binary>")
+    return slices.select("lang", "words", "ids", "n", "own").mapInArrow(run, "lang string, block long, phrases array<binary>")
 
 
 class Trie:
@@ -479,7 +479,7 @@ def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str
         found = np.flatnonzero(sums)
         return pa.table([pa.array([lang] * len(found), pa.string()), phrases.take(pa.array(found)), pa.array(sums[found])], names=["lang", "phrase", "f"])
 
-    each = slices.select("lang", "words", "ids", "own").mapInArrow(run, "lang string, block long, places binary, n binary")
+    each = slices.select("lang", "words", "ids", "n", "own").mapInArrow(run, "lang string, block long, places binary, n binary")
     return each.groupBy("lang", "block").applyInArrow(total, "lang string, phrase binary, f long")
 
 
