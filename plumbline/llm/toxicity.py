@@ -14,7 +14,7 @@ Fitting takes at most `max_rows` labelled documents, those of smallest hashed do
 bounded by that sample; no term of it is left out. Whether a row may be learned from is up to the caller (`learnable`).
 
 Nulls and odd rows: null text is empty, without terms; labels with null doc_id or null toxic are not used; a doc_id that is
-labelled twice counts as toxic if either is; with no usable labels every score is 0; repeated rows each have a row; an
+labelled twice counts as toxic if either is; of several texts of one doc_id that of smallest hash is learned from; with no usable labels every score is 0; repeated rows each have a row; an
 empty table gives an empty result; columns that clash with computed ones are replaced.
 """
 
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     train = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "_id")  # max_rows ids
-    train = stored(train.dropDuplicates(["_id"]), "toxicity-examples")
+    train = stored(train.groupBy("_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-examples")
     sums = {r._toxic: r.n for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sums.get(1, 0), sums.get(0, 0)
 

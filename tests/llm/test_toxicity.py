@@ -104,3 +104,11 @@ def test_scores_equal_brute_force(spark):
         assert abs(got[i] - want) < 1e-9
         compared += 1
     assert compared > 240
+
+
+def test_repeated_ids_give_the_same_model(spark):
+    rng = random.Random(9)
+    rows = [(i % 100, " ".join(rng.choice(["vile", "kind", "house", "river", "stone", "green"]) for _ in range(12))) for i in range(300)]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    scores = [sorted((r.doc_id, r.text, r.score) for r in t.scored(docs, t.fit(docs.repartition(n), marked)).collect()) for n in (1, 3, 7)]
+    assert scores[0] == scores[1] == scores[2]
