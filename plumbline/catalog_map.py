@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _AREAS, _CLASSES, _PRG, _STREET, _TYPES, _UNMATCHED, SQL, _boxes, _classes, _prg, _staged, _unmatched, query
 from .functions import metric, polygon, text
-from .operators import current, enrich, layers, matching, quality
+from .operators import current, enrich, layers, matching, quality, stats
 from .plans.derived import prelude, views
 from .sources import osm
 from .sources.scratch import scratch
@@ -163,7 +163,7 @@ def relation_shapes(spark, sf_dir):
     return out.select("osm_id", F.round(polygon.area(F.col("rings")) * 1_000_000).cast("long").alias("micro_area"))
 
 
-@query("""SELECT c_custkey AS rel, ['no ways', 'missing ways', 'open rings', 'missing nodes', 'no area', 'not found'][NULLIF(c_custkey % 7, 0)] AS problem, CASE c_custkey % 7 WHEN 2 THEN [c_custkey * 10 + 9] WHEN 3 THEN [c_custkey * 10, c_custkey * 10 + 2] WHEN 4 THEN [c_custkey * 10 + 8] END AS ids, CASE WHEN c_custkey % 7 = 0 THEN 2000000 END::BIGINT AS micro_area FROM customer""")
+@query("""SELECT c_custkey AS rel, ['no ways', 'missing ways', 'open rings', 'missing nodes', 'no area', 'not found'][NULLIF(c_custkey % 7, 0)] AS problem, CASE c_custkey % 7 WHEN 2 THEN CAST(c_custkey * 10 + 9 AS VARCHAR) WHEN 3 THEN CAST(c_custkey * 10 AS VARCHAR) || ',' || CAST(c_custkey * 10 + 2 AS VARCHAR) WHEN 4 THEN CAST(c_custkey * 10 + 8 AS VARCHAR) END AS ids, CASE WHEN c_custkey % 7 = 0 THEN 2000000 END::BIGINT AS micro_area FROM customer""")
 def relation_problems(spark, sf_dir):
     """Areas of relations, or what stands in their way: each kind of failure in a seventh of the relations."""
     k = F.col("c_custkey")
@@ -178,7 +178,7 @@ def relation_problems(spark, sf_dir):
     members = F.when(F.col("m") == 1, F.array(member(k * 10, "label"))).when(F.col("m") == 2, F.array(first, second, member(k * 10 + 9, "outer"))).when(F.col("m") == 3, F.array(first)).otherwise(F.array(first, second, first))
     relations = rows.filter("m <> 6").select(k.alias("id"), members.alias("members"), no_tags.alias("tags"))
     out = osm.relation_areas(rows.select(k.alias("rel")), upkeep._elements(nodes, ways, relations))
-    return out.select("rel", "problem", "ids", F.round(polygon.area(F.col("rings")) * 1_000_000).cast("long").alias("micro_area"))
+    return out.select("rel", "problem", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round(polygon.area(F.col("rings")) * 1_000_000).cast("long").alias("micro_area"))
 
 
 @query(_CLASSES + " SELECT id_budynku, cell_x FROM (SELECT id_budynku, class, CAST(floor(((x0 + x1) / 2 + 180) / 360 * 16384) AS INT) AS cell_x FROM classes) WHERE class = 'unmatched' AND cell_x % 3 = 0")
@@ -203,10 +203,11 @@ def refreshed_register(spark, sf_dir):
 
 
 @query(prelude("ways", "nodes") + """, m AS (SELECT node, CASE WHEN node % 10 = 1 THEN lon + 1 ELSE lon END AS lon, lat FROM nodes WHERE node % 10 <> 0),
-r AS (SELECT way, ord, node FROM ways WHERE way % 20 > 1 UNION ALL SELECT way, ord, node FROM ways WHERE way % 20 = 1 AND ord <= 2),
+o AS (SELECT way, node, row_number() OVER (PARTITION BY way ORDER BY ord, node) AS ord FROM ways), r AS (SELECT * FROM o WHERE way % 20 > 1 OR (way % 20 = 1 AND ord <= 2)),
 p AS (SELECT r.way, ord, lon, lat, count(*) OVER (PARTITION BY r.way) AS n, count(lon) OVER (PARTITION BY r.way) AS f, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM r LEFT JOIN m USING (node) WINDOW w AS (PARTITION BY r.way ORDER BY ord)),
-l AS (SELECT way, lon, lat, lon2, lat2, sqrt(pow(lon2 - lon, 2) + pow(lat2 - lat, 2)) AS d FROM p WHERE n = f AND n >= 2 AND lon2 IS NOT NULL)
-SELECT way AS osm_id, CAST(round(sum(d * (lon + lon2) / 2) / sum(d) * 100000) AS BIGINT) AS lon5, CAST(round(sum(d * (lat + lat2) / 2) / sum(d) * 100000) AS BIGINT) AS lat5 FROM l GROUP BY way HAVING sum(d) > 0""")
+l AS (SELECT *, sqrt(pow(lon2 - lon, 2) + pow(lat2 - lat, 2)) AS d FROM p WHERE n = f AND n >= 2),
+c AS (SELECT way, sum(d) AS d, sum(d * (lon + lon2) / 2) AS x, sum(d * (lat + lat2) / 2) AS y, arg_min(lon, ord) AS x1, arg_min(lat, ord) AS y1 FROM l GROUP BY way)
+SELECT way AS osm_id, CAST(round(CASE WHEN d > 0 THEN x / d ELSE x1 END * 100000) AS BIGINT) AS lon5, CAST(round(CASE WHEN d > 0 THEN y / d ELSE y1 END * 100000) AS BIGINT) AS lat5 FROM c""")
 def map_after_batch(spark, sf_dir):
     """Addresses of ways after a batch that deletes and moves nodes, and deletes and cuts ways."""
     refs, nodes = views(spark, sf_dir, "ways", "nodes")
@@ -224,3 +225,61 @@ def map_after_batch(spark, sf_dir):
     upkeep.apply_batch(store, changed.unionByName(cut), F.current_timestamp())
     at = lambda c: F.round(F.col(c) * 100_000).cast("long").alias(f"{c}5")
     return store.read("addresses").select("osm_id", at("lon"), at("lat"))
+
+
+@query(prelude("gov_buildings") + """, d AS (SELECT CASE WHEN storeys = 5 AND rodzaj = 'unknown' THEN NULL ELSE id_budynku END AS k, CASE WHEN storeys = 1 THEN x1 - x0 ELSE 0 END AS less, CASE WHEN storeys = 2 AND rodzaj = 'biurowy' THEN 1e0 ELSE 0e0 END AS more, rodzaj, storeys FROM gov_buildings UNION ALL SELECT id_budynku, 0, 0e0, rodzaj, -1 FROM gov_buildings WHERE rodzaj = 'm'),
+r AS (SELECT coalesce(k, '-') AS k, CASE WHEN k IS NULL THEN 'no key' WHEN less > 0 AND rodzaj = 'm' THEN 'invalid geometry' WHEN more > 0 THEN 'oversized' WHEN less > 0 THEN 'undersized' WHEN storeys = -1 AND EXISTS (SELECT 1 FROM gov_buildings g WHERE g.id_budynku = k AND NOT (g.storeys = 1)) THEN 'duplicate key' END AS reason FROM d)
+SELECT reason, count(*) AS n, min(k) AS first_example FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def load_reasons(spark, sf_dir):
+    """Rows that a load leaves out: keys taken away, outlines folded, stretched or shrunk, and older doubles."""
+    rows = views(spark, sf_dir, "gov_buildings")[0].select(F.when(~((F.col("storeys") == 5) & (F.col("rodzaj") == "unknown")), F.col("id_budynku")).alias("k"), "x0", "y0", "x1", "y1", "rodzaj", "storeys")
+    rows = rows.unionByName(views(spark, sf_dir, "gov_buildings")[0].filter("rodzaj = 'm'").select(F.col("id_budynku").alias("k"), "x0", "y0", "x1", "y1", "rodzaj", F.lit(-1).alias("storeys")))
+    x0, x1, one = F.col("x0"), F.col("x1"), F.col("storeys") == 1
+    p = lambda x, y: F.struct(x.alias("x"), F.col(y).alias("y"))
+    bow = F.array(F.struct(F.lit(False).alias("hole"), F.array(p(x0, "y0"), p(x1, "y1"), p(x1, "y0"), p(x0, "y1"), p(x0 + 0, "y0")).alias("pts")))
+    wide = F.when((F.col("storeys") == 2) & (F.col("rodzaj") == "biurowy"), x1 + 1).when(one, x0 + 2.0**-40).otherwise(x1)
+    rings = F.when(one & (F.col("rodzaj") == "m"), bow).otherwise(polygon.box(x0, F.col("y0"), wide, F.col("y1")))
+    _, reasons = quality.load_checked(rows.withColumn("rings", rings), ["k"], "storeys", text.signature(F.col("rodzaj")), rings="rings")
+    return reasons.select("reason", "n", F.get("examples", 0).alias("first_example"))
+
+
+@query(f"""{prelude("gov_addresses")}, v AS (SELECT DISTINCT teryt_miejscowosc AS c, ulica AS name FROM gov_addresses WHERE ulica IS NOT NULL),
+m AS (SELECT CASE WHEN c_custkey % 3 > 0 THEN CAST(100000 + c_custkey % 20 AS STRING) END AS c, CASE c_custkey % 4 WHEN 0 THEN 'UL  STREET ' WHEN 1 THEN 'ul. Street ' WHEN 2 THEN 'UL. street ' ELSE 'Gone ' END || CAST(c_custkey % 50 AS STRING) AS prg, CASE WHEN c_custkey % 11 = 0 THEN 'Other' ELSE 'Avenue ' || CAST(c_custkey % 50 AS STRING) END AS osm FROM customer GROUP BY ALL),
+w AS (SELECT c, name FROM v UNION SELECT NULL, name FROM v),
+k AS (SELECT m.*, (SELECT min(name) FROM w WHERE w.c IS NOT DISTINCT FROM m.c AND name = prg) AS e, (SELECT min(name) FROM w WHERE w.c IS NOT DISTINCT FROM m.c AND lower(name) = lower(prg)) AS l, (SELECT min(name) FROM w WHERE w.c IS NOT DISTINCT FROM m.c AND trim(regexp_replace(lower(replace(name, '.', ' ')), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(replace(prg, '.', ' ')), '\\s+', ' ', 'g'))) AS p FROM m),
+o AS (SELECT *, coalesce(e, l, p) AS current, CASE WHEN coalesce(e, l, p) IS NULL THEN 'absent' WHEN e IS NOT NULL THEN 'kept' ELSE 'rekeyed' END AS outcome FROM k),
+t AS (SELECT *, count(*) OVER (PARTITION BY c, lower(current), outcome = 'absent') AS n FROM o), d AS (SELECT c, lower(current) AS lc, count(DISTINCT osm) AS n FROM o WHERE outcome <> 'absent' GROUP BY ALL)
+SELECT outcome, current, count(*) AS n FROM (SELECT CASE WHEN d.n > 1 THEN 'conflict' ELSE o.outcome END AS outcome, current FROM o LEFT JOIN d ON d.c IS NOT DISTINCT FROM o.c AND d.lc = lower(o.current) WHERE o.outcome = 'absent' OR d.n > 1
+    UNION ALL SELECT min(o.outcome), min(current) FROM o JOIN d ON d.c IS NOT DISTINCT FROM o.c AND d.lc = lower(o.current) WHERE o.outcome <> 'absent' AND d.n = 1 GROUP BY o.c, d.lc, o.osm) GROUP BY ALL""")
+def rekeyed_mappings(spark, sf_dir):
+    """Street mappings under older spellings, brought onto those of the register."""
+    rows = spark.sql("SELECT CASE WHEN c_custkey % 3 > 0 THEN CAST(100000 + c_custkey % 20 AS STRING) END AS teryt_simc_code, CASE c_custkey % 4 WHEN 0 THEN 'UL  STREET ' WHEN 1 THEN 'ul. Street ' WHEN 2 THEN 'UL. street ' ELSE 'Gone ' END || CAST(c_custkey % 50 AS STRING) AS prg_street_name, CASE WHEN c_custkey % 11 = 0 THEN 'Other' ELSE 'Avenue ' || CAST(c_custkey % 50 AS STRING) END AS osm_street_name FROM {customer}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).distinct()
+    names = views(spark, sf_dir, "gov_addresses")[0].select(F.col("teryt_miejscowosc").alias("teryt_simc_code"), F.col("ulica").alias("name")).distinct()
+    return enrich.rekeyed(rows, names).groupBy("outcome", "current").agg(F.count("*").alias("n"))
+
+
+@query(prelude("osm_addresses", "osm_buildings", "former_buildings", "reports") + """, b AS (SELECT osm_type, CASE WHEN osm_id % 7 = 0 THEN 'house' WHEN osm_id % 3 = 0 THEN 'yes' ELSE 'garage' END AS building FROM osm_buildings)
+SELECT 'addresses' AS section, osm_type AS value, NULL AS detail, count(*) AS n FROM osm_addresses GROUP BY osm_type UNION ALL SELECT 'buildings', osm_type, NULL, count(*) FROM b GROUP BY osm_type UNION ALL SELECT 'former', NULL, NULL, count(*) FROM former_buildings
+UNION ALL (SELECT 'building value', building, NULL, count(*) AS n FROM b GROUP BY building ORDER BY n DESC, building LIMIT 10) UNION ALL SELECT 'reports', source, status, count(*) FROM reports GROUP BY source, status""")
+def map_summary(spark, sf_dir):
+    homes, boxes, former, vetoes = views(spark, sf_dir, "osm_addresses", "osm_buildings", "former_buildings", "reports")
+    kinds = F.when(F.col("osm_id") % 7 == 0, "house").when(F.col("osm_id") % 3 == 0, "yes").otherwise("garage")
+    return stats.map_summary(homes, boxes.withColumn("building", kinds), former, vetoes)
+
+
+_BIN = lambda lon, lat: f"CAST(floor(({lon} + 180) / 360 * 16384) AS INT) >> 4 AS bin_x, CAST(floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * 16384) AS INT) >> 4 AS bin_y"
+
+
+@query(prelude("gov_addresses", "osm_addresses", "street_mappings", "reports", "gov_buildings", "osm_buildings", "former_buildings", "changes") + _UNMATCHED.removeprefix(prelude("gov_addresses", "osm_addresses", "street_mappings", "reports")) + _CLASSES.removeprefix(_BASE) + f""",
+c AS (SELECT CASE WHEN id % 2 = 0 THEN 'egib' ELSE 'prg' END AS source, ts, {_BIN('lon', 'lat')} FROM changes WHERE ts >= TIMESTAMP '2024-01-10'),
+u AS (SELECT {_BIN('lon', 'lat')}, 'prg' AS s, 0 AS u, 1 AS t FROM prg UNION ALL SELECT cell_x >> 4, cell_y >> 4, 'prg', 1, 0 FROM unmatched UNION ALL SELECT {_BIN('((x0 + x1) / 2)', '((y0 + y1) / 2)')}, 'egib', (class = 'unmatched')::INT, 1 FROM classes),
+g AS (SELECT bin_x, bin_y, coalesce(sum(u) FILTER (WHERE s = 'egib'), 0)::BIGINT AS unmatched_egib, coalesce(sum(t) FILTER (WHERE s = 'egib'), 0)::BIGINT AS total_egib, coalesce(sum(u) FILTER (WHERE s = 'prg'), 0)::BIGINT AS unmatched_prg, coalesce(sum(t) FILTER (WHERE s = 'prg'), 0)::BIGINT AS total_prg FROM u GROUP BY bin_x, bin_y),
+h AS (SELECT bin_x, bin_y, floor(epoch(max(ts) FILTER (WHERE source = 'egib')))::BIGINT AS ce, floor(epoch(max(ts) FILTER (WHERE source = 'prg')))::BIGINT AS cp FROM c GROUP BY bin_x, bin_y)
+SELECT bin_x, bin_y, unmatched_egib, total_egib, unmatched_prg, total_prg, coalesce(ce, 0) AS changed_egib, coalesce(cp, 0) AS changed_prg, CASE WHEN total_egib > 0 THEN least(unmatched_egib / total_egib, 1) ELSE -1 END::DOUBLE AS ratio_egib, CASE WHEN total_prg > 0 THEN least(unmatched_prg / total_prg, 1) ELSE -1 END::DOUBLE AS ratio_prg, bin_x / 1024e0 * 360 - 180 AS min_lon FROM g LEFT JOIN h USING (bin_x, bin_y)""")
+def register_bins(spark, sf_dir):
+    """Bins of zoom 10 with both registers' figures, latest changes and corners."""
+    buildings = matching.with_cell(matching.with_shape(_classes(spark, sf_dir), parts=("centroid",)), "cx", "cy")
+    homes = matching.with_cell(_prg(spark, sf_dir))
+    registers = {"egib": (buildings.filter("class = 'unmatched'"), matching.cell_totals(buildings, "egib")), "prg": (_unmatched(spark, sf_dir), matching.cell_totals(homes, "prg"))}
+    changes = matching.with_cell(views(spark, sf_dir, "changes")[0].select(F.when(F.col("id") % 2 == 0, "egib").otherwise("prg").alias("source"), "lon", "lat", F.col("ts").alias("detected_at")))
+    return stats.register_bins(registers, changes, 10, F.lit("2024-01-10").cast("timestamp")).drop("min_lat", "max_lat", "max_lon")

@@ -20,10 +20,18 @@ def reload_street_mappings(old: DataFrame, new: DataFrame, addresses: DataFrame)
     return hit.select("cell_x", "cell_y").distinct()
 
 
-def reload_building_types(old: DataFrame, new: DataFrame, buildings: DataFrame, code: str = "code") -> DataFrame:
-    """Cells of buildings whose class has a type row that changed: to be drawn again, not matched again."""
-    keys = symmetric_difference(old, new).select(F.col("key").alias(code)).distinct()
-    return buildings.join(keys, code, "left_semi").select("cell_x", "cell_y").distinct()
+def reload_building_types(old: DataFrame, new: DataFrame, buildings: DataFrame, codes: list[str]) -> DataFrame:
+    """z, x, y: tiles to draw again (nothing is matched again) for buildings whose class of a tier has a type row of that tier that changed.
+    codes: the class column of each tier, from 1. buildings: cell_x, cell_y. The new types are checked first; raises `Refused`."""
+    from .quality import Refused, type_violations
+
+    wrong = {r.rule: r.n for r in type_violations(new, "", len(codes)).collect() if r.n and r.rule != "neighbours"}
+    if wrong:
+        raise Refused(f"building types: {wrong}")
+    keys = symmetric_difference(old, new).select("tier", "key").distinct()
+    own = buildings.select("cell_x", "cell_y", F.explode(F.array(*(F.struct(F.lit(i).alias("tier"), F.col(c).alias("key")) for i, c in enumerate(codes, 1)))).alias("_k")).select("cell_x", "cell_y", "_k.*")
+    cells = own.join(keys, ["tier", "key"], "left_semi").select("cell_x", "cell_y").distinct()
+    return cells.select(F.explode(tilemath.tiles_for_cell(F.col("cell_x"), F.col("cell_y"))).alias("t")).select("t.*").distinct()
 
 
 def mapping_drift(mappings: DataFrame, data: DataFrame, key: str) -> DataFrame:
@@ -126,6 +134,34 @@ def propose_global(rows: DataFrame) -> DataFrame:
     return one.unionByName(rest.distinct())
 
 
+def plain_name(c: Column) -> Column:
+    """A name without case, full stops and doubled spaces."""
+    return F.array_join(F.filter(F.split(F.lower(F.translate(c, ".", " ")), r"\s+"), lambda w: w != ""), " ")
+
+
+def rekeyed(mappings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """mappings (teryt_simc_code or null, prg_street_name, osm_street_name) with current and outcome: which spelling of today's register
+    (vocabulary: teryt_simc_code, name) a row stands for. A settlement's row looks among its own names, another among all: the same
+    spelling (kept), else the one that differs in case, else in full stops and spaces (rekeyed; the first in order), else none (absent). A
+    row without settlement that would map a name to itself is noop. Rows of one settlement and spelling (without case) that then agree
+    are one; where they differ, all are conflict."""
+    voc = vocabulary.select(F.coalesce("teryt_simc_code", F.lit("")).alias("_c"), "name").union(vocabulary.select(F.lit(""), "name")).filter("name IS NOT NULL").distinct()
+    levels = {"_exact": lambda c: c, "_case": lambda c: F.lower(c), "_plain": plain_name}
+    out = mappings.withColumn("_c", F.coalesce("teryt_simc_code", F.lit("")))
+    for level, key in levels.items():
+        names = voc.groupBy("_c", key(F.col("name")).alias("_k")).agg(F.min("name").alias(level))
+        out = out.withColumn("_k", key(F.col("prg_street_name"))).join(names, ["_c", "_k"], "left").drop("_k")
+    out = out.withColumn("current", F.coalesce(*levels))
+    outcome = F.when(F.col("current").isNull(), "absent").when((F.col("_c") == "") & (F.col("current") == F.col("osm_street_name")), "noop").when(F.col("_exact").isNotNull(), "kept").otherwise("rekeyed")
+    out = out.withColumn("outcome", outcome)
+    live = out.filter("outcome IN ('kept', 'rekeyed')")
+    torn = live.groupBy("_c", F.lower("current").alias("_l")).agg(F.countDistinct("osm_street_name").alias("_n")).filter("_n > 1").select("_c", "_l", F.lit(True).alias("_torn"))
+    marked = out.withColumn("_l", F.when(F.col("outcome").isin("kept", "rekeyed"), F.lower("current"))).join(torn, ["_c", "_l"], "left").withColumn("outcome", F.when(F.col("_torn"), "conflict").otherwise(F.col("outcome")))
+    columns = [*mappings.columns, "current", "outcome"]
+    one = marked.filter("outcome IN ('kept', 'rekeyed')").groupBy("_c", "_l", "osm_street_name").agg(F.min(F.struct("outcome", "prg_street_name", *(c for c in columns if c not in ("outcome", "prg_street_name")))).alias("_r")).select("_r.*").select(*columns)
+    return one.unionByName(marked.filter("outcome NOT IN ('kept', 'rekeyed')").select(*columns))
+
+
 def threshold_sweep(fractions: DataFrame, key: str, thresholds: list[float]) -> DataFrame:
     """threshold, n: rows whose largest covered share reaches each threshold."""
     top = fractions.groupBy(key).agg(F.max("fraction").alias("_f"))

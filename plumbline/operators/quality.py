@@ -72,6 +72,36 @@ def drop_reasons(df: DataFrame, reasons: list[tuple[str, Column]], key: Column,
     return marked.groupBy("reason").agg(F.count("*").alias("n")).join(few, "reason", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
+REASONS = ["no key", "no coordinates", "invalid geometry", "oversized", "undersized", "duplicate key"]
+
+
+def load_checked(df: DataFrame, keys: list[str], version: str, tiebreak: Column, rings: str | None = None, lon: str | None = None, lat: str | None = None, examples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Rows to load, and reason, n, examples, told of those left out, by the first of REASONS that holds: a null in the key; no place (lon,
+    lat); a polygon that is invalid, spans a cell or more, or is below a square metre; a row of a key that is not its latest. Without rings (or
+    lon, lat) the rules on them are not asked. The rules are asked once; null polygons stay."""
+    key = F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys))
+    no = F.lit(False)
+    place = F.col(lon).isNull() | F.col(lat).isNull() if lon and lat else no
+    invalid = wide = tiny = no
+    if rings:
+        b, shape = polygon.bbox(F.col(rings)), F.col(rings).isNotNull()
+        invalid = shape & ~polygon.is_valid(F.col(rings))
+        wide = shape & ((tilemath.x_frac(b.x1) - tilemath.x_frac(b.x0) >= 1) | (tilemath.y_frac(b.y0) - tilemath.y_frac(b.y1) >= 1))
+        tiny = shape & ~F.coalesce(metric.area_m2(polygon.area(F.col(rings)), (b.y0 + b.y1) / 2) >= 1.0, no)
+    reason = F.lit(None).cast("string")
+    for name, rule in reversed(list(zip(REASONS, (_any_null(keys), place, invalid, wide, tiny), strict=False))):
+        reason = F.when(F.coalesce(rule, no), name).otherwise(reason)
+    marked = df.withColumn("_reason", reason)
+    later = F.row_number().over(Window.partitionBy(*keys, "_ok").orderBy(F.col(version).desc_nulls_last(), tiebreak)) > 1
+    marked = marked.withColumn("_ok", F.when(F.col("_reason").isNotNull(), F.monotonically_increasing_id())).withColumn("_reason", F.coalesce("_reason", F.when(later, REASONS[5]))).drop("_ok")
+    dropped = marked.filter("_reason IS NOT NULL").select(F.col("_reason").alias("reason"), key.alias("key"))
+    few = dropped.withColumn("_r", F.row_number().over(Window.partitionBy("reason").orderBy("key"))).filter(F.col("_r") <= examples).groupBy("reason").agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    counts = dropped.groupBy("reason").agg(F.count("*").alias("n")).join(few, "reason")
+    more = F.when(F.col("n") > F.size("examples"), F.concat(F.lit(", +"), (F.col("n") - F.size("examples")).cast("string"), F.lit(" more"))).otherwise("")
+    told = F.concat(F.lit("skipped "), F.col("n").cast("string"), F.lit(" rows, "), F.col("reason"), F.lit(" (ids: "), F.array_join("examples", ", "), more, F.lit(")"))
+    return marked.filter("_reason IS NULL").drop("_reason"), counts.withColumn("told", told)
+
+
 def check_schema(live: DataFrame, staging: DataFrame) -> None:
     if live.dtypes != staging.dtypes:
         raise Refused(f"staged columns {staging.dtypes} differ from live {live.dtypes}")

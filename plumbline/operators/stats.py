@@ -51,6 +51,36 @@ def with_change_times(binned: DataFrame, changes: DataFrame, zoom: int, since: C
     return binned.join(last, ["bin_x", "bin_y"], "left").withColumn("changed_at", F.coalesce("changed_at", F.lit(0).cast("long")))
 
 
+def register_bins(registers: dict[str, tuple[DataFrame, DataFrame]], changes: DataFrame, zoom: int, since: Column) -> DataFrame:
+    """bin_x, bin_y, the bin's corners, and for each source s unmatched_s, total_s, ratio_s and changed_s (epoch seconds of the latest change
+    since then, 0 if none). registers: unmatched rows (cell_x, cell_y) and cell totals by source; changes: source, cell_x, cell_y, detected_at.
+    Changes make no bins."""
+    shift, place = tilemath.CELL_ZOOM - zoom, ["bin_x", "bin_y"]
+    coarse = lambda df, *more: df.select(F.shiftright("cell_x", shift).alias("bin_x"), F.shiftright("cell_y", shift).alias("bin_y"), *more)
+    rows = None
+    for source, (unmatched, totals) in registers.items():
+        one = coarse(unmatched, F.lit(source).alias("s"), F.lit(1).cast("long").alias("u"), F.lit(0).cast("long").alias("t")).unionByName(coarse(totals, F.lit(source).alias("s"), F.lit(0).cast("long").alias("u"), F.col("total").cast("long").alias("t")))
+        rows = one if rows is None else rows.unionByName(one)
+    of = lambda s, c: F.sum(F.when(F.col("s") == s, F.col(c)).otherwise(0))
+    out = rows.groupBy(*place).agg(*(x for s in registers for x in (of(s, "u").alias(f"unmatched_{s}"), of(s, "t").alias(f"total_{s}"))))
+    recent = coarse(changes.filter(F.col("detected_at") >= since), "source", "detected_at").groupBy(*place).agg(*(F.unix_timestamp(F.max(F.when(F.col("source") == s, F.col("detected_at")))).alias(f"changed_{s}") for s in registers))
+    out = out.join(recent, place, "left")
+    for s in registers:
+        out = out.withColumn(f"ratio_{s}", ratio(F.col(f"unmatched_{s}"), F.col(f"total_{s}"))).withColumn(f"changed_{s}", F.coalesce(f"changed_{s}", F.lit(0).cast("long")))
+    return tile_corners(out, zoom, "bin_x", "bin_y")
+
+
+def map_summary(addresses: DataFrame, buildings: DataFrame, former: DataFrame, reports: DataFrame, top: int = 10) -> DataFrame:
+    """section, value, detail, n: addresses and buildings of the map by object type, former buildings, the commonest building values, and
+    reports by source and status."""
+    none = F.lit(None).cast("string")
+    by = lambda df, name: df.groupBy(F.col("osm_type").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "value", none.alias("detail"), "n")
+    all_former = former.agg(F.count("*").alias("n")).select(F.lit("former").alias("section"), none.alias("value"), none.alias("detail"), "n")
+    values = top_values(buildings, "building", top).select(F.lit("building value").alias("section"), "value", none.alias("detail"), "n")
+    told = reports.groupBy("source", "status").agg(F.count("*").alias("n")).select(F.lit("reports").alias("section"), F.col("source").alias("value"), F.col("status").alias("detail"), "n")
+    return by(addresses, "addresses").unionByName(by(buildings, "buildings")).unionByName(all_former).unionByName(values).unionByName(told)
+
+
 def point_tiles(df: DataFrame, zoom: int, tiles: DataFrame | None = None, extent: int = 4096) -> DataFrame:
     """z, x, y, n, points (key, px, py in tile units, in stable order); tiles (x, y) without points are answered too if given."""
     fx, fy = tilemath.x_frac(F.col("lon"), zoom), tilemath.y_frac(F.col("lat"), zoom)
@@ -121,8 +151,9 @@ def oldest_cells(queue: DataFrame, n: int) -> DataFrame:
     return each.orderBy("oldest", F.shiftright("cell_x", 3), F.shiftright("cell_y", 3), "cell_x", "cell_y", "source").limit(n)
 
 
-def summary(sources: dict[str, tuple[DataFrame, DataFrame]], refreshes: DataFrame) -> DataFrame:
-    """source, comparable, unmatched, refreshed_at (null if never). sources: comparable rows and unmatched rows of each; refreshes: source, finished_at."""
+def summary(sources: dict[str, tuple[DataFrame, DataFrame]], refreshes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """source, comparable, unmatched, refreshed_at[, imported_at] (null if never). sources: comparable rows and unmatched rows of each; refreshes:
+    source, finished_at; imports: source, value (a time as text; what is none is passed over)."""
     tagged = lambda df, name, kind: df.select(F.lit(name).alias("source"), F.lit(kind).alias("_kind"))
     rows = None
     for name, frames in sources.items():
@@ -130,7 +161,8 @@ def summary(sources: dict[str, tuple[DataFrame, DataFrame]], refreshes: DataFram
             each = tagged(df, name, kind)
             rows = each if rows is None else rows.unionByName(each)
     counted = rows.groupBy("source").agg(*(F.count_if(F.col("_kind") == k).alias(k) for k in ("comparable", "unmatched")))
-    return counted.join(refreshes.groupBy("source").agg(F.max("finished_at").alias("refreshed_at")), "source", "left")
+    out = counted.join(refreshes.groupBy("source").agg(F.max("finished_at").alias("refreshed_at")), "source", "left")
+    return out if imports is None else out.join(imports.groupBy("source").agg(F.max(F.col("value").try_cast("timestamp")).alias("imported_at")), "source", "left")
 
 
 def freshness(queue: DataFrame, runs: DataFrame, stamps: DataFrame, now: Column) -> DataFrame:

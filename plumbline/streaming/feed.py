@@ -82,14 +82,11 @@ def latest_versions(changes: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best = tuple(state.get) if state.exists else (-1, -1)
-        last = None
-        for frame in frames:
-            for row in frame.sort_values(["version", "part"]).itertuples(index=False):
-                if (row.version, row.part) > best:
-                    best, last = (int(row.version), int(row.part)), row
-        if last is not None:
-            state.update(best)
-            yield pd.DataFrame([{"kind": key[0], "id": key[1], "version": best[0], "part": best[1], "action": last.action}])
+        rows = pd.concat(frames).sort_values(["version", "part"]).tail(1)
+        at = (int(rows["version"].iloc[0]), int(rows["part"].iloc[0])) if len(rows) else best
+        if at > best:
+            state.update(at)
+            yield rows.assign(kind=key[0], id=key[1])[["kind", "id", "version", "part", "action"]]
 
     return changes.select("kind", "id", "version", "part", "action").groupBy("kind", "id").applyInPandasWithState(step, "kind string, id long, version long, part long, action string", STATE, "update", "NoTimeout")
 
