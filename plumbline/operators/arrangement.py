@@ -162,6 +162,8 @@ def invalid(df: DataFrame, key: str, rings: str = "rings", small: int = 64) -> D
     own = df.filter(F.col(rings).isNotNull()).select(key, rings)
     few = own.filter(points <= small).filter(~polygon.is_valid(F.col(rings)))
     many = written(own.filter(points > small), "large")
+    if many.isEmpty():
+        return few
     sound = F.forall(rings, lambda r: (F.size(r.pts) >= 4) & (F.element_at(r.pts, 1) == F.element_at(r.pts, -1)) & (polygon.ring_area(r.pts) != 0))
     broken = many.filter(~F.coalesce(sound, F.lit(False))).select(key)
     each = written(sides(many.join(broken, key, "left_anti"), key, rings).select(F.struct("key", "ring").alias("key"), F.monotonically_increasing_id().alias("id"), *XY), "sides")

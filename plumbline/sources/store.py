@@ -12,6 +12,7 @@ Commits must come one at a time: one that finds its version's manifest there alr
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,8 +79,14 @@ class Store:
         before = self.manifest()
         version = before["version"] + 1
         tables = dict(before["tables"])
-        for table, part in parts.items():
+
+        def write(table: str) -> None:
+            part = parts[table]
             part.rows.withColumn("_block", part.block.cast("string")).repartition("_block").write.mode("overwrite").partitionBy("_block").parquet(f"{self.root}/{table}/v{version}")
+
+        with ThreadPoolExecutor(4) as pool:  # jobs of their own, which share the cluster
+            list(pool.map(write, parts))
+        for table, part in parts.items():
             old = tables.get(table, {"blocks": {}})["blocks"]
             kept = {} if part.blocks is None else {b: f for b, f in old.items() if b not in set(part.blocks)}
             new = {x.split("=", 1)[1]: f"v{version}/{x}" for x in self._listed(table, f"v{version}") if x.startswith("_block=")}
