@@ -40,7 +40,7 @@ from .words import mixed, word_hashes
 SLICE, WORDS_A_BLOCK, WORDS_A_FILE, BUCKETS = 1_000_000, 4_000_000, 50_000_000, 1 << 16
 ARRAYS = ["base", "check", "accepts"]
 _marks = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
-_NONE = np.uint64(0)
+_NONE, _WORD = np.uint64(0), (1 << 21) - 1
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def _block(pair: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Seen:
-    """Phrases that a task has listed of a language, by numbers of its own for the words."""
+    """Phrases that a task has listed of a language, as numbers of 21 bits a word."""
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
@@ -313,14 +313,18 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
                     seen[lang] = _Seen()
                 known = seen[lang]
                 task = np.append(-1, known.mapped(words))  # below 2**21: a slice has fewer words
-                twos, first2 = np.unique(task[ids[at2]] << 21 | task[ids[at2 + 1]], return_index=True)
-                threes, first3 = np.unique(task[ids[at3]] << 42 | task[ids[at3 + 1]] << 21 | task[ids[at3 + 2]], return_index=True)
+                twos = np.unique(task[ids[at2]] << 21 | task[ids[at2 + 1]])
+                threes = np.unique(task[ids[at3]] << 42 | task[ids[at3 + 1]] << 21 | task[ids[at3 + 2]])
                 new2, known.two = _new(twos, known.two)
                 new3, known.three = _new(threes, known.three)
-                at2, at3 = at2[first2[new2]], at3[first3[new3]]
-                phrases = [words[a] + b" " + words[b] for a, b in zip((ids[at2] - 1).tolist(), (ids[at2 + 1] - 1).tolist(), strict=True)]
-                phrases += [words[a] + b" " + words[b] + b" " + words[c] for a, b, c in zip(*((ids[at3 + k] - 1).tolist() for k in range(3)), strict=True)]
-                blocks = _block(pair[np.append(at2, at3)], sizes[lang])
+                place = np.zeros(len(known.numbers), np.int64)  # in this slice
+                place[task[1:]] = np.arange(len(words))
+                a, b = place[twos[new2] >> 21], place[twos[new2] & _WORD]
+                phrases = [words[i] + b" " + words[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                x, y, z = (place[threes[new3] >> shift_ & _WORD] for shift_ in (42, 21, 0))
+                phrases += [words[i] + b" " + words[j] + b" " + words[k] for i, j, k in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)]
+                own_hashes = np.where(hashes == _NONE, np.uint64(1), hashes)
+                blocks = _block(_mixed_pairs(own_hashes[np.append(a, x)], own_hashes[np.append(b, y)], 3), sizes[lang])
                 order = np.argsort(blocks, kind="stable")
                 values = pa.array(phrases, pa.binary()).take(pa.array(order))
                 named, starts = np.unique(blocks[order], return_index=True)
@@ -450,9 +454,11 @@ def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str
                 block, (trie, number), sums = batch.column("block")[0].as_py(), _trie(batch, 0), 0
                 for words, ids, order, blocks in some:
                     at = order[np.searchsorted(blocks, block) : np.searchsorted(blocks, block, "right")]
-                    used, where = np.unique(np.stack([ids[at], ids[at + 1], ids[at + 2]]), return_inverse=True)
-                    codes = np.fromiter((number.get(words[k - 1], 0) if k else 0 for k in used.tolist()), np.int64, len(used))
-                    sums = sums + trie.count(list(codes[where.reshape(3, -1)]))
+                    rows = [ids[at + k] for k in range(3)]
+                    codes = np.zeros(len(words) + 1, np.int64)
+                    used = np.flatnonzero(sum(np.bincount(x, minlength=len(codes)) for x in rows)[1:])
+                    codes[used + 1] = np.fromiter((number.get(words[k], 0) for k in used.tolist()), np.int64, len(used))
+                    sums = sums + trie.count([codes[x] for x in rows])
                 ends = np.flatnonzero(sums * (trie.accepts >= 0))
                 if len(ends):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block]), pa.array([trie.accepts[ends].astype("<u4").tobytes()], pa.binary()), pa.array([sums[ends].astype("<u4").tobytes()], pa.binary())], names=["lang", "block", "places", "n"])
