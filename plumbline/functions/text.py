@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Class names of the cadastre by their letter, and life-cycle keys in order of priority.
+# Class names of the cadastre by their letter, the patterns of its two short spellings, and life-cycle keys in order of priority.
 CLASS_PREFIXES = {
     "budynki mieszkalne": "m", "budynki biurowe": "b", "budynki handlowo-usługowe": "h", "budynki przemysłowe": "p", "budynki transportu": "t", "budynki szpitali": "z", "budynki oświaty": "k", "budynki produkcyjne": "g",
     "zbiorniki, silosy": "s", "pozostałe budynki niemieszkalne": "i",
@@ -14,6 +14,7 @@ CLASS_NAMES = {
     "mieszkalny": "m", "budynekmieszkalny": "m", "biurowy": "b", "handlowouslugowy": "h", "przemyslowy": "p", "transportuilacznosci": "t", "szpitalaiinnebudynkiopiekizdrowotnej": "z", "oswiatynaukiikulturyorazsportu": "k",
     "produkcyjnyuslugowyigospodarczy": "g", "zbiorniksilosibudynekmagazynowy": "s", "budynekniemieszkalny": "i",
 }
+CLASS_WITH_NUMBER, CLASS_SHORT = r"^[a-z] - .* \(\d+\)$", r"^[mgithpskbz][a-z]?[0-9]?\.?$"
 LIFECYCLE_KEYS = ["demolished:building", "destroyed:building", "abandoned:building", "was:building", "razed:building", "removed:building", "disused:building", "ruins:building"]
 
 
@@ -31,14 +32,14 @@ def strip_street_prefix(c: Column) -> Column:
 
 
 def class_code(c: Column) -> Column:
-    """One letter for a cadastre class, which comes in four spellings; the bare letter last, as it would swallow others."""
+    """The letter of a cadastre class: of a numbered entry, a long or a joined name, or a letter with what may follow it; null for others."""
     s = F.lower(F.trim(c))
-    out = F.when(s.rlike(r"^[a-z] - .* \(\d+\)$"), F.substring(s, 1, 1))
+    out = F.when(s.rlike(CLASS_WITH_NUMBER), F.substring(s, 1, 1))
     for prefix, code in CLASS_PREFIXES.items():
         out = out.when(F.startswith(s, F.lit(prefix)), code)
     for name, code in CLASS_NAMES.items():
         out = out.when(s == name, code)
-    return out.when(s.rlike(r"^[mgithpskbz][a-z]?[0-9]?\.?$"), F.substring(s, 1, 1))
+    return out.when(s.rlike(CLASS_SHORT), F.substring(s, 1, 1))
 
 
 def parse_tags(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import metric, polygon, text
 
+# Column and element names of the sources.
 BDOT_COLUMNS = ["PRZESTRZENNAZW", "LOKALNYID", "WERSJA", "KATEGORIAISTNIENIA", "PRZEWAZAJACAFUNKCJABUDYNKU", "FUNKCJAOGOLNABUDYNKU", "LICZBAKONDYGNACJI", "NAZWA", "FSBUD", "INFORMACJADODATKOWA", "KODKST", "ZRODLODANYCHGEOMETRYCZNYCH"]
 EGIB_COLUMNS = ["id_budynku", "rodzaj", "kondygnacje_nadziemne", "kondygnacje_podziemne", "czas_pozyskania"]
 
@@ -76,6 +77,7 @@ def read_egib(spark: SparkSession, path: str, geometry: str = "geometry") -> Dat
     return out.withColumn("rodzaj_kod", text.class_code(F.col("rodzaj")))
 
 
+# Element names of the source.
 PRG_SCHEMA = "lokalnyId string, wersjaId string, numerPorzadkowy string, ulica string, miejscowosc string, kodPocztowy string, terytMiejscowosc string, terytGmina string, waznyOd date, pos string"
 
 

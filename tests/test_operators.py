@@ -8,6 +8,7 @@ from plumbline.operators import change, enrich, matching, quality, reports, stat
 from plumbline.sources import osm, registers
 from plumbline.streaming import feed
 
+# The projection's golden point (216691.39, 505645.69) and the sources' names below.
 METRE = 1 / 111195.08  # degrees of latitude on the mean sphere
 
 
