@@ -5,25 +5,28 @@ tag's name, with a mark if its class, id, role or hidden state says that it is f
 content (":m").
 
 1. Texts are compared over each host's pages: a text that stands on at least nine tenths of a host's different pages, and on
-   five at least, is a constant of the template; all other texts mismatch somewhere and become slots. The counts are exact, one
+   five at least, is an anchor for the alignment; all other texts mismatch somewhere and become slots. The counts are exact, one
    for each page and text, in a Spark aggregation that copies of a page enter once.
-2. The wrapper of a host is built by aligning its pages one after another: equal symbols match (an element that holds a constant
+2. The wrapper of a host is built by aligning its pages one after another: equal symbols match (an element that holds an anchor
    alone is a symbol of its own); runs of the same symbols, once or several side by side, become repeated groups; symbols that
    one side lacks become optional. Wrappers align with wrappers in the same way, so tasks infer partial ones, which are merged
    by host in two rounds.
 3. In the finished wrapper the articles are found for the host: topmost article elements, main ones, and elements marked as
    content; if it has none of them, from the body down, the element that holds at least four fifths of the slots' text outside
    links. Furniture is what is marked so (menus, page headers, footers, asides, forms, adverts, notices, reader comments), and
-   what may be furniture by its mark if constants or links are half of its text, and elements that hold a
-   constant alone, wherever they stand; a constant beside other text in one element stays with it.
+   what may be furniture by its mark if constants or links are half of its text. Outside articles an element that holds an anchor
+   alone is furniture as well. Inside article, main and marked elements nothing goes for standing on many pages. In the element of
+   a page without such marks an anchor goes where it is a constant of the wrapper: where at least half of the pages that reach
+   its place have it there; elsewhere it is text.
 4. A page is aligned with the wrapper in the same way, level by level, so that each of its elements gets the place in the regular
    expression that it stands for; what has no place goes by its symbol, else by what it stands in. The texts in the article's
-   elements are the main text. A page takes the first kind of article that has text in it; a page that has none is judged by its
-   own wrapper alone.
+   elements are the main text. Of the kinds of article a page takes the first (article, main, marked) with at least half as much
+   text as the kind with most, so that teasers don't stand for the article; a page that has none is judged by its own wrapper alone.
 
 Bounds: symbols come from a fixed list of names and marks and the host's constants (of which a page has nine tenths), what
-stands in elements deeper than 60 counts to the one above unless they are furniture, and equal neighbours fold, so a
-wrapper's size depends on the host's layouts, not on its pages.
+stands in elements deeper than 60 counts to the one above unless they are an article, main, marked or furniture and the first of
+their kind below the root (so at most six levels more), and equal neighbours fold, so a wrapper's size depends on the host's
+layouts, not on its pages.
 
 Nulls and odd rows: null html is empty and has empty text; null or odd urls share a wrapper under the empty host; repeated
 rows each have a row; markup that ends inside a tag, comment or script ends there; an empty table gives an empty result; other
@@ -101,6 +104,14 @@ def _mark(name: str, attributes: str) -> str:
     return mark or ":w" * weak
 
 
+def _kind(symbol: str) -> str:
+    """What an element means for the article: "article", "main", "m" (marked), "b" (furniture), "h" (a page's header, unless in an article), "w" (may be furniture) or nothing."""
+    name, _, mark = symbol.partition("=")[0].partition(":")
+    if mark == "b" or name in FURNITURE and name != "header":
+        return "b"
+    return mark or (name if name in ("article", "main") else "h" if name == "header" else "")
+
+
 class Link(str):
     """A text inside a link."""
 
@@ -108,13 +119,14 @@ class Link(str):
 
 
 class Element:
-    __slots__ = ("depth", "kids", "name", "owner", "symbol", "taken")
+    __slots__ = ("depth", "kids", "name", "owner", "symbol", "taken", "within")
 
     def __init__(self, name: str, symbol: str, parent: Element | None = None, owner: Element | None = None):
         """An element with an owner is too deep to be one of its own: what stands in it is the owner's."""
         self.name, self.symbol, self.taken, self.owner = name, symbol, False, owner or self
         self.kids = owner.kids if owner else []
         self.depth = self.owner.depth if owner else parent.owner.depth + 1 if parent else 1
+        self.within: frozenset = self.owner.within if owner else parent.owner.within | {_kind(symbol)} if parent else frozenset()
 
 
 BREAK = Element("br", "")
@@ -173,7 +185,7 @@ def parse(source: str) -> Element:
         if name in BLOCK:
             links = 0 if name in ("article", "section", "div", "p", "li", "nav") else links
         over = stack[-1].owner
-        if over.depth < DEPTH or over.depth < DEPTH + 3 and _furniture(name + mark) and not _furniture(over.symbol, True):
+        if over.depth < DEPTH or (kind := _kind(name + mark)) and kind not in over.within:
             new = Element(name, name + mark, parent=over)
             over.kids.append(new)
         else:
@@ -220,7 +232,7 @@ def texts_of(e: Element):
             yield from texts_of(x)
 
 
-# A wrapper node is a dict: l symbol ("#" a slot, "=name" a constant), q quantifier ("1", "?", "+" or "*"), k kids, t characters of slots directly in it, a those in links, c those of constants.
+# A wrapper node is a dict: l symbol ("#" a slot, "=name" an anchor), q quantifier ("1", "?", "+" or "*"), k kids, t characters of slots directly in it, a those in links, c those of anchors, n pages that have it at this place.
 def wrapper_of(e: Element, constants=frozenset(), own: bool = False) -> dict:
     """A page's own wrapper; with `own`, nodes keep their elements (e)."""
     t = a = c = 0
@@ -231,7 +243,7 @@ def wrapper_of(e: Element, constants=frozenset(), own: bool = False) -> dict:
                 continue
             if constants and (name := name_of(text)) in constants:
                 c += len(text)
-                kids.append({"l": f"={name}", "q": "1", "k": []})
+                kids.append({"l": f"={name}", "q": "1", "k": [], "n": 1})
                 continue
             t += len(text)
             a += sum(len(y.strip()) for y in x if isinstance(y, Link))
@@ -240,9 +252,9 @@ def wrapper_of(e: Element, constants=frozenset(), own: bool = False) -> dict:
         elif x is not BREAK:
             kids.append(wrapper_of(x, constants, own))
             only = False
-    if only and len(kids) == 1:
+    if only and len(kids) == 1 and _kind(symbol) not in ("article", "main", "m"):
         symbol += kids[0]["l"]
-    return {"l": symbol, "q": "1", "k": fold(kids), "t": t, "a": min(a, t), "c": c} | ({"e": [e]} if own else {})
+    return {"l": symbol, "q": "1", "k": fold(kids), "t": t, "a": min(a, t), "c": c, "n": 1} | ({"e": [e]} if own else {})
 
 
 def _plus(q: str, more: str) -> str:
@@ -250,8 +262,12 @@ def _plus(q: str, more: str) -> str:
     return "*" if some and none else "+" if some else "?" if none else "1"
 
 
-def merged(a: dict, b: dict, more: str = "1") -> dict:
-    out = {"l": a["l"], "q": _plus(_plus(a["q"], b["q"]), more), "k": aligned(a["k"], b["k"]) if a["k"] or b["k"] else []}
+def merged(a: dict, b: dict, more: str = "1", beside: bool = False) -> dict:
+    """Both nodes as one; beside: they are neighbours, of the same pages."""
+    out = {"l": a["l"], "q": _plus(_plus(a["q"], b["q"]), more), "k": aligned(a["k"], b["k"], beside) if a["k"] or b["k"] else []}
+    if "n" in a or "n" in b:
+        n, m = a.get("n", 0), b.get("n", 0)
+        out["n"] = max(n, m) if beside else n + m
     if "t" in a or "t" in b:
         out |= {x: a.get(x, 0) + b.get(x, 0) for x in "tac"}
     if "e" in a:
@@ -264,7 +280,7 @@ def fold(kids: list[dict]) -> list[dict]:
     out: list[dict] = []
     for x in kids:  # single symbols
         if out and out[-1]["l"] == x["l"]:
-            out[-1] = merged(out[-1], x, "+")
+            out[-1] = merged(out[-1], x, "+", True)
         else:
             out.append(x)
     for size in (2, 3):
@@ -275,7 +291,7 @@ def fold(kids: list[dict]) -> list[dict]:
             if len(run) == size and [x["l"] for x in out[i + size : i + 2 * size]] == name:
                 i += size
                 while [x["l"] for x in out[i : i + size]] == name:
-                    run = [merged(x, y) for x, y in zip(run, out[i : i + size], strict=True)]
+                    run = [merged(x, y, beside=True) for x, y in zip(run, out[i : i + size], strict=True)]
                     i += size
                 done.append({"l": "(" + " ".join(name) + ")", "q": "+", "k": run})
             else:
@@ -300,16 +316,16 @@ def _grouped(kids: list[dict], other: list[dict]) -> list[dict]:
     return kids
 
 
-def aligned(a: list[dict], b: list[dict]) -> list[dict]:
+def aligned(a: list[dict], b: list[dict], beside: bool = False) -> list[dict]:
     """Both sides' streams as one: matches merged, the rest optional."""
     a, b = _grouped(a, b), _grouped(b, a)
     names = [x["l"] for x in a], [x["l"] for x in b]
     if names[0] == names[1]:
-        return fold([merged(x, y) for x, y in zip(a, b, strict=True)])
+        return fold([merged(x, y, beside=beside) for x, y in zip(a, b, strict=True)])
     out = []
     for kind, i, j, k, m in SequenceMatcher(None, *names, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [merged(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [merged(x, y, beside=beside) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
             out += [x | {"q": _plus(x["q"], "?")} for x in (*a[i:j], *b[k:m])]
     return fold(out)
@@ -340,9 +356,10 @@ def _sums(w: dict) -> tuple[int, int, int]:
     return t, a, c
 
 
-def _out(w: dict, inside: bool = False) -> bool:
-    """Whether a node is furniture, by its mark or, where that leaves it open, by its text."""
-    if "=" in w["l"]:
+def _out(w: dict, inside: bool = False, reached: int = 0) -> bool:
+    """Whether a node is furniture, by its mark or, where that leaves it open, by its text. reached: in an article that no mark
+    shows, the pages that reach the node's place; else 0."""
+    if "=" in w["l"] and (2 * w.get("n", 1) >= reached if reached else not inside):
         return True
     if not _tag(w["l"]).endswith(":w"):
         return _furniture(w["l"], inside)
@@ -360,7 +377,7 @@ def _each(w: dict):
 
 
 def _weight(w: dict, inside: bool = False) -> int:
-    return w.get("t", 0) - w.get("a", 0) + sum(_weight(x, inside) for x in _each(w) if not _out(x, inside))
+    return w.get("t", 0) - w.get("a", 0) + inside * w.get("c", 0) + sum(_weight(x, inside) for x in _each(w) if not _out(x, inside))
 
 
 def _topmost(w: dict, wanted) -> list[dict]:
@@ -371,7 +388,8 @@ def decided(w: dict) -> list[dict]:
     """The wrapper with a mark on what is taken (i), for each kind of article that it has."""
     kinds = [_topmost(w, lambda s: s.startswith("article")), _topmost(w, lambda s: s.startswith("main")), _topmost(w, lambda s: s.endswith(":m"))]
     kinds = [x for x in kinds if x]
-    if not kinds:
+    unmarked = not kinds
+    if unmarked:
         here = w
         while True:
             whole = _weight(here)
@@ -381,12 +399,12 @@ def decided(w: dict) -> list[dict]:
             here = inner[0]
         kinds = [[here]]
 
-    def flags(x: dict, inside: bool, chosen: set) -> dict:
-        inside = inside or id(x) in chosen
-        kids = [y if y["l"][0] in "#=" else flags(y, inside, chosen) if y["l"][0] == "(" or not _out(y, inside) else dict(y, k=[], i=False, f=True) for y in x["k"]]
+    def flags(x: dict, inside: bool, chosen: set, reached: int) -> dict:
+        inside, reached = inside or id(x) in chosen, x.get("n", reached)
+        kids = [y if y["l"][0] in "#=" else flags(y, inside, chosen, reached) if y["l"][0] == "(" or not _out(y, inside, reached * unmarked) else dict(y, k=[], i=False, f=True) for y in x["k"]]
         return {"l": x["l"], "q": x["q"], "k": kids, "i": inside}
 
-    return [flags(w, False, {id(x) for x in found}) for found in kinds]
+    return [flags(w, False, {id(x) for x in found}, 1) for found in kinds]
 
 
 def assign(own: dict, host: dict) -> None:
@@ -418,15 +436,14 @@ def assign(own: dict, host: dict) -> None:
 
 
 def main_text(source: str, kinds: list[dict], constants=frozenset()) -> str:
-    """The article of a page by its host's wrapper: of the first kind that the page has; else by the page's own wrapper."""
+    """The article of a page by its host's wrapper, of the first kind with at least half as much text as any; else by the page's own wrapper."""
     page = parse(source)
     own = wrapper_of(page, constants, True)
-    for flags in kinds:
-        if text := _text(page, own, flags):
-            return text
-    for flags in decided(own):
-        if text := _text(page, own, flags):
-            return text
+    for known in (kinds, None):
+        texts = [_text(page, own, flags) for flags in (decided(own) if known is None else known)]
+        most = max(map(len, texts), default=0)
+        if most:
+            return next(x for x in texts if 2 * len(x) >= most)
     return ""
 
 

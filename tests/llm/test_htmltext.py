@@ -106,3 +106,69 @@ def test_constants_equal_plain_counting(spark):
     for k in range(3):
         pages = {tuple(re.findall(r"t\d+", x)) for i, _, x in rows if i % 3 == k}
         assert got.get(f"h{k}.example.org", set()) == {h.name_of(t) for t in {t for x in pages for t in x} if sum(t in x for x in pages) >= max(5, 0.9 * len(pages))}
+
+
+def test_article_text_that_repeats_over_a_host_stays(spark):
+    """Headings, by-lines and table heads of articles, as few or as many pages of them as there are."""
+    dish = "<body><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Take {i} eggs.</p><h2>Method</h2><p>Beat {i} times.</p><p>By Ann Smith</p></article><p>Call us</p></body>"
+    goods = "<body><p>Our shop</p><div class='content'><table><tr><th>Price</th><th>Colour</th></tr><tr><td>{i}</td><td>red</td></tr></table><div class='x'>Ask for it</div></div></body>"
+    same = "<body><p>Page {i}</p><main><p>Closed on Monday</p></main></body>"
+    teaser = "<body><article class='teaser'>Teaser {i}</article><main><h1>Real {i}</h1><p>The text that the page is about, number {i}.</p></main></body>"
+    rows, wanted = [], {}
+    for n in (1, 4, 5, 50):
+        for k, (form, text) in enumerate([(dish, "Dish {i} Ingredients Take {i} eggs. Method Beat {i} times. By Ann Smith"), (goods, "Price Colour {i} red Ask for it"), (same, "Closed on Monday"), (teaser, "Real {i} The text that the page is about, number {i}.")]):
+            for i in range(n):
+                page = n * 1000 + k * 100 + i
+                rows.append((page, f"https://n{n}k{k}.example.org/{i}", form.format(i=i)))
+                wanted[page] = text.format(i=i)
+    got = texts(spark, rows)
+    assert {k: v[1] for k, v in got.items()} == wanted
+
+
+def test_articles_and_furniture_at_any_depth():
+    for depth in (3, 10, 58, 59, 60, 61, 70, 500):
+        for inner, text in [
+            ("<article>Body</article><div>junk of the page</div>", "Body"), ("<main>Body <nav>menu</nav></main><div>junk</div>", "Body"), ("<div class='post-content'>Body<div class='ad-slot'>Buy</div> and more</div><p>junk</p>", "Body and more"),
+            ("<main><p>One</p><article>Body text of it</article></main><p>x</p>", "Body text of it"), ("<nav>menu</nav><article><div><aside>see</aside>Body</div></article>", "Body"), ("<article>" * 90 + "<content>Body" + "</article>" * 90, "Body"),
+        ]:
+            source = "<html><body>" + "<div>" * depth + inner + "</div>" * depth + "</body></html>"
+            assert h.main_text(source, h.decided(h.wrapper_of(h.parse(source)))) == text, (depth, inner)
+
+
+def test_an_anchor_is_a_constant_only_at_its_place(spark):
+    """On pages without marks: what all pages say at one place goes, what they say here and there stays."""
+    rows, places = [], ["section", "blockquote", "figure"]
+    for i in range(40):
+        body = "".join(f"<{x}><p>Words {i} of {x}</p>{'<h2>In short</h2>' * (i % 3 == k)}<p>More {i}</p></{x}>" for k, x in enumerate(places))
+        rows.append((i, f"https://places.example.org/{i}", f"<body><h6>Welcome</h6>{body}<h6>Call us</h6></body>"))
+    got = texts(spark, rows)
+    for i in range(40):
+        assert got[i][1] == " ".join(f"Words {i} of {x} {'In short ' * (i % 3 == k)}More {i}" for k, x in enumerate(places)), i
+
+
+def grammar(w):
+    """A wrapper as a regular expression over plain tags."""
+    inner = "".join(map(grammar, w["k"]))
+    body = "#" if w["l"] == "#" else inner if w["l"][0] == "(" else f"<{w['l']}>{inner}</{w['l']}>"
+    return f"(?:{body}){w['q'].replace('1', '')}"
+
+
+def stream(e):
+    return f"<{e.symbol}>" + "".join("#" if isinstance(x, list) else stream(x) for x in h.pieces(e) if x is not h.BREAK) + f"</{e.symbol}>"
+
+
+def test_wrappers_accept_all_their_pages():
+    """Against matching by brute force: whatever the order of merging, each page is a word of the wrapper's expression."""
+    rng = random.Random(5)
+
+    def body(depth):
+        return "".join(f"<{t}>{body(depth - 1) if t == 'div' and depth else 'x'}</{t}>" for t in rng.choices(["div", "h2", "p", "ul"], k=rng.randrange(5)))
+
+    for _ in range(150):
+        pages = [h.parse(f"<body>{body(2)}</body>") for _ in range(rng.randrange(1, 7))]
+        own = [h.wrapper_of(p) for p in pages]
+        while len(own) > 1:
+            a, b = own.pop(rng.randrange(len(own))), own.pop(rng.randrange(len(own)))
+            own.append(h.merged(a, b))
+        expression = re.compile(grammar(own[0]))
+        assert all(expression.fullmatch(stream(p)) for p in pages)
