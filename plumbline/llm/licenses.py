@@ -66,7 +66,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     parsed = [(label, len(text.split()), sorted(set(text.split()))) for label, text in templates]
     vocabulary = sorted({w for _, _, words in parsed for w in words})
 
-    # one pass for the words of all documents: counts, phrases, and which template words occur
+    # one pass for the words of all documents: counts, phrases, and where template words stand
     own = lower.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).withColumn("n_words", F.size("_words").cast("long"))
     for k, (phrase, _) in enumerate(phrases):
         words = phrase.split()
@@ -76,10 +76,10 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     every = F.concat(*ats)
     own = own.select(
         "doc_id", "_key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_compact(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, (_, label) in zip(ats, phrases, strict=True)))).alias("_base"), F.array_intersect("_words", _strings(vocabulary)).alias("_known"),
+        F.array_compact(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, (_, label) in zip(ats, phrases, strict=True)))).alias("_base"), F.when(F.size("_words") > 0, F.transform(F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).isin(vocabulary)), lambda i: F.struct(i.alias("p"), F.get("_words", i).alias("w")))).alias("_hits"),
     )
     own = stored(own, "licenses")
-    counts = dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in own.select(F.explode("_known").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per template word
+    counts = dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in own.select(F.explode(F.array_distinct("_hits.w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per template word
 
     order = sorted(vocabulary, key=lambda w: (counts[w], w))
     place = {w: i for i, w in enumerate(order)}
@@ -96,16 +96,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     table = spark.range(1).select(F.inline(F.array(*rows)))
     prefixes = spark.range(1).select(F.inline(F.array(*firsts)))
 
-    # blocks around words of some template's prefix, in documents that contain such a word
+    # blocks around words of some template's prefix that hold as many template words as some template needs
     by_step = {s: sorted({x for t, (_, n, words) in enumerate(parsed) if step_of(n) == s for x in sorted(words, key=place.get)[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1]}) for s in sorted({step_of(n) for _, n, _ in parsed})}
-    rare = sorted({w for x in by_step.values() for w in x})
-    some = lower.filter(F.coalesce(_any(F.contains("_text", F.lit(w)) for w in rare), F.lit(False)))
-    some = some.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    spots = []
-    for step, words in by_step.items():
-        spots.append(_blocks(words, step))
-    some = some.filter(F.size("_words") > 0).withColumn("_spot", F.explode(F.concat(*spots))).select("doc_id", "_key", F.col("_spot.step").alias("step"), F.col("_spot.block").alias("block"), F.slice("_words", F.col("_spot.block") * F.col("_spot.step") + 1, F.col("_spot.step") * 2).alias("_window"))
-    some = some.withColumn("_tokens", F.array_intersect(_strings(order), "_window")).drop("_window")  # in the global order
+    least = {s: min(math.ceil(threshold * len(words) - 1e-9) for _, n, words in parsed if step_of(n) == s) for s in by_step}
+    some = own.filter(F.arrays_overlap("_hits.w", _strings(sorted({w for x in by_step.values() for w in x}))))
+    some = some.select("doc_id", "_key", F.explode_outer(F.array_distinct(F.concat(*(_blocks(words, step, least[step]) for step, words in by_step.items())))).alias("_spot")).filter(F.col("_spot").isNotNull())
+    some = some.select("doc_id", "_key", "_spot.step", "_spot.block", F.array_intersect(_strings(order), "_spot.tokens").alias("_tokens"))  # in the global order
     each = some.select("*", F.posexplode("_tokens").alias("j", "token"))
     close = each.join(F.broadcast(prefixes), ["token", "step"]).filter(F.size("_tokens") >= F.col("needed"))
     first = close.groupBy("doc_id", "_key", "step", "block", "t").agg(F.min(F.struct("i", "j", "n", "needed", "_tokens")).alias("_m"))
@@ -124,11 +120,18 @@ def _stands(words: list[str]):
     return lambda i: _all([F.get("_words", i + j) == w for j, w in enumerate(words)])
 
 
-def _blocks(words: list[str], step: int) -> Column:
-    """The blocks of a step that hold one of the words."""
-    hits = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).isin(words))
-    near = F.flatten(F.transform(hits, lambda i: F.array(F.floor(i / step).cast("int"), F.greatest(F.floor(i / step).cast("int") - 1, F.lit(0)))))
-    return F.transform(F.array_distinct(near), lambda b: F.struct(F.lit(step).alias("step"), b.alias("block")))
+def _blocks(words: list[str], step: int, least: int) -> Column:
+    """The blocks of a step that hold one of the words and `least` template words: step, block, tokens. A hit's blocks lie within
+    2 * step - 1 words on either side, so within as many hits."""
+    own = F.filter(F.sequence(F.lit(0), F.size("_hits") - 1), lambda k: F.get("_hits", k)["w"].isin(words))
+
+    def block(k: Column, back: int) -> Column:
+        number = F.floor(F.get("_hits", k)["p"] / step).cast("int") - back
+        near = F.slice("_hits", F.greatest(k - 2 * step + 2, F.lit(1)), F.lit(4 * step))
+        inside = F.filter(near, lambda h: F.floor(h["p"] / step).cast("int").between(number, number + 1))
+        return F.struct(F.lit(step).alias("step"), number.alias("block"), F.array_distinct(F.transform(inside, lambda h: h["w"])).alias("tokens"))
+
+    return F.filter(F.flatten(F.transform(own, lambda k: F.array(block(k, 0), block(k, 1)))), lambda b: (b["block"] >= 0) & (F.size(b["tokens"]) >= least))
 
 
 def _all(conditions) -> Column:
