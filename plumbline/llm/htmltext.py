@@ -264,7 +264,7 @@ def _plus(q: str, more: str) -> str:
 
 def merged(a: dict, b: dict, more: str = "1", beside: bool = False) -> dict:
     """Both nodes as one; beside: they are neighbours, of the same pages."""
-    out = {"l": a["l"], "q": _plus(_plus(a["q"], b["q"]), more), "k": aligned(a["k"], b["k"], beside) if a["k"] or b["k"] else []}
+    out = {"l": a["l"], "q": "1" if a["q"] == b["q"] == more == "1" else _plus(_plus(a["q"], b["q"]), more), "k": aligned(a["k"], b["k"], beside) if a["k"] or b["k"] else []}
     if "n" in a or "n" in b:
         n, m = a.get("n", 0), b.get("n", 0)
         out["n"] = max(n, m) if beside else n + m
@@ -277,6 +277,8 @@ def merged(a: dict, b: dict, more: str = "1", beside: bool = False) -> dict:
 
 def fold(kids: list[dict]) -> list[dict]:
     """Equal runs of one to three symbols side by side become repeated groups."""
+    if len(kids) < 2:
+        return kids
     out: list[dict] = []
     for x in kids:  # single symbols
         if out and out[-1]["l"] == x["l"]:
@@ -284,13 +286,14 @@ def fold(kids: list[dict]) -> list[dict]:
         else:
             out.append(x)
     for size in (2, 3):
-        i, done = 0, []
+        if len(out) < 2 * size:
+            break
+        i, done, names = 0, [], [x["l"] for x in out]
         while i < len(out):
-            run = out[i : i + size]
-            name = [x["l"] for x in run]
-            if len(run) == size and [x["l"] for x in out[i + size : i + 2 * size]] == name:
+            if names[i : i + size] == names[i + size : i + 2 * size]:
+                run, name = out[i : i + size], names[i : i + size]
                 i += size
-                while [x["l"] for x in out[i : i + size]] == name:
+                while names[i : i + size] == name:
                     run = [merged(x, y, beside=True) for x, y in zip(run, out[i : i + size], strict=True)]
                     i += size
                 done.append({"l": "(" + " ".join(name) + ")", "q": "+", "k": run})
@@ -318,6 +321,9 @@ def _grouped(kids: list[dict], other: list[dict]) -> list[dict]:
 
 def aligned(a: list[dict], b: list[dict], beside: bool = False) -> list[dict]:
     """Both sides' streams as one: matches merged, the rest optional."""
+    names = [x["l"] for x in a], [x["l"] for x in b]
+    if names[0] == names[1] and not any(x[0] == "(" for x in names[0]):  # folded as they are
+        return [merged(x, y, beside=beside) for x, y in zip(a, b, strict=True)]
     a, b = _grouped(a, b), _grouped(b, a)
     names = [x["l"] for x in a], [x["l"] for x in b]
     if names[0] == names[1]:
