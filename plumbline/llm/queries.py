@@ -62,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = scratch(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), dest)
+    warc.write_archives(table(spark, sf_dir, "pages"), dest, date=warc.now())
     return warc.read_archives(spark, dest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

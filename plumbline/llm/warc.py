@@ -21,6 +21,7 @@ import hashlib
 import json
 import struct
 import uuid
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,6 +34,11 @@ MAGIC, DICT_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec"
 DATE = "1970-01-01T00:00:00Z"
 
 
+def now() -> str:
+    """The time as a WARC-Date, for a run to name itself by."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -1,3 +1,4 @@
+import re
 import random
 import zlib
 
@@ -103,3 +104,10 @@ def test_pages_that_share_an_id(spark):
         first = min(j for j, _, x in rows if x == text)
         assert (got[url].page_id, got[url].record_type, got[url].refers_to) == (i, "response" if i == first else "revisit", None if i == first else first)
         assert got[url].payload_digest == warc.base32_sha1(text.encode())
+
+
+def test_records_bear_the_date_of_the_run():
+    date = warc.now()
+    assert re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", date)
+    fields, payload = warc.parse(warc.record(7, "https://example.org/", "<p>x</p>", None, date=date))
+    assert fields["WARC-Date"] == date and payload == b"<p>x</p>"
