@@ -1,5 +1,5 @@
-import re
 import random
+import re
 import zlib
 
 import public_tokenizers as P
