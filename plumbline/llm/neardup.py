@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, recall: float = 0.9999,
     def labelled(rows: DataFrame) -> DataFrame:
         if whole is None:
             return rows.withColumn("comp", F.col("id"))
-        return rows.join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        return stored(rows.join(whole, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "labelled")  # each level of the trees reads it
 
     def grown(members: DataFrame) -> DataFrame:
         """whole after the groups' links."""

@@ -102,6 +102,20 @@ def test_a_large_group_of_near_copies(spark):
         assert [got[i] for i in range(len(out))] == labels.tolist()
 
 
+def test_components_are_joined_once_however_deep_the_trees(spark, rows, monkeypatch):
+    """Every level reads the trees' input, so what has been joined to it is written first."""
+    own, plans = neardup.tree_nodes, []
+
+    def seen(sets, *args, **options):
+        plans.append(sets._jdf.queryExecution().optimizedPlan().toString())
+        return own(sets, *args, **options)
+
+    monkeypatch.setattr(neardup, "tree_nodes", seen)
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    got = sorted((tuple(r) for r in neardup.near_duplicates(docs, node=60, open_pairs=50).collect()), key=str)
+    assert got == brute(rows) and len(plans) > 1 and not any("Join" in p for p in plans)
+
+
 def test_trees_meet_the_recall_at_any_depth():
     assert neardup.second_chance(85) == 0.18 and neardup.second_chance(80) == 0.25 and 0.63 <= neardup.least_alike(80) <= 0.65
     assert 4 <= neardup.trees_needed(85, 0, 0.9999) <= neardup.ROOTS < neardup.trees_needed(85, 15, 0.9999) < neardup.trees_needed(85, 52, 0.9999)
