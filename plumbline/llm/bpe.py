@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Remembered
+from .common import take_up, worker_models
 
-_models: dict = {}
+_models: dict = worker_models.setdefault("bpe", {})
 WIDE = 32
 
 
@@ -177,6 +178,7 @@ def _plus(df: DataFrame, fields: list[tuple[str, pa.DataType, str]], make) -> Da
     schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [f"{n} {t}" for n, _, t in fields])
 
     def run(batches):
+        take_up("bpe")
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import stored, take_up, text_slices
 from .graph import components
 from .words import mixed, run_hashes, word_hashes
 
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))]
 
     def run(batches):
+        take_up("near-duplicates")
         for rows in text_slices(batches, ["doc_id", "text_key"], chars=1_000_000):
             sets = shingle_sets(rows["text"])
             sizes = np.array([len(s) for s in sets])
@@ -211,6 +212,7 @@ def groups(nodes: DataFrame, percent: int = 85, open_pairs: int = 8_000_000, sha
         yield np.full(len(deep), 2), ids[deep], deepest[deep]
 
     def run(batches):
+        take_up("near-duplicates")
         held, out, n = None, [], 0
 
         def made():
@@ -329,6 +331,7 @@ def confirmed(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """a, b: links between the full sets of members (g, id) of each group, enough to connect what is linked. texts: id, text."""
 
     def run(batches):
+        take_up("near-duplicates")
         group, held, out = None, [], []
 
         def made():

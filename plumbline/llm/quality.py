@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, scratch, stored
+from .common import file_system, scratch, stored, take_up, worker_models
 from .words import mixed, run_hashes, word_hashes
 
 ORDER, BITS = 4, 16
@@ -38,7 +38,7 @@ BANDS = {"log_perplexity": ("word_chars", 3.0, 1.0, 0.02), "word_log_perplexity"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 HELD = 12_000_000
-_models: dict[tuple[str, int, bool], Model] = {}
+_models: dict[tuple[str, int, bool], Model] = worker_models.setdefault("quality", {})
 
 
 def _low(n: int) -> np.uint64:
@@ -76,6 +76,7 @@ def count_ngrams(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     """band, key, n over all documents: n-grams of the highest order. A task sums them up to `most` distinct ones at a time."""
 
     def count(batches):
+        take_up("quality")
         held: dict[int, tuple[list, list, int]] = {}
 
         def made():
@@ -231,6 +232,7 @@ def with_figures(docs: DataFrame, dest: str) -> DataFrame:
     schema = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + ["band long"] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in BANDS])
 
     def run(batches):
+        take_up("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, take_up
 
 MAX_ROWS, NEAREST, BLOCK, OFTEN, SLICE = 4_000, 15, 64, 16, 64
 _word = re.compile(r"[^\W\d_]+")
@@ -219,11 +219,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
     shared = docs.sparkSession.sparkContext.broadcast(maker)
 
     def vectors(batches):
+        take_up("toxicity: vectors")
         for batch in batches:
             made = [shared.value.vector(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_toxic"), pa.array([t for t, _ in made], pa.list_(pa.int64())), pa.array([w for _, w in made], pa.list_(pa.float64()))], names=["id", "toxic", "terms", "weights"])
 
     got = train.select("_id", "_toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id")  # max_rows rows
+    shared.destroy()
     ids, toxic = got.column("id").to_pylist(), (got.column("toxic").to_numpy() == 1).astype(float)
     model = Classifier(terms, factor, strong, ids, toxic, [(np.array(t, np.int64), np.array(w)) for t, w in zip(got.column("terms").to_pylist(), got.column("weights").to_pylist(), strict=True)], nearest)
     if len(ids) >= 50:
@@ -238,6 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in raw], pa.float64()), part.column("_toxic")], names=["raw", "toxic"])
 
         held = train.select("_id", "_toxic", "text").mapInArrow(without, "raw double, toxic int").toArrow()
+        for done in (shared_model, shared_place):
+            done.destroy()
         x, y = held.column("raw").to_numpy(), (held.column("toxic").to_numpy() == 1).astype(float)
         order = np.lexsort((y, x))
         model.points = isotonic(x[order], y[order])
@@ -258,6 +262,7 @@ def scored(docs: DataFrame, model: Classifier, evidence: bool = True) -> DataFra
         return {"terms": [own.terms[t] for t in marks.tolist() if own.strong[t] > 0], "nearest": [{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.toxic[i])} for i, c in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True)]}
 
     def run(batches):
+        take_up("toxicity: scores")
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

@@ -2,6 +2,9 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
+
+from plumbline.llm import bpe, common, neardup, quality, toxicity
 
 
 def test_stages(spark, tmp_path):
@@ -67,3 +70,21 @@ def test_rows_without_an_id_and_with_one_id(spark):
     assert ids.count(5) == 1 and ids.count(7) == 1 and 8 not in ids and 9 in ids
     bare = [r[1] for r in runs[0] if r[0] is None]
     assert a not in bare and sum((x or "").lower() == b for x in bare) == 1 and None in bare and "" in bare and len(bare) == 3
+
+
+def test_a_worker_keeps_the_models_of_one_operator(spark, monkeypatch):
+    docs, made = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string"), []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *args, **options: made.append(f) or own(self, f, *args, **options))
+    toxicity.scored(docs, toxicity.Classifier([], np.zeros(0), np.zeros(0), [], np.zeros(0), []))
+    quality.count_ngrams(docs)
+    quality.with_figures(docs, "nowhere")
+    neardup.signatures(docs)
+    assert len(made) == 4
+    for work in made:
+        common.take_up("bpe")
+        bpe._models["kept"] = "a model"
+        common.take_up("bpe")
+        assert bpe._models
+        list(work(iter([])))
+        assert not bpe._models
