@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, take_up
+from .common import give_back, stored, take_up
 
 MAX_ROWS, NEAREST, BLOCK, OFTEN, SLICE = 4_000, 15, 64, 16, 64
 _word = re.compile(r"[^\W\d_]+")
@@ -182,6 +182,13 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each list as a slice of one array; Python's own numbers would take several times the space on the driver."""
+    whole = lists.combine_chunks()
+    flat, ends = whole.flatten().to_numpy(), np.cumsum([0, *whole.value_lengths().to_pylist()]).tolist()
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: int = NEAREST) -> Classifier:
     """labels: doc_id, toxic (0 or 1), already reduced to rows that may be learned from."""
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -227,7 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, nearest: i
     got = train.select("_id", "_toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id")  # max_rows rows
     shared.destroy()
     ids, toxic = got.column("id").to_pylist(), (got.column("toxic").to_numpy() == 1).astype(float)
-    model = Classifier(terms, factor, strong, ids, toxic, [(np.array(t, np.int64), np.array(w)) for t, w in zip(got.column("terms").to_pylist(), got.column("weights").to_pylist(), strict=True)], nearest)
+    model = Classifier(terms, factor, strong, ids, toxic, list(zip(_arrays(got.column("terms")), _arrays(got.column("weights")), strict=True)), nearest)
+    del rows, got, maker, shared
+    give_back()
     if len(ids) >= 50:
         place = {d: i for i, d in enumerate(ids)}
         shared_model, shared_place = (docs.sparkSession.sparkContext.broadcast(x) for x in (model, place))

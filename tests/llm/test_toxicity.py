@@ -112,3 +112,12 @@ def test_repeated_ids_give_the_same_model(spark):
     docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
     scores = [sorted((r.doc_id, r.text, r.score) for r in t.scored(docs, t.fit(docs.repartition(n), marked)).collect()) for n in (1, 3, 7)]
     assert scores[0] == scores[1] == scores[2]
+
+
+def test_lists_as_slices_of_one_array():
+    import pyarrow as pa
+
+    rows = [[3, 5], [], [7]]
+    got = t._arrays(pa.chunked_array([rows[:2], rows[2:]], pa.list_(pa.int64())))
+    assert [x.tolist() for x in got] == rows and got[0].base is got[2].base
+    assert t._arrays(pa.chunked_array([], pa.list_(pa.int64()))) == []
