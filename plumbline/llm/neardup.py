@@ -268,6 +268,8 @@ def tree_nodes(sets: DataFrame, trees: int = ROOTS, node: int = 20_000, depth: i
         counts = stored(nodes.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > node), "big-nodes")
         if counts.isEmpty():
             break
+        if not level:  # small, large and counted rows are all taken from the roots; deeper levels are written where they are made
+            nodes = stored(nodes, "roots")
         small = nodes.join(counts, "key", "left_anti").withColumn("level", F.lit(level))
         done = small if done is None else done.unionByName(small)
         big = nodes.join(counts, "key")

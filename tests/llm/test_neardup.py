@@ -116,6 +116,18 @@ def test_components_are_joined_once_however_deep_the_trees(spark, rows, monkeypa
     assert got == brute(rows) and len(plans) > 1 and not any("Join" in p for p in plans)
 
 
+@pytest.mark.parametrize("more", [False, True])
+def test_roots_are_made_once_however_deep_the_trees(spark, rows, more):
+    """What branches and what doesn't are both read from the written roots; the sets aren't exploded again for each."""
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    base = neardup.signatures(docs).filter("n_shingles > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    sets = base.selectExpr("doc_id AS id", "sig", "roots", "n_shingles AS n", "doc_id AS comp", *(["5 AS first", "9 AS last"] if more else []))
+    nodes = neardup.tree_nodes(sets, 5, node=10, open_pairs=20)
+    assert nodes.agg({"level": "max"}).first()[0] > 0
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(slice" not in plan and "explode(sequence(first" not in plan and "MapInArrow" not in plan
+
+
 def test_trees_meet_the_recall_at_any_depth():
     assert neardup.second_chance(85) == 0.18 and neardup.second_chance(80) == 0.25 and 0.63 <= neardup.least_alike(80) <= 0.65
     assert 4 <= neardup.trees_needed(85, 0, 0.9999) <= neardup.ROOTS < neardup.trees_needed(85, 15, 0.9999) < neardup.trees_needed(85, 52, 0.9999)
