@@ -262,36 +262,61 @@ class _Seen:
     """Phrases that a task has listed of a language, as numbers of 21 bits a word."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: defaultdict = defaultdict(count().__next__)
         self.two, self.three = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def mapped(self, words: list[bytes]) -> np.ndarray:
-        known = self.numbers
-        return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
     def full(self, more: int) -> bool:
         """Whether so many more words may pass 21 bits, or the phrases their bound."""
         return len(self.numbers) + more > 1 << 21 or len(self.two) + len(self.three) > 3_000_000
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; by a sort, which takes less than np.unique's hash table."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _new(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys (distinct, sorted) are not among the seen ones, and all of both."""
+    """Which keys (distinct, sorted) are not among the seen ones (sorted too), and all of both."""
     fresh = ~_inside([seen], keys)
-    return fresh, np.union1d(seen, keys[fresh])
+    return fresh, np.insert(seen, np.searchsorted(seen, keys[fresh]), keys[fresh])
+
+
+class _Full:
+    """Full buckets of some blocks, a bit for each bucket of a block; where[b] is one more than the place of block b, 0 of others."""
+
+    def __init__(self, blocks: list[int], buckets: list[bytes]):
+        self.where = np.zeros(max(blocks, default=-1) + 2, np.int64)
+        self.bits = np.zeros((len(blocks) + 1, BUCKETS // 8), np.uint8)
+        for k, (block, raw) in enumerate(zip(blocks, buckets, strict=True), 1):
+            own = np.zeros(BUCKETS, bool)
+            own[np.frombuffer(raw, "<u2")] = True
+            self.where[block], self.bits[k] = k, np.packbits(own, bitorder="little")
+        self.nbytes = self.bits.nbytes + self.where.nbytes
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Which bucket numbers are full ones of these blocks."""
+        place = self.where[np.minimum(keys >> np.uint64(16), np.uint64(len(self.where) - 1)).astype(np.int64)]
+        low = (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
+        return (self.bits.reshape(-1)[place * (BUCKETS // 8) + (low >> 3)] >> (low & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dict[str, int]) -> DataFrame:
     """lang, block, phrases (words joined by a space): all phrases in full buckets; a task lists each once (or a few times)."""
 
-    def numbers(batch) -> tuple[np.ndarray, np.ndarray]:
-        out = {2: [np.zeros(0, np.uint64)], 3: [np.zeros(0, np.uint64)]}
+    def numbers(batch) -> tuple[_Full, _Full]:
+        out: dict[int, tuple[list, list]] = {2: ([], []), 3: ([], [])}
         for size, block, raw in zip(*(batch.column(c).to_pylist() for c in ("size", "block", "buckets")), strict=True):
-            out[size].append(np.frombuffer(raw, "<u2").astype(np.uint64) | np.uint64(block << 16))
-        return tuple(np.sort(np.concatenate(out[k])) for k in (2, 3))
+            out[size][0].append(block)
+            out[size][1].append(raw)
+        return _Full(*out[2]), _Full(*out[3])
 
     def run(batches):
         frequent = _frequent(words_dest)
-        full = _Read(lambda lang: map(numbers, _batches(buckets_dest, lang, ["size", "block", "buckets"], 256)), lambda x: x[0].nbytes + x[1].nbytes)
+        full = _Read(lambda lang: map(numbers, _batches(buckets_dest, lang, ["size", "block", "buckets"], 2048)), lambda x: x[0].nbytes + x[1].nbytes)
         seen: dict[str, _Seen] = {}
         for batch in batches:
             for lang, words, hashes, ids, own in _slices(batch):
@@ -301,20 +326,20 @@ def candidates(slices: DataFrame, words_dest: str, buckets_dest: str, sizes: dic
                 keys, some = pair >> shift, np.flatnonzero(pair)
                 good = np.zeros(len(some), bool)
                 for two, _ in full(lang):
-                    good |= _inside([two], keys[some])
+                    good |= two.among(keys[some])
                 pair[some[~good]] = _NONE
                 triple = _triples(pair)
                 keys, some = triple >> shift, np.flatnonzero(triple[:own])
                 good = np.zeros(len(some), bool)
                 for _, three in full(lang):
-                    good |= _inside([three], keys[some])
+                    good |= three.among(keys[some])
                 at3, at2 = some[good], np.flatnonzero(pair[:own])
                 if lang not in seen or seen[lang].full(len(words)):
                     seen[lang] = _Seen()
                 known = seen[lang]
                 task = np.append(-1, known.mapped(words))  # below 2**21: a slice has fewer words
-                twos = np.unique(task[ids[at2]] << 21 | task[ids[at2 + 1]])
-                threes = np.unique(task[ids[at3]] << 42 | task[ids[at3 + 1]] << 21 | task[ids[at3 + 2]])
+                twos = _distinct(task[ids[at2]] << 21 | task[ids[at2 + 1]])
+                threes = _distinct(task[ids[at3]] << 42 | task[ids[at3 + 1]] << 21 | task[ids[at3 + 2]])
                 new2, known.two = _new(twos, known.two)
                 new3, known.three = _new(threes, known.three)
                 place = np.zeros(len(known.numbers), np.int64)  # in this slice
@@ -433,13 +458,13 @@ def tries(listed: DataFrame) -> str:
     return _written(built, "phrase-tries")
 
 
-def _trie(batch, k: int) -> tuple[Trie, dict[bytes, int]]:
+def _trie(batch, k: int) -> Trie:
     trie = Trie.__new__(Trie)
     for n in ARRAYS:
         setattr(trie, n, np.frombuffer(batch.column(n)[k].as_py(), "<i4"))
-    number = {w: k for k, w in enumerate(batch.column("words")[k].values.to_pylist(), 1)}
-    trie.radix = int(np.ceil(np.sqrt(len(number) + 1)))
-    return trie, number
+    trie.words = batch.column("words")[k].values.to_pylist()
+    trie.radix = int(np.ceil(np.sqrt(len(trie.words) + 1)))
+    return trie
 
 
 def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str, int]) -> DataFrame:
@@ -449,16 +474,21 @@ def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str
         frequent = _frequent(words_dest)
 
         def told(lang, some):
-            """Counts of one language's slices, block after block."""
+            """Counts of one language's slices, block after block. Their words are numbered once for all of them, so that a trie's words are looked
+            up once, however many slices hold them."""
+            known: defaultdict = defaultdict(count(1).__next__)
+            for k, (words, ids, order, blocks) in enumerate(some):
+                task = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                some[k] = np.append(np.int32(0), task)[ids], order, blocks
+            del words, ids, order, blocks
             for batch in _batches(tries_dest, lang, ["block", "words", *ARRAYS], 1):
-                block, (trie, number), sums = batch.column("block")[0].as_py(), _trie(batch, 0), 0
-                for words, ids, order, blocks in some:
+                block, trie, sums = batch.column("block")[0].as_py(), _trie(batch, 0), 0
+                codes = np.zeros(len(known) + 1, np.int64)
+                codes[np.fromiter((known.get(w, 0) for w in trie.words), np.int64, len(trie.words))] = np.arange(1, len(trie.words) + 1)
+                codes[0] = 0
+                for ids, order, blocks in some:
                     at = order[np.searchsorted(blocks, block) : np.searchsorted(blocks, block, "right")]
-                    rows = [ids[at + k] for k in range(3)]
-                    codes = np.zeros(len(words) + 1, np.int64)
-                    used = np.flatnonzero(sum(np.bincount(x, minlength=len(codes)) for x in rows)[1:])
-                    codes[used + 1] = np.fromiter((number.get(words[k], 0) for k in used.tolist()), np.int64, len(used))
-                    sums = sums + trie.count([codes[x] for x in rows])
+                    sums = sums + trie.count([codes[ids[at + k]] for k in range(3)])
                 ends = np.flatnonzero(sums * (trie.accepts >= 0))
                 if len(ends):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block]), pa.array([trie.accepts[ends].astype("<u4").tobytes()], pa.binary()), pa.array([sums[ends].astype("<u4").tobytes()], pa.binary())], names=["lang", "block", "places", "n"])
@@ -470,9 +500,10 @@ def counted(slices: DataFrame, words_dest: str, tries_dest: str, sizes: dict[str
                 order = np.flatnonzero(pair)
                 blocks = _block(pair[order], sizes[lang])
                 by_block = np.argsort(blocks, kind="stable")
-                held[lang].append((words, np.append(ids, [0, 0]), order[by_block], blocks[by_block].astype(np.int64)))
-                if sum(len(x[1]) for x in held[lang]) > SLICE:
-                    yield from told(lang, held.pop(lang))
+                held[lang].append((words, np.append(ids, np.zeros(2, ids.dtype)), order[by_block].astype(np.int32), blocks[by_block].astype(np.int32)))
+                if sum(len(x[1]) for own_ in held.values() for x in own_) > 4 * SLICE:  # of all languages; each reading of the tries serves as many slices as that
+                    most = max(held, key=lambda x: sum(len(y[1]) for y in held[x]))
+                    yield from told(most, held.pop(most))
         for lang in list(held):
             yield from told(lang, held.pop(lang))
 

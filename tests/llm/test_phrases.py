@@ -72,6 +72,48 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+def test_full_buckets_by_bits():
+    rng = np.random.default_rng(2)
+    blocks = [0, 7, 3, 70_000]
+    own = [np.unique(rng.integers(0, 1 << 16, n)).astype("<u2") for n in (5000, 1, 65_536 * 4, 300)]
+    numbers = {b << 16 | int(k) for b, x in zip(blocks, own, strict=True) for k in x}
+    keys = np.concatenate([np.array(sorted(numbers)), rng.integers(0, 70_003 << 16, 5000), [0, (7 << 16) + 65_535, (1 << 60) - 1]]).astype(np.uint64)
+    full = phrases._Full(blocks, [x.tobytes() for x in own])
+    assert full.among(keys).tolist() == [int(k) in numbers for k in keys] and not phrases._Full([], []).among(keys).any()
+
+
+def test_a_trie_is_read_once_for_many_slices(spark, monkeypatch):
+    """The counts of a task's slices are taken from one reading of a trie, not from one for every slice or two."""
+    monkeypatch.setattr(phrases, "SLICE", 400)
+    docs = spark.createDataFrame([("en", "new york city of the " * 9 + f"w{k % 7} w{k % 3}") for k in range(60)], "lang string, text string").coalesce(1)
+    slices, read = phrases.coded(docs), []
+    words = phrases.word_counts(slices)
+    n = {"en": words.agg({"f": "sum"}).first()[0]}
+    frequent = phrases._written(words.filter("f >= 10").select("lang", "h"), "phrase-frequent", n)
+    full = phrases._written(phrases.bucket_sums(slices, frequent, n, 10), "phrase-buckets", n)
+    tries = phrases.tries(phrases.candidates(slices, frequent, full, n))
+    own, made = phrases._trie, slices.collect()
+    monkeypatch.setattr(phrases, "_trie", lambda *args: read.append(1) or own(*args))
+
+    class Here:  # runs the tasks' function in this process
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            self.f = f
+            return self
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def applyInArrow(self, *_):  # noqa: N802
+            return self.f
+
+    run = phrases.counted(Here(), frequent, tries, n)
+    got = list(run([slices.toArrow().combine_chunks().to_batches()[0]]))
+    assert len(made) >= 6 and 0 < len(read) <= len(made) // 3 + 1 and got
+
+
 def test_score_is_exact_beyond_64_bits(spark):
     df = spark.createDataFrame([(3_000_000_000_000_007, 3_000_000_000_000_011, 3_000_000_000_000_013)], "a long, l long, r long")
     got = phrases.with_score(df).first()
