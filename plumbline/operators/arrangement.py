@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon
-from ..sources.scratch import written
+from ..sources.scratch import large, written
 
 XY = ["x1", "y1", "x2", "y2"]
 
@@ -178,7 +178,7 @@ def repaired(df: DataFrame, key: str, rings: str = "rings") -> tuple[DataFrame,
     if broken.isEmpty():
         return df, df.agg(F.count("*").alias("checked"), F.lit(0).cast("long").alias("repaired"), F.lit(0).cast("long").alias("dropped"))
     fixed = written(shaped(sides(broken, key, rings), "even_odd").select(F.col("key").alias(key), F.col("rings").alias("_fixed"), F.lit(True).alias("_new")), "fixed")
-    marked = df.join(broken.select(key, F.lit(True).alias("_broken")), key, "left").join(fixed, key, "left")
+    marked = df.join(large(broken.select(key, F.lit(True).alias("_broken"))), key, "left").join(large(fixed), key, "left")
     out = marked.filter("_broken IS NULL OR _new").withColumn(rings, F.coalesce("_fixed", rings)).select(*df.columns)
     counts = marked.agg(F.count("*").alias("checked"), F.count_if(F.expr("_broken AND _new")).alias("repaired"), F.count_if(F.expr("_broken AND _new IS NULL")).alias("dropped"))
     return out, counts

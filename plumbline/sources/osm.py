@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import polygon, text
+from .scratch import large
 
 
 def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,14 +43,18 @@ def address_nodes(elements: DataFrame) -> DataFrame:
     return rows.select(*_address("node", F.col("id"), F.col("tags"), F.col("lon"), F.col("lat")))
 
 
-def _ways_of(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ways = elements.filter("kind = 'way'")
-    refs = ways.select(F.col("id").alias("way"), F.posexplode("refs").alias("ord", "node"))
-    return ways, way_points(refs, elements.filter("kind = 'node'").select(F.col("id").alias("node"), "lon", "lat"))
+def points_of(elements: DataFrame) -> DataFrame:
+    """way, pts, n, complete of the ways among elements. The readers below take it as `points` where it is known, so that it is made once."""
+    refs = elements.filter("kind = 'way'").select(F.col("id").alias("way"), F.posexplode("refs").alias("ord", "node"))
+    return way_points(refs, large(elements.filter("kind = 'node'").select(F.col("id").alias("node"), "lon", "lat")))
 
 
-def way_addresses(elements: DataFrame) -> DataFrame:
-    ways, points = _ways_of(elements.filter("kind <> 'relation'"))
+def _ways_of(elements: DataFrame, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return elements.filter("kind = 'way'"), large(points_of(elements) if points is None else points)
+
+
+def way_addresses(elements: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    ways, points = _ways_of(elements.filter("kind <> 'relation'"), points)
     rows = ways.filter(F.element_at("tags", "addr:housenumber").isNotNull()).join(points.filter("complete"), F.col("id") == F.col("way"))
     c = line_centroid(F.col("pts"))
     return rows.select(*_address("way", F.col("id"), F.col("tags"), c.x, c.y))
@@ -67,9 +72,9 @@ def _chosen(rows: DataFrame, former: bool) -> tuple[DataFrame, list[Column]]:
     return rows.filter(F.element_at("tags", "building").isNotNull()), [F.element_at("tags", "building").alias("building")]
 
 
-def way_buildings(elements: DataFrame, former: bool = False) -> DataFrame:
+def way_buildings(elements: DataFrame, former: bool = False, points: DataFrame | None = None) -> DataFrame:
     """osm_type, osm_id, rings, building (or lifecycle, lifecycle_value): closed ways with a building, or with a life-cycle key and none."""
-    ways, points = _ways_of(elements.filter("kind <> 'relation'"))
+    ways, points = _ways_of(elements.filter("kind <> 'relation'"), points)
     chosen, told = _chosen(ways, former)
     rows = chosen.join(points.filter("complete"), F.col("id") == F.col("way")).filter(_closed(F.col("pts")))
     rings = polygon.oriented(F.array(F.struct(F.lit(False).alias("hole"), F.col("pts"))))
@@ -94,40 +99,40 @@ def unresolved_relations(relations: DataFrame, points: DataFrame) -> DataFrame:
     return _members(relations).join(points.filter("complete"), "way", "left_anti").groupBy("rel").agg(F.sort_array(F.collect_set("way")).alias("ways"))
 
 
-def relation_buildings(elements: DataFrame, former: bool = False, strict: bool = False) -> DataFrame:
+def relation_buildings(elements: DataFrame, former: bool = False, strict: bool = False, points: DataFrame | None = None) -> DataFrame:
     """osm_type, osm_id, rings, building (or lifecycle, lifecycle_value), doubtful: the union of the closed outer ways without that of the
     closed inner ones. Ways that are open, missing or lack a node are left out; `doubtful` tells so. strict: a relation with a member way that
     is missing or lacks a node has no row, as in the upkeep of the map."""
     from ..operators import arrangement
 
-    _, points = _ways_of(elements.filter("kind <> 'relation'"))
+    _, points = _ways_of(elements.filter("kind <> 'relation'"), points)
     chosen, told = _chosen(elements.filter("kind = 'relation'"), former)
     if strict:
-        chosen = chosen.join(unresolved_relations(chosen, points).select(F.col("rel").alias("id")), "id", "left_anti")
+        chosen = chosen.join(large(unresolved_relations(chosen, points).select(F.col("rel").alias("id"))), "id", "left_anti")
     own = _members(chosen).filter("role <> 'other'").join(points, "way", "left").withColumn("_ok", F.coalesce(F.col("complete") & _closed(F.col("pts")), F.lit(False)))
     ring = F.struct("ord", F.struct((F.col("role") == "inner").alias("hole"), F.col("pts")).alias("r"))
     rows = own.groupBy("rel").agg(F.sort_array(F.collect_list(F.when(F.col("_ok"), ring))).alias("_r"), F.bool_or(~F.col("_ok")).alias("doubtful"), F.count_if(F.col("_ok") & (F.col("role") == "outer")).alias("_o")).filter("_o > 0")
     rows = rows.select("rel", polygon.oriented(F.transform("_r", lambda x: x.r)).alias("rings"), "doubtful")
     plain = rows.filter((F.size("rings") == 1) & polygon.is_valid(F.col("rings")))
-    others = rows.join(plain.select("rel"), "rel", "left_anti")
-    several = arrangement.shaped(arrangement.sides(others, "rel")).select(F.col("key").alias("rel"), "rings").join(others.select("rel", "doubtful"), "rel")
+    others = rows.join(large(plain.select("rel")), "rel", "left_anti")
+    several = arrangement.shaped(arrangement.sides(others, "rel")).select(F.col("key").alias("rel"), "rings").join(large(others.select("rel", "doubtful")), "rel")
     shapes = plain.unionByName(several)
-    return shapes.join(chosen.select(F.col("id").alias("rel"), *told), "rel").select(F.lit("relation").alias("osm_type"), F.col("rel").alias("osm_id"), "rings", *(c for c in ("building", "lifecycle", "lifecycle_value") if c in [x for x in chosen.select(*told).columns]), "doubtful")
+    return shapes.join(large(chosen.select(F.col("id").alias("rel"), *told)), "rel").select(F.lit("relation").alias("osm_type"), F.col("rel").alias("osm_id"), "rings", *(c for c in ("building", "lifecycle", "lifecycle_value") if c in [x for x in chosen.select(*told).columns]), "doubtful")
 
 
-def relation_addresses(elements: DataFrame, strict: bool = False) -> DataFrame:
+def relation_addresses(elements: DataFrame, strict: bool = False, points: DataFrame | None = None) -> DataFrame:
     """Addresses of relations with a house number: the length-weighted middle of all member ways that are whole (strict: only where all are)."""
-    _, points = _ways_of(elements.filter("kind <> 'relation'"))
+    _, points = _ways_of(elements.filter("kind <> 'relation'"), points)
     chosen = elements.filter((F.col("kind") == "relation") & F.element_at("tags", "addr:housenumber").isNotNull())
     if strict:
-        chosen = chosen.join(unresolved_relations(chosen, points).select(F.col("rel").alias("id")), "id", "left_anti")
+        chosen = chosen.join(large(unresolved_relations(chosen, points).select(F.col("rel").alias("id"))), "id", "left_anti")
     lines = _members(chosen).join(points.filter("complete"), "way").select("rel", F.explode(polygon._sides(F.col("pts"))).alias("s"), F.element_at("pts", 1).alias("p"))
     dx, dy = F.col("s.q.x") - F.col("s.p.x"), F.col("s.q.y") - F.col("s.p.y")
     length = F.sqrt(dx * dx + dy * dy)
     middle = lines.select("rel", length.alias("l"), ((F.col("s.p.x") + F.col("s.q.x")) / 2).alias("x"), ((F.col("s.p.y") + F.col("s.q.y")) / 2).alias("y"))
     sums = middle.groupBy("rel").agg(F.sum("l").alias("l"), F.sum(F.col("l") * F.col("x")).alias("x"), F.sum(F.col("l") * F.col("y")).alias("y"), F.avg("x").alias("ax"), F.avg("y").alias("ay"))
     at = lambda c: F.when(F.col("l") > 0, F.col(c) / F.col("l")).otherwise(F.col(f"a{c}"))
-    rows = chosen.join(sums.select(F.col("rel").alias("id"), at("x").alias("_x"), at("y").alias("_y")), "id")
+    rows = chosen.join(large(sums.select(F.col("rel").alias("id"), at("x").alias("_x"), at("y").alias("_y"))), "id")
     return rows.select(*_address("relation", F.col("id"), F.col("tags"), F.col("_x"), F.col("_y")))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import polygon, tilemath
 from ..operators import arrangement
 from ..sources import osm
-from ..sources.scratch import written
+from ..sources.scratch import large, written
 from ..sources.store import Part, Store, added, names
 from .feed import collapse
 
@@ -52,18 +52,20 @@ def _elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFr
 def served_rows(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
     """addresses, buildings and former buildings of the elements, invalid shapes repaired, and `unresolved`: kind, id, missing (ids)."""
     e = written(_elements(nodes, ways, relations), "elements")
-    addresses = osm.address_nodes(e).unionByName(osm.way_addresses(e)).unionByName(osm.relation_addresses(e, strict=True))
+    points = written(osm.points_of(e), "points")
+    rel = e.filter("kind = 'relation'")
+    own = written(points.join(large(osm._members(rel).select("way").distinct()), "way", "left_semi"), "member-points")
+    addresses = osm.address_nodes(e).unionByName(osm.way_addresses(e, points)).unionByName(osm.relation_addresses(rel, strict=True, points=own))
     out = {"addresses": addresses.select(*osm.ADDRESS)}
     for table, former in (("buildings", False), ("former", True)):
         told = ["lifecycle", "lifecycle_value"] if former else ["building"]
-        way, _ = arrangement.repaired(osm.way_buildings(e, former=former), "osm_id")
-        shapes = written(way.unionByName(osm.relation_buildings(e, former=former, strict=True).drop("doubtful")).select("osm_type", "osm_id", *told, "rings"), "shapes")
+        way, _ = arrangement.repaired(osm.way_buildings(e, former=former, points=points), "osm_id")
+        shapes = written(way.unionByName(osm.relation_buildings(rel, former=former, strict=True, points=own).drop("doubtful")).select("osm_type", "osm_id", *told, "rings"), "shapes")
         box = polygon.bbox(F.col("rings"))
         out[table] = shapes.select("*", *(box.getField(c).alias(c) for c in BOX)).select(*SERVED[table])
-    _, points = osm._ways_of(e.filter("kind <> 'relation'"))
-    refs = e.filter("kind = 'way'").select("id", F.explode("refs").alias("node")).join(e.filter("kind = 'node' AND lon IS NOT NULL AND lat IS NOT NULL").select(F.col("id").alias("node")), "node", "left_anti")
+    refs = e.filter("kind = 'way'").select("id", F.explode("refs").alias("node")).join(large(e.filter("kind = 'node' AND lon IS NOT NULL AND lat IS NOT NULL").select(F.col("id").alias("node"))), "node", "left_anti")
     lacking = refs.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("missing")).select(F.lit("way").alias("kind"), "id", "missing")
-    rels = osm.unresolved_relations(e.filter("kind = 'relation'"), points).select(F.lit("relation").alias("kind"), F.col("rel").alias("id"), F.col("ways").alias("missing"))
+    rels = osm.unresolved_relations(rel, large(own)).select(F.lit("relation").alias("kind"), F.col("rel").alias("id"), F.col("ways").alias("missing"))
     return out | {"unresolved": lacking.unionByName(rels)}
 
 
@@ -115,8 +117,8 @@ def apply_batch(store: Store, changes: DataFrame, at: Column, sequence: int | No
     fresh = None
     for kind, table in KINDS.items():
         own = last.filter(F.col("kind") == kind)
-        late = own.join(stored(table, own).select("id", F.col("version").alias("_v")), "id").filter("_v > version").select("id")
-        one = own.join(late, "id", "left_anti")
+        late = own.join(large(stored(table, own).select("id", F.col("version").alias("_v"))), "id").filter("_v > version").select("id")
+        one = own.join(large(late), "id", "left_anti")
         fresh = one if fresh is None else fresh.unionByName(one)
     fresh = written(fresh, "fresh")
     change = {table: fresh.filter(F.col("kind") == kind) for kind, table in KINDS.items()}
@@ -125,12 +127,12 @@ def apply_batch(store: Store, changes: DataFrame, at: Column, sequence: int | No
 
     def current(table: str, wanted: DataFrame) -> DataFrame:
         """Rows of wanted ids as they are after the batch."""
-        old = stored(table, wanted).join(wanted, "id", "left_semi").join(ids[table], "id", "left_anti")
-        return old.unionByName(change[table].filter("action <> 'delete'").join(wanted, "id", "left_semi").select(*ELEMENTS[table]))
+        old = stored(table, wanted).join(large(wanted), "id", "left_semi").join(large(ids[table]), "id", "left_anti")
+        return old.unionByName(change[table].filter("action <> 'delete'").join(large(wanted), "id", "left_semi").select(*ELEMENTS[table]))
 
     def replaced(table: str, old: DataFrame, gone: DataFrame, on: list[str], new: DataFrame, touched: list[str]) -> None:
         if touched:
-            parts[table] = Part(old.join(gone, on, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)), keys[table], touched)
+            parts[table] = Part(old.join(large(gone), on, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)), keys[table], touched)
 
     for table in ELEMENTS:
         touched = names(ids[table], hashed(blocks, "id"))
@@ -139,7 +141,7 @@ def apply_batch(store: Store, changes: DataFrame, at: Column, sequence: int | No
     # reverse references: those of changed ways and relations go, their new ones come
     reverse = {}
     for table, owner, key, ref in (("node_ways", "ways", "way", "node"), ("way_relations", "relations", "relation", "way")):
-        before = stored(owner, ids[owner]).join(ids[owner], "id", "left_semi")
+        before = stored(owner, ids[owner]).join(large(ids[owner]), "id", "left_semi")
         after = change[owner].filter("action <> 'delete'")
         old_refs, new_refs = (_references(df, df)[table] if owner == "ways" else _references(df.limit(0), df)[table] for df in ((before.withColumn("members", F.lit(None).cast(osm.MEMBERS)), after) if owner == "ways" else (before.withColumn("refs", F.lit(None).cast("array<bigint>")), after)))
         new_refs = written(new_refs, table)
@@ -151,8 +153,8 @@ def apply_batch(store: Store, changes: DataFrame, at: Column, sequence: int | No
         """id of the ways (relations) on given nodes (ways) after the batch."""
         owner, key, ref, new_refs = reverse[table]
         wanted = refs.select(F.col("id").alias(ref)).distinct()
-        old = stored(table, wanted, ref).join(ids[owner].select(F.col("id").alias(key)), key, "left_anti").select(ref, key)
-        return old.unionByName(new_refs.select(ref, key)).join(wanted, ref, "left_semi").select(F.col(key).alias("id"))
+        old = stored(table, wanted, ref).join(large(ids[owner].select(F.col("id").alias(key))), key, "left_anti").select(ref, key)
+        return old.unionByName(new_refs.select(ref, key)).join(large(wanted), ref, "left_semi").select(F.col(key).alias("id"))
 
     ways = written(ids["ways"].union(referring("node_ways", ids["nodes"])).distinct(), "touched-ways")
     relations = written(ids["relations"].union(referring("way_relations", ways)).distinct(), "touched-relations")
@@ -173,15 +175,15 @@ def apply_batch(store: Store, changes: DataFrame, at: Column, sequence: int | No
     queue, refused = None, None
     for table, columns in SERVED.items():
         old = store.read(table, touched, version)
-        new = written(served[table].join(objects, ["osm_type", "osm_id"], "left_semi").select(*columns), table)
+        new = written(served[table].join(large(objects), ["osm_type", "osm_id"], "left_semi").select(*columns), table)
         replaced(table, old, objects, ["osm_type", "osm_id"], new, touched)
-        gone = old.join(objects, ["osm_type", "osm_id"], "left_semi")
+        gone = old.join(large(objects), ["osm_type", "osm_id"], "left_semi")
         box = [F.col(c) for c in BOX] if table != "addresses" else [F.col(c).alias(b) for c, b in zip(("lon", "lat", "lon", "lat"), BOX, strict=True)]
         both = gone.select("osm_type", "osm_id", *box).unionByName(new.select("osm_type", "osm_id", *box))
         cells, wide = cells_of_boxes(both, *SOURCES[table])
         wide = wide.withColumn("layer", F.lit(table))
         queue, refused = (cells, wide) if queue is None else (queue.union(cells), refused.union(wide))
-    unresolved = served["unresolved"].join(objects.select(F.col("osm_type").alias("kind"), F.col("osm_id").alias("id")), ["kind", "id"], "left_semi")
+    unresolved = served["unresolved"].join(large(objects.select(F.col("osm_type").alias("kind"), F.col("osm_id").alias("id"))), ["kind", "id"], "left_semi")
     logs = {"queue": queue.distinct().withColumn("enqueued_at", at), "refused": refused, "unresolved": unresolved}
     return store.commit(parts | {n: added(df) for n, df in logs.items()}, {"sequence": last_sequence if sequence is None else sequence})
 

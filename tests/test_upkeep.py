@@ -224,3 +224,18 @@ def test_changes_stream_into_the_store(spark, tmp_path):
     for _ in range(2):
         upkeep.start(spark.readStream.schema(CHANGE).parquet(str(tmp_path / "in")), store, str(tmp_path / "checkpoint")).awaitTermination()
     assert store.latest() == 2 and store.read("nodes").count() == 239 and store.read("addresses").filter("osm_id = 0").first().lon == 20.5
+
+
+def test_a_batch_broadcasts_no_table_that_grows(spark, tmp_path, monkeypatch):
+    """Files of equal values are small, their rows are not: what is small on disk is not sent through the driver."""
+    state, versions, plans = _map(random.Random(5)), {}, []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    write, commit = upkeep.written, Store.commit
+    monkeypatch.setattr(upkeep, "written", lambda df, name: (told(df), write(df, name))[1])
+    monkeypatch.setattr(Store, "commit", lambda self, parts, note=None: ([told(p.rows) for p in parts.values()], commit(self, parts, note))[1])
+    store, f = Store(spark, str(tmp_path / "map")), _frames(spark, state, versions)
+    upkeep.load(store, f["nodes"], f["ways"], f["relations"].limit(0), blocks=2)
+    batch = spark.createDataFrame([("node", "modify", 0, 9, 1, 20.0, 50.0, None, None, {}), ("way", "delete", 1, 9, 2, None, None, None, None, {})], CHANGE)
+    upkeep.apply_batch(store, batch, F.current_timestamp(), 1)
+    assert len(plans) > 20 and sum("Join" in p for p in plans) > 10
+    assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
