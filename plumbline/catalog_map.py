@@ -12,7 +12,7 @@ from .functions import metric, polygon, text
 from .operators import current, enrich, layers, matching, quality, stats
 from .plans.derived import prelude, views
 from .sources import osm
-from .sources.scratch import scratch
+from .sources.scratch import scratch, written
 from .sources.store import Store
 from .streaming import upkeep
 
@@ -74,7 +74,8 @@ def _topo_layer(spark, sf_dir):
 
 def _egib_layer(spark, sf_dir):
     gov = _boxes(views(spark, sf_dir, "gov_buildings")[0]).withColumn("code", text.class_code(F.col("rodzaj"))).withColumnRenamed("id_budynku", "key")
-    missing = _boxes(_classes(spark, sf_dir).filter("class = 'unmatched'").drop("class")).withColumn("code", text.class_code(F.col("rodzaj"))).withColumnRenamed("id_budynku", "key")
+    missing = _classes(spark, sf_dir).filter("class = 'unmatched'").select("id_budynku", "rodzaj", "storeys", "x0", "y0", "x1", "y1")
+    missing = _boxes(written(missing, "missing")).withColumn("code", text.class_code(F.col("rodzaj"))).withColumnRenamed("id_budynku", "key")
     return enrich.tag_buildings(missing, gov, spark.createDataFrame(_TYPES, _TYPE_SCHEMA), "key", [F.col("code")], "storeys", F.col("code") == "m", "register 2")
 
 

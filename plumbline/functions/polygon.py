@@ -140,6 +140,32 @@ def overlap_areas(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
     return both.groupBy(a_key, b_key, *carry).agg(F.sum(F.col("sa") * F.col("sb") * piece).alias("overlap"))
 
 
+def lines(rings: Column) -> Column:
+    """The non-vertical sides of oriented rings as left to right lines from l to r: b, the height at l, m, the slope, and s, +1 where the interior is below."""
+    every = F.filter(F.flatten(F.transform(rings, lambda r: _sides(r.pts))), lambda s: s.p.x != s.q.x)
+    line = lambda s, p, q, sign: F.struct(F.lit(sign).alias("s"), p.x.alias("l"), q.x.alias("r"), p.y.alias("b"), ((q.y - p.y) / (q.x - p.x)).alias("m"))
+    return F.transform(every, lambda s: F.when(s.p.x < s.q.x, line(s, s.p, s.q, -1.0)).otherwise(line(s, s.q, s.p, 1.0)))
+
+
+def overlap(a: Column, b: Column, base: Column) -> Column:
+    """The area of the intersection of two polygons, as `overlap_areas` has it, of their `lines` and a height below both: for pairs that are rows
+    with their shapes, so that no table of sides is shuffled."""
+
+    def piece(s, t, l, r):  # noqa: E741
+        at = lambda line, x: line.b - base + line.m * (x - line.l)
+        ends = F.struct(at(s, l).alias("f"), at(t, l).alias("g"), at(s, r).alias("u"), at(t, r).alias("v"))
+        trapeze = lambda p, q, hp, hq: (q - p) * (hp + hq) / F.lit(2.0)
+        whole = lambda e: trapeze(l, r, F.least(e.f, e.g), F.least(e.u, e.v))
+        parted = lambda e: _once(l + (r - l) * (e.g - e.f) / ((e.g - e.f) - (e.v - e.u)), lambda x: trapeze(l, x, F.least(e.f, e.g), at(s, x)) + trapeze(x, r, at(s, x), F.least(e.u, e.v)))
+        return s.s * t.s * _once(ends, lambda e: F.when((e.g - e.f) * (e.v - e.u) < 0, parted(e)).otherwise(whole(e)))
+
+    def common(s, t):
+        low, high = F.greatest(s.l, t.l), F.least(s.r, t.r)
+        return F.when(low < high, _once(F.struct(low.alias("l"), high.alias("r")), lambda x: piece(s, t, x.l, x.r))).otherwise(F.lit(0.0))
+
+    return F.aggregate(a, F.lit(0.0), lambda n, s: n + F.aggregate(b, F.lit(0.0), lambda k, t: k + common(s, t)))
+
+
 def _once(value: Column, use) -> Column:
     """use(value) with the value computed once: a name in a lambda stands for it."""
     return F.element_at(F.transform(F.array(value), use), 1)

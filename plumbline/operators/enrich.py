@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metric, polygon, text, tilemath
-from .matching import candidate_pairs, resolve_streets
+from ..sources.scratch import large
+from .matching import BOX, by_cell, meeting, resolve_streets
 
 
 def symmetric_difference(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -41,28 +42,38 @@ def mapping_drift(mappings: DataFrame, data: DataFrame, key: str) -> DataFrame:
     return unused.select(F.lit("unused").alias("side"), "keys", "rows").unionByName(bare.select(F.lit("uncovered").alias("side"), "keys", "rows"))
 
 
-def neighbours(buildings: DataFrame, register: DataFrame, key: str) -> DataFrame:
-    """key, neighbours: buildings of the register that touch it, by another centroid. Both with rings and shape columns."""
-    other = register.withColumn("_key", F.col(key)).drop(key).withColumnRenamed("_key", "_other")
-    pairs = candidate_pairs(buildings, other, key, "_other").select(key, "_other")
-    both = pairs.join(buildings.select(key, F.col("rings").alias("_a"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy")), key).join(other.select("_other", "rings", "cx", "cy"), "_other")
-    both = both.filter((F.col("_cx") != F.col("cx")) | (F.col("_cy") != F.col("cy"))).filter(polygon.touching(F.col("_a"), F.col("rings")))
-    return both.groupBy(key).agg(F.count("*").alias("neighbours"))
+def neighbours(buildings: DataFrame, register: DataFrame, key: str, other_by: str | None = None) -> DataFrame:
+    """key, neighbours: buildings of the register that touch it, by another centroid, or by another value of the column other_by (which is
+    unique in the register). Both with rings and shape columns. Equal shapes of the register are counted first and met once."""
+    told = [] if other_by else ["cx", "cy"]
+    shapes = by_cell(register.select("rings", *told, *BOX)).repartition("cell_x", "cell_y")
+    shapes = shapes.groupBy(*shapes.columns).agg(F.count("*").alias("n"))
+    both = meeting(by_cell(buildings.select(key, "rings", *told, *BOX)), shapes)
+    if told:
+        both = both.filter("cx <> _cx OR cy <> _cy")
+    out = both.filter(polygon.touching(F.col("rings"), F.col("_rings"))).groupBy(key).agg(F.sum("_n").alias("neighbours"))
+    if other_by:  # all that touch it, less itself
+        same = buildings.select(key, other_by, "rings").join(large(register.select(other_by, F.col("rings").alias("_rings"))), other_by).filter(polygon.touching(F.col("rings"), F.col("_rings")))
+        out = out.join(large(same.groupBy(key).agg(F.count("*").alias("_own"))), key, "left").select(key, (F.col("neighbours") - F.coalesce("_own", F.lit(0))).alias("neighbours"))
+    return out.filter("neighbours > 0")
 
 
-def tag_buildings(buildings: DataFrame, register: DataFrame, types: DataFrame, key: str, codes: list[Column], levels: str, adjacency: Column, source: str) -> DataFrame:
+def tag_buildings(buildings: DataFrame, register: DataFrame, types: DataFrame, key: str, codes: list[Column], levels: str, adjacency: Column, source: str, other_by: str | None = None) -> DataFrame:
     """buildings with neighbours, type_tags and tags. codes: the class by tier; the lowest tier wins, then the row with most
-    conditions. register rows for which `adjacency` holds count as neighbours."""
-    counted = buildings.join(neighbours(buildings, register.filter(adjacency), key), key, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)).cast("long"))
-    keyed = counted.withColumn("_k", F.array(*(F.struct(F.lit(i).alias("tier"), c.alias("key")) for i, c in enumerate(codes, 1)))).withColumn("_k", F.explode("_k")).select("*", F.col("_k.tier").alias("_tier"), F.col("_k.key").alias("_code")).drop("_k")
-    rows = types.select(F.col("tier").alias("_t"), F.col("key").alias("_c"), *(F.col(c).alias(f"_{c}") for c in ("min_levels", "max_levels", "max_neighbours", "tags")))
-    fits = (F.col("_tier") == F.col("_t")) & (F.col("_code") == F.col("_c"))
-    for low, op in (("_min_levels", "ge"), ("_max_levels", "le")):
-        fits = fits & (F.col(low).isNull() | (F.col(levels) >= F.col(low) if op == "ge" else F.col(levels) <= F.col(low)))
-    fits = fits & (F.col("_max_neighbours").isNull() | (F.col("neighbours") <= F.col("_max_neighbours")))
-    given = sum((F.col(c).isNotNull().cast("int") for c in ("_min_levels", "_max_levels", "_max_neighbours")), F.lit(0))
-    best = keyed.join(rows, fits).groupBy(key).agg(F.min_by("_tags", F.struct("_tier", -given, "_tags")).alias("type_tags"))
-    out = counted.join(best, key, "left")
+    conditions. register rows for which `adjacency` holds count, as `neighbours` has it. types: a curated table, which is broadcast."""
+    counted = buildings.join(large(neighbours(buildings, register.filter(adjacency), key, other_by)), key, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)).cast("long"))
+    limits = ["min_levels", "max_levels", "max_neighbours"]
+    given = sum((F.col(c).isNotNull().cast("int") for c in limits), F.lit(0))
+    rules = types.select("tier", "key", F.struct("tier", (-given).alias("given"), "tags", *limits).alias("r")).groupBy("tier", "key").agg(F.collect_list("r").alias("r"))
+    out = counted
+    for tier, code in enumerate(codes, 1):
+        own = rules.filter(F.col("tier") == tier).select(F.col("key").alias(f"_key{tier}"), F.col("r").alias(f"_rules{tier}"))
+        out = out.withColumn("_code", code).join(F.broadcast(own), F.col("_code") == F.col(f"_key{tier}"), "left").drop("_code", f"_key{tier}")
+    mine = [f"_rules{tier}" for tier in range(1, len(codes) + 1)]
+    every = F.concat(*(F.coalesce(c, F.array().cast(rules.schema["r"].dataType)) for c in mine))
+    within = lambda r: (r.min_levels.isNull() | (F.col(levels) >= r.min_levels)) & (r.max_levels.isNull() | (F.col(levels) <= r.max_levels)) & (r.max_neighbours.isNull() | (F.col("neighbours") <= r.max_neighbours))
+    best = F.array_min(F.transform(F.filter(every, within), lambda r: F.struct(r.tier.alias("tier"), r.given.alias("given"), r.tags.alias("tags")))).getField("tags")
+    out = out.withColumn("type_tags", best).drop(*mine)
     return out.withColumn("tags", text.building_tags(text.parse_tags(F.col("type_tags")), F.col(levels), source))
 
 

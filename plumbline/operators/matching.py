@@ -1,9 +1,9 @@
 """Which register rows does the map lack?
 
 Buildings: an OSM footprint that covers a tenth of the register's footprint matches it; a former-building polygon that does
-so vetoes it; an active report vetoes it. Pairs are found by cell, then by bounding boxes, then by the exact overlap.
+so vetoes it; an active report vetoes it. Pairs are found by small cells, then by bounding boxes, then by the exact overlap.
 Addresses: the same normalised house number, within 50 m; or within 150 m with the same street, or, both streetless, the
-same locality. Pairs are found by house number and a grid of 0.005 degrees, whose nine neighbours cover 150 m.
+same locality. Pairs are found by house number and a grid of 0.005 degrees, of which a row asks the squares within 150 m.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metric, polygon, text, tilemath
+from ..sources.scratch import large
 
 NEAR, NAMED, GRID, MIN_OVERLAP = 50.0, 150.0, 0.005, 0.10
+#: Pairs of buildings are looked for in cells of this zoom (190 m wide at 52 degrees): few buildings touch two, and few others share one.
+PAIR_ZOOM = 17
 
 
 def with_cell(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -30,24 +33,33 @@ def with_shape(df: DataFrame, rings: str = "rings", parts: tuple[str, ...] = ("b
     return own.select("*", rows).select(*own.columns, *(c for p in parts for c in names[p]))
 
 
-def _by_cell(df: DataFrame, columns: list[str]) -> DataFrame:
-    """columns for each cell that the row's box touches (rows are below a cell in size, so at most four)."""
-    return df.select(*columns, F.explode(tilemath.cells_for_bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("_cell"))
+BOX = ["x0", "y0", "x1", "y1"]
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """a_key, b_key, carry (columns of a), base (below both) of rows whose boxes meet."""
-    box = ["x0", "y0", "x1", "y1"]
-    left = _by_cell(a, [a_key, *carry, *box])
-    right = _by_cell(b, [b_key, *box]).select(b_key, *(F.col(c).alias(f"_{c}") for c in box), "_cell")
-    both = left.join(right, "_cell").filter("x0 <= _x1 AND _x0 <= x1 AND y0 <= _y1 AND _y0 <= y1")
-    return both.select(a_key, b_key, *carry, F.least("y0", "_y0").alias("base")).distinct()
+def by_cell(df: DataFrame) -> DataFrame:
+    """df's rows in each small cell that their box touches: cell_x, cell_y, and left and up, the first of these cells. What is above 1,024 cells
+    of zoom 14 is left out."""
+    x, y = (lambda c: tilemath.cell_x(F.col(c), PAIR_ZOOM)), (lambda c: tilemath.cell_y(F.col(c), PAIR_ZOOM))
+    each = df.select("*", x("x0").alias("left"), y("y1").alias("up"), x("x1").alias("_right"), y("y0").alias("_down"))
+    most = 1024 << 2 * (PAIR_ZOOM - tilemath.CELL_ZOOM)
+    each = each.filter((F.col("_right") - F.col("left") + 1).cast("long") * (F.col("_down") - F.col("up") + 1) <= most)
+    own = [*df.columns, "left", "up"]
+    return each.select(*own, "_down", F.explode(F.sequence("left", "_right")).alias("cell_x")).select(*own, "cell_x", F.explode(F.sequence("up", "_down")).alias("cell_y"))
+
+
+def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of rows (as `by_cell` gives them) whose boxes meet, each once: in the first cell that both touch. b's columns with _ before."""
+    cell = ["cell_x", "cell_y"]
+    right = b.select(*(F.col(c).alias(f"_{c}") for c in b.columns if c not in cell), *cell)
+    both = a.join(large(right), cell).filter("cell_x = greatest(left, _left) AND cell_y = greatest(up, _up)")
+    return both.filter("x0 <= _x1 AND _x0 <= x1 AND y0 <= _y1 AND _y0 <= y1")
 
 
 def coverage(gov: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
-    """key, other_key, overlap, fraction of the gov footprint; both sides with rings and shape columns."""
-    pairs = candidate_pairs(gov, other, key, other_key, ("area",))
-    over = polygon.overlap_areas(pairs, gov, other, key, other_key, ("area",))
+    """key, other_key, overlap, fraction of the gov footprint; both sides with rings and shape columns. Shapes go to the cells with their rows."""
+    line = polygon.lines(F.col("rings")).alias("lines")
+    both = meeting(by_cell(gov.select(key, "area", line, *BOX)), by_cell(other.select(F.col(other_key).alias("other"), line, *BOX))).filter("x0 < _x1 AND _x0 < x1")
+    over = both.select(key, F.col("_other").alias(other_key), "area", polygon.overlap(F.col("lines"), F.col("_lines"), F.least("y0", "_y0")).alias("overlap"))
     return over.select(key, other_key, "overlap", (F.col("overlap") / F.col("area")).alias("fraction"))
 
 
@@ -73,21 +85,25 @@ def balance(classes: DataFrame) -> DataFrame:
 
 def resolve_streets(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
     """addresses with street: the mapping of its settlement, else the one without settlement, else as registered. Names compare
-    without case. Mappings are a curated table of a few thousand rows; Spark broadcasts them if their size is known to allow it."""
+    without case. Mappings are a curated table of a few thousand rows and are broadcast: streets are few, and a join by them would deal whole
+    streets to single tasks."""
     own = mappings.filter("teryt_simc_code IS NOT NULL").select(F.col("teryt_simc_code").alias("_c"), F.lower("prg_street_name").alias("_n"), F.col("osm_street_name").alias("_own"))
     every = mappings.filter("teryt_simc_code IS NULL").select(F.lower("prg_street_name").alias("_g"), F.col("osm_street_name").alias("_every"))
-    out = addresses.join(own, (F.lower("ulica") == F.col("_n")) & (F.col("teryt_miejscowosc") == F.col("_c")), "left").join(every, F.lower("ulica") == F.col("_g"), "left")
+    out = addresses.join(F.broadcast(own), (F.lower("ulica") == F.col("_n")) & (F.col("teryt_miejscowosc") == F.col("_c")), "left").join(F.broadcast(every), F.lower("ulica") == F.col("_g"), "left")
     return out.withColumn("street", F.coalesce("_own", "_every", "ulica")).drop("_c", "_n", "_own", "_g", "_every")
 
 
 def matched_addresses(gov: DataFrame, osm: DataFrame, mappings: DataFrame, key: str = "lokalny_id") -> DataFrame:
     """Keys of addresses that the map has. gov: lon, lat, numer_porzadkowy, ulica, miejscowosc, teryt_miejscowosc; osm: lon, lat, housenumber, street, city."""
-    floor = lambda c, d=0: (F.floor(F.col(c) / GRID) + d).cast("long")
-    left = resolve_streets(gov, mappings).select(key, text.norm_housenumber(F.col("numer_porzadkowy")).alias("_hn"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), text.norm_name(F.col("street")).alias("_s"), text.norm_name(F.col("miejscowosc")).alias("_p"), floor("lon").alias("_i"), floor("lat").alias("_j"))
-    around = F.array(*(F.struct((F.col("_i") + dx).alias("gx"), (F.col("_j") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    left = left.filter("_hn IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL").select("*", F.explode(around).alias("_g")).select("*", "_g.gx", "_g.gy").drop("_g")
-    right = osm.select(text.norm_housenumber(F.col("housenumber")).alias("_hn"), F.col("lon").alias("_ox"), F.col("lat").alias("_oy"), text.norm_name(F.col("street")).alias("_os"), text.norm_name(F.col("city")).alias("_oc"), floor("lon").alias("gx"), floor("lat").alias("gy"))
-    both = left.join(right, ["_hn", "gx", "gy"])
+    floor = lambda c: F.floor(c / GRID).cast("long")
+    left = resolve_streets(gov, mappings).select(key, text.norm_housenumber(F.col("numer_porzadkowy")).alias("_hn"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), text.norm_name(F.col("street")).alias("_s"), text.norm_name(F.col("miejscowosc")).alias("_p"))
+    # 150 m in degrees, a little more: of latitude, and of longitude at the end of the stretch that is nearer to a pole
+    high = NAMED / 111_000.0
+    wide = F.lit(high) / F.cos(F.radians(F.least(F.abs("_y") + high, F.lit(85.0)))) * 1.01
+    squares = lambda c, d: F.explode(F.sequence(floor(F.col(c) - d), floor(F.col(c) + d)))
+    left = left.filter("_hn IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL").withColumn("_w", wide).select("*", squares("_x", F.col("_w")).alias("gx")).select("*", squares("_y", F.lit(high)).alias("gy"))
+    right = osm.select(text.norm_housenumber(F.col("housenumber")).alias("_hn"), F.col("lon").alias("_ox"), F.col("lat").alias("_oy"), text.norm_name(F.col("street")).alias("_os"), text.norm_name(F.col("city")).alias("_oc"), floor(F.col("lon")).alias("gx"), floor(F.col("lat")).alias("gy"))
+    both = left.join(large(right), ["_hn", "gx", "gy"]).filter((F.abs(F.col("_x") - F.col("_ox")) <= F.col("_w")) & (F.abs(F.col("_y") - F.col("_oy")) <= high))
     metres = metric.sphere_distance(F.col("_x"), F.col("_y"), F.col("_ox"), F.col("_oy"))
     names = (F.col("_s") == F.col("_os")) | (F.col("_s").isNull() & F.col("_os").isNull() & (F.col("_p") == F.col("_oc")))
     return both.withColumn("_d", metres).filter((F.col("_d") <= NEAR) | ((F.col("_d") <= NAMED) & F.coalesce(names, F.lit(False)))).select(key).distinct()
