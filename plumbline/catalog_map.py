@@ -68,8 +68,9 @@ def _topo_layer(spark, sf_dir):
     vetoes = spark.createDataFrame([], "source string, record_key string, status string")
     named = register.withColumn("key", F.concat_ws("/", "PRZESTRZENNAZW", "LOKALNYID"))
     missing = matching.building_classes(named.filter("KATEGORIAISTNIENIA = 'eksploatowany'"), _boxes(osm_boxes, "box"), _boxes(none, "box"), vetoes, "bdot10k", "key").filter("class = 'unmatched'").drop("class")
+    missing = _ells(written(missing.select("key", "LOKALNYID", "detail", "general", "storeys", "x0", "y0", "x1", "y1", "xm", "ym"), "missing"))
     codes = [F.lower(F.trim("detail")), F.lower(F.trim("general"))]
-    return enrich.tag_buildings(missing, named, spark.createDataFrame(_FUNCTIONS, _TYPE_SCHEMA), "key", codes, "storeys", F.lower(F.trim("detail")) == "machinery", "register 1")
+    return enrich.tag_buildings(missing, named, spark.createDataFrame(_FUNCTIONS, _TYPE_SCHEMA), "key", codes, "storeys", F.lower(F.trim("detail")) == "machinery", "register 1", "LOKALNYID")
 
 
 def _egib_layer(spark, sf_dir):
